@@ -38,18 +38,9 @@ def population_colours(
     return wide.withColumn("color", F.col("mag1") - F.col("mag2"))
 
 
-def depth_pair(depths: DataFrame, band1: str, band2: str) -> DataFrame:
-    """One row m5_1, m5_2; a missing or repeated band is an error inside the query."""
-    count = lambda b: F.count(F.when(F.col("band") == b, F.col("m5")))
-    value = lambda b: F.max(F.when(F.col("band") == b, F.col("m5")))
-    one = depths.agg(count(band1).alias("n1"), count(band2).alias("n2"), value(band1).alias("a"), value(band2).alias("b"))
-    bad = F.raise_error(F.lit("each band needs exactly one depth")).cast("double")
-    ok = (F.col("n1") == 1) & (F.col("n2") == 1)
-    return one.select(F.when(ok, F.col("a")).otherwise(bad).alias("m5_1"), F.when(ok, F.col("b")).otherwise(bad).alias("m5_2"))
-
-
-def with_depths(colours: DataFrame, depths: DataFrame, band1: str, band2: str) -> DataFrame:
-    return colours.crossJoin(F.broadcast(depth_pair(depths, band1, band2)))
+def with_depths(colours: DataFrame, depths: dict[str, float], band1: str, band2: str) -> DataFrame:
+    """Adds the two depths as literals; they are numbers by now, see ``checks.require_bands``."""
+    return colours.withColumns({"m5_1": F.lit(float(depths[band1])), "m5_2": F.lit(float(depths[band2]))})
 
 
 def passes_depth() -> Column:
@@ -57,7 +48,7 @@ def passes_depth() -> Column:
     return (F.col("sel1") <= F.col("m5_1")) & (F.col("sel2") <= F.col("m5_2"))
 
 
-def stages(colours: DataFrame, depths: DataFrame, band1: str, band2: str, wanted=STAGES) -> DataFrame:
+def stages(colours: DataFrame, depths: dict[str, float], band1: str, band2: str, wanted=STAGES) -> DataFrame:
     """Supported colours per stage in one pass: every supported bin, and those within both depths."""
     d = with_depths(colours.where("color IS NOT NULL"), depths, band1, band2)
     labels = []

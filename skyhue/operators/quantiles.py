@@ -56,22 +56,16 @@ def _select(src, keys, percents, n_name, q_name, accuracy, inverse=False):
         lo, hi = F.col("__lo")[j], F.col("__hi")[j]
         kept = kept | ((x >= lo) & (x <= hi))
         region = region + (x > lo).cast("int") + (x > hi).cast("int")
-    # rows outside every bracket fold to one counted row per region
-    counted = joined.select(*keys, region.alias("__r"), F.when(kept, x).alias("__x")).groupBy(*keys, "__r", "__x").agg(
-        F.count("*").alias("__c")
-    )
-    offsets = counted.groupBy(*keys, "__r").agg(F.sum("__c").alias("__rc")).withColumn(
-        "__before",
-        F.coalesce(F.sum("__rc").over(_by(keys).orderBy("__r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-    ).drop("__rc")
-    inner = W.partitionBy(*keys, "__r").orderBy(F.col("__x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    # rows outside every bracket fold to one counted row per region; the kept few are ordered per group
+    counted = joined.select(*keys, "__n", region.alias("__r"), F.when(kept, x).alias("__x")).groupBy(
+        *keys, "__n", "__r", "__x"
+    ).agg(F.count("*").alias("__c"))
+    in_order = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("__r", F.col("__x").asc_nulls_first())
     ranked = (
-        counted.withColumn("__cum", F.sum("__c").over(inner)).where("__x IS NOT NULL")
-        .join(offsets, keys + ["__r"])
-        .withColumn("__end", F.col("__before") + F.col("__cum"))
-        .withColumn("__start", F.col("__end") - F.col("__c"))
+        counted.withColumn("__end", F.sum("__c").over(in_order.rowsBetween(W.unboundedPreceding, 0)))
+        .where("__x IS NOT NULL").withColumn("__start", F.col("__end") - F.col("__c"))
     )
-    ranked = ranked.join(brackets.select(*keys, "__n"), keys) if keys else ranked.crossJoin(brackets.select("__n"))
+
     def position(p):
         n = F.col("__n")
         if inverse:
@@ -100,10 +94,6 @@ def _select(src, keys, percents, n_name, q_name, accuracy, inverse=False):
     return got.select(*keys, F.col("__n").alias(n_name), F.array(*[result[p / 100.0] for p in percents]).alias(q_name))
 
 
-def _by(keys):
-    return W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-
-
 def nearest_rank(
     df: DataFrame, keys: list[str], value, percents: list[float], n_name: str = "n", q_name: str = "quantiles",
     accuracy: int = SKETCH_ACCURACY,

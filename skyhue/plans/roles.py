@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyhue.functions import columns as C
+from skyhue.functions import checks, columns as C
 from skyhue.operators import survey
 from skyhue.operators.grid import TimeGrid
 
@@ -95,6 +95,7 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def depths(spark: SparkSession, sf: str) -> DataFrame:
-    """Median depth per band over all visits (band, m5)."""
-    return survey.depth_quantiles(visits(spark, sf), None).where("scenario = 'median_p50'").select("band", "m5")
+def depths(spark: SparkSession, sf: str, bands=("g", "r")) -> dict[str, float]:
+    """Median depth of the requested bands over all visits: a few numbers, checked to be complete."""
+    wanted = visits(spark, sf).where(F.col("band").isin(list(bands)))
+    return checks.require_bands(survey.resolve_depths(None, wanted, 50.0, bands), bands)
