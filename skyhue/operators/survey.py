@@ -328,3 +328,16 @@ def resolve_depths(table: DataFrame | None, visits: DataFrame, percentile: float
         raise ValueError("raw visits can only stand in for the global scope")
     d = visits.where(F.col("band").isin(list(bands)))
     return exact_quantiles(d, ["band"], "m5", [percentile], "select", "N_visits", "q").select("band", F.col("q")[0].alias("m5"))
+
+
+def distance_summary(objects: DataFrame) -> DataFrame:
+    """Long table of counts, means and nine percentiles of redshift and distance."""
+    percents = [1.0, 5.0, 16.0, 25.0, 50.0, 75.0, 84.0, 95.0, 99.0]
+    units = {"redshift": "", "luminosity_distance": "Mpc"}
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("quantity"), F.lit(u).alias("unit"), F.col(n).alias("v")) for n, u in units.items()]))
+    long = objects.select(pairs.alias("p")).select("p.*").where("v IS NOT NULL")
+    q = exact_quantiles(long, ["quantity", "unit"], "v", percents, "select", "n", "q")
+    d = q.join(long.groupBy("quantity").agg(F.avg("v").alias("mean")), "quantity")
+    rows = [F.struct(F.lit("n").alias("statistic"), F.col("n").cast("double").alias("value")), F.struct(F.lit("mean").alias("statistic"), F.col("mean").alias("value"))]
+    rows += [F.struct(F.lit(f"p{int(p)}").alias("statistic"), F.col("q")[i].alias("value")) for i, p in enumerate(percents)]
+    return d.select("quantity", "unit", F.explode(F.array(*rows)).alias("s")).select("quantity", "s.*", "unit")

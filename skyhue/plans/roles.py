@@ -21,18 +21,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def lightcurves(spark: SparkSession, sf: str) -> DataFrame:
+def lightcurves(spark: SparkSession, sf: str, bands=None) -> DataFrame:
+    """All points, or those of some bands; the band filter is put on the stored column, so the scan applies it."""
+    events = table(spark, sf, "events")
+    if bands:
+        events = events.where(F.col("event_type").isin([k for k, v in BAND_OF_EVENT.items() if v in bands]))
     band = F.create_map(*[F.lit(x) for kv in BAND_OF_EVENT.items() for x in kv])[F.col("event_type")]
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("user_id").alias("event_id"), F.lit("lsst").alias("photometric_system"), band.alias("band"),
         ((C.micros_since_epoch("ts") - F.lit(EPOCH_MICROS)) / F.lit(86400e6)).alias("t_days"),
         C.finite("value").alias("mag"), F.col("event_id").alias("row_id"),
     )
 
 
-def dual_lightcurves(spark: SparkSession, sf: str) -> DataFrame:
+def dual_lightcurves(spark: SparkSession, sf: str, bands=None) -> DataFrame:
     """Each point in two systems; the second is fainter by a band term."""
-    lc = lightcurves(spark, sf)
+    lc = lightcurves(spark, sf, bands)
     other = lc.withColumn("photometric_system", F.lit("ps1")).withColumn(
         "mag", F.col("mag") + F.when(F.col("band") == "g", F.lit(0.25)).otherwise(F.lit(0.1))
     )
@@ -55,9 +59,12 @@ def objects(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def visits(spark: SparkSession, sf: str) -> DataFrame:
+def visits(spark: SparkSession, sf: str, bands=None) -> DataFrame:
+    items = table(spark, sf, "lineitem")
+    if bands:
+        items = items.where(F.col("l_returnflag").isin([k for k, v in BAND_OF_FLAG.items() if v in bands]))
     band = F.create_map(*[F.lit(x) for kv in BAND_OF_FLAG.items() for x in kv])[F.col("l_returnflag")]
-    return table(spark, sf, "lineitem").select(
+    return items.select(
         F.col("l_suppkey").alias("field_index"),
         (F.lit(40587.0) + C.micros_since_epoch("l_shipdate") / F.lit(86400e6) + F.col("l_linenumber") / F.lit(16.0)).alias("MJD"),
         band.alias("band"),
@@ -97,5 +104,20 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
 
 def depths(spark: SparkSession, sf: str, bands=("g", "r")) -> dict[str, float]:
     """Median depth of the requested bands over all visits: a few numbers, checked to be complete."""
-    wanted = visits(spark, sf).where(F.col("band").isin(list(bands)))
-    return checks.require_bands(survey.resolve_depths(None, wanted, 50.0, bands), bands)
+    return checks.require_bands(survey.resolve_depths(None, visits(spark, sf, bands), 50.0, bands), bands)
+
+
+def snia(spark: SparkSession, sf: str) -> DataFrame:
+    """Second population: the same points as epochs of six hours with an error that is zero for some rows."""
+    lc = lightcurves(spark, sf)
+    return lc.select(
+        F.col("event_id").alias("sn_id"), (F.lit(60310.0) + F.floor(F.col("t_days") * 4) / 4).alias("mjd"), "band", "mag",
+        (F.pmod("row_id", F.lit(10)) / 10.0).alias("magerr"), "row_id",
+    )
+
+
+def photometry(spark: SparkSession, sf: str) -> DataFrame:
+    """Points with a magnitude error and an observing time."""
+    return lightcurves(spark, sf).withColumns({
+        "mag_err": F.lit(0.02) + F.pmod("row_id", F.lit(7)) / 100.0, "time_mjd": F.lit(60310.0) + F.col("t_days"),
+    })

@@ -114,10 +114,7 @@ def scenario(df: DataFrame, name: str, bands, scope: str = "common_global") -> D
 
 def snia(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
     """SN Ia photometry: required columns, and those of the optional ones that the file has."""
-    d = spark.read.parquet(path)
-    required = ["sn_id", "mjd", "band", "mag", "magerr"]
-    require_columns(d, *required)
-    return d.select(*required, *[c for c in wanted if c in d.columns and c not in required])
+    return present_columns(spark.read.parquet(path), ["sn_id", "mjd", "band", "mag", "magerr"], wanted)
 
 
 def commented_text(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -159,3 +156,9 @@ def survey_table(spark: SparkSession, url: str, table: str, properties: dict | N
     """Relational survey source; filters on it run in the database. Give column, bounds and numPartitions to split the read."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**(properties or {}))
     return reader.options(**partitioning).load()
+
+
+def present_columns(df: DataFrame, required: list[str], optional: list[str]) -> DataFrame:
+    """Required columns, and those of the optional ones that exist; the scan reads no others."""
+    require_columns(df, *required)
+    return df.select(*required, *[c for c in optional if c in df.columns])
