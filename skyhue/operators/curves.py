@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skyhue.functions.columns import col
-from skyhue.operators import series
+from skyhue.operators import ranks, series
 from skyhue.operators.grid import TimeGrid
 
 SERIES = ["event_id", "photometric_system", "band"]
@@ -332,7 +332,7 @@ def pair_colours(
     near = series.neighbours(points, [key], ["x", "band", "row"], ["x"], series.chunk_by("x", chunk_width), "__p", None)
     cut = near.withColumn("__cut", F.col("__p").isNull() | (F.col("x") - F.col("__p.x") > F.lit(reach)))
     # an island starts at the latest cut at or before the row
-    starts = cut.withColumn("__start", F.when("__cut", F.struct(F.col("x").alias("s"))))
+    starts = cut.withColumn("__start", F.when(F.col("__cut"), F.struct(F.col("x").alias("s"))))
     islands = series.bracket(
         starts.drop("__p", "__cut"), [key], ["x"], "__start", series.chunk_by("x", chunk_width), "__island", "__unused"
     )
@@ -370,3 +370,32 @@ def pair_colours(
         F.col("e.m1").alias("mag_band1"), F.col("e.m2").alias("mag_band2"),
         (F.col("e.m1") - F.col("e.m2")).alias("color"), F.hypot("e.e1", "e.e2").alias("color_error"),
     )
+
+
+def observe(rows: DataFrame, threshold: float = 5.0) -> DataFrame:
+    """Simulated measurement of ``mag`` at depth ``m5`` with a supplied noise draw (in sigmas): SNR, detection, magnitude or limit."""
+    snr = 5.0 * F.pow(F.lit(10.0), F.lit(-0.4) * (F.col("mag") - F.col("m5")))
+    flux = F.pow(F.lit(10.0), F.lit(-0.4) * F.col("mag"))
+    d = rows.withColumns({"expected_snr": snr, "__flux": flux}).withColumn("__sigma", F.col("__flux") / F.col("expected_snr"))
+    d = d.withColumn("__seen", F.col("__flux") + F.col("noise") * F.col("__sigma"))
+    hit = (F.col("__seen") / F.col("__sigma") >= threshold) & (F.col("__seen") > 0)
+    return d.withColumn("detected", hit).withColumns({
+        "mag_observed": F.when(F.col("detected"), F.lit(-2.5) * F.log10("__seen")), "mag_limit": F.when(~F.col("detected"), F.col("m5")),
+    }).drop("__flux", "__sigma", "__seen")
+
+
+def validation_sample(peak_rows: DataFrame, bin_counts: DataFrame, size: int, seed: int) -> DataFrame:
+    """Random order of events with a usable peak and at least one bin. Both inputs have one row per event."""
+    eligible = peak_rows.where("peak_used").join(bin_counts.where("n_bins > 0"), "event_id")
+    ordered = ranks.hash_rank(eligible, "event_id", seed, "random_order")
+    return ordered.where(F.col("random_order") <= size)
+
+
+def pairs_within(df: DataFrame, key: str, band1: str, band2: str, window: float, t: str = "t_days") -> DataFrame:
+    """All pairs of two bands within a window: an equi-join on time buckets of one window, then the exact test."""
+    bucket = F.floor(F.col(t) / F.lit(window)).cast("bigint")
+    a = df.where(F.col("band") == band1).select(key, F.col(t).alias("t1"), F.col("row_id").alias("row_band1"), F.col("mag").alias("mag_band1"),
+        F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__b"))
+    b = df.where(F.col("band") == band2).select(key, F.col(t).alias("t2"), F.col("row_id").alias("row_band2"), F.col("mag").alias("mag_band2"), bucket.alias("__b"))
+    d = a.join(b, [key, "__b"]).where(F.abs(F.col("t1") - F.col("t2")) <= window)
+    return d.withColumn("t_color_available_days", F.greatest("t1", "t2")).drop("__b")

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SKETCH_ACCURACY = 10_000
+UNROLLED = 7
 
 
 def exact_quantiles(
@@ -50,12 +51,16 @@ def _select(src, keys, percents, n_name, q_name, accuracy, inverse=False):
 
     joined = src.join(brackets, keys) if keys else src.crossJoin(brackets)
     x = F.col("__v")
-    kept = F.lit(False)
-    region = F.lit(0)
-    for j in range(m):
-        lo, hi = F.col("__lo")[j], F.col("__hi")[j]
-        kept = kept | ((x >= lo) & (x <= hi))
-        region = region + (x > lo).cast("int") + (x > hi).cast("int")
+    if m <= UNROLLED:
+        kept, region = F.lit(False), F.lit(0)
+        for j in range(m):
+            lo, hi = F.col("__lo")[j], F.col("__hi")[j]
+            kept = kept | ((x >= lo) & (x <= hi))
+            region = region + (x > lo).cast("int") + (x > hi).cast("int")
+    else:  # generated code for so many comparisons would outgrow a method
+        below = lambda ends: F.size(F.filter(ends, lambda e: e < x))
+        kept = F.size(F.filter("__lo", lambda e: e <= x)) > below("__hi")
+        region = below("__lo") + below("__hi")
     # rows outside every bracket fold to one counted row per region; the kept few are ordered per group
     counted = joined.select(*keys, "__n", region.alias("__r"), F.when(kept, x).alias("__x")).groupBy(
         *keys, "__n", "__r", "__x"
@@ -66,32 +71,34 @@ def _select(src, keys, percents, n_name, q_name, accuracy, inverse=False):
         .where("__x IS NOT NULL").withColumn("__start", F.col("__end") - F.col("__c"))
     )
 
-    def position(p):
-        n = F.col("__n")
+    n = F.col("__n")
+
+    def position(p: Column) -> Column:
         if inverse:
-            return F.greatest(F.lit(0), F.ceil(F.lit(p * 100.0) * n / F.lit(100.0)) - 1)
-        return F.lit(p) * (n - 1)
-
-    picks = []
-    for j, p in enumerate(probs):
-        k = F.floor(position(p))
-        holds = lambda rank: (F.col("__start") <= rank) & (rank < F.col("__end"))
-        picks.append(F.max(F.when(holds(k), F.col("__x"))).alias(f"__a{j}"))
-        if not inverse:
-            picks.append(F.max(F.when(holds(F.least(k + 1, F.col("__n") - 1)), F.col("__x"))).alias(f"__b{j}"))
-    got = ranked.groupBy(*keys, "__n").agg(*picks)
-    found = lambda name: F.coalesce(
-        F.col(name), F.raise_error(F.lit("order statistic outside its bracket")).cast("double")
+            return F.greatest(F.lit(0.0), F.ceil(p * 100.0 * n / F.lit(100.0)).cast("double") - 1)
+        return p * (n - 1)
+
+    # which of the wanted order statistics a counted value covers: id 2j and 2j + 1 are the neighbours of position j
+    wanted = F.array(*[F.lit(p) for p in probs])
+    ids = F.flatten(F.transform(wanted, lambda p, j: F.array(
+        F.struct((2 * j).alias("id"), F.floor(position(p)).alias("k")),
+        F.struct((2 * j + 1).alias("id"), F.least(F.floor(position(p)) + 1, n - 1).alias("k")),
+    )))
+    hits = ranked.select(*keys, "__n", "__x", F.explode(
+        F.filter(ids, lambda w: (w["k"] >= F.col("__start")) & (w["k"] < F.col("__end")))
+    ).alias("w"))
+    got = hits.groupBy(*keys, "__n").agg(F.map_from_entries(F.collect_list(F.struct("w.id", "__x"))).alias("__m"))
+    at = lambda i: F.coalesce(
+        F.try_element_at("__m", i.cast("int")), F.raise_error(F.lit("order statistic outside its bracket")).cast("double")
     )
-    result = {}
-    for j, p in enumerate(probs):
-        a = found(f"__a{j}")
-        if inverse:
-            result[p] = a
-            continue
-        b, h = found(f"__b{j}"), position(p)
-        result[p] = F.when(a == b, a).otherwise(a + (b - a) * (h - F.floor(h)))
-    return got.select(*keys, F.col("__n").alias(n_name), F.array(*[result[p / 100.0] for p in percents]).alias(q_name))
+
+    def value(p: Column, j: Column) -> Column:
+        a, b, h = at(2 * j), at(2 * j + 1), position(p)
+        return a if inverse else F.when(a == b, a).otherwise(a + (b - a) * (h - F.floor(h)))
+
+    order = F.array(*[F.struct(F.lit(p / 100.0).alias("p"), F.lit(probs.index(p / 100.0)).alias("j")) for p in percents])
+    values = F.transform(order, lambda o: value(o["p"], o["j"]))
+    return got.select(*keys, n.alias(n_name), values.alias(q_name))
 
 
 def nearest_rank(

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skyhue.functions import columns as C
-from skyhue.operators import ranks, series
+from skyhue.operators import curves, ranks
 from skyhue.operators.quantiles import exact_quantiles
 
 # Depth scenarios as percentiles.
@@ -259,7 +259,7 @@ def survey_summary(index: DataFrame, medians: DataFrame, parent: DataFrame, band
 
 
 def revisit_gaps(visits: DataFrame, t: str = "MJD", chunk_days: float = 30.0) -> DataFrame:
-    return series.gaps(visits, ["field_index", "band"], t, chunk_days)
+    return curves.gaps(visits, ["field_index", "band"], t, chunk_days)
 
 
 def gap_histogram(gaps: DataFrame, bins: int, logarithmic: bool = False, gap: str = "gap_days") -> DataFrame:

@@ -108,10 +108,10 @@ def depths(spark: SparkSession, sf: str, bands=("g", "r")) -> dict[str, float]:
 
 
 def snia(spark: SparkSession, sf: str) -> DataFrame:
-    """Second population: the same points as epochs of six hours with an error that is zero for some rows."""
+    """Second population: the same points as epochs of eight hours with an error that is zero for some rows."""
     lc = lightcurves(spark, sf)
     return lc.select(
-        F.col("event_id").alias("sn_id"), (F.lit(60310.0) + F.floor(F.col("t_days") * 4) / 4).alias("mjd"), "band", "mag",
+        F.col("event_id").alias("sn_id"), (F.lit(60310.0) + F.floor(F.col("t_days") * 3) / 3).alias("mjd"), "band", "mag",
         (F.pmod("row_id", F.lit(10)) / 10.0).alias("magerr"), "row_id",
     )
 

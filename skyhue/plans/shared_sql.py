@@ -24,7 +24,7 @@ OBS = FIELDS + """, obs AS (SELECT 40587e0 + epoch_us(l_shipdate) / 86400e6 AS o
  (ra0_deg + l_linenumber / 4e0) % 36e1 AS fieldRA, dec0_deg + l_quantity / 4e1 AS fieldDec, target_name
  FROM lineitem JOIN fields ON l_suppkey = field_index)"""
 
-SNIA = LC + """, sn AS (SELECT event_id AS sn_id, 6031e1 + floor(t_days * 4) / 4 AS mjd, band, mag, (row_id % 10) / 1e1 AS magerr, row_id FROM lc)"""
+SNIA = LC + """, sn AS (SELECT event_id AS sn_id, 6031e1 + floor(t_days * 3) / 3 AS mjd, band, mag, (row_id % 10) / 1e1 AS magerr, row_id FROM lc)"""
 
 PHOT = LC + """, phot AS (SELECT *, 2e-2 + (row_id % 7) / 1e2 AS mag_err, 6031e1 + t_days AS time_mjd FROM lc)"""
 
