@@ -8,7 +8,12 @@ from skyhue.functions import columns as C
 
 COMPONENTS = ("m5_only", "additional_mw_given_m5", "combined")
 WILSON_Z = 1.959963984540054
-ONE = W.partitionBy(F.lit(0))
+
+
+def _one():
+    """Window over a whole table of parameters (cuts or latitude bins), never of events."""
+    return W.partitionBy(F.lit(0))
+
 
 
 def loss_counts(colours: DataFrame, objects: DataFrame, seen: DataFrame, band1: str, band2: str, system: str = "lsst") -> DataFrame:
@@ -122,8 +127,8 @@ def _cumulative(events: DataFrame, cuts: list[float]) -> DataFrame:
     per = events.groupBy(k.alias("cell")).agg(*_sums())
     cells = events.sparkSession.createDataFrame([(i, e) for i, e in enumerate([*edges, None])], "cell int, threshold_deg double")
     d = cells.join(per, "cell", "left").na.fill(0, list(SUM_NAMES))
-    run = ONE.orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
-    total = ONE.orderBy("cell").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    run = _one().orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
+    total = _one().orderBy("cell").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     d = d.withColumns({f"low_{n}": F.sum(n).over(run) for n in SUM_NAMES} | {f"__t_{n}": F.sum(n).over(total) for n in SUM_NAMES})
     d = d.withColumns({f"high_{n}": F.col(f"__t_{n}") - F.col(f"low_{n}") for n in SUM_NAMES})
     return d.where("threshold_deg IS NOT NULL").drop("cell", *SUM_NAMES, *[f"__t_{n}" for n in SUM_NAMES])
@@ -150,11 +155,11 @@ def cut_scan(events: DataFrame, cuts: list[float], minimum_events: int = 1) -> D
 def plateau_absolute(scan: DataFrame, column: str, tolerance: float = 0.02, minimum: int = 3) -> DataFrame:
     """First cut from which the column stays within a tolerance of the median of its last ``minimum`` values."""
     v = scan.where(F.col("eligible_min_events") & F.col(column).isNotNull()).select("threshold_deg", F.col(column).alias("v"))
-    desc = F.row_number().over(ONE.orderBy(F.desc("threshold_deg")))
+    desc = F.row_number().over(_one().orderBy(F.desc("threshold_deg")))
     d = v.withColumn("from_end", desc)
     ref = d.where(F.col("from_end") <= minimum).agg(F.median("v").alias("reference_value"))
     d = d.crossJoin(F.broadcast(ref)).withColumn("diff", F.abs(F.col("v") - F.col("reference_value")))
-    d = d.withColumn("tail_max", F.max("diff").over(ONE.orderBy("threshold_deg").rowsBetween(W.currentRow, W.unboundedFollowing)))
+    d = d.withColumn("tail_max", F.max("diff").over(_one().orderBy("threshold_deg").rowsBetween(W.currentRow, W.unboundedFollowing)))
     ok = (F.col("from_end") >= minimum) & (F.col("tail_max") <= tolerance)
     s = d.agg(
         F.count("*").alias("n"), F.max(F.abs("v")).alias("largest"), F.max("reference_value").alias("reference_value"),
@@ -216,7 +221,7 @@ def paired_bins(events: DataFrame, bin_column: str, lower: str) -> DataFrame:
     o = outcomes(events).groupBy(bin_column, lower).agg(
         F.count_if("baseline").alias("n_baseline"), F.count_if("m5_loss").alias("n_m5_loss"), F.count_if("mw_loss").alias("n_mw_loss")
     ).withColumn("n_total_loss", F.col("n_m5_loss") + F.col("n_mw_loss"))
-    w = ONE.orderBy(lower).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    w = _one().orderBy(lower).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     out = {f"rate_{k}": F.try_divide(f"n_{k}", "n_baseline") for k in ("m5_loss", "mw_loss", "total_loss")}
     o = o.withColumns(out)
     return o.withColumns({f"ratio_{k}": F.try_divide(F.col(f"rate_{k}"), F.first(f"rate_{k}").over(w)) for k in ("m5_loss", "mw_loss", "total_loss")})
@@ -239,8 +244,8 @@ def moving_cut(events: DataFrame, cuts: list[float]) -> DataFrame:
     per = o.groupBy(k.alias("cell")).agg(F.count("*").alias("n"), F.count_if("m5_loss").alias("m5"), F.count_if("mw_loss").alias("mw"))
     cells = events.sparkSession.createDataFrame([(i, e) for i, e in enumerate([*edges, None])], "cell int, cut_deg double")
     d = cells.join(per, "cell", "left").na.fill(0, ["n", "m5", "mw"])
-    run = ONE.orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
-    total = ONE.orderBy("cell").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    run = _one().orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
+    total = _one().orderBy("cell").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     d = d.withColumns({f"{c}_low": F.sum(c).over(run) for c in ("n", "m5", "mw")} | {f"{c}_high": F.sum(c).over(total) - F.sum(c).over(run) for c in ("n", "m5", "mw")})
     return with_q(d.where("cut_deg IS NOT NULL").drop("cell", "n", "m5", "mw"))
 
@@ -278,7 +283,7 @@ def assess_plateau(scan: DataFrame, tolerance: float = 0.10, minimum_points: int
         "deviation": F.when(enough & complete, F.col("tail_deviation")),
         "reduction": 1 - F.col("q_high_over_low"),
     })
-    first = F.min(F.when(F.col("status") == "plateau", F.col("cut_deg"))).over(ONE)
+    first = F.min(F.when(F.col("status") == "plateau", F.col("cut_deg"))).over(_one())
     return d.withColumn("is_selected", F.coalesce(F.col("cut_deg") == first, F.lit(False))).drop("n_known", "tail_min", "tail_max", "__top")
 
 

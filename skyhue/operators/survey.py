@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from skyhue.functions import columns as C
+from skyhue.functions import checks, columns as C
 from skyhue.operators import curves, ranks
 from skyhue.operators.quantiles import exact_quantiles
 
@@ -341,3 +341,24 @@ def distance_summary(objects: DataFrame) -> DataFrame:
     rows = [F.struct(F.lit("n").alias("statistic"), F.col("n").cast("double").alias("value")), F.struct(F.lit("mean").alias("statistic"), F.col("mean").alias("value"))]
     rows += [F.struct(F.lit(f"p{int(p)}").alias("statistic"), F.col("q")[i].alias("value")) for i, p in enumerate(percents)]
     return d.select("quantity", "unit", F.explode(F.array(*rows)).alias("s")).select("quantity", "s.*", "unit")
+
+
+def external_depths(spark, bands, manual: dict[str, float] | None = None, table: DataFrame | None = None) -> DataFrame:
+    """Depths given as values or as a table; each band exactly once and within 0 to 40, else an error."""
+    d = spark.createDataFrame(list(manual.items()), "band string, m5 double") if manual else table.where(F.col("band").isin(list(bands)))
+    found = checks.require_bands(d, bands)
+    bad = [b for b, m in found.items() if not 0.0 <= m <= 40.0]
+    if bad:
+        raise ValueError(f"depth out of range in {bad}")
+    return spark.createDataFrame([(b, found[b]) for b in bands], "band string, m5 double")
+
+
+def distances(objects: DataFrame, table: DataFrame, redshift: str = "redshift") -> DataFrame:
+    """Luminosity distance by linear interpolation in a supplied redshift table (z, d), a broadcast range join on its segments."""
+    w = W.partitionBy(F.lit(0)).orderBy("z")
+    seg = table.select("z", "d", F.lead("z").over(w).alias("z1"), F.lead("d").over(w).alias("d1"))
+    x = F.col(redshift)
+    inside = (x >= F.col("z")) & ((x < F.col("z1")) | (F.col("z1").isNull() & (x == F.col("z"))))
+    value = F.when(x == F.col("z"), F.col("d")).otherwise(
+        F.col("d") + (F.col("d1") - F.col("d")) * (x - F.col("z")) / (F.col("z1") - F.col("z")))
+    return objects.join(F.broadcast(seg), inside, "left").withColumn("distance_mpc", value).drop("z", "d", "z1", "d1")
