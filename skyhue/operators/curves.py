@@ -5,11 +5,14 @@ Input rows: event_id, photometric_system, band, t_days, mag (finite values; NULL
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skyhue.functions.columns import col
 from skyhue.operators import ranks, series
 from skyhue.operators.grid import TimeGrid
+from skyhue.sources import staging
 
 SERIES = ["event_id", "photometric_system", "band"]
 EVENT = ["event_id", "photometric_system"]
@@ -315,13 +318,16 @@ def peaks(
 
 def pair_colours(
     df: DataFrame, key: str, band1: str, band2: str, window: float, t: str = "t_days", mag: str = "mag",
-    error: str = "mag_err", row: str = "row_id", tie: str = "later", chunk_width: float = 1.0,
+    error: str = "mag_err", row: str = "row_id", tie: str = "later", chunk_width: float = 1.0, island_edges: int = 10_000,
 ) -> DataFrame:
     """Greedy one-to-one pairing of two bands: smallest separation first, inside a window.
 
     ``tie`` orders equal separations: ``later`` by the later time of the pair, ``row`` by row order. A window of zero
-    pairs times equal to 1e-10. Points further apart than the window from both neighbours cannot interact, so each
-    event is cut at such gaps and only an island of crowded points is folded at a time.
+    pairs times equal to 1e-10.
+
+    Points further apart than the window cannot interact, so each event falls into islands of crowded points. An
+    island with few possible pairs is folded in one expression; a larger one is settled in distributed rounds that
+    never gather it (``_settle_in_rounds``), with the same result.
     """
     zero = window <= 1e-12
     x = F.round(F.col(t), 10) if zero else F.col(t)
@@ -335,12 +341,11 @@ def pair_colours(
     starts = cut.withColumn("__start", F.when(F.col("__cut"), F.struct(F.col("x").alias("s"))))
     islands = series.bracket(
         starts.drop("__p", "__cut"), [key], ["x"], "__start", series.chunk_by("x", chunk_width), "__island", "__unused"
-    )
-    item = F.struct("t", "x", "m", "e", "row")
-    grouped = islands.groupBy(key, F.col("__island.s").alias("island")).agg(
-        F.array_sort(F.collect_list(F.when(F.col("band") == band1, item))).alias("a"),
-        F.array_sort(F.collect_list(F.when(F.col("band") == band2, item))).alias("b"),
-    ).where((F.size("a") > 0) & (F.size("b") > 0))
+    ).withColumn("island", F.col("__island.s")).drop("__island", "__unused", "__start")
+    sized = series.key_totals(
+        islands, [key, "island"], __a=F.count_if(F.col("band") == band1), __b=F.count_if(F.col("band") == band2)
+    ).where("__a > 0 AND __b > 0")
+    fits = F.col("__a") * F.col("__b") <= island_edges
 
     def edge(p, q):
         separation = F.lit(0.0) if zero else F.abs(p["t"] - q["t"])
@@ -351,6 +356,11 @@ def pair_colours(
             F.abs(p["x"] - q["x"]).alias("d"),
         )
 
+    item = F.struct("t", "x", "m", "e", "row")
+    grouped = sized.where(fits).groupBy(key, "island").agg(
+        F.array_sort(F.collect_list(F.when(F.col("band") == band1, item))).alias("a"),
+        F.array_sort(F.collect_list(F.when(F.col("band") == band2, item))).alias("b"),
+    )
     edges = F.array_sort(F.filter(
         F.flatten(F.transform("a", lambda p: F.transform("b", lambda q: edge(p, q)))), lambda e: e["d"] <= F.lit(reach)
     ))
@@ -362,7 +372,15 @@ def pair_colours(
             F.exists(taken, lambda o: (o["r1"] == e["r1"]) | (o["r2"] == e["r2"])), taken
         ).otherwise(F.concat(taken, F.array(e))),
     )
-    return grouped.select(key, F.explode(picked).alias("e")).select(
+    folded = grouped.select(key, F.explode(picked).alias("e"))
+
+    large = sized.where(~fits).select(key, "band", item.alias("p"))
+    cell = F.floor(F.col("p.x") / F.lit(max(reach, 1e-10))).cast("bigint")
+    left = large.where(F.col("band") == band1).select(key, "p", F.explode(F.array(cell - 1, cell, cell + 1)).alias("c"))
+    right = large.where(F.col("band") == band2).select(key, F.col("p").alias("q"), cell.alias("c"))
+    pairs = left.join(right, [key, "c"]).select(key, edge(F.col("p"), F.col("q")).alias("e")).where(F.col("e.d") <= F.lit(reach))
+    chosen = [folded, *_settle_in_rounds(pairs, key)]
+    return reduce(DataFrame.unionByName, chosen).select(
         key, F.col("e.r1").alias("row_band1"), F.col("e.r2").alias("row_band2"),
         F.col("e.o1").alias("t_band1_days"), F.col("e.o2").alias("t_band2_days"), F.col("e.sep").alias("time_separation_days"),
         (F.lit(0.5) * (F.col("e.o1") + F.col("e.o2"))).alias("t_color_mean_days"),
@@ -372,6 +390,27 @@ def pair_colours(
     )
 
 
+def _settle_in_rounds(pairs: DataFrame, key: str) -> list[DataFrame]:
+    """Greedy matching of possible pairs (key, e) without gathering a group.
+
+    A pair that comes first among the pairs of both its points is one the greedy order would take, whatever else
+    happens. Each round takes all of those at once and drops the pairs that share a point with them; the rest is
+    written before the next round. Crowded points settle in a few rounds.
+    """
+    rest = staging.materialize(pairs)
+    taken = []
+    while not rest.isEmpty():
+        first = lambda c: rest.groupBy(key, F.col(f"e.{c}").alias(c)).agg(F.min("e").alias(f"min_{c}"))
+        d = rest.select(key, "e", F.col("e.r1").alias("r1"), F.col("e.r2").alias("r2"))
+        d = d.join(first("r1"), [key, "r1"]).join(first("r2"), [key, "r2"])
+        round_ = staging.materialize(d.where((F.col("e") == F.col("min_r1")) & (F.col("e") == F.col("min_r2"))).select(key, "e"))
+        taken.append(round_)
+        gone = lambda c: round_.select(key, F.col(f"e.{c}").alias(c))
+        left = d.select(key, "e", "r1", "r2").join(gone("r1"), [key, "r1"], "left_anti").join(gone("r2"), [key, "r2"], "left_anti")
+        rest = staging.materialize(left.select(key, "e"))
+    return taken
+
+
 def observe(rows: DataFrame, threshold: float = 5.0) -> DataFrame:
     """Simulated measurement of ``mag`` at depth ``m5`` with a supplied noise draw (in sigmas): SNR, detection, magnitude or limit."""
     snr = 5.0 * F.pow(F.lit(10.0), F.lit(-0.4) * (F.col("mag") - F.col("m5")))

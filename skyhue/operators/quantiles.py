@@ -6,20 +6,26 @@
   groups that are known to be small (tables of bins, repetitions, cuts).
 * ``select`` - for groups of any size. A mergeable sketch brackets each order statistic, one more pass counts what lies
   below each bracket and keeps the few values inside it, and the exact order statistic is read off the kept ones.
-  Both passes combine map side, equal values fold into one counted row, and no group is ever held whole.
+  Both passes combine map side, equal values fold into one counted row, and no group is ever held whole. The groups are
+  bins, stages, cells: few. Their number is checked against ``max_groups`` before the brackets are broadcast; pass
+  ``None`` for an unbounded number of groups, then the join is left to the optimizer.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SKETCH_ACCURACY = 10_000
 UNROLLED = 7
+MAX_GROUPS = 100_000
 
 
 def exact_quantiles(
     df: DataFrame, keys: list[str], value, percents: list[float], method: str = "select",
-    n_name: str = "n", q_name: str = "quantiles", accuracy: int = SKETCH_ACCURACY,
+    n_name: str = "n", q_name: str = "quantiles", accuracy: int = SKETCH_ACCURACY, max_groups: int | None = MAX_GROUPS,
 ) -> DataFrame:
     """keys, ``n`` (non-NULL values) and ``quantiles`` (array in the order of ``percents``, 0-100)."""
     v = value if isinstance(value, Column) else F.col(value)
@@ -29,10 +35,10 @@ def exact_quantiles(
         return src.groupBy(*keys).agg(F.count("*").alias(n_name), F.percentile("__v", qs).alias(q_name))
     if method != "select":
         raise ValueError("method is 'hash' or 'select'")
-    return _select(src, keys, percents, n_name, q_name, accuracy)
+    return _select(src, keys, percents, n_name, q_name, accuracy, max_groups)
 
 
-def _select(src, keys, percents, n_name, q_name, accuracy, inverse=False):
+def _select(src, keys, percents, n_name, q_name, accuracy, max_groups, inverse=False):
     keys = list(keys)
     probs = sorted(set(p / 100.0 for p in percents))
     m = len(probs)
@@ -48,6 +54,12 @@ def _select(src, keys, percents, n_name, q_name, accuracy, inverse=False):
     lows = [F.when(small, F.lit(-inf)).otherwise(F.lit(-inf) if probs[j] - eps <= 0 else F.col("__e")[j]) for j in range(m)]
     highs = [F.when(small, F.lit(inf)).otherwise(F.lit(inf) if probs[j] + eps >= 1 else F.col("__e")[m + j]) for j in range(m)]
     brackets = sketch.select(*keys, "__n", F.array(*lows).alias("__lo"), F.array(*highs).alias("__hi"))
+    if max_groups is not None:
+        # the number of groups is checked inside the query, so the broadcast below has a proven bound
+        groups = F.count("*").over(W.partitionBy(F.lit(0)))
+        brackets = F.broadcast(brackets.withColumn("__g", groups).where(
+            F.when(F.col("__g") <= max_groups, F.lit(True)).otherwise(F.raise_error(F.lit("more groups than max_groups")).cast("boolean"))
+        ).drop("__g"))
 
     joined = src.join(brackets, keys) if keys else src.crossJoin(brackets)
     x = F.col("__v")
@@ -78,8 +90,14 @@ def _select(src, keys, percents, n_name, q_name, accuracy, inverse=False):
             return F.greatest(F.lit(0.0), F.ceil(p * 100.0 * n / F.lit(100.0)).cast("double") - 1)
         return p * (n - 1)
 
-    # which of the wanted order statistics a counted value covers: id 2j and 2j + 1 are the neighbours of position j
+    # most counted values cover no wanted order statistic; drop them first, in generated code where the test is short
+    def covers(p: Column) -> Column:
+        k = F.floor(position(p))
+        return (F.col("__start") <= (k if inverse else F.least(k + 1, n - 1))) & (k < F.col("__end"))
+
     wanted = F.array(*[F.lit(p) for p in probs])
+    ranked = ranked.where(reduce(or_, [covers(F.lit(p)) for p in probs]) if m <= UNROLLED else F.exists(wanted, covers))
+    # which of them a counted value covers: id 2j and 2j + 1 are the neighbours of position j
     ids = F.flatten(F.transform(wanted, lambda p, j: F.array(
         F.struct((2 * j).alias("id"), F.floor(position(p)).alias("k")),
         F.struct((2 * j + 1).alias("id"), F.least(F.floor(position(p)) + 1, n - 1).alias("k")),
@@ -103,12 +121,12 @@ def _select(src, keys, percents, n_name, q_name, accuracy, inverse=False):
 
 def nearest_rank(
     df: DataFrame, keys: list[str], value, percents: list[float], n_name: str = "n", q_name: str = "quantiles",
-    accuracy: int = SKETCH_ACCURACY,
+    accuracy: int = SKETCH_ACCURACY, max_groups: int | None = MAX_GROUPS,
 ) -> DataFrame:
     """Inverse ECDF: order statistic ``max(1, ceil(q n / 100))``; infinities are ordinary values."""
     v = value if isinstance(value, Column) else F.col(value)
     src = df.select(*keys, v.cast("double").alias("__v")).where("__v IS NOT NULL")
-    return _select(src, keys, percents, n_name, q_name, accuracy, inverse=True)
+    return _select(src, keys, percents, n_name, q_name, accuracy, max_groups, inverse=True)
 
 
 def nearest_sample(values: Column, fraction: float) -> Column:

@@ -8,6 +8,7 @@ from skyhue.operators import cells, curves, envelope as E, snia as SN
 from skyhue.plans import light_curves, roles as R, shared_sql as S
 from skyhue.plans.output import tidy
 from skyhue.plans.registry import query
+from skyhue.sources.staging import materialize
 
 G = R.GRID
 
@@ -16,8 +17,13 @@ def colours(spark, sf):
     return E.population_colours(R.lightcurves(spark, sf, ("g", "r")), G, "g", "r")
 
 
+def settled_colours(spark, sf):
+    """The colour table written once, for queries that read it more than once."""
+    return materialize(colours(spark, sf).where("color IS NOT NULL"))
+
+
 def staged(spark, sf):
-    return E.stages(colours(spark, sf), R.depths(spark, sf), "g", "r")
+    return E.stages(settled_colours(spark, sf), R.depths(spark, sf), "g", "r")
 
 
 def rules(spark, sf):
@@ -39,7 +45,7 @@ def _(spark, sf):
 
 @query("depth_stages", "K2 D3 K23", f"WITH {S.STAGED} SELECT stage, event_id, bin_index, {S.r6('color')} FROM staged")
 def _(spark, sf):
-    return tidy(staged(spark, sf), "stage", "event_id", "bin_index", "color")
+    return tidy(E.stages(colours(spark, sf), R.depths(spark, sf), "g", "r"), "stage", "event_id", "bin_index", "color")
 
 
 RULE_SQL = f"""WITH {S.RULES} SELECT stage, stage || '_bin_' || lpad(CAST(bin_index AS VARCHAR), 3, '0') AS rule_id, bin_index, {S.r6('t_min_days t_max_days t_center_days')}, 4e-1 AS bin_width_days, n AS N_population_events,
@@ -74,7 +80,7 @@ def _(spark, sf):
  SELECT stage, bin_index, {S.r6('t_min_days t_max_days t_center_days')}, N_population_total, N_population_model_supported, N_population_stage_available, N_population_stage_available > 0 AS candidate_envelope_valid,
  min(N_population_stage_available > 0) OVER (PARTITION BY stage ORDER BY bin_index) AS initial_consecutive_valid FROM d""")
 def _(spark, sf):
-    c = colours(spark, sf)
+    c = settled_colours(spark, sf)
     st = E.stages(c, R.depths(spark, sf), "g", "r")
     return tidy(E.availability(st, c, R.objects(spark, sf), G))
 
@@ -133,7 +139,8 @@ POP = S.STAGED + ", " + S.OBJ + """, ps AS (SELECT staged.*, CASE WHEN populatio
 
 def two_populations(spark, sf):
     label = F.when(F.col("population") < "G", "a").otherwise("b").alias("pop")
-    return staged(spark, sf).join(R.objects(spark, sf).select("event_id", label), "event_id")
+    labelled = colours(spark, sf).where("color IS NOT NULL").join(R.objects(spark, sf).select("event_id", label), "event_id")
+    return E.stages(materialize(labelled), R.depths(spark, sf), "g", "r")
 
 
 def _overlap_sql(rule_filter: str) -> str:
@@ -257,6 +264,10 @@ def censored(spark, sf):
     return E.censor(d.join(o, "event_id"))
 
 
+def settled_limits(spark, sf):
+    return materialize(censored(spark, sf))
+
+
 def totals(spark, sf):
     return R.objects(spark, sf).agg(F.count("*").alias("N_all"), F.count_if(F.col("population") < "G").alias("N_population"))
 
@@ -298,14 +309,14 @@ def _(spark, sf):
 @query("lower_bound_percentiles", "K16 G3", f"""WITH {CENSOR} SELECT bin_index, count(*) AS N_population_events, count(*) FILTER (state = 2) AS N_population_ul, round(quantile_cont(lower_bound, 1e-2), 6) + 0.0 AS color_min, round(quantile_cont(lower_bound, 5e-1), 6) + 0.0 AS color_median,
  round(quantile_cont(lower_bound, 99e-2), 6) + 0.0 AS color_max FROM cb WHERE in_population AND state IN (1, 2) GROUP BY bin_index""")
 def _(spark, sf):
-    return tidy(E.lower_bound_rules(censored(spark, sf), G), "bin_index", "N_population_events", "N_population_ul", "color_min", "color_median", "color_max")
+    return tidy(E.lower_bound_rules(settled_limits(spark, sf), G), "bin_index", "N_population_events", "N_population_ul", "color_min", "color_median", "color_max")
 
 
 @query("identification_intervals", "K17 G7", f"""WITH {CENSOR}, o AS (SELECT bin_index, lower_bound, upper_bound FROM cb WHERE in_population AND state IN (1, 2)), l AS (SELECT bin_index, count(*) AS n, list_sort(list(lower_bound)) AS lo, list_sort(list(upper_bound)) AS hi FROM o GROUP BY bin_index)
  SELECT bin_index, percentile, n AS N_population_events, round(lo[k], 6) + 0.0 AS colour_quantile_lower, round(CASE WHEN isinf(hi[k]) THEN NULL ELSE hi[k] END, 6) + 0.0 AS colour_quantile_upper, NOT isinf(hi[k]) AS upper_is_finite
  FROM (SELECT *, greatest(1, ceil(percentile * n / 100)::BIGINT) AS k FROM l, (VALUES (1e0), (16e0), (50e0), (84e0), (99e0)) p(percentile))""")
 def _(spark, sf):
-    d = E.identification_intervals(censored(spark, sf), G, (1.0, 16.0))
+    d = E.identification_intervals(settled_limits(spark, sf), G, (1.0, 16.0))
     d = d.withColumn("colour_quantile_upper", F.when(F.col("upper_is_finite"), F.col("colour_quantile_upper")))
     return tidy(d, "bin_index", "percentile", "N_population_events", "colour_quantile_lower", "colour_quantile_upper", "upper_is_finite")
 
@@ -322,7 +333,7 @@ def _(spark, sf):
 def _(spark, sf):
     at = curves.interpolate(R.dual_lightcurves(spark, sf, ("g", "r")), G)
     w = curves.wide_bands(at, {"mag1": "g", "mag2": "r"}, ["event_id", "photometric_system"]).withColumn("color", F.col("mag1") - F.col("mag2"))
-    r = E.rules(w, ["photometric_system"], G)
+    r = E.rules(materialize(w), ["photometric_system"], G)
     return tidy(r, "photometric_system", "bin_index", "N_population_events", "color_min", "color_median", "color_max")
 
 

@@ -8,6 +8,7 @@ from skyhue.operators import cells as K
 from skyhue.plans import envelopes, roles as R, shared_sql as S, stability
 from skyhue.plans.output import tidy
 from skyhue.plans.registry import query
+from skyhue.sources.staging import materialize
 
 G = R.GRID
 N = 6
@@ -29,13 +30,13 @@ def ranges(spark, sf):
 def values(spark, sf):
     o = R.objects(spark, sf)
     p = o.select("event_id", K.parameter(o, PAIR[0]).alias("x"), K.parameter(o, PAIR[1]).alias("y"))
-    return envelopes.colours(spark, sf).where("color IS NOT NULL").join(p, "event_id")
+    return materialize(envelopes.colours(spark, sf).where("color IS NOT NULL").join(p, "event_id"))
 
 
 def dense(spark, sf):
     x, y = ranges(spark, sf)
     c = K.cell_grid(values(spark, sf), x, y, N, N, ["bin_index"])
-    return K.dense_grid(c, G.frame(spark).select("bin_index"), N, N, ["bin_index"])
+    return K.dense_grid(materialize(c), G.frame(spark).select("bin_index"), N, N, ["bin_index"])
 
 
 @query("parameter_domains", "M7", f"WITH {DOMAIN} SELECT 'inclination_deg' AS parameter, round(x0, 6) + 0.0 AS low, round(x1, 6) + 0.0 AS high FROM dm UNION ALL SELECT 'mej_dyn', round(y0, 6) + 0.0, round(y1, 6) + 0.0 FROM dm")

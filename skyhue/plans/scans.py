@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from skyhue.functions import columns as C
@@ -12,13 +9,7 @@ from skyhue.operators import survey
 from skyhue.plans import roles as R, shared_sql as S
 from skyhue.plans.output import tidy
 from skyhue.plans.registry import query
-from skyhue.sources import readers, writers
-
-
-def scratch(spark) -> str:
-    """A fresh folder below the shared folder the session names; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+from skyhue.sources import readers, staging, writers
 
 
 @query("lightcurve_scan", "A1", f"WITH {S.LC} SELECT event_id, band, round(t_days, 6) + 0.0 AS t_days, round(mag, 6) + 0.0 AS mag FROM lc WHERE band IN ('g', 'r')")
@@ -129,7 +120,7 @@ def _(spark, sf):
 
 @query("population_parts_manifest", "B1 A11", "SELECT count(*) AS n_rows, min(user_id) AS first_event, max(user_id) AS last_event, count(DISTINCT user_id) AS n_events FROM events")
 def _(spark, sf):
-    path = scratch(spark)
+    path = staging.folder(spark)
     writers.population(R.lightcurves(spark, sf), path)
     written = readers.shards(spark, path)
     parts = writers.population_manifest(written).agg(F.sum("n_rows").alias("n_rows"), F.min("first_event").alias("first_event"), F.max("last_event").alias("last_event"))
@@ -138,7 +129,7 @@ def _(spark, sf):
 
 @query("per_object_csv_round_trip", "A2 B2", f"WITH {S.LC} SELECT CAST(event_id AS VARCHAR) AS event_id, count(*) AS n, round(sum(mag), 4) + 0.0 AS mag_sum FROM lc GROUP BY event_id")
 def _(spark, sf):
-    path = scratch(spark)
+    path = staging.folder(spark)
     d = R.photometry(spark, sf).select("event_id", "time_mjd", "t_days", "band", "mag")
     writers.per_object(d, path, "event_id")
     back = spark.read.schema("time_mjd double, t_days double, band string, mag double, event_id string").option("header", True).csv(path)
@@ -147,28 +138,28 @@ def _(spark, sf):
 
 @query("compressed_table_round_trip", "B3", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def _(spark, sf):
-    path = scratch(spark)
+    path = staging.folder(spark)
     writers.table(R.table(spark, sf, "customer"), path, compress=True)
     return spark.read.option("header", True).csv(path).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
 @query("summary_json_round_trip", "B4", "SELECT count(*) AS n, round(max(value), 6) + 0.0 AS top FROM events")
 def _(spark, sf):
-    path = scratch(spark)
+    path = staging.folder(spark)
     writers.summary_json(R.table(spark, sf, "events").agg(F.count("*").alias("n"), F.max("value").alias("top")), path)
     return tidy(spark.read.schema("n bigint, top double").json(path))
 
 
 @query("adapted_snia_parquet", "B5", f"WITH {S.SNIA} SELECT band, count(*) AS n, round(min(mjd), 6) + 0.0 AS first_mjd FROM sn GROUP BY band")
 def _(spark, sf):
-    path = scratch(spark)
+    path = staging.folder(spark)
     writers.adapted_snia(R.snia(spark, sf), path, {"mjd": "time_mjd", "sn_id": "event_id"})
     return tidy(spark.read.parquet(path).groupBy("band").agg(F.count("*").alias("n"), F.min("time_mjd").alias("first_mjd")))
 
 
 @query("commented_text_points", "A9 C16", f"WITH {S.LC} SELECT band, count(*) AS n, round(min(t_days) + 6031e1, 6) + 0.0 AS first_mjd FROM lc GROUP BY band")
 def _(spark, sf):
-    path = scratch(spark)
+    path = staging.folder(spark)
     ev = R.table(spark, sf, "events")
     lc = R.lightcurves(spark, sf).select("row_id", "band")
     text = ev.join(lc, ev["event_id"] == lc["row_id"]).select(F.explode(F.array(

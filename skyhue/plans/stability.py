@@ -10,6 +10,7 @@ from skyhue.operators.quantiles import infinity_quantile, nearest_sample
 from skyhue.plans import envelopes, roles as R, shared_sql as S
 from skyhue.plans.output import tidy
 from skyhue.plans.registry import query
+from skyhue.sources.staging import materialize
 
 G = R.GRID
 SEEDS = [1, 2, 3]
@@ -32,8 +33,9 @@ def population(spark, sf):
 
 
 def profile(spark, sf):
-    c = envelopes.colours(spark, sf).where("color IS NOT NULL")
-    return V.profiles(c, population(spark, sf), G, SEEDS, SIZES)
+    """Written once: every comparison reads the small profile table several times."""
+    c = envelopes.settled_colours(spark, sf)
+    return materialize(V.profiles(c, population(spark, sf), G, SEEDS, SIZES))
 
 
 @query("subset_memberships", "H12 F9 I4", f"WITH {MEMBERS} SELECT repetition, sample_size, count(*) AS n, sum(event_id)::BIGINT AS id_sum FROM mem WHERE sample_size <= 100 GROUP BY ALL")
@@ -56,8 +58,8 @@ ENVP = MEMBERS + """, eq AS (SELECT repetition, sample_size, bin_index, count(*)
 
 def envelope_profile(spark, sf):
     # one bin is emptied, so that the interval ends before the grid does
-    c = envelopes.colours(spark, sf).where("color IS NOT NULL AND bin_index <> 40")
-    return V.envelope_profiles(c, population(spark, sf), G, SEEDS, SIZES)
+    c = envelopes.settled_colours(spark, sf).where("bin_index <> 40")
+    return materialize(V.envelope_profiles(c, population(spark, sf), G, SEEDS, SIZES))
 
 
 @query("envelope_profiles", "L2 H4", f"WITH {ENVP} SELECT repetition, sample_size, bin_index, valid, status, N_available, {S.r6('color_min color_median color_max')} FROM envp")
@@ -222,7 +224,7 @@ def _(spark, sf):
  q AS (SELECT realization, population_size, bin_index, count(*) AS n, quantile_cont(color, 16e-2) AS p16, quantile_cont(color, 5e-1) AS p50, quantile_cont(color, 84e-2) AS p84 FROM rz JOIN szs ON event_id < population_size GROUP BY ALL)
  SELECT realization, population_size, bin_index, coalesce(n, 0) AS n_valid, round(coalesce(n, 0) / population_size, 6) + 0.0 AS valid_fraction, {S.r6('p16 p50 p84')}, coalesce(n, 0) > 0 AS envelope_valid FROM (SELECT DISTINCT realization FROM rz) CROSS JOIN szs CROSS JOIN grid LEFT JOIN q USING (realization, population_size, bin_index)""")
 def _(spark, sf):
-    c = envelopes.colours(spark, sf).where("color IS NOT NULL").join(R.objects(spark, sf).select("event_id", F.col("population").alias("realization")), "event_id")
+    c = envelopes.settled_colours(spark, sf).join(R.objects(spark, sf).select("event_id", F.col("population").alias("realization")), "event_id")
     return tidy(V.realizations(c, [50, 150, 100000000], G.frame(spark).select("bin_index"), ["realization"]))
 
 
