@@ -342,9 +342,10 @@ def pair_colours(
     islands = series.bracket(
         starts.drop("__p", "__cut"), [key], ["x"], "__start", series.chunk_by("x", chunk_width), "__island", "__unused"
     ).withColumn("island", F.col("__island.s")).drop("__island", "__unused", "__start")
-    sized = series.key_totals(
+    # written once: the folded and the crowded islands are two scans of it
+    sized = staging.materialize(series.key_totals(
         islands, [key, "island"], __a=F.count_if(F.col("band") == band1), __b=F.count_if(F.col("band") == band2)
-    ).where("__a > 0 AND __b > 0")
+    ).where("__a > 0 AND __b > 0"))
     fits = F.col("__a") * F.col("__b") <= island_edges
 
     def edge(p, q):

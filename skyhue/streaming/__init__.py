@@ -1,0 +1,5 @@
+"""No operator here is defined on a stream: every analysis is over complete tables.
+
+The row-wise ones (``columns``, ``selection.detect_or_limit``, ``grid.match_interval``, ``envelope.censor``) hold no state
+and take a streaming DataFrame as it is, with the rule or depth table as the static side.
+"""

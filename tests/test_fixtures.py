@@ -346,3 +346,38 @@ def test_partition_count_does_not_matter(spark):
         want = want or got
         assert got == want
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_row_wise_operators_take_a_stream(spark, tmp_path):
+    spark.createDataFrame([(1, "g", 24.0, 0.1), (2, "g", 26.0, 0.1)], "id int, band string, mag double, mag_err double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id int, band string, mag double, mag_err double").parquet(str(tmp_path / "in"))
+    q = selection.detect_or_limit(stream, {"g": 25.0}).writeStream.format("memory").queryName("alerts").start()
+    q.processAllAvailable()
+    q.stop()
+    assert rows(spark.table("alerts").select("id", "detected", "mag_err"), "id") == [(1, True, 0.1), (2, False, 25.0)]
+
+
+def test_files_round_trip(spark, tmp_path):
+    from skyhue.sources import readers, writers
+    lc = golden_curves(spark)
+    writers.population(lc, str(tmp_path / "pop"), 20)
+    back = readers.lightcurves(spark, str(tmp_path / "pop"), ["g"], ["lsst"], spark.createDataFrame([("3",), ("4",)], "event_id string"))
+    assert back.count() == 6
+    lc.drop("photometric_system").write.parquet(str(tmp_path / "bare"))
+    assert {r[0] for r in readers.lightcurves(spark, str(tmp_path / "bare")).select("photometric_system").distinct().collect()} == {"lsst"}
+    m = writers.population_manifest(readers.shards(spark, str(tmp_path / "pop")))
+    assert m.agg(F.sum("n_rows")).first()[0] == 72
+    for name in ("lightcurve_0007.csv", "lightcurve_LSSTlike_0007.csv"):
+        (tmp_path / name).write_text("t_days,band,mag\n0.5, G ,20.0\n1.0,r,bad\n")
+    got = rows(readers.lightcurve_csvs(spark, str(tmp_path / "*.csv")).select("event_id", "band", "mag"), "band")
+    assert got == [("7", "g", 20.0), ("7", "r", None)]
+    (tmp_path / "opsim_visits_field012.csv").write_text("mjd,filter,m5\n60000.0,LSSTr,24.0\n")
+    assert rows(readers.visit_csvs(spark, str(tmp_path / "opsim_visits_field*.csv"))) == [(12, 60000.0, "r", 24.0)]
+    (tmp_path / "points.txt").write_text("# date filter mag\n2017-08-18T00:00:00Z  g  18.5\n\n")
+    p = readers.commented_text(spark, str(tmp_path / "points.txt"), ["date", "band", "mag"]).select(C.utc_to_mjd("date"), "band")
+    assert rows(p) == [(57983.0, "g")]
+    with pytest.raises(ValueError, match="missing columns"):
+        readers.lightcurves(spark, str(tmp_path / "pop")).select("event_id").write.parquet(str(tmp_path / "bad"))
+        readers.lightcurves(spark, str(tmp_path / "bad"))
+    with pytest.raises(KeyError):
+        readers.require_event(lc, "99")
