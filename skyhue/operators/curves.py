@@ -229,7 +229,7 @@ def stagger_fit(
 
 def peaks(
     df: DataFrame, keys: list[str], t: str, mag: str, minimum_prominence: float = 0.05,
-    first_point_fallback: bool = False,
+    first_point_fallback: bool = False, array_points: int = 10_000, chunk_width: float = 1.0,
 ) -> DataFrame:
     """The most prominent interior brightness peak of each curve, one row per key.
 
@@ -238,10 +238,43 @@ def peaks(
     wins; a convex three-point parabola bracketed by its neighbours refines the time. Optionally the first point
     stands in when it is the brightest and no peak qualifies.
 
-    Runs of equal magnitude fold before anything is gathered, and only one small struct per run reaches the
-    per-curve array.
+    Curves of up to ``array_points`` times are scanned as one small array each. Longer ones are cut into chunks of
+    time of which only the outline reaches the curve's array (``_long_curve_peaks``); the result is the same.
     """
-    points = collapse(df, keys, t, mag).select(*keys, F.col(t).alias("x"), F.col(mag).alias("y"))
+    points = staging.materialize(collapse(df, keys, t, mag).select(*keys, F.col(t).alias("x"), F.col(mag).alias("y")))
+    long_keys = points.groupBy(*keys).count().where(F.col("count") > array_points).select(*keys)
+    if long_keys.isEmpty():
+        found = _short_curve_peaks(points, keys, minimum_prominence)
+    else:
+        short = points.join(long_keys, keys, "left_anti")
+        found = _short_curve_peaks(short, keys, minimum_prominence).unionByName(
+            _long_curve_peaks(points.join(long_keys, keys, "left_semi"), keys, minimum_prominence, chunk_width)
+        )
+    return _peak_table(found, keys, first_point_fallback)
+
+
+RUN_FIELDS = ("m_x", "m_xp", "m_yp", "m_xn", "m_yn")
+
+
+def _lowest_base(side: Column, height: Column) -> Column:
+    """Faintest magnitude met along ``side`` before something brighter than ``height``."""
+    start = F.struct(height.alias("m"), F.lit(False).alias("stop"))
+    done = F.aggregate(side, start, lambda acc, v: F.struct(
+        F.when(acc["stop"] | (v < height), acc["m"]).otherwise(F.greatest(acc["m"], v)).alias("m"),
+        (acc["stop"] | (v < height)).alias("stop"),
+    ))
+    return done["m"]
+
+
+def _candidate(p, climb: Column) -> Column:
+    """Sorts by prominence, brightness, time."""
+    return F.struct(
+        (-climb).alias("order1"), p["y"].alias("order2"), p["m_x"].alias("order3"), climb.alias("prominence"),
+        p["m_xp"].alias("xp"), p["m_yp"].alias("yp"), p["m_xn"].alias("xn"), p["m_yn"].alias("yn"),
+    )
+
+
+def _short_curve_peaks(points: DataFrame, keys: list[str], minimum_prominence: float) -> DataFrame:
     w = W.partitionBy(*keys).orderBy("x")
     rows = points.withColumns({
         "pos": F.row_number().over(w),
@@ -251,43 +284,101 @@ def peaks(
     middle = F.floor((F.min("pos").over(by_run) + F.max("pos").over(by_run)) / 2)
     runs = rows.withColumn("mid", middle).groupBy(*keys, "run").agg(
         F.first("y").alias("y"), F.count("*").alias("len"), F.min("x").alias("x0"),
-        *[F.max(F.when(F.col("pos") == F.col("mid"), F.col(c))).alias(f"m_{c}") for c in ("x", "xp", "yp", "xn", "yn")],
+        *[F.max(F.when(F.col("pos") == F.col("mid"), F.col(c[2:]))).alias(c) for c in RUN_FIELDS],
     )
     curve = runs.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("run", "y", "x0", "m_x", "m_xp", "m_yp", "m_xn", "m_yn"))).alias("r"),
+        F.array_sort(F.collect_list(F.struct("run", "y", "x0", *RUN_FIELDS))).alias("r"),
         F.sum("len").alias("n_points"), F.min("y").alias("y_min"),
     )
-    y = F.col("r.y")
-    n = F.size("r")
-
-    def base(side: Column, height: Column) -> Column:
-        start = F.struct(height.alias("m"), F.lit(False).alias("stop"))
-        done = F.aggregate(side, start, lambda acc, v: F.struct(
-            F.when(acc["stop"] | (v < height), acc["m"]).otherwise(F.greatest(acc["m"], v)).alias("m"),
-            (acc["stop"] | (v < height)).alias("stop"),
-        ))
-        return done["m"]
+    y, n = F.col("r.y"), F.size("r")
 
     def with_prominence(p):
-        left = F.reverse(F.slice(y, 1, p["run"] - 1))
-        right = F.slice(y, p["run"] + 1, n)
-        climb = F.least(base(left, p["y"]), base(right, p["y"])) - p["y"]
-        return F.struct(
-            (-climb).alias("order1"), p["y"].alias("order2"), p["m_x"].alias("order3"), climb.alias("prominence"),
-            p["m_xp"].alias("xp"), p["m_yp"].alias("yp"), p["m_xn"].alias("xn"), p["m_yn"].alias("yn"),
-        )
+        left, right = F.reverse(F.slice(y, 1, p["run"] - 1)), F.slice(y, p["run"] + 1, n)
+        return _candidate(p, F.least(_lowest_base(left, p["y"]), _lowest_base(right, p["y"])) - p["y"])
 
     interior = F.filter(F.col("r"), lambda p: (p["run"] > 1) & (p["run"] < n) & (
         (F.element_at(y, F.greatest(p["run"].cast("int") - 1, F.lit(1))) > p["y"])
         & (F.element_at(y, F.least(p["run"].cast("int") + 1, n)) > p["y"])
     ))
     curve = curve.withColumn("cand", F.transform(interior, with_prominence))
-    best = F.array_min(F.filter("cand", lambda p: p["prominence"] >= minimum_prominence))
-    curve = curve.select(
-        *keys, "n_points", F.size("cand").alias("n_interior"), best.alias("b"),
-        F.element_at("r", 1)["x0"].alias("x_first"), F.element_at("r", 1)["y"].alias("y_first"),
-        (F.abs(F.element_at("r", 1)["y"] - F.col("y_min")) <= F.lit(1e-12) + F.lit(1e-5) * F.abs("y_min")).alias("first_point_is_brightest"),
+    return curve.select(
+        *keys, "n_points", F.size("cand").cast("bigint").alias("n_interior"),
+        F.array_min(F.filter("cand", lambda p: p["prominence"] >= minimum_prominence)).alias("b"),
+        F.element_at("r", 1)["x0"].alias("x_first"), F.element_at("r", 1)["y"].alias("y_first"), "y_min",
+    )
+
+
+def _long_curve_peaks(points: DataFrame, keys: list[str], minimum_prominence: float, chunk_width: float) -> DataFrame:
+    """The same, with no array longer than a chunk or the outline of a curve.
+
+    Seen from outside a chunk, only its records matter: points that nothing in the chunk outshines to their left or
+    to their right, and the faintest magnitude between them. A peak that is no record has something brighter on
+    both sides within the chunk, so its prominence is settled there.
+    """
+    chunk = lambda c: series.chunk_by(c, chunk_width)
+    d = series.neighbours(points, keys, ["x"], ["x", "y"], chunk("x"), "p", "f")
+    d = d.withColumn("s", F.when(F.col("p").isNull() | (F.col("p.y") != F.col("y")), F.struct(F.col("x").alias("run"))))
+    d = series.bracket(d, keys, ["x"], "s", chunk("x"), "at", "unused").withColumn("run", F.col("at.run"))
+    d = series.row_numbers(d.drop("s", "at", "unused"), keys, ["x"], chunk("x"), "pos")
+    d = series.key_totals(d, [*keys, "run"], lo=F.min("pos"), hi=F.max("pos"))
+    runs = d.where(F.col("pos") == F.floor((F.col("lo") + F.col("hi")) / 2)).select(
+        *keys, "run", "y", (F.col("hi") - F.col("lo") + 1).alias("len"), F.col("x").alias("m_x"),
+        F.col("p.x").alias("m_xp"), F.col("p.y").alias("m_yp"), F.col("f.x").alias("m_xn"), F.col("f.y").alias("m_yn"),
+    )
+    runs = series.neighbours(runs, keys, ["run"], ["run", "y"], chunk("run"), "p", "f")
+    before, after, y = F.col("p.y"), F.col("f.y"), F.col("y")
+    runs = staging.materialize(runs.withColumn("is_peak", F.coalesce((before > y) & (after > y), F.lit(False))))
+    totals = runs.groupBy(*keys).agg(
+        F.sum("len").alias("n_points"), F.count_if("is_peak").alias("n_interior"),
+        F.min("run").alias("x_first"), F.min_by("y", "run").alias("y_first"), F.min("y").alias("y_min"),
+    )
+    extreme = before.isNull() | after.isNull() | F.col("is_peak") | ((before < y) & (after < y))
+    fields = ("run", "y", "is_peak", *RUN_FIELDS)
+
+    parts = runs.where(extreme).groupBy(*keys, chunk("run").alias("c")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("r"))
+    n = F.size("r")
+
+    def outlook(e, i):
+        left, right = F.slice(F.col("r.y"), F.lit(1), i), F.slice(F.col("r.y"), i + 2, n)
+        climb = F.least(_lowest_base(F.reverse(left), e["y"]), _lowest_base(right, e["y"])) - e["y"]
+        brighter = lambda side: F.exists(side, lambda v: v < e["y"])
+        return F.struct(*[e[f].alias(f) for f in fields], brighter(left).alias("hl"), brighter(right).alias("hr"), climb.alias("climb"))
+
+    e = parts.select(*keys, "c", F.explode(F.transform("r", outlook)).alias("e")).select(*keys, "c", "e.*")
+    settled = F.col("is_peak") & F.col("hl") & F.col("hr") & (F.col("climb") >= minimum_prominence)
+    here = {f: F.col(f) for f in fields}
+    local = e.where(settled).select(*keys, _candidate(here, F.col("climb")).alias("b"))
+
+    kept = ~(F.col("hl") & F.col("hr"))
+    e = e.withColumn("kept", kept).withColumn("k", F.sum(F.col("kept").cast("int")).over(W.partitionBy(*keys, "c").orderBy("run")))
+    outline = e.groupBy(*keys, "c", "k").agg(
+        F.max(F.when(F.col("kept"), F.struct(*fields))).alias("o"), F.max(F.when(~F.col("kept"), F.col("y"))).alias("gap")
     )
+    curve = outline.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("o.*", "gap"))).alias("r"))
+
+    def climb_from(o, i):
+        def step(valley_first):
+            def f(acc, v):
+                m = F.greatest(acc["m"], v["gap"]) if valley_first else acc["m"]
+                stop = v["y"] < o["y"]
+                past = F.greatest(m, v["y"]) if valley_first else F.greatest(m, v["y"], v["gap"])
+                return F.struct(
+                    F.when(acc["stop"], acc["m"]).when(stop, m).otherwise(past).alias("m"), (acc["stop"] | stop).alias("stop"))
+            return f
+        start = lambda m: F.struct(m.alias("m"), F.lit(False).alias("stop"))
+        left = F.aggregate(F.reverse(F.slice("r", F.lit(1), i)), start(o["y"]), step(True))["m"]
+        right = F.aggregate(F.slice("r", i + 2, n), start(F.greatest(o["y"], o["gap"])), step(False))["m"]
+        return F.least(left, right) - o["y"]
+
+    ends = F.transform("r", lambda o, i: F.when(o["is_peak"], _candidate(o, climb_from(o, i))))
+    outer = curve.select(*keys, F.explode(ends).alias("b")).where(F.col("b").isNotNull() & (F.col("b.prominence") >= minimum_prominence))
+    best = local.unionByName(outer).groupBy(*keys).agg(F.min("b").alias("b"))
+    return totals.join(best, keys, "left").select(*keys, "n_points", "n_interior", "b", "x_first", "y_first", "y_min")
+
+
+def _peak_table(found_peaks: DataFrame, keys: list[str], first_point_fallback: bool) -> DataFrame:
+    bright = F.abs(F.col("y_first") - F.col("y_min")) <= F.lit(1e-12) + F.lit(1e-5) * F.abs("y_min")
+    curve = found_peaks.withColumn("first_point_is_brightest", bright)
     # Parabola through three points, about the sample itself.
     b = F.col("b")
     u0, u2 = b["xp"] - b["order3"], b["xn"] - b["order3"]

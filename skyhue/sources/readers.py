@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from skyhue.functions import columns as C
 from skyhue.functions.checks import require_columns
@@ -88,11 +88,18 @@ def with_field_metadata(visit_rows: DataFrame, fields: DataFrame, wanted: dict[s
 def depth_table(df: DataFrame, percentile: float, scope: str | None = None) -> DataFrame:
     """band, m5 at a percentile from a long (quantile, m5), wide (m5_p50, p50, m5_q50) or legacy (m5_median) table."""
     d = df.withColumn("band", C.norm_text("band"))
-    if "threshold_scope" in d.columns:
-        d = d.where(F.col("threshold_scope") == (scope or "common_global"))
-    if "threshold_latitude_group" in d.columns:
-        group = "high" if scope == "latitude_conditioned" else "both"
-        d = d.where(F.col("threshold_latitude_group") == group)
+    wanted = {
+        "threshold_scope": scope or "common_global",
+        "threshold_latitude_group": "high" if scope not in (None, "common_global") else "both",
+    }
+    for name, value in wanted.items():
+        if name not in d.columns:
+            continue
+        hit = F.col(name) == value
+        if scope is None:  # without a scope the global rows are preferred, if the table (a few dozen rows) has any
+            d = d.withColumn("__any", F.max(hit).over(W.partitionBy(F.lit(0)))).where(hit | ~F.col("__any")).drop("__any")
+        else:
+            d = d.where(hit)
     if {"quantile", "m5"} <= set(d.columns):
         return d.where(F.abs(C.percent(C.to_double("quantile")) - percentile) <= 1e-9).select("band", C.to_double("m5").alias("m5"))
     label = f"{percentile:g}"

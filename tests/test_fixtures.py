@@ -111,6 +111,24 @@ def test_peaks(spark, values, fallback, status, low, high):
         assert low - 1e-9 <= r["peak_time"] <= high + 1e-9
 
 
+def test_long_curves_equal_short_ones(spark):
+    import random
+    rng = random.Random(9)
+    data = []
+    for e in range(40):
+        # few distinct values give flat tops and equal peaks, many give long outlines
+        levels = (3, 8, 1000)[e % 3]
+        drift = (0.0, 0.3, -0.3)[e // 3 % 3]
+        for i in range(rng.randint(1, 60)):
+            data.append((e, round(i * 0.37, 3), float(rng.randint(0, levels)) + drift * i))
+    d = spark.createDataFrame(data, "event_id int, t double, m double")
+    want = rows(curves.peaks(d, ["event_id"], "t", "m", 0.05, True), "event_id")
+    for limit, width in ((0, 3.0), (20, 1.0), (0, 0.4)):
+        got = rows(curves.peaks(d, ["event_id"], "t", "m", 0.05, True, array_points=limit, chunk_width=width), "event_id")
+        for a, b in zip(got, want, strict=True):
+            assert a == b, (limit, width, a, b)
+
+
 @pytest.mark.parametrize("limit", [0, 10_000])
 def test_greedy_pairs(spark, limit):
     import random
@@ -371,8 +389,8 @@ def test_files_round_trip(spark, tmp_path):
         (tmp_path / name).write_text("t_days,band,mag\n0.5, G ,20.0\n1.0,r,bad\n")
     got = rows(readers.lightcurve_csvs(spark, str(tmp_path / "*.csv")).select("event_id", "band", "mag"), "band")
     assert got == [("7", "g", 20.0), ("7", "r", None)]
-    (tmp_path / "opsim_visits_field012.csv").write_text("mjd,filter,m5\n60000.0,LSSTr,24.0\n")
-    assert rows(readers.visit_csvs(spark, str(tmp_path / "opsim_visits_field*.csv"))) == [(12, 60000.0, "r", 24.0)]
+    (tmp_path / "visits_field012.csv").write_text("mjd,filter,m5\n60000.0,LSSTr,24.0\n")
+    assert rows(readers.visit_csvs(spark, str(tmp_path / "visits_field*.csv"))) == [(12, 60000.0, "r", 24.0)]
     (tmp_path / "points.txt").write_text("# date filter mag\n2017-08-18T00:00:00Z  g  18.5\n\n")
     p = readers.commented_text(spark, str(tmp_path / "points.txt"), ["date", "band", "mag"]).select(C.utc_to_mjd("date"), "band")
     assert rows(p) == [(57983.0, "g")]
