@@ -13,9 +13,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SKETCH_ACCURACY = 10_000
@@ -39,84 +36,65 @@ def exact_quantiles(
 
 
 def _select(src, keys, percents, n_name, q_name, accuracy, max_groups, inverse=False):
+    """Expressions are SQL text here: they repeat per percentile, and one text costs one call to the JVM."""
     keys = list(keys)
     probs = sorted(set(p / 100.0 for p in percents))
     m = len(probs)
     eps = 3.0 / accuracy
-    ends = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
+    number = lambda v: f"double('{v!r}')"
+    ends = ", ".join(number(e) for e in [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs])
     sketch = src.groupBy(*keys).agg(
-        F.count("*").alias("__n"),
-        F.percentile_approx("__v", F.array(*[F.lit(e) for e in ends]), accuracy).alias("__e"),
+        F.count("*").alias("__n"), F.expr(f"percentile_approx(__v, array({ends}), {accuracy})").alias("__e")
     )
-    inf = float("inf")
-    small = F.col("__n") <= accuracy
     # a small group is kept whole; the outermost brackets are open
-    lows = [F.when(small, F.lit(-inf)).otherwise(F.lit(-inf) if probs[j] - eps <= 0 else F.col("__e")[j]) for j in range(m)]
-    highs = [F.when(small, F.lit(inf)).otherwise(F.lit(inf) if probs[j] + eps >= 1 else F.col("__e")[m + j]) for j in range(m)]
-    brackets = sketch.select(*keys, "__n", F.array(*lows).alias("__lo"), F.array(*highs).alias("__hi"))
+    minus, plus = "double('-Infinity')", "double('Infinity')"
+    lows = ", ".join(minus if p - eps <= 0 else f"if(__n <= {accuracy}, {minus}, __e[{j}])" for j, p in enumerate(probs))
+    highs = ", ".join(plus if p + eps >= 1 else f"if(__n <= {accuracy}, {plus}, __e[{m + j}])" for j, p in enumerate(probs))
+    brackets = sketch.select(*keys, "__n", F.expr(f"array({lows})").alias("__lo"), F.expr(f"array({highs})").alias("__hi"))
     if max_groups is not None:
         # the number of groups is checked inside the query, so the broadcast below has a proven bound
         groups = F.count("*").over(W.partitionBy(F.lit(0)))
         brackets = F.broadcast(brackets.withColumn("__g", groups).where(
-            F.when(F.col("__g") <= max_groups, F.lit(True)).otherwise(F.raise_error(F.lit("more groups than max_groups")).cast("boolean"))
+            f"if(__g <= {int(max_groups)}, true, cast(raise_error('more groups than max_groups') AS boolean))"
         ).drop("__g"))
 
     joined = src.join(brackets, keys) if keys else src.crossJoin(brackets)
-    x = F.col("__v")
     if m <= UNROLLED:
-        kept, region = F.lit(False), F.lit(0)
-        for j in range(m):
-            lo, hi = F.col("__lo")[j], F.col("__hi")[j]
-            kept = kept | ((x >= lo) & (x <= hi))
-            region = region + (x > lo).cast("int") + (x > hi).cast("int")
+        kept = " OR ".join(f"(__v >= __lo[{j}] AND __v <= __hi[{j}])" for j in range(m))
+        region = " + ".join(f"cast(__v > __lo[{j}] AS int) + cast(__v > __hi[{j}] AS int)" for j in range(m))
     else:  # generated code for so many comparisons would outgrow a method
-        below = lambda ends: F.size(F.filter(ends, lambda e: e < x))
-        kept = F.size(F.filter("__lo", lambda e: e <= x)) > below("__hi")
-        region = below("__lo") + below("__hi")
+        below = "size(filter({0}, e -> e < __v))"
+        kept = f"size(filter(__lo, e -> e <= __v)) > {below.format('__hi')}"
+        region = f"{below.format('__lo')} + {below.format('__hi')}"
     # rows outside every bracket fold to one counted row per region; the kept few are ordered per group
-    counted = joined.select(*keys, "__n", region.alias("__r"), F.when(kept, x).alias("__x")).groupBy(
-        *keys, "__n", "__r", "__x"
-    ).agg(F.count("*").alias("__c"))
+    counted = joined.select(
+        *keys, "__n", F.expr(region).alias("__r"), F.expr(f"CASE WHEN {kept} THEN __v END").alias("__x")
+    ).groupBy(*keys, "__n", "__r", "__x").agg(F.count("*").alias("__c"))
     in_order = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("__r", F.col("__x").asc_nulls_first())
     ranked = (
         counted.withColumn("__end", F.sum("__c").over(in_order.rowsBetween(W.unboundedPreceding, 0)))
-        .where("__x IS NOT NULL").withColumn("__start", F.col("__end") - F.col("__c"))
+        .where("__x IS NOT NULL").withColumn("__start", F.expr("__end - __c"))
     )
 
-    n = F.col("__n")
-
-    def position(p: Column) -> Column:
-        if inverse:
-            return F.greatest(F.lit(0.0), F.ceil(p * 100.0 * n / F.lit(100.0)).cast("double") - 1)
-        return p * (n - 1)
-
+    # position of a quantile among the sorted values, and the first and last order statistic it needs
+    position = lambda p: f"greatest(double(0), double(ceil({p} * 100.0D * __n / 100.0D)) - 1)" if inverse else f"({p} * (__n - 1))"
+    first = lambda p: f"floor({position(p)})"
+    last = lambda p: first(p) if inverse else f"least({first(p)} + 1, __n - 1)"
+    covers = lambda p: f"(__start <= {last(p)} AND {first(p)} < __end)"
+    wanted = f"array({', '.join(number(p) for p in probs)})"
     # most counted values cover no wanted order statistic; drop them first, in generated code where the test is short
-    def covers(p: Column) -> Column:
-        k = F.floor(position(p))
-        return (F.col("__start") <= (k if inverse else F.least(k + 1, n - 1))) & (k < F.col("__end"))
-
-    wanted = F.array(*[F.lit(p) for p in probs])
-    ranked = ranked.where(reduce(or_, [covers(F.lit(p)) for p in probs]) if m <= UNROLLED else F.exists(wanted, covers))
+    ranked = ranked.where(" OR ".join(covers(number(p)) for p in probs) if m <= UNROLLED else f"exists({wanted}, p -> {covers('p')})")
     # which of them a counted value covers: id 2j and 2j + 1 are the neighbours of position j
-    ids = F.flatten(F.transform(wanted, lambda p, j: F.array(
-        F.struct((2 * j).alias("id"), F.floor(position(p)).alias("k")),
-        F.struct((2 * j + 1).alias("id"), F.least(F.floor(position(p)) + 1, n - 1).alias("k")),
-    )))
-    hits = ranked.select(*keys, "__n", "__x", F.explode(
-        F.filter(ids, lambda w: (w["k"] >= F.col("__start")) & (w["k"] < F.col("__end")))
-    ).alias("w"))
-    got = hits.groupBy(*keys, "__n").agg(F.map_from_entries(F.collect_list(F.struct("w.id", "__x"))).alias("__m"))
-    at = lambda i: F.coalesce(
-        F.try_element_at("__m", i.cast("int")), F.raise_error(F.lit("order statistic outside its bracket")).cast("double")
-    )
-
-    def value(p: Column, j: Column) -> Column:
-        a, b, h = at(2 * j), at(2 * j + 1), position(p)
-        return a if inverse else F.when(a == b, a).otherwise(a + (b - a) * (h - F.floor(h)))
-
-    order = F.array(*[F.struct(F.lit(p / 100.0).alias("p"), F.lit(probs.index(p / 100.0)).alias("j")) for p in percents])
-    values = F.transform(order, lambda o: value(o["p"], o["j"]))
-    return got.select(*keys, n.alias(n_name), values.alias(q_name))
+    ids = f"""flatten(transform({wanted}, (p, j) -> array(
+        named_struct('id', 2 * j, 'k', {first('p')}), named_struct('id', 2 * j + 1, 'k', {last('p')}))))"""
+    hits = ranked.select(*keys, "__n", "__x", F.expr(f"explode(filter({ids}, w -> w.k >= __start AND w.k < __end))").alias("__w"))
+    got = hits.groupBy(*keys, "__n").agg(F.expr("map_from_entries(collect_list(struct(__w.id, __x)))").alias("__m"))
+    missing = "cast(raise_error('order statistic outside its bracket') AS double)"
+    at = lambda i: f"coalesce(try_element_at(__m, {i}), {missing})"
+    between = f"{at('2 * o.j')} + ({at('2 * o.j + 1')} - {at('2 * o.j')}) * ({position('o.p')} - {first('o.p')})"
+    value = at("2 * o.j") if inverse else f"if({at('2 * o.j')} = {at('2 * o.j + 1')}, {at('2 * o.j')}, {between})"
+    order = ", ".join(f"named_struct('p', {number(p / 100.0)}, 'j', {probs.index(p / 100.0)})" for p in percents)
+    return got.select(*keys, F.col("__n").alias(n_name), F.expr(f"transform(array({order}), o -> {value})").alias(q_name))
 
 
 def nearest_rank(
