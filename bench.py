@@ -13,18 +13,16 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
-    "population_colours", "envelope_rules", "envelope_availability", "percentile_diagnostics", "permanent_exits",
-    "population_overlap", "rule_evaluation", "limit_state_counts", "identification_intervals", "peak_search", "greedy_colour_pairs",
-    "interpolate_at_visits", "multi_percentile_profiles", "loss_metrics", "latitude_cut_scan", "parameter_cell_grid",
-    "smoothed_parameter_grid", "depth_quantile_table", "cone_search_visits", "revisit_gaps", "snia_broker_export", "model_broker_export",
-    "efficiency_summary",
+    "population_colours", "envelope_rules", "permanent_exits", "population_overlap", "peak_search", "greedy_colour_pairs",
+    "interpolate_at_visits", "multi_percentile_profiles", "latitude_cut_scan", "smoothed_parameter_grid", "depth_quantile_table",
+    "cone_search_visits", "snia_broker_export", "efficiency_summary",
 )
 
 
 def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     wanted = os.environ.get("BENCH_QUERIES")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
