@@ -33,7 +33,9 @@ def test_query(spark, engine, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from skyhue.plans import catalog
+
+    assert set(catalog.QUERIES) == set(catalog.SQL)
 
 
 def test_entry(spark):
