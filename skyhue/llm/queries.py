@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyhue.llm import minhash
+from skyhue.llm import line_quality, minhash, mixing
 from skyhue.llm.sql import SQL
 from skyhue.llm.tables import table
 
@@ -19,6 +19,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document, and whether the base rules and the lines it shares with its source's others keep it."""
+    found = line_quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_lines", "removed_words", "kept")
+
+
 @query
 def op6_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked documents and their components, on sets of three-word shingles."""
@@ -26,4 +33,11 @@ def op6_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources takes of each document."""
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 __all__ = ["QUERIES", "SQL"]

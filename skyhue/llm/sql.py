@@ -5,6 +5,33 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL: dict[str, str] = {}
 
+#: Lines of a text in lower case, words joined by one blank.
+_LINES = r"[trim(regexp_replace(l, '[\x20\x09\x0B-\x0D]+', ' ', 'g')) for l in string_split(lower(t), chr(10))]"
+
+SQL["op1_line_quality"] = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, text, source, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+), win AS (SELECT r, unnest([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) AS g, unnest(range(1, len(w) - 3)) AS i FROM d),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, sum(least(5, coalesce(following - i, 5))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS following FROM twice) GROUP BY r),
+l AS (SELECT r, source, text, unnest({_LINES}) AS line FROM d),
+total AS (SELECT source, count(DISTINCT coalesce('t' || text, 'n')) AS texts FROM d GROUP BY source),
+often AS (
+  SELECT l.source, line FROM l JOIN total ON l.source IS NOT DISTINCT FROM total.source WHERE line <> ''
+  GROUP BY l.source, line, texts HAVING count(DISTINCT text) >= 10 AND count(DISTINCT text) >= 0.05 * texts
+), gone AS (
+  SELECT r, count(*) AS lines, sum(len(string_split(l.line, ' '))) AS words FROM l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.line = o.line GROUP BY r
+), m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len([x for x in string_split(t, chr(10)) if regexp_matches(x, '{WORD}')]) - len(list_distinct([x for x in string_split(t, chr(10)) if regexp_matches(x, '{WORD}')])) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.lines, 0) AS BIGINT) AS removed_lines, CAST(coalesce(gone.words, 0) AS BIGINT) AS removed_words
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, removed_lines, removed_words,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (removed_words > 0.6 * n_words) AS kept FROM m
+"""
+
 SQL["op6_minhash_near_copies"] = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents
@@ -19,3 +46,28 @@ links AS (
 c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
 """
+
+SQL["op8_source_mix"] = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5('11:' || coalesce(CAST(doc_id AS VARCHAR), 'none')) AS place FROM documents),
+per AS (
+  SELECT source, source_size, 2 * source_size AS lim, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)
+), sorted AS (
+  SELECT *, sum(lim) OVER w AS lims, sum(weight) OVER w AS weights, sum(source_size) OVER () AS whole, sum(weight) OVER () AS all_weights FROM per
+  WINDOW w AS (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT min_by((1.5 * whole - coalesce(lims, 0)) / (all_weights - coalesce(weights, 0)), lim / weight) AS v FROM sorted
+  WHERE (1.5 * whole - coalesce(lims, 0)) / (all_weights - coalesce(weights, 0)) * weight <= lim
+), t AS (
+  SELECT source, source_size, least(CAST(lim AS DOUBLE), CAST(v AS DOUBLE) * weight) AS target FROM per, level
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS n FROM t
+), g AS (
+  SELECT d.source, d.place, d.size, count(*) AS k, CAST(floor(e.target) AS BIGINT) - e.n * e.source_size AS extra FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source GROUP BY ALL
+), c AS (
+  SELECT *, sum(size * k) OVER (PARTITION BY source ORDER BY place, size) - size * k AS before FROM g
+)
+SELECT doc_id, d.size, e.source_size, e.target,
+  CAST(e.n * d.size + CASE WHEN c.before + c.size * c.k <= c.extra THEN d.size WHEN c.before < c.extra THEN floor((c.extra - c.before) / c.k) ELSE 0 END AS BIGINT) AS taken
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.place = c.place AND d.size = c.size
+"""
