@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from skyhue.llm import line_quality, minhash, mixing
+from skyhue.llm import bpe, line_quality, minhash, mixing
 from skyhue.llm.sql import SQL
 from skyhue.llm.tables import table
 
@@ -26,6 +25,15 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_lines", "removed_words", "kept")
 
 
+@query
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the bytes that decoding them gives, as digests."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, add=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 @query
 def op6_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked documents and their components, on sets of three-word shingles."""
