@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from skyhue.llm.tables import ship
+
 #: Characters of a text and bytes of a piece that are encoded without halving, and tokens decoded at once.
 LEAF, SHORT, RUN = 1 << 14, 6, 1 << 16
 #: Last pieces of a part that may change with what follows.
@@ -202,6 +204,7 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, text: str = "text", add:
     pattern is encoded by itself, without special tokens. Null texts count as empty: no tokens, digests of no bytes. Columns of docs that bear the
     name of an added one are replaced; others stay, and so do repeated rows. Texts of any length are encoded whole.
     """
+    ship(docs.sparkSession)
     with open(ranks, "rb") as f:
         raw = f.read()
     rest = [c for c in docs.columns if c != text and c not in add]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from skyhue.llm import arrow_text as A
 from skyhue.llm.components import components
-from skyhue.llm.tables import staged, text_key
+from skyhue.llm.tables import ship, staged, text_key
 
 BANDS, ROWS, BITS = 32, 4, 2
 MINIMA = BANDS * ROWS
@@ -289,6 +289,7 @@ def _exact(families: DataFrame, roots: DataFrame, sig: DataFrame, sets: DataFram
 
 def classes_and_links(docs: DataFrame, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Table of rows (the columns but the text, tk, cls, n_shingles) and of linked classes (node, root)."""
+    ship(docs.sparkSession)
     rows = staged(sketch(docs.withColumn("tk", text_key(text)), text, size))
     classes = staged(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min("tk").alias("tk")))
     buckets = classes.select("cls", F.explode("bands").alias("bucket"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyhue.llm import bpe, line_quality, minhash, mixing
+from skyhue.llm import bpe, line_quality, minhash, mixing, repeats
 from skyhue.llm.sql import SQL
 from skyhue.llm.tables import table
 
@@ -25,6 +25,13 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_lines", "removed_words", "kept")
 
 
+@query
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated strings of 400 bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.without_repeats(docs, add=("n_bytes", "n_removed", "n_spans", "kept_sha256"), span=400)
+
+
 @query
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the bytes that decoding them gives, as digests."""
