@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skyhue.llm import bpe, line_quality, minhash, mixing, repeats
+from skyhue.llm import bpe, language, line_quality, minhash, mixing, repeats, toxicity
 from skyhue.llm.sql import SQL
 from skyhue.llm.tables import table
 
@@ -55,4 +56,20 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the toxicity categories of every document, and whether it is toxic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op10_language_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by profiles of the languages of those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"), 4)
+    known = language.profiles(docs.where(~out), "text", "lang")
+    return language.predicted(docs.select("doc_id", out.alias("held_out"), "text"), known)
+
+
 __all__ = ["QUERIES", "SQL"]
