@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyhue.llm import bpe, language, line_quality, minhash, mixing, repeats, toxicity
+from skyhue.llm import bpe, language, line_quality, minhash, mixing, repeats, toxicity, warc
 from skyhue.llm.sql import SQL
 from skyhue.llm.tables import table
 
@@ -49,6 +49,12 @@ def op6_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query
+def op7_zstandard_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read back from archives of all pages."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of the sources takes of each document."""

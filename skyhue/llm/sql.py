@@ -47,6 +47,13 @@ c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
 """
 
+SQL["op7_zstandard_archives"] = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+g AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS least FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN least = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN least <> page_id THEN least END AS refers_to FROM g
+"""
+
 SQL["op8_source_mix"] = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5('11:' || coalesce(CAST(doc_id AS VARCHAR), 'none')) AS place FROM documents),
 per AS (
