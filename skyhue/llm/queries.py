@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyhue.llm import bpe, language, line_quality, minhash, mixing, repeats, toxicity, warc
+from skyhue.llm import bpe, curves_ann, language, line_quality, minhash, mixing, repeats, toxicity, warc
 from skyhue.llm.sql import SQL
 from skyhue.llm.tables import table
 
@@ -33,6 +33,12 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(docs, add=("n_bytes", "n_removed", "n_spans", "kept_sha256"), span=400)
 
 
+@query
+def op3_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return curves_ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the bytes that decoding them gives, as digests."""
