@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyhue.llm import bpe, curves_ann, language, line_quality, minhash, mixing, repeats, toxicity, warc
+from skyhue.llm import bpe, context_mixing, curves_ann, language, line_quality, minhash, mixing, repeats, toxicity, warc
 from skyhue.llm.sql import SQL
 from skyhue.llm.tables import table
 
@@ -39,6 +39,13 @@ def op3_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves_ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of those that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return context_mixing.scored(docs, language.held_out(F.col("doc_id"), 7))
+
+
 @query
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the bytes that decoding them gives, as digests."""
