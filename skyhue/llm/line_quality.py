@@ -91,3 +91,11 @@ def quality(
         F.col("__q_gone").alias("removed_lines"), F.col("__q_words").alias("removed_words"), clean.alias("clean_text"),
         (~failed & ~(F.col("__q_words") > most_removed * F.col("__q_m.n_words"))).alias("kept"),
     )
+
+
+def passed(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """Rows that `quality` keeps, with clean_text as their text and the columns of docs alone."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no clash with names of measures
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    kept = quality(plain, at[text], at[host]).where("kept")
+    return kept.select(*(F.col("clean_text" if c == text else at[c]).alias(c) for c in docs.columns))

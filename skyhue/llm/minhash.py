@@ -329,3 +329,23 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle
     own = F.col("cls").isNull()
     component = F.when(own, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id), "n_shingles", "tk", "root", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component of `near_copies`, with the columns of docs: that with the smallest id (null last).
+
+    Of rows that repeat that id, the one with the smallest text, by its hash, stays; of rows that agree in both, one. Texts without words: one row for each null
+    or wordless text and id.
+    """
+    found = near_copies(docs, id, text, shingle, percent)
+    group = F.when(F.col("root").isNull(), F.struct(F.col(id).cast("string").alias("id"), F.lit(None).cast("binary").alias("root"))).otherwise(F.struct(F.lit(None).cast("string").alias("id"), F.col("root")))
+    best = found.groupBy(group.alias("group"), F.when(F.col("root").isNull(), F.col("tk")).alias("own")).agg(F.min(F.struct(F.col(id).isNull(), F.col(id), "tk")).alias("best"))
+    chosen = best.select(F.col(f"best.{id}").alias("__id"), F.col("best.tk").alias("__tk"))
+    rows = docs.withColumn("__key", text_key(text))
+    rows = rows.join(chosen, F.col(f"`{id}`").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__tk")), "left_semi")
+    # rows that agree in id and text are rare, and only they are put together
+    times = found.where("kept").groupBy(F.col(id).alias("__id"), F.col("tk").alias("__tk")).agg(F.count("*").alias("n")).where("n > 1")
+    same = F.col(f"`{id}`").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__tk"))
+    single = rows.join(times, same, "left_anti")
+    several = rows.join(times, same, "left_semi").dropDuplicates([id, "__key"])
+    return single.unionByName(several).drop("__key")

@@ -87,10 +87,14 @@ def mix(
     return out.select(*(F.col(f"`{c}`") for c in keep), "size", F.col("__m_source_size").alias("source_size"), F.col("__m_target").alias("target"), (F.col("__m_whole") * F.col("size") + more).cast("long").alias("taken"))
 
 
-def repeated(mixed: DataFrame, docs_columns: list[str], text: str = "text") -> DataFrame:
-    """The mix itself: every document as often as taken says; the last time with only as many words as are left, joined by one blank."""
+def repeated(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The mix itself, with the columns of docs: every row as often as `mix` takes it whole; where it takes a part, once more with the text's first words, joined
+    by one blank. Rows of which nothing is taken, such as texts without words, go."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    mixed = mix(plain, at[how.pop("id", "doc_id")], at[text], at[how.pop("source", "source")], **how)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     left = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
-    part = F.when(left > 0, F.array(F.array_join(F.slice(words(text), 1, F.greatest(left, F.lit(1))), " "))).otherwise(F.array().cast("array<string>"))
-    texts = F.concat(F.array_repeat(F.col(text), whole), part)
-    return mixed.withColumn("__m_text", F.explode(texts)).select(*(F.col("__m_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs_columns))
+    part = F.when(left > 0, F.array(F.array_join(F.slice(words(at[text]), 1, F.greatest(left, F.lit(1))), " "))).otherwise(F.array().cast("array<string>"))
+    mixed = mixed.withColumn("__text", F.explode(F.concat(F.array_repeat(F.col(at[text]), whole), part)))
+    return mixed.select(*(F.col("__text" if c == text else at[c]).alias(c) for c in docs.columns))
