@@ -337,15 +337,19 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     Of rows that repeat that id, the one with the smallest text, by its hash, stays; of rows that agree in both, one. Texts without words: one row for each null
     or wordless text and id.
     """
+    names = docs.columns
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))  # no clash with names used here
+    id, text = f"c{names.index(id)}", f"c{names.index(text)}"
     found = near_copies(docs, id, text, shingle, percent)
-    group = F.when(F.col("root").isNull(), F.struct(F.col(id).cast("string").alias("id"), F.lit(None).cast("binary").alias("root"))).otherwise(F.struct(F.lit(None).cast("string").alias("id"), F.col("root")))
-    best = found.groupBy(group.alias("group"), F.when(F.col("root").isNull(), F.col("tk")).alias("own")).agg(F.min(F.struct(F.col(id).isNull(), F.col(id), "tk")).alias("best"))
-    chosen = best.select(F.col(f"best.{id}").alias("__id"), F.col("best.tk").alias("__tk"))
+    alone = F.col("root").isNull()
+    best = found.groupBy("root", F.when(alone, F.col(id).cast("string")).alias("own"), F.when(alone, F.col("tk")).alias("text"))
+    best = best.agg(F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), "tk")).alias("best"))
+    chosen = best.select(F.col("best.id").alias("__id"), F.col("best.tk").alias("__tk"))
     rows = docs.withColumn("__key", text_key(text))
-    rows = rows.join(chosen, F.col(f"`{id}`").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__tk")), "left_semi")
+    same = F.col(id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__tk"))
+    rows = rows.join(chosen, same, "left_semi")
     # rows that agree in id and text are rare, and only they are put together
-    times = found.where("kept").groupBy(F.col(id).alias("__id"), F.col("tk").alias("__tk")).agg(F.count("*").alias("n")).where("n > 1")
-    same = F.col(f"`{id}`").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__tk"))
+    times = found.groupBy(F.col(id).alias("__id"), F.col("tk").alias("__tk")).agg(F.count("*").alias("n")).where("n > 1")
     single = rows.join(times, same, "left_anti")
     several = rows.join(times, same, "left_semi").dropDuplicates([id, "__key"])
-    return single.unionByName(several).drop("__key")
+    return single.unionByName(several).drop("__key").toDF(*names)

@@ -256,12 +256,13 @@ def without_repeats(docs: DataFrame, text: str = "text", add: tuple[str, ...] =
     strings, so all of their bytes go from span bytes on. No ids are needed; columns of docs that bear the name of an added one are replaced. Texts of any
     length are looked at whole.
     """
+    names = [c for c in docs.columns if c not in add and c != text]
     spans = repeated_spans(docs, text, span, gram)
-    rest = [c for c in docs.columns if c not in add and c != text]
+    rest = [f"c{i}" for i in range(len(names))]  # no clash with names used here
+    rows = docs.select(*(F.col(f"`{c}`").alias(r) for c, r in zip(names, rest)), F.col(text).alias("__text"), text_key(text).alias("__tk"))
     spread = spans.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("spans", "__spans").withColumnRenamed("tk", "__key")
-    rows = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text).alias("__text"), text_key(text).alias("__tk"))
-    rows = rows.withColumn("__deal", F.pmod(F.xxhash64(F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(0)), F.lit(SALTS)).cast("int"))
-    rows = rows.join(spread, (F.col("__tk") == F.col("__key")) & (F.col("__deal") == F.col("__salt")), "left").select(*(f"`{c}`" for c in rest), "__text", "__spans")
+    rows = rows.withColumn("__deal", F.pmod(F.xxhash64(*rest) if rest else F.lit(0), F.lit(SALTS)).cast("int"))
+    rows = rows.join(spread, (F.col("__tk") == F.col("__key")) & (F.col("__deal") == F.col("__salt")), "left").select(*rest, "__text", "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,5 +286,5 @@ def without_repeats(docs: DataFrame, text: str = "text", add: tuple[str, ...] =
                         made[c].append(values[c])
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in rest), *(pa.array(made[c], _ARROW[c]) for c in add)], [*rest, *add])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), *(f"{c} {_KEPT[c]}" for c in add)])
-    return rows.mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest), *(f"{c} {_KEPT[c]}" for c in add)])
+    return rows.mapInArrow(run, schema).toDF(*names, *add)
