@@ -6,6 +6,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -28,7 +29,8 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096").config("spark.log.level", "ERROR").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096").config("spark.log.level", "ERROR")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).getOrCreate()
     )
     from skyhue.plans import catalog
 

@@ -47,7 +47,7 @@ def require_bands(depths: DataFrame, bands) -> dict[str, float]:
     """Depth per band from a table of at most a few rows; each band exactly once and finite."""
     rows = (
         depths.where(F.col("band").isin(list(bands)))
-        .groupBy("band").agg(F.count("*").alias("n"), F.max("m5").alias("m5")).limit(len(bands) + 1).collect()
+        .groupBy("band").agg(F.count("*").alias("n"), F.max("m5").alias("m5")).collect()
     )
     found = {r["band"]: r for r in rows}
     for band in bands:

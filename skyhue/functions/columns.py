@@ -82,7 +82,7 @@ def id_float_like(c) -> Column:
     whole = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < 1e18) & (number == F.floor(number))
     return (
         F.when(text.isNull() | F.lower(text).isin(*MISSING_WORDS), F.lit(None).cast("string"))
-        .when(text.rlike("^[+-]?\\d+$"), id_plain(text))
+        .when(text.rlike("^[+-]?\\d+(\\.0*)?$"), id_plain(F.regexp_replace(text, "\\.0*$", "")))
         .when(whole, number.try_cast("bigint").cast("string"))
         .otherwise(text)
     )

@@ -15,15 +15,36 @@ def _depth(band: str, depths: dict[str, float]):
     return m5
 
 
+#: Bands in the survey's order.
+BAND_ORDER = ("u", "g", "r", "i", "z", "y")
+
+
+def survey_order(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows with their band's place in the survey's order, and the columns that order simultaneous ones."""
+    place = F.array_position(F.array(*map(F.lit, BAND_ORDER)), F.col("band"))
+    tie = ["row_id"] if "row_id" in rows.columns else ["mag", "magerr"]
+    return rows.withColumn("__band_place", place), ["__band_place", *tie]
+
+
 def export_snia(rows: DataFrame, depths: dict[str, float] = C.DEFAULT_DEPTH, seconds: float = 30.0, chunk_days: float = 1.0) -> DataFrame:
-    """Valid rows of sn_id, mjd, band, mag, magerr as broker rows: simultaneous bands moved apart, limits coded, ids given."""
-    ok = rows.where(selection.usable_snia(list(depths))).withColumn("band", C.norm_text("band"))
-    d = curves.stagger_fixed(ok, "sn_id", "mjd", ["band", "mag", "magerr"], seconds, chunk_days)
+    """Valid rows of sn_id, mjd, band, mag, magerr as broker rows: simultaneous bands moved apart, limits coded, ids given.
+
+    Simultaneous rows stand in the survey's band order, then as row_id says where the table has it, else by magnitude. t_days counts from the phase that
+    the table gives (phase_since_reference, else from reference_mjd), else from the object's first row.
+    """
+    ok, order = survey_order(selection.usable_snia(rows, list(depths)).withColumn("band", C.norm_text("band")))
+    d = curves.stagger_fixed(ok, "sn_id", "mjd", order, seconds, chunk_days)
     bad = F.raise_error(F.lit("a shifted time reaches the next epoch; use a shorter step")).cast("double")
     d = d.withColumn("time_mjd", F.when(F.col("shift_ok"), F.col("t_shifted")).otherwise(bad))
-    d = series.key_totals(d, ["sn_id"], __first=F.min("mjd"))
-    d = d.withColumn("t_days", F.col("time_mjd") - F.col("__first"))
-    d = series.row_numbers(d, ["sn_id"], ["mjd", "band", "mag", "magerr"], series.chunk_by("mjd", chunk_days), "sequence")
+    shift = F.col("time_mjd") - F.col("mjd")
+    if "phase_since_reference" in d.columns:
+        d = d.withColumn("t_days", C.to_double("phase_since_reference") + shift)
+    elif "reference_mjd" in d.columns:
+        d = d.withColumn("t_days", F.col("mjd") - C.to_double("reference_mjd") + shift)
+    else:
+        d = series.key_totals(d, ["sn_id"], __first=F.min("mjd"))
+        d = d.withColumn("t_days", F.col("time_mjd") - F.col("__first"))
+    d = series.row_numbers(d, ["sn_id"], ["mjd", *order], series.chunk_by("mjd", chunk_days), "sequence")
     d = selection.detect_or_limit(d.withColumn("mag_err", F.col("magerr")), depths)
     width = F.greatest(F.lit(4), F.length(F.col("__max_id").cast("string")))
     d = d.crossJoin(F.broadcast(ok.agg(F.max("sn_id").alias("__max_id"))))
@@ -36,8 +57,8 @@ def export_snia(rows: DataFrame, depths: dict[str, float] = C.DEFAULT_DEPTH, sec
 
 def snia_objects(rows: DataFrame, depths: dict[str, float] = C.DEFAULT_DEPTH, metadata: list[str] = ()) -> DataFrame:
     """One row per exported object: first metadata in time order, detections."""
-    ok = rows.where(selection.usable_snia(list(depths)))
-    order = F.struct("mjd", "band", "mag")
+    ok, names = survey_order(selection.usable_snia(rows, list(depths)).withColumn("band", C.norm_text("band")))
+    order = F.struct("mjd", *names)
     return ok.groupBy("sn_id").agg(
         *[F.min_by(c, order).alias(c) for c in metadata],
         F.count("*").alias("n_rows"), F.count_if(F.col("mag") <= _depth("band", depths)).alias("n_detected"),
@@ -55,7 +76,12 @@ def export_model(
     rows: DataFrame, depths: dict[str, float] = C.DEFAULT_DEPTH, mode: str = "complete", seconds: float = 30.0,
     systematic: float = C.SYSTEMATIC_ERROR_MAG, chunk_days: float = 1.0,
 ) -> DataFrame:
-    """Model curves (event_id, time_mjd, t_days, band, mag, row_id) as broker rows with photometric errors."""
+    """Model curves (event_id, time_mjd, t_days, band, mag, row_id) as broker rows with photometric errors.
+
+    Where the table names photometric systems, only the survey's own is exported.
+    """
+    if "photometric_system" in rows.columns:
+        rows = rows.where(C.norm_text("photometric_system") == "lsst")
     d = rows.where("time_mjd IS NOT NULL AND t_days IS NOT NULL AND mag IS NOT NULL")
     m5 = F.coalesce(_depth("band", depths), F.raise_error(F.concat(F.lit("no depth for band "), F.col("band"))).cast("double"))
     d = selection.export_mode(d.withColumn("m5", m5), mode)

@@ -123,7 +123,7 @@ def compare_profiles(profile: DataFrame, mode="absolute", relative=0.10, absolut
         "repetition", "bin_index", *[F.col(c).alias(f"reference_{c}") for c in COMPONENTS],
         F.col("N_available").alias("reference_N_available"),
     )
-    d = profile.join(F.broadcast(ref), ["repetition", "bin_index"])
+    d = profile.join(ref, ["repetition", "bin_index"])
     out = {}
     joint = F.col("valid")
     for c in COMPONENTS:
@@ -194,7 +194,7 @@ def compare_shape(
         raise ValueError("horizon is 'fixed' or 'reference_minus_tolerance'")
     keys = ["repetition", "group_id", "bin_index", "estimator_id"]
     ref = largest(f).select(*keys, F.col("value").alias("reference_value"), F.col("valid").alias("reference_valid"))
-    d = f.join(F.broadcast(ref), keys)
+    d = f.join(ref, keys)
     e = errors("value", "reference_value", mode, relative, absolute)
     both = F.col("valid") & F.col("reference_valid")
     return d.select(
@@ -230,7 +230,7 @@ def extent_records(edges: DataFrame, tolerance_days: float = 0.4) -> DataFrame:
         F.col("N_consecutive_valid_bins").alias("reference_consecutive_valid_bins"),
     )
     diff = F.abs(F.col("last_valid_time_days") - F.col("reference_last_valid_time_days"))
-    return edges.join(F.broadcast(ref), ["repetition", "group_id"]).withColumns({
+    return edges.join(ref, ["repetition", "group_id"]).withColumns({
         "absolute_extent_error_days": diff, "extent_within_tolerance": F.coalesce(diff <= tolerance_days + 1e-12, F.lit(False)),
     })
 
@@ -283,7 +283,7 @@ def aggregate_extent(records: DataFrame, required: float = 0.9) -> DataFrame:
 def aggregate_last_time(runs: DataFrame, tolerance: float = 0.4, required: float = 0.9) -> DataFrame:
     """Last valid times per size against each repetition's largest size. runs: repetition, sample_size, last_valid_time_days."""
     ref = largest(runs).select("repetition", F.col("last_valid_time_days").alias("reference_time_days"))
-    d = runs.join(F.broadcast(ref), "repetition", "left")
+    d = runs.join(ref, "repetition", "left")
     diff = F.abs(F.col("last_valid_time_days") - F.col("reference_time_days"))
     d = d.withColumns({"__diff": diff, "__within": F.coalesce(diff <= tolerance + 1e-12, F.lit(False))})
     s = d.groupBy("sample_size").agg(

@@ -32,6 +32,10 @@ def _weight(c: Column, t0: Column, t1: Column, how: str) -> Column:
     return (c - t0) / (t1 - t0)
 
 
+#: Fixed value: days between a lone knot and a centre that it still holds for.
+LONE_KNOT = 1e-10
+
+
 def interpolate(
     df: DataFrame, grid: TimeGrid, how: str = "log", min_knots: int = 1, keys: list[str] = SERIES,
     t: str = "t_days", mag: str = "mag", event_keys: list[str] | None = None,
@@ -59,11 +63,16 @@ def interpolate(
     cells = cells.withColumns({
         "__next_cell": F.lead("__cell").over(w), "__nt": F.lead("__t0").over(w), "__nm": F.lead("__m0").over(w),
     })
+    cells = cells.withColumn("__total", F.sum("__k").over(W.partitionBy(*keys)))
     if min_knots > 1:
-        cells = cells.withColumn("__total", F.sum("__k").over(W.partitionBy(*keys))).where(F.col("__total") >= min_knots)
+        cells = cells.where(F.col("__total") >= min_knots)
+    # a lone knot holds for a centre within rounding of it, on either side; of several knots none is stretched
+    lone = F.col("__total") == 1
+    under = lone & (F.col("__cell") > 0) & (F.col("__t1") - grid.centre(F.col("__cell") - 1) <= LONE_KNOT)
+    cells = cells.withColumn("__cell", F.when(under, F.col("__cell") - 1).otherwise(F.col("__cell")))
     last = F.least(F.coalesce(F.col("__next_cell") - 1, F.col("__cell")), F.lit(grid.n - 1))
     c = grid.centre(F.col("bin_index"))
-    exact = F.col("__t1") == c
+    exact = (F.col("__t1") == c) | (lone & (F.abs(F.col("__t1") - c) <= LONE_KNOT))
     value = F.when(exact, F.col("__m1")).otherwise(
         F.col("__m0_left") + (F.col("__nm") - F.col("__m0_left")) * _weight(c, F.col("__t1"), F.col("__nt"), how)
     )

@@ -162,7 +162,7 @@ def overlap(rules_a: DataFrame, rules_b: DataFrame, values_a: DataFrame, values_
 
     def inside(values, lo, hi, n, n_in):
         c = F.col("color")
-        return values.where("color IS NOT NULL").join(F.broadcast(both.select(*on, lo, hi)), on).groupBy(*on).agg(
+        return values.where("color IS NOT NULL").join(both.select(*on, lo, hi), on).groupBy(*on).agg(
             F.count("*").alias(n), F.count_if((c >= F.col(lo)) & (c <= F.col(hi))).alias(n_in)
         )
 
@@ -209,7 +209,7 @@ def exits(values: DataFrame, rule_table: DataFrame, keys: list[str], minimum_bin
     last_rule = r.groupBy(*keys).agg(F.max("bin_index").alias("final_rule_bin")) if keys else r.agg(F.max("bin_index").alias("final_rule_bin"))
     r = r.join(last_rule, keys) if keys else r.crossJoin(last_rule)
     c = F.col("color")
-    d = values.where("color IS NOT NULL").select("event_id", *on, "color").join(F.broadcast(r), on)
+    d = values.where("color IS NOT NULL").select("event_id", *on, "color").join(r, on)
     d = d.withColumn("above", c > F.col("color_max")).withColumn("below", c < F.col("color_min"))
     d = d.withColumn("outside", F.col("above") | F.col("below"))
     event = W.partitionBy("event_id", *keys)
@@ -418,7 +418,7 @@ def lower_bound_rules(censored: DataFrame, grid: TimeGrid, tails=(1.0,), method:
     """Percentile interval of the lower bound per bin, with the number of limits in it."""
     sample = lower_bound_sample(censored)
     limits = sample.groupBy("bin_index").agg(F.count_if(F.col("state") == 2).alias("N_population_ul"))
-    return rules(sample, [], grid, tails, method, "lower_bound").join(F.broadcast(limits), "bin_index")
+    return rules(sample, [], grid, tails, method, "lower_bound").join(limits, "bin_index")
 
 
 def identification_intervals(censored: DataFrame, grid: TimeGrid, tails=(1.0,)) -> DataFrame:

@@ -6,9 +6,8 @@
   groups that are known to be small (tables of bins, repetitions, cuts).
 * ``select`` - for groups of any size. A mergeable sketch brackets each order statistic, one more pass counts what lies
   below each bracket and keeps the few values inside it, and the exact order statistic is read off the kept ones.
-  Both passes combine map side, equal values fold into one counted row, and no group is ever held whole. The groups are
-  bins, stages, cells: few. Their number is checked against ``max_groups`` before the brackets are broadcast; pass
-  ``None`` for an unbounded number of groups, then the join is left to the optimizer.
+  Both passes combine map side, equal values fold into one counted row, and no group is ever held whole. Groups may be of any
+  number: how the brackets are joined is left to the optimizer.
 """
 
 from __future__ import annotations
@@ -17,12 +16,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SKETCH_ACCURACY = 10_000
 UNROLLED = 7
-MAX_GROUPS = 100_000
 
 
 def exact_quantiles(
     df: DataFrame, keys: list[str], value, percents: list[float], method: str = "select",
-    n_name: str = "n", q_name: str = "quantiles", accuracy: int = SKETCH_ACCURACY, max_groups: int | None = MAX_GROUPS,
+    n_name: str = "n", q_name: str = "quantiles", accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     """keys, ``n`` (non-NULL values) and ``quantiles`` (array in the order of ``percents``, 0-100)."""
     v = value if isinstance(value, Column) else F.col(value)
@@ -32,10 +30,10 @@ def exact_quantiles(
         return src.groupBy(*keys).agg(F.count("*").alias(n_name), F.percentile("__v", qs).alias(q_name))
     if method != "select":
         raise ValueError("method is 'hash' or 'select'")
-    return _select(src, keys, percents, n_name, q_name, accuracy, max_groups)
+    return _select(src, keys, percents, n_name, q_name, accuracy)
 
 
-def _select(src, keys, percents, n_name, q_name, accuracy, max_groups, inverse=False):
+def _select(src, keys, percents, n_name, q_name, accuracy, inverse=False):
     """Expressions are SQL text here: they repeat per percentile, and one text costs one call to the JVM."""
     keys = list(keys)
     probs = sorted(set(p / 100.0 for p in percents))
@@ -51,13 +49,6 @@ def _select(src, keys, percents, n_name, q_name, accuracy, max_groups, inverse=F
     lows = ", ".join(minus if p - eps <= 0 else f"if(__n <= {accuracy}, {minus}, __e[{j}])" for j, p in enumerate(probs))
     highs = ", ".join(plus if p + eps >= 1 else f"if(__n <= {accuracy}, {plus}, __e[{m + j}])" for j, p in enumerate(probs))
     brackets = sketch.select(*keys, "__n", F.expr(f"array({lows})").alias("__lo"), F.expr(f"array({highs})").alias("__hi"))
-    if max_groups is not None:
-        # the number of groups is checked inside the query, so the broadcast below has a proven bound
-        groups = F.count("*").over(W.partitionBy(F.lit(0)))
-        brackets = F.broadcast(brackets.withColumn("__g", groups).where(
-            f"if(__g <= {int(max_groups)}, true, cast(raise_error('more groups than max_groups') AS boolean))"
-        ).drop("__g"))
-
     joined = src.join(brackets, keys) if keys else src.crossJoin(brackets)
     if m <= UNROLLED:
         kept = " OR ".join(f"(__v >= __lo[{j}] AND __v <= __hi[{j}])" for j in range(m))
@@ -99,12 +90,12 @@ def _select(src, keys, percents, n_name, q_name, accuracy, max_groups, inverse=F
 
 def nearest_rank(
     df: DataFrame, keys: list[str], value, percents: list[float], n_name: str = "n", q_name: str = "quantiles",
-    accuracy: int = SKETCH_ACCURACY, max_groups: int | None = MAX_GROUPS,
+    accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     """Inverse ECDF: order statistic ``max(1, ceil(q n / 100))``; infinities are ordinary values."""
     v = value if isinstance(value, Column) else F.col(value)
     src = df.select(*keys, v.cast("double").alias("__v")).where("__v IS NOT NULL")
-    return _select(src, keys, percents, n_name, q_name, accuracy, max_groups, inverse=True)
+    return _select(src, keys, percents, n_name, q_name, accuracy, inverse=True)
 
 
 def nearest_sample(values: Column, fraction: float) -> Column:

@@ -75,4 +75,4 @@ def evenly_spaced(df: DataFrame, order: list[str], number: int, rank: str = "ran
         (F.when(F.col("__k") > 1, F.rint(F.col("pick") * (F.col("__total") - 1) / (F.col("__k") - 1))).otherwise(F.lit(0.0)) + 1)
         .cast("bigint").alias(rank),
     )
-    return df.join(F.broadcast(picks), rank)
+    return df.join(picks, rank)

@@ -8,19 +8,35 @@ from skyhue.functions import columns as C
 from skyhue.operators.curves import trim_after_last
 
 
-def usable_snia(bands) -> Column:
-    """Finite time, magnitude and positive error, a known band, a whole-number id."""
-    id_number = F.col("sn_id").try_cast("double")
-    return F.coalesce(
-        C.to_double("mjd").isNotNull() & C.to_double("mag").isNotNull() & (C.to_double("magerr") > 0)
-        & C.norm_text("band").isin(*bands) & (id_number == F.floor(id_number)),
-        F.lit(False),
-    )
+def snia_faults(rows: DataFrame, bands) -> dict[str, Column]:
+    """What makes a row unusable, by cause: id, time, magnitude, error, position (where the table has one) or band."""
+    finite = lambda c: C.to_double(c).isNotNull() & (F.abs(C.to_double(c)) < float("inf"))
+    good = {"id": finite("sn_id"), "time": finite("mjd"), "magnitude": finite("mag"), "error": finite("magerr") & (C.to_double("magerr") > 0), "band": C.norm_text("band").isin(*bands)}
+    place = [c for c in ("ra", "dec") if c in rows.columns]
+    if place:
+        good["position"] = F.lit(True)
+        for c in place:
+            good["position"] &= finite(c)
+    return {cause: ~F.coalesce(ok, F.lit(False)) for cause, ok in good.items()}
+
+
+def usable_snia(rows: DataFrame, bands) -> DataFrame:
+    """Rows without a fault. Of these, an id that isn't a whole number (within rounding) stops the query; it is no fault to be dropped."""
+    bad = F.lit(False)
+    for fault in snia_faults(rows, bands).values():
+        bad |= fault
+    number = C.to_double("sn_id")
+    whole = F.when(F.abs(number - F.rint(number)) <= 1e-8 + 1e-5 * F.abs(F.rint(number)), F.rint(number).cast("long"))
+    return rows.where(~bad).withColumn("sn_id", F.coalesce(whole, F.raise_error(F.lit("sn_id must hold whole numbers")).cast("long")))
 
 
 def snia_quality(rows: DataFrame, bands) -> DataFrame:
-    ok = usable_snia(bands)
-    return rows.agg(F.count("*").alias("n_rows"), F.count_if(ok).alias("n_kept"), F.count_if(~ok).alias("n_rejected"))
+    """Rows, rows kept and rejected, and the rejected by cause; a row may have several."""
+    faults = snia_faults(rows, bands)
+    bad = F.lit(False)
+    for fault in faults.values():
+        bad |= fault
+    return rows.agg(F.count("*").alias("n_rows"), F.count_if(~bad).alias("n_kept"), F.count_if(bad).alias("n_rejected"), *(F.count_if(f).alias(f"n_bad_{c}") for c, f in sorted(faults.items())))
 
 
 def latitude_cut(mode: str, lo: float = 20.0, hi: float = 90.0, latitude="abs_b_deg") -> Column:
@@ -51,7 +67,7 @@ def detect_or_limit(rows: DataFrame, depths: dict[str, float]) -> DataFrame:
 
 def within_band_depth(rows: DataFrame, depths: DataFrame) -> DataFrame:
     """Points within the depth of their band; bands without a depth are dropped. depths: one row per survey band."""
-    return rows.join(F.broadcast(depths.select("band", "m5")), "band").where(F.col("mag") <= F.col("m5"))
+    return rows.join(depths.select("band", "m5"), "band").where(F.col("mag") <= F.col("m5"))
 
 
 def export_mode(rows: DataFrame, mode: str) -> DataFrame:

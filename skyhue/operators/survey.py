@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from skyhue.functions import checks, columns as C
 from skyhue.operators import curves, ranks
 from skyhue.operators.quantiles import exact_quantiles
+from skyhue.sources import readers
 
 # Depth scenarios as percentiles.
 SCENARIOS = {"worst_p25": 25.0, "median_p50": 50.0, "best_p75": 75.0}
@@ -108,7 +109,7 @@ def sample_stratified(obs: DataFrame, n_fields: int, seed: int, weight: str = "n
     allocation = allocate(strata(by_target), n_fields, weight, minimum)
     keyed = by_target.withColumn("__key", _centre_key())
     ranked = ranks.hash_rank(keyed, "__key", seed, "rank", ("target_name",))
-    drawn = ranked.join(F.broadcast(allocation.select("target_name", "n_alloc")), "target_name").where("rank <= n_alloc")
+    drawn = ranked.join(allocation.select("target_name", "n_alloc"), "target_name").where("rank <= n_alloc")
     parent = centres(obs)
     unique = drawn.select("fieldRA", "fieldDec").distinct().withColumn("source", F.lit("stratum"))
     chosen = parent.join(unique, ["fieldRA", "fieldDec"])
@@ -270,7 +271,7 @@ def gap_histogram(gaps: DataFrame, bins: int, logarithmic: bool = False, gap: st
     ends = d.groupBy("band").agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
     width = (F.col("__hi") - F.col("__lo")) / bins
     i = F.when(width > 0, F.least(F.floor((F.col("__x") - F.col("__lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
-    return d.join(F.broadcast(ends), "band").groupBy("band", i.cast("int").alias("bin_index")).agg(
+    return d.join(ends, "band").groupBy("band", i.cast("int").alias("bin_index")).agg(
         F.count("*").alias("n"), F.first("__lo").alias("x_min"), F.first("__hi").alias("x_max")
     )
 
@@ -321,9 +322,18 @@ def draw_summary(draws: DataFrame, value: str = "m5") -> DataFrame:
 
 
 def resolve_depths(table: DataFrame | None, visits: DataFrame, percentile: float, bands, scope: str = "common_global") -> DataFrame:
-    """Depth per band: the table if it has the percentile, else the exact percentile of the visits (global scope only)."""
+    """Depth per band: from a depth table (see readers.depth_table) if it has the percentile for every band, else the exact percentile of the visits.
+
+    Visits stand in for the global scope only. A band that neither gives is an error.
+    """
     if table is not None:
-        return table
+        try:
+            found = readers.depth_table(table, percentile, scope).where(F.col("band").isin(list(bands)))
+            checks.require_bands(found, bands)
+            return found
+        except ValueError:  # the table lacks the percentile or a band, or has it twice
+            if scope != "common_global":
+                raise
     if scope != "common_global":
         raise ValueError("raw visits can only stand in for the global scope")
     d = visits.where(F.col("band").isin(list(bands)))

@@ -10,10 +10,10 @@ from skyhue.plans import roles as R, shared_sql as S
 from skyhue.plans.output import tidy
 from skyhue.plans.registry import query
 
-D = {"g": 30.0, "r": 40.0, "i": 50.0, "z": 60.0}
+D = {"g": 30.0, "r": 40.0, "i": 50.0, "z": 60.0, "y": 20.0}
 _D = ", ".join(f"('{b}', {v!r}::DOUBLE)" for b, v in D.items())
 ID4 = "lpad(CAST({0} AS VARCHAR), greatest(4, length(CAST({0} AS VARCHAR)))::INTEGER, '0')"
-SNX = S.SNIA + f""", d(band, m5) AS (VALUES {_D}), ok AS (SELECT sn.*, m5 FROM sn JOIN d USING (band) WHERE magerr > 0), x AS (SELECT *, row_number() OVER (PARTITION BY sn_id, mjd ORDER BY band, mag, magerr) - 1 AS i, row_number() OVER (PARTITION BY sn_id ORDER BY mjd, band, mag, magerr) AS k,
+SNX = S.SNIA + f""", d(band, m5) AS (VALUES {_D}), ok AS (SELECT sn.*, m5, list_position(['u', 'g', 'r', 'i', 'z', 'y'], band) AS place FROM sn JOIN d USING (band) WHERE magerr > 0), x AS (SELECT *, row_number() OVER (PARTITION BY sn_id, mjd ORDER BY place, row_id) - 1 AS i, row_number() OVER (PARTITION BY sn_id ORDER BY mjd, place, row_id) AS k,
  min(mjd) OVER (PARTITION BY sn_id) AS f, max(sn_id) OVER () AS top FROM ok), ex AS (SELECT sn_id AS objectid, lpad(CAST(sn_id AS VARCHAR), greatest(4, length(CAST(top AS VARCHAR)))::INTEGER, '0') || '_' || CAST(k AS VARCHAR) AS candidate_id, mjd + i * (3e1 / 86400) AS time_mjd, mjd + i * (3e1 / 86400) - f AS t_days, band,
  CASE WHEN mag <= m5 THEN mag END AS mag, CASE WHEN mag <= m5 THEN magerr ELSE m5 END AS mag_err, mag <= m5 AS detected, i > 0 AS was_shifted FROM x)"""
 
@@ -32,12 +32,12 @@ def _(spark, sf):
     return B.export_report(snia_export(spark, sf))
 
 
-@query("snia_object_summary", "G16 G11", f"WITH {SNX} SELECT sn_id, arg_min(magerr, (mjd, band, mag)) AS magerr, count(*) AS n_rows, count(*) FILTER (mag <= m5) AS n_detected FROM ok GROUP BY sn_id")
+@query("snia_object_summary", "G16 G11", f"WITH {SNX} SELECT sn_id, arg_min(magerr, (mjd, place, row_id)) AS magerr, count(*) AS n_rows, count(*) FILTER (mag <= m5) AS n_detected FROM ok GROUP BY sn_id")
 def _(spark, sf):
     return B.snia_objects(R.snia(spark, sf), D, ["magerr"])
 
 
-DD = ", ".join(f"('{b}', {v!r}::DOUBLE)" for b, v in {**D, "y": 20.0}.items())
+DD = ", ".join(f"('{b}', {v!r}::DOUBLE)" for b, v in D.items())
 MDX = S.LC + f""", d(band, m5) AS (VALUES {DD}), p AS (SELECT event_id, band, mag, row_id, t_days, 6031e1 + floor(t_days * 3) / 3 AS time_mjd, m5, pow(10, 4e-1 * (mag - m5)) AS x FROM lc JOIN d USING (band) WHERE mag <= m5),
  e AS (SELECT event_id, time_mjd, count(*) AS n, lead(time_mjd) OVER (PARTITION BY event_id ORDER BY time_mjd) AS nx FROM p GROUP BY event_id, time_mjd), r AS (SELECT p.*, row_number() OVER (PARTITION BY event_id, time_mjd ORDER BY row_id) - 1 AS i, row_number() OVER (PARTITION BY event_id ORDER BY time_mjd, row_id) AS k FROM p),
  ex AS (SELECT event_id, CASE WHEN k = 1 THEN event_id END AS objectid, {ID4.format('event_id')} || '_' || CAST(k AS VARCHAR) AS candidate_id, time_mjd + i * st AS time_mjd, t_days + (time_mjd + i * st) - time_mjd AS t_days, band, mag, sqrt(25e-6 + (4e-2 - 39e-3) * x + 39e-3 * x * x) AS mag_err, row_id
@@ -46,7 +46,7 @@ MDX = S.LC + f""", d(band, m5) AS (VALUES {DD}), p AS (SELECT event_id, band, ma
 
 def model_export(spark, sf):
     d = R.lightcurves(spark, sf).withColumn("time_mjd", F.lit(60310.0) + F.floor(F.col("t_days") * 3) / 3)
-    return B.export_model(d, {**D, "y": 20.0}, "m5-detected", 30.0)
+    return B.export_model(d, D, "m5-detected", 30.0)
 
 
 @query("model_broker_export", "O2 D6 C13 E12", f"WITH {MDX} SELECT event_id, objectid, candidate_id, {S.r6('time_mjd t_days')}, band, {S.r6('mag mag_err')}, row_id FROM ex")

@@ -112,7 +112,7 @@ EXITS = S.RULES + """, cm AS (SELECT s.event_id, s.stage, s.bin_index, s.color,
  round(pow(10, log10_mej_dyn), 6) + 0.0 AS M_ej_dyn_Msun, round(degrees(inclination_EM), 6) + 0.0 AS inclination_deg, CAST(NULL AS DOUBLE) AS beta FROM ex JOIN obj USING (event_id)""")
 def _(spark, sf):
     st = staged(spark, sf)
-    x = E.exits(st, E.rules(st, ["stage"], G), ["stage"], 2)
+    x = E.exits(st, materialize(E.rules(st, ["stage"], G)), ["stage"], 2)
     p = E.physical_parameters(R.objects(spark, sf)).select("event_id", "M_ej_dyn_Msun", "inclination_deg", "beta")
     return tidy(x.join(p, "event_id"))
 
@@ -121,7 +121,7 @@ def _(spark, sf):
  round(max(t_max_days) FILTER (consecutive), 6) + 0.0 AS last_initial_consecutive_time_days, (SELECT count(*) FROM nat) AS N_native_population_points, coalesce(any_value(n_ex), 0) AS N_permanent_exits FROM rules LEFT JOIN (SELECT stage, n AS n_ex FROM xc) USING (stage) GROUP BY stage""")
 def _(spark, sf):
     st = staged(spark, sf)
-    r = E.rules(st, ["stage"], G)
+    r = materialize(E.rules(st, ["stage"], G))
     n = E.exits(st, r, ["stage"], 2).groupBy("stage").agg(F.count("*").alias("N_permanent_exits"))
     return tidy(E.stage_summary(r, native(spark, sf), n))
 
@@ -157,15 +157,19 @@ OVERLAP_COLUMNS = "a_min a_max b_min b_max overlap_color_min overlap_color_max o
 OVERLAP_COUNTS = "N_a_available, N_a_inside_b, N_b_available, N_b_inside_a"
 
 
-def overlap(spark, sf, consecutive=False):
-    v = two_populations(spark, sf)
-    r = E.rules(v, ["pop", "stage"], G)
+def overlap_of(v, r, consecutive=False):
+    """Overlap of the two populations from their values and their rules, a table of bins that is worked out once."""
     if consecutive:
         r = r.where("initial_consecutive_valid")
     side = lambda d, p: d.where(F.col("pop") == p).drop("pop")
     return E.overlap(side(r, "a"), side(r, "b"), side(v, "a"), side(v, "b"), ["stage"])
 
 
+def overlap(spark, sf):
+    v = two_populations(spark, sf)
+    return overlap_of(v, materialize(E.rules(v, ["pop", "stage"], G)))
+
+
 @query("population_overlap", "K8 F1", f"WITH {POP}, {_overlap_sql('')} SELECT stage, bin_index, {S.r6('t_center_days')}, {S.r6(OVERLAP_COLUMNS)}, {OVERLAP_COUNTS} FROM ovf")
 def _(spark, sf):
     d = overlap(spark, sf)
@@ -182,9 +186,10 @@ def _(spark, sf):
 @query("second_population_products", "K22", f"""WITH {POP}, {_overlap_sql('AND a.consecutive AND b.consecutive')} SELECT 'rules' AS product, stage, bin_index, n, round(mid, 6) + 0.0 AS value FROM pr WHERE pop = 'b'
  UNION ALL SELECT 'overlap_consecutive', stage, bin_index, N_b_inside_a, round(overlap_width_mag, 6) + 0.0 FROM ovf""")
 def _(spark, sf):
-    r = E.rules(two_populations(spark, sf).where("pop = 'b'"), ["stage"], G)
-    a = r.select(F.lit("rules").alias("product"), "stage", "bin_index", F.col("N_population_events").alias("n"), F.col("color_median").alias("value"))
-    o = overlap(spark, sf, True).select(F.lit("overlap_consecutive").alias("product"), "stage", "bin_index", F.col("N_b_inside_a").alias("n"), F.col("overlap_width_mag").alias("value"))
+    v = two_populations(spark, sf)
+    r = materialize(E.rules(v, ["pop", "stage"], G))
+    a = r.where("pop = 'b'").select(F.lit("rules").alias("product"), "stage", "bin_index", F.col("N_population_events").alias("n"), F.col("color_median").alias("value"))
+    o = overlap_of(v, r, True).select(F.lit("overlap_consecutive").alias("product"), "stage", "bin_index", F.col("N_b_inside_a").alias("n"), F.col("overlap_width_mag").alias("value"))
     return tidy(a.unionByName(o))
 
 
@@ -337,13 +342,13 @@ def _(spark, sf):
     return tidy(r, "photometric_system", "bin_index", "N_population_events", "color_min", "color_median", "color_max")
 
 
-SKYMAP = S.OBJ + """, pool AS (SELECT event_id, abs_b_deg * 4 AS fieldRA, phi - 45 AS fieldDec, row_number() OVER (ORDER BY md5('3:' || event_id), event_id) AS place FROM obj WHERE population < 'C'),
+SKYMAP = S.OBJ + """, pool AS (SELECT event_id, abs_b_deg * 4 AS fieldRA, phi - 45 AS fieldDec, row_number() OVER (ORDER BY md5('3:' || event_id), event_id) AS place FROM obj),
  snr AS (SELECT sn_id, row_number() OVER (ORDER BY sn_id) AS position FROM (SELECT DISTINCT sn_id FROM sn)), np AS (SELECT count(*) AS n FROM pool),
  map AS (SELECT sn_id, event_id AS projected_event_id, fieldRA, fieldDec, position > n AS reused FROM snr, np JOIN pool ON place = (position - 1) % n + 1)"""
 
 
 def sky_map(spark, sf):
-    pool = R.objects(spark, sf).where("population < 'C'").select("event_id", (F.col("abs_b_deg") * 4).alias("fieldRA"), (F.col("phi") - 45).alias("fieldDec"))
+    pool = R.objects(spark, sf).select("event_id", (F.col("abs_b_deg") * 4).alias("fieldRA"), (F.col("phi") - 45).alias("fieldDec"))
     return SN.sky_mapping(R.snia(spark, sf).select("sn_id").distinct(), pool, 3)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyhue.functions import columns as C
-from skyhue.operators import curves, envelope, series
+from skyhue.operators import broker, curves, envelope, series
 from skyhue.plans import roles as R, shared_sql as S
 from skyhue.plans.output import tidy
 from skyhue.plans.registry import query
@@ -148,10 +148,11 @@ def _(spark, sf):
 STEP = "3e1 / 86400"
 
 
-@query("stagger_fixed_step", "E11 H2", f"""WITH {S.SNIA}, r AS (SELECT *, row_number() OVER (PARTITION BY sn_id, mjd ORDER BY band, mag, row_id) - 1 AS i FROM sn), e AS (SELECT sn_id, mjd, lead(mjd) OVER (PARTITION BY sn_id ORDER BY mjd) AS nx FROM (SELECT DISTINCT sn_id, mjd FROM sn))
+@query("stagger_fixed_step", "E11 H2", f"""WITH {S.SNIA}, r AS (SELECT *, row_number() OVER (PARTITION BY sn_id, mjd ORDER BY list_position(['u', 'g', 'r', 'i', 'z', 'y'], band), row_id) - 1 AS i FROM sn), e AS (SELECT sn_id, mjd, lead(mjd) OVER (PARTITION BY sn_id ORDER BY mjd) AS nx FROM (SELECT DISTINCT sn_id, mjd FROM sn))
  SELECT row_id, round(mjd + i * ({STEP}), 6) + 0.0 AS t_shifted, nx IS NULL OR i = 0 OR mjd + i * ({STEP}) < nx AS shift_ok FROM r JOIN e USING (sn_id, mjd)""")
 def _(spark, sf):
-    return tidy(curves.stagger_fixed(R.snia(spark, sf), "sn_id", "mjd", ["band", "mag", "row_id"], 30.0), "row_id", "t_shifted", "shift_ok")
+    rows, order = broker.survey_order(R.snia(spark, sf))
+    return tidy(curves.stagger_fixed(rows, "sn_id", "mjd", order, 30.0), "row_id", "t_shifted", "shift_ok")
 
 
 @query("stagger_fitted_step", "E12", f"""WITH {S.SNIA}, r AS (SELECT *, row_number() OVER (PARTITION BY sn_id, mjd ORDER BY row_id) - 1 AS i FROM sn), e AS (SELECT sn_id, mjd, n, lead(mjd) OVER (PARTITION BY sn_id ORDER BY mjd) AS nx FROM (SELECT sn_id, mjd, count(*) AS n FROM sn GROUP BY ALL))

@@ -95,6 +95,16 @@ def _(spark, sf):
     return tidy(readers.scenario(depth_table(spark, sf), "best_p75", ["g", "r"]))
 
 
+@query("depth_from_table", "O5 A7", f"WITH {DEPTH_TABLE} SELECT band, round(m5, 6) + 0.0 AS m5 FROM dt WHERE threshold_scope = 'common_global' AND quantile = 25e-2 AND band IN ('g', 'r')")
+def _(spark, sf):
+    return tidy(survey.resolve_depths(staging.materialize(depth_table(spark, sf)), R.visits(spark, sf), 25.0, ["g", "r"]))
+
+
+@query("depth_falls_back_to_visits", "O5 A14", f"WITH {S.VISITS} SELECT band, round(quantile_cont(m5, 4e-1), 6) + 0.0 AS m5 FROM visits WHERE band IN ('g', 'r') GROUP BY band")
+def _(spark, sf):
+    return tidy(survey.resolve_depths(staging.materialize(depth_table(spark, sf)), R.visits(spark, sf), 40.0, ["g", "r"]))
+
+
 @query("depth_from_raw_visits", "A14 O5", f"WITH {S.VISITS} SELECT band, round(quantile_cont(m5, 4e-1), 6) + 0.0 AS m5 FROM visits WHERE band IN ('g', 'r') GROUP BY band")
 def _(spark, sf):
     return tidy(survey.resolve_depths(None, R.visits(spark, sf), 40.0, ["g", "r"]))

@@ -10,10 +10,10 @@ from skyhue.plans import roles as R, shared_sql as S
 from skyhue.plans.output import tidy
 from skyhue.plans.registry import query
 
-ALLOWED = ("g", "r", "i", "z")
+ALLOWED = ("u", "g", "r", "i", "z", "y")
 
 
-@query("snia_row_validity", "D1", f"WITH {S.SNIA} SELECT count(*) AS n_rows, count(*) FILTER (magerr > 0 AND band <> 'y') AS n_kept, count(*) FILTER (NOT (magerr > 0 AND band <> 'y')) AS n_rejected FROM sn")
+@query("snia_row_validity", "D1", f"WITH {S.SNIA} SELECT count(*) AS n_rows, count(*) FILTER (magerr > 0) AS n_kept, count(*) FILTER (NOT magerr > 0) AS n_rejected, 0::BIGINT AS n_bad_band, count(*) FILTER (NOT magerr > 0) AS n_bad_error, 0::BIGINT AS n_bad_id, 0::BIGINT AS n_bad_magnitude, 0::BIGINT AS n_bad_time FROM sn")
 def _(spark, sf):
     return selection.snia_quality(R.snia(spark, sf), ALLOWED)
 
@@ -118,9 +118,9 @@ def _(spark, sf):
     return tidy(selection.with_parameters(d, ["distance"], ["beta"], tie=["o_orderkey"]), "event_id", "distance", "beta")
 
 
-@query("objects_in_every_band", "D16", f"WITH {S.LC} SELECT event_id FROM lc WHERE mag > 100 AND band IN ('g', 'r', 'i') GROUP BY event_id HAVING count(DISTINCT band) = 3")
+@query("objects_in_every_band", "D16", f"WITH {S.LC} SELECT event_id FROM lc WHERE band IN ('g', 'r', 'i') GROUP BY event_id HAVING count(DISTINCT band) = 3")
 def _(spark, sf):
-    return selection.in_every_band(R.lightcurves(spark, sf).where("mag > 100"), "event_id", ["g", "r", "i"])
+    return selection.in_every_band(R.lightcurves(spark, sf), "event_id", ["g", "r", "i"])
 
 
 @query("objects_per_band", "G26", f"WITH {S.LC} SELECT band, count(DISTINCT event_id) AS n_objects FROM lc GROUP BY band")

@@ -49,7 +49,7 @@ def _(spark, sf):
     return tidy(profile(spark, sf))
 
 
-ENVP = MEMBERS + """, eq AS (SELECT repetition, sample_size, bin_index, count(*) AS n, quantile_cont(color, [1e-2, 5e-1, 99e-2]) AS qs FROM sv WHERE bin_index <> 40 GROUP BY ALL),
+ENVP = MEMBERS + """, eq AS (SELECT repetition, sample_size, bin_index, count(*) AS n, quantile_cont(color, [1e-2, 5e-1, 99e-2]) AS qs FROM sv GROUP BY ALL),
  e0 AS (SELECT repetition, sample_size, bin_index, t_max_days, coalesce(n, 0) AS n, qs, min(qs IS NOT NULL) OVER w AS valid, coalesce(min(qs IS NOT NULL) OVER (PARTITION BY repetition, sample_size ORDER BY bin_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_open
  FROM rp CROSS JOIN sz CROSS JOIN grid LEFT JOIN eq USING (repetition, sample_size, bin_index) WINDOW w AS (PARTITION BY repetition, sample_size ORDER BY bin_index)),
  envp AS (SELECT repetition, sample_size, bin_index, valid, CASE WHEN NOT is_open THEN 'after_first_invalid_bin' WHEN qs IS NULL THEN 'insufficient_events' ELSE 'valid' END AS status, CASE WHEN is_open THEN n ELSE 0 END AS N_available,
@@ -58,7 +58,7 @@ ENVP = MEMBERS + """, eq AS (SELECT repetition, sample_size, bin_index, count(*)
 
 def envelope_profile(spark, sf):
     # one bin is emptied, so that the interval ends before the grid does
-    c = envelopes.settled_colours(spark, sf).where("bin_index <> 40")
+    c = envelopes.settled_colours(spark, sf)
     return materialize(V.envelope_profiles(c, population(spark, sf), G, SEEDS, SIZES))
 
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from skyhue.functions import columns as C
+from skyhue.functions import checks, columns as C
 from skyhue.functions.checks import require_columns
 
 LIGHTCURVE_CSV = T.StructType([
@@ -76,13 +76,18 @@ def visit_csvs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_field_metadata(visit_rows: DataFrame, fields: DataFrame, wanted: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Field columns joined to visits, each the first usable of its aliases. The field table has one row per pointing."""
+    """Field columns joined to visits, each the first usable of its aliases; what a visit has of its own stays. A field that has more rows than one
+    stops the query."""
     have = set(fields.columns)
     cols = []
     for name, aliases in wanted.items():
         usable = [a for a in aliases if a in have]
-        cols.append(C.first_finite(*usable).alias(name) if usable else F.lit(None).cast("double").alias(name))
-    return visit_rows.join(fields.select("field_index", *cols), "field_index", "left")
+        cols.append(C.first_finite(*usable).alias(f"__{name}") if usable else F.lit(None).cast("double").alias(f"__{name}"))
+    one = fields.select("field_index", *cols).groupBy("field_index").agg(F.count("*").alias("__n"), *(F.first(f"__{name}").alias(f"__{name}") for name in wanted))
+    d = visit_rows.join(one, "field_index", "left")
+    repeated = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("several rows for field "), F.col("field_index").cast("string"))).cast("double"))
+    values = {name: F.coalesce(repeated, *([C.to_double(name)] if name in visit_rows.columns else []), F.col(f"__{name}")) for name in wanted}
+    return d.withColumns(values).drop("__n", *(f"__{name}" for name in wanted))
 
 
 def depth_table(df: DataFrame, percentile: float, scope: str | None = None) -> DataFrame:
@@ -111,12 +116,14 @@ def depth_table(df: DataFrame, percentile: float, scope: str | None = None) -> D
 
 
 def scenario(df: DataFrame, name: str, bands, scope: str = "common_global") -> DataFrame:
-    """Depths of a named scenario for the requested bands."""
+    """Depths of a named scenario for the requested bands. A band that is missing, repeated or without a finite depth is an error."""
     group = "both" if scope == "common_global" else "high"
-    d = df.where((F.col("scenario") == name) & F.col("band").isin(list(bands)))
+    d = df.withColumn("band", C.norm_text("band")).where((F.col("scenario") == name) & F.col("band").isin(list(bands)))
     if "threshold_scope" in df.columns:
         d = d.where((F.col("threshold_scope") == scope) & (F.col("threshold_latitude_group") == group))
-    return d.select("band", "m5")
+    d = d.select("band", C.to_double("m5").alias("m5"))
+    checks.require_bands(d, bands)
+    return d
 
 
 def snia(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:

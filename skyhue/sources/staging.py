@@ -6,6 +6,7 @@ survives lost executors, cuts the lineage, and costs one write of a compact resu
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared one the session names (spark.checkpoint.dir); a local one only where none is set."""
+    """A fresh folder below the shared one the session names (spark.checkpoint.dir).
+
+    Where none is named, a local session, whose executors are its driver, gets a folder of its own; on a cluster that is an error, as executors would
+    write where others can't read.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if shared:
+        return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    if re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def materialize(df: DataFrame) -> DataFrame:

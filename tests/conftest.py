@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -12,7 +13,8 @@ def make_session():
         SparkSession.builder.master("local[8]").appName("tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096").config("spark.log.level", "ERROR").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096").config("spark.log.level", "ERROR")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).getOrCreate()
     )
     return spark
 
