@@ -150,6 +150,14 @@ def unmatched_passes(audit: DataFrame, accepted: DataFrame) -> DataFrame:
     return accepted.join(audit.where("stats_object_id IS NOT NULL").select("stats_object_id"), "stats_object_id", "left_anti")
 
 
+def require_matched(audit: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Action: fails where the filter passed an id that no record has; else the audit itself."""
+    lost = unmatched_passes(audit, accepted).agg(F.count("*").alias("n"), F.min("stats_object_id").alias("one")).first()
+    if lost["n"]:
+        raise ValueError(f"{lost['n']} passed ids match no record, such as {lost['one']}")
+    return audit
+
+
 def audit_summary(audit: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s)
     d = audit.agg(

@@ -16,14 +16,26 @@ def _one():
 
 
 
+def _usable() -> Column:
+    dust = C.to_double("ebv_mw")
+    return F.coalesce(C.to_double("abs_b_deg").between(0, 90) & dust.isNotNull() & (F.abs(dust) < float("inf")), F.lit(False))
+
+
+def excluded_objects(objects: DataFrame) -> DataFrame:
+    """One row: objects, and those that loss counts leave out for want of a latitude or an E(B-V)."""
+    return objects.agg(F.count("*").alias("n_objects"), F.count_if(_usable()).alias("n_used"), F.count_if(~_usable()).alias("n_excluded"))
+
+
 def loss_counts(colours: DataFrame, objects: DataFrame, seen: DataFrame, band1: str, band2: str, system: str = "lsst") -> DataFrame:
     """Per object: bins with a colour, within depth, and within depth behind dust; every object has a row.
 
+    Objects without a latitude or an E(B-V) are left out (see excluded_objects); a negative E(B-V) stops the query.
+
     colours: event_id, sel1, sel2, color, m5_1, m5_2; objects: event_id, abs_b_deg, ebv_mw; seen: event_id of saved rows.
     The attenuation joins the per-event sums only through the events' own rows, so the population is shuffled once.
     """
     own = "lsst" if system == "ps1" else system
-    dust = objects.select(
+    dust = objects.where(_usable()).select(
         "event_id", "abs_b_deg", "ebv_mw",
         C.attenuation("ebv_mw", F.lit(own), F.lit(band1)).alias("a1"), C.attenuation("ebv_mw", F.lit(own), F.lit(band2)).alias("a2"),
     )

@@ -24,6 +24,11 @@ def counts(spark, sf):
     return L.loss_counts(E.with_depths(c, R.depths(spark, sf), "g", "r"), R.objects(spark, sf), lc, "g", "r")
 
 
+@query("excluded_objects", "N1", f"WITH {S.OBJ} SELECT count(*) AS n_objects, count(*) FILTER (abs_b_deg BETWEEN 0 AND 90 AND isfinite(ebv_mw)) AS n_used, count(*) FILTER (coalesce(abs_b_deg NOT BETWEEN 0 AND 90 OR NOT isfinite(ebv_mw), true)) AS n_excluded FROM obj")
+def _(spark, sf):
+    return L.excluded_objects(R.objects(spark, sf))
+
+
 @query("loss_counts_per_event", "N1 C12 D3", f"WITH {COUNTS} SELECT event_id, b AS N_bins_baseline, n AS N_bins_m5_no_mw, w AS N_bins_m5_with_mw, seen AS has_saved_rows, b > 0 AS has_any_baseline, w > 0 AS has_any_m5_with_mw, b - n AS N_bins_lost_m5_only, n - w AS N_bins_lost_additional_mw_given_m5, b - w AS N_bins_lost_combined FROM ev")
 def _(spark, sf):
     return counts(spark, sf).select("event_id", "N_bins_baseline", "N_bins_m5_no_mw", "N_bins_m5_with_mw", "has_saved_rows", "has_any_baseline", "has_any_m5_with_mw", "N_bins_lost_m5_only", "N_bins_lost_additional_mw_given_m5", "N_bins_lost_combined")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from skyhue.functions import columns as C
-from skyhue.operators import broker, curves, selection, survey
+from skyhue.operators import broker, curves, latitude, selection, survey
 from skyhue.operators.grid import TimeGrid
 from skyhue.sources import readers, staging
 
@@ -123,3 +123,23 @@ def test_a_cluster_needs_a_shared_folder():
         staging.folder(Session)
     Session.sparkContext.master = "local[8]"
     assert staging.folder(Session)
+
+
+def test_objects_without_dust_or_latitude_are_left_out_and_counted(spark):
+    nan = float("nan")
+    o = spark.createDataFrame([(1, 10.0, 0.1), (2, nan, 0.1), (3, 10.0, None), (4, 95.0, 0.1)], "event_id int, abs_b_deg double, ebv_mw double")
+    c = spark.createDataFrame([(i, 20.0, 20.0, 0.0, 25.0, 25.0) for i in (1, 2, 3, 4)], "event_id int, sel1 double, sel2 double, color double, m5_1 double, m5_2 double")
+    got = latitude.loss_counts(c, o, c, "g", "r").collect()
+    assert [(r.event_id, r.N_bins_baseline, r.N_bins_m5_with_mw) for r in got] == [(1, 1, 1)]
+    assert tuple(latitude.excluded_objects(o).first()) == (4, 1, 3)
+    with pytest.raises(PySparkException, match="invalid attenuation"):
+        latitude.loss_counts(c, o.where("event_id = 1").selectExpr("event_id", "abs_b_deg", "-ebv_mw AS ebv_mw"), c, "g", "r").collect()
+
+
+def test_passes_that_match_no_record_are_an_error(spark):
+    files = spark.createDataFrame([(1, "1", 1, 1)], "file_index bigint, object_id string, n_rows int, n_valid_points int")
+    known = broker.filter_statistics(spark.createDataFrame([("1", "3")], "objectid string, n_passed_filter string"), "objectid")
+    more = broker.filter_statistics(spark.createDataFrame([("1", "3"), ("77", "1")], "objectid string, n_passed_filter string"), "objectid")
+    assert broker.require_matched(broker.efficiency_audit(files, known, 0, 3), known).count() == 4
+    with pytest.raises(ValueError, match="77"):
+        broker.require_matched(broker.efficiency_audit(files, more, 0, 3), more)
