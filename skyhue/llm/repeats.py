@@ -213,12 +213,15 @@ def repeated_spans(docs: DataFrame, text: str = "text", span: int = SPAN, gram:
     kind = base.schema["tk"].dataType.simpleString()
     found = staged(_anchored(base, span, gram))
     often = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2")).where("n > 1")
-    rows = staged(found.join(often.select("anchor", (F.col("c1") != F.col("c2")).alias("differ")), "anchor"))
+    # written first: a join whose sides are both read anew is split by adaptive execution where an anchor has very many rows
+    often = staged(often.select("anchor", (F.col("c1") != F.col("c2")).alias("differ")))
+    rows = staged(found.join(often, "anchor"))
     times = rows.groupBy("anchor", "ctx").agg(F.count("*").alias("times"), F.max("differ").alias("differ"), F.min(F.struct("tk", "s1", "s2", "p")).alias("at"))
     times = staged(times)
     whole = rows.join(times.where("times > 1").select("anchor", "ctx"), ["anchor", "ctx"]).select("tk", F.col("s1").alias("s"), (F.col("s2") + span).alias("e"))
     # anchors with some stretch that occurs once, and another one
-    groups = times.where("differ").groupBy("anchor").agg(F.count("*").alias("k"), F.min("times").alias("least")).where("least = 1").select("anchor", (F.col("k") > GROUP).alias("big"))
+    groups = times.where("differ").groupBy("anchor").agg(F.count("*").alias("k"), F.min("times").alias("least")).where("least = 1")
+    groups = staged(groups.select("anchor", (F.col("k") > GROUP).alias("big")))
     parts = times.where("differ").join(groups, "anchor").select("at.tk", F.struct("anchor", "big", (F.col("times") == 1).alias("single"), "at.s1", "at.s2", "at.p").alias("part"))
     parts = parts.groupBy("tk").agg(F.collect_list("part").alias("parts"))  # as many as a text has stretches
     texts = base.join(parts.select("tk"), "tk", "left_semi").groupBy("tk").agg(F.first("text").alias("text"))
