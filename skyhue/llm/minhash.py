@@ -260,7 +260,8 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def _named(members: DataFrame, roots: DataFrame, sig: DataFrame, least: int) -> DataFrame:
     """Likeliest pairs (a, b) across components within the bands."""
     at = staged(_rooted(members.select("bucket", "n", "cls"), roots))
-    several = at.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
+    # written first, so that adaptive execution can split the join where a band has very many members
+    several = staged(at.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket"))
     part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / MEMBERS))
     rest = at.join(several, "bucket").join(sig, "cls").select(F.xxhash64("bucket", part).alias("grp"), "cls", "root", "sig")
     return rest.repartition("grp").sortWithinPartitions("grp").mapInArrow(_likeliest(least), "a binary, b binary").distinct()
@@ -273,7 +274,7 @@ def _exact(families: DataFrame, roots: DataFrame, sig: DataFrame, sets: DataFram
     at = staged(_rooted(family, roots))
     sizes = at.groupBy("family", "root").agg(F.count("*").alias("n"))
     several = sizes.groupBy("family").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("k > 1")
-    several = several.select("family", F.col("most.root").alias("main"), F.ceil(F.col("most.n") / WHOLE).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("most.n")) / WHOLE).cast("int").alias("others"))
+    several = staged(several.select("family", F.col("most.root").alias("main"), F.ceil(F.col("most.n") / WHOLE).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("most.n")) / WHOLE).cast("int").alias("others")))  # written first, as above
     # those of the largest component are dealt to blocks; each of its blocks meets each block of the others, and these meet each other
     rows = at.join(several, "family").withColumn("in_main", F.col("root") == F.col("main")).withColumn("own", F.pmod(F.xxhash64("cls"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     meets = F.when(F.col("in_main"), F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(o.alias("o"), F.col("own").alias("m"), F.lit(1).alias("side"))))
