@@ -33,7 +33,7 @@ END = 0xFF  # no byte of UTF-8
 #: Words of at least 1 / FREQUENT of all training tokens go along with the tasks: at most FREQUENT of them. Counts of the others are joined.
 FREQUENT = 1 << 22
 END_TOKEN = np.uint64(0x2545F4914F6CDD1D)
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Strings that a task of learning handles, about.
 TASK_STRINGS = 1 << 18
 
