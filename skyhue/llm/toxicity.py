@@ -109,8 +109,11 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     held = words(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     bare = F.transform(held, lambda w: F.regexp_replace(w, "[^a-z]", ""))
     any_of = lambda names: F.arrays_overlap(bare, F.array(*(F.lit(n) for n in names)))
-    marked = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("toxic")), "id").where("text IS NOT NULL AND toxic IS NOT NULL")
     place = F.md5(F.col("id").cast("string"))
+    # the sample is drawn from the labels, so texts of other documents never move; SAMPLE rows of three numbers bound what is broadcast
+    drawn = labels.select(F.col(id).cast("long").alias("id"), F.col(label).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
+    drawn = staged(drawn.orderBy(place, "id", "toxic").limit(SAMPLE))
+    marked = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(drawn), "id")
     sample = marked.orderBy(place, "id", "toxic", F.xxhash64("text")).limit(SAMPLE)
     sample = sample.select((F.conv(F.substring(place, 1, 4), 16, 10).cast("int") % FOLDS).alias("fold"), "toxic", ((F.col("toxic") == 1) & any_of(INSULTS)).alias("insult"), ((F.col("toxic") == 1) & any_of(CONTEMPT)).alias("contempt"), "text")
     sample = staged(sample.repartition(16))
