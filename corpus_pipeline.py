@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from skyhue.llm import bpe, line_quality, minhash, mixing, repeats
 from skyhue.llm.tables import staged, table
 
+#: Bytes of a repeated passage, and of the strings that name its anchors. 51 words of the four languages' prose nearly always reach PASSAGE.
+PASSAGE, PASSAGE_GRAM = 200, 64
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the depletion rule keep, without the lines that too many documents of their source share."""
@@ -27,9 +30,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated strings of 400 bytes."""
+    """Texts without their repeated strings of PASSAGE bytes."""
     columns = docs.columns
-    return repeats.without_repeats(docs, add=("kept_text",)).withColumnRenamed("kept_text", "text").select(*(f"`{c}`" for c in columns))
+    return repeats.without_repeats(docs, add=("kept_text",), span=PASSAGE, gram=PASSAGE_GRAM).withColumnRenamed("kept_text", "text").select(*(f"`{c}`" for c in columns))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

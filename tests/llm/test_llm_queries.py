@@ -70,6 +70,21 @@ def test_pipeline_against_brute_force(spark):
     assert all(r.decoded_sha256 == hashlib.sha256(own.decode(list(r.ids))).hexdigest() for r in kept[names[4]])
 
 
+def test_pipeline_takes_out_passages_of_just_over_50_words(spark):
+    """Documents that share one passage of 51 to 65 words and are different otherwise."""
+    lengths = range(51, 66, 2)
+    shared = [cases.prose(2000 + n, n) for n in lengths]
+    assert all(corpus_pipeline.PASSAGE <= len(p) < 400 for p in shared)
+    rows = [(10 * n + k, f"{cases.prose(3000 + 10 * n + k, 90)} {p} {cases.prose(4000 + 10 * n + k, 90)}", "en", "ab"[k]) for n, p in zip(lengths, shared) for k in (0, 1)]
+    docs = cases.documents(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = corpus_pipeline.staged(stage(spark, docs, SF))
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert len(left) == len(rows)
+    for n, p in zip(lengths, shared):
+        assert all(p not in left[10 * n + k] and len(WORD.findall(left[10 * n + k])) <= 181 for k in (0, 1)), n
+
+
 def test_pipeline_of_no_rows(spark):
     docs = cases.empty(spark)
     for _, stage in corpus_pipeline.STAGES:
