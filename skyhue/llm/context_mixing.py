@@ -1,32 +1,38 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
+"""Language-model scores by logistic mixing of bit predictors of several orders.
 
-A text is its bytes and an end symbol; every byte is eight binary decisions. For each decision there is a predictor for each order 0 to ORDERS - 1: counts of
-zeros and ones in a slot that a hash of the last bytes and of the bits so far names. The predictors' log odds are combined by weights that a gate
+A text is its bytes and an end symbol; every byte is eight binary decisions. For each decision there is a predictor for each order 0 to ORDERS - 1: how many
+zeros and ones came in training after the same last bytes and the same bits so far (a node). The predictors' log odds are combined by weights that a gate
 picks (the bit's place, and the longest context seen before), and the result is refined by a table that adapts, for each partial byte, what the mix says to what came.
 
-How that is learnt from a whole corpus: counts of strings of ORDERS bytes come from all training texts and are summed by Spark. Slots, weights and the refining
-table are worked out from those counts, each string weighing as often as it occurs. An online learner predicts before it counts; so here every
-string is predicted from slots without one occurrence of itself. Weights are learnt online within a task, one batch of strings after the other, and the
-tasks' weights are averaged, over a few rounds. Slots have a fixed number, so what reaches the driver and the tasks is bounded whatever the corpus holds.
+How that is learnt from a whole corpus: counts of strings of ORDERS bytes come from all training texts and are summed by Spark. Nodes are rows of tables, one table
+an order, that grow with the corpus: a row is a string of a context and a byte, named by its bytes themselves, not by a hash, with the counts of the eight nodes on
+the byte's path. No two contexts share counts, and neither the driver nor a task holds a table whole. Each order's rows are joined to those of the next one, so that every different
+string has its nodes of all orders; strings of texts that are only scored take part with a count of 0.
 
-Once learnt, a decision depends on ORDERS bytes alone, so a block of texts works out every different string once.
+An online learner predicts before it counts; so here every string is predicted from nodes without one occurrence of itself. Weights are learnt online within a task, one
+batch of strings after the other, and the tasks' weights are averaged, over a few rounds. Weights and the refining table are parameters of the mix, of fixed size.
+
+Once learnt, a decision depends on ORDERS bytes alone. Texts are dealt to parts; the different strings of each part are joined to their log probabilities and
+meet the part's texts again.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyhue.llm import arrow_text as A
 from skyhue.llm.tables import ship, staged, text_key
 
-#: Bytes that a decision depends on, the predicted one included; slots as a power of two; rounds of learning.
-ORDERS, SLOT_BITS, ROUNDS = 5, 22, 3
+#: Bytes that a decision depends on, the predicted one included (at most 7, so that codes are positive longs); rounds of learning.
+ORDERS, ROUNDS = 6, 3
 BATCH, RATE = 1 << 13, 0.4
 STEPS = 33  # of the refining table
 END = 0xFF  # no byte of UTF-8
@@ -34,11 +40,11 @@ END = 0xFF  # no byte of UTF-8
 FREQUENT = 1 << 22
 END_TOKEN = np.uint64(0x2545F4914F6CDD1D)
 BLOCK = 1 << 20
-#: Strings that a task of learning handles, about.
-TASK_STRINGS = 1 << 18
-
-_MULTIPLY = np.uint64(0x9FB21C651E98DF25)
-_NODE = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes of text of a part, about; a longer text is a part of its own.
+PART = 3 << 24
+#: Counts are kept in 16 bits: as they are up to EXACT, then in steps of 1 / STEPS_E of their logarithm (to 1e13).
+EXACT, STEPS_E = 32_768, 1600
+LEVELS = np.concatenate([np.arange(EXACT), EXACT * np.exp(np.arange(65_536 - EXACT) / STEPS_E)]).astype(np.float32)
 
 
 def strings(block: A.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -60,15 +66,18 @@ def strings(block: A.Block) -> tuple[np.ndarray, np.ndarray]:
     return code, bounds
 
 
-def decisions(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """For each bit, from the highest: its place, partial byte before it, the bit, and the slot of each order."""
+def levels(n: np.ndarray) -> np.ndarray:
+    """Places in LEVELS of counts."""
+    steps = EXACT + np.round(np.log(np.maximum(n, EXACT) / EXACT) * STEPS_E)
+    return np.where(n < EXACT, n, np.minimum(steps, 65_535)).astype(np.uint16)
+
+
+def decisions(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each bit, from the highest: its place, partial byte before it, and the bit."""
     last = codes & np.uint64(0xFF)
-    bases = [A.mixed(((codes >> np.uint64(8)) & np.uint64((1 << 8 * k) - 1)) + np.uint64(k << 40)) for k in range(ORDERS)]
     for j in range(8):
         node = (last >> np.uint64(8 - j)) | np.uint64(1 << j)
-        bit = ((last >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int8)
-        step = node * _NODE
-        yield j, node.astype(np.int64), bit, [(((b ^ step) * _MULTIPLY) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for b in bases]
+        yield j, node.astype(np.int64), ((last >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int8)
 
 
 def odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -76,13 +85,14 @@ def odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.log((n1 + 0.3) / (n0 + 0.3)).astype(np.float32)
 
 
-def inputs(slots: list[np.ndarray], n0: np.ndarray, n1: np.ndarray, bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Of each decision: log odds by order and a constant, and the longest context seen before. With bit: without one occurrence of the decision."""
-    x = np.empty((len(slots[0]), ORDERS + 1), dtype=np.float32)
+def inputs(nodes: np.ndarray, bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each decision, from the counts of its nodes (rows x ORDERS x 2): log odds by order and a constant, and the longest context seen before.
+    With bit: without one occurrence of the decision."""
+    x = np.empty((len(nodes), ORDERS + 1), dtype=np.float32)
     x[:, ORDERS] = 0.3
-    seen = np.zeros(len(slots[0]), dtype=np.int64)
-    for k, s in enumerate(slots):
-        a, b = n0[s], n1[s]
+    seen = np.zeros(len(nodes), dtype=np.int64)
+    for k in range(ORDERS):
+        a, b = LEVELS[nodes[:, k, 0]], LEVELS[nodes[:, k, 1]]
         if bit is not None:
             a, b = np.maximum(a - (bit == 0), 0), np.maximum(b - (bit == 1), 0)
         x[:, k] = odds(a, b)
@@ -114,32 +124,53 @@ def _at(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, place - low
 
 
+def _log10(codes: np.ndarray, nodes: np.ndarray, weights: np.ndarray, refine: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(codes))
+    for j, node, bit in decisions(codes):
+        x, seen = inputs(nodes[:, :, j], None)
+        z = mix(x, gate(j, seen), weights)
+        low, part = _at(z)
+        refined = refine[node, low] * (1 - part) + refine[node, low + 1] * part
+        z = (z + refined) / 2
+        total -= np.logaddexp(0, np.where(bit == 1, -z, z))
+    return total / np.log(10)
+
+
 @dataclass
 class Model:
-    n0: np.ndarray
-    n1: np.ndarray
+    grams: DataFrame  # code, n
+    rows: DataFrame  # code, n, nodes
     weights: np.ndarray
     refine: np.ndarray  # log odds by partial byte and step
 
+    def costs(self, rows: DataFrame | None = None) -> DataFrame:
+        """code, cost: log10 probability of the last byte of each string, given the others."""
+        weights, refine = self.weights, self.refine
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for codes, _, nodes in _rows(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(_log10(codes, nodes, weights, refine).astype(np.float32))], ["code", "cost"])
+
+        return (self.rows if rows is None else rows).mapInArrow(run, "code bigint, cost float")
+
     def log10(self, codes: np.ndarray) -> np.ndarray:
-        """Log10 probability of the last byte of each string, given the others."""
-        total = np.zeros(len(codes))
-        for j, node, bit, slots in decisions(codes):
-            x, seen = inputs(slots, self.n0, self.n1, None)
-            z = mix(x, gate(j, seen), self.weights)
-            low, part = _at(z)
-            refined = self.refine[node, low] * (1 - part) + self.refine[node, low + 1] * part
-            z = (z + refined) / 2
-            total -= np.logaddexp(0, np.where(bit == 1, -z, z))
-        return total / np.log(10)
+        """The same of a few strings, seen or not, brought to the driver."""
+        asked = self.grams.sparkSession.createDataFrame(pa.table({"code": np.unique(codes).view(np.int64)}))
+        grams = self.grams.unionByName(asked.withColumn("n", F.lit(0).cast("long"))).groupBy("code").agg(F.sum("n").alias("n"))
+        got = self.costs(nodes_of(grams).join(asked, "code", "left_semi")).toArrow()
+        at = got.column("code").to_numpy().view(np.uint64)
+        order = np.argsort(at)
+        return got.column("cost").to_numpy().astype(np.float64)[order][np.searchsorted(at[order], codes)]
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """Training texts (text) -> kind (0: words, and the end as a token; 1: strings of bytes), code, n. Each task combines what it has read."""
+def _split(docs: DataFrame) -> DataFrame:
+    """docs (id, held_out, tk, text) -> kind, part, code, n, and the columns of docs. Kind 0: words of training texts, and their end as a token; 1: strings of bytes of a
+    part, n being how often they stand in its training texts; 2: the part's texts. Each task combines what it has read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-        rows = 0
+        rows = size = made = 0
+        task = TaskContext.get().partitionId() << 32
 
         def combine(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
             codes = np.concatenate([p[0] for p in parts])
@@ -148,74 +179,131 @@ def counts(docs: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
             return codes[first], np.add.reduceat(n, first)
 
+        def flush(kind: int) -> Iterator[pa.RecordBatch]:
+            parts, held[kind] = held[kind], []
+            if parts:
+                codes, n = combine(parts)
+                for at in range(0, len(codes), 1 << 16):
+                    some = codes[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(some), kind, dtype=np.int8)), pa.array(np.full(len(some), task + made)), pa.array(some.view(np.int64)), pa.array(n[at : at + (1 << 16)].astype(np.int64)),
+                         *(pa.nulls(len(some), t) for t in types)],
+                        [*names],
+                    )
+
         for block in A.blocks(batches, "text", BLOCK):
-            rows += block.rows.num_rows
-            for kind, codes in enumerate((A.word_hashes(block, A.words(block)), strings(block)[0])):
+            columns = [block.rows.column(block.rows.schema.get_field_index(c)) for c in docs_names]
+            types, count = [c.type for c in columns], block.rows.num_rows
+            if size and size + len(block.data) > PART:
+                yield from flush(1)
+                made, size = made + 1, 0
+            size += len(block.data)
+            train = ~columns[docs_names.index("held_out")].to_numpy(zero_copy_only=False).astype(bool)
+            rows += int(train.sum())
+            w = A.words(block)
+            codes, bounds = strings(block)
+            for kind, (codes, counted) in enumerate(((A.word_hashes(block, w)[train[w.row]], None), (codes, np.repeat(train, np.diff(bounds))))):
                 if len(codes):
-                    held[kind].append(np.unique(codes, return_counts=True))
+                    unique, where, times = np.unique(codes, return_inverse=True, return_counts=True)
+                    held[kind].append((unique, times if counted is None else np.bincount(where, counted, len(unique)).astype(np.int64)))
                 if len(held[kind]) >= 8:
                     held[kind] = [combine(held[kind])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(count, 2, dtype=np.int8)), pa.array(np.full(count, task + made)), pa.nulls(count, pa.int64()), pa.nulls(count, pa.int64()), *columns], [*names])
         if rows:
             held[0].append((np.array([END_TOKEN]), np.array([rows])))
-        for kind, parts in enumerate(held):
-            if parts:
-                codes, n = combine(parts)
-                for at in range(0, len(codes), 1 << 16):
-                    some = codes[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, dtype=np.int8)), pa.array(some.view(np.int64)), pa.array(n[at : at + (1 << 16)].astype(np.int64))], ["kind", "code", "n"])
+        for kind in (0, 1):
+            yield from flush(kind)
 
-    return docs.mapInArrow(run, "kind tinyint, code bigint, n bigint").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+    docs_names = docs.columns
+    names = ["kind", "part", "code", "n", *docs_names]
+    return docs.mapInArrow(run, ", ".join(["kind tinyint, part bigint, code bigint, n bigint", *(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)]))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in batches:
-        if batch.num_rows:
-            yield batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64)
-
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.where("kind < 2").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
-def slot_counts(found: DataFrame, tasks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of all slots, summed by Spark; 2 ** SLOT_BITS rows at most reach the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << SLOT_BITS))
-        for codes, n in _pairs(batches):
-            for _, _, bit, slots in decisions(codes):
-                for s in slots:
-                    for k in (0, 1):
-                        at = bit == k
-                        np.add.at(total[k], s[at], n[at])
-        used = np.flatnonzero(total.sum(axis=0))
-        for at in range(0, len(used), 1 << 16):
-            some = used[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(total[k, some]) for k in (0, 1))], ["slot", "n0", "n1"])
-
-    # strings with the same last bytes in one task, so that slots of short contexts are summed there
-    summed = found.select("code", "n").repartition(tasks, F.col("code").bitwiseAND(F.lit(0xFFFF))).mapInArrow(run, "slot int, n0 double, n1 double")
-    table = summed.groupBy("slot").agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1")).toArrow()
-    n0, n1 = np.zeros(1 << SLOT_BITS, dtype=np.float32), np.zeros(1 << SLOT_BITS, dtype=np.float32)
-    at = table.column("slot").to_numpy()
-    n0[at], n1[at] = table.column("n0").to_numpy(), table.column("n1").to_numpy()
-    return n0, n1
-
-
-def _learnt(found: DataFrame, n0, n1, weights: np.ndarray) -> np.ndarray:
+def counts(docs: DataFrame) -> DataFrame:
+    """Training texts (text) -> kind (0: words, and the end as a token; 1: strings of bytes), code, n."""
+    return _summed(_split(docs.select(F.lit(False).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))))
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (code, n) of one order, sorted by code, a context's in one task -> code, n, own: zeros and ones of the eight nodes on the last byte's path."""
+
+    def done(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        sums, path = np.r_[0, np.cumsum(n)], np.empty((9, len(codes)), dtype=np.int64)
+        for j in range(9):  # strings that agree up to the j-th bit of the last byte stand together
+            node = codes >> np.uint64(8 - j)
+            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            ends = np.r_[first[1:], len(codes)]
+            path[j] = np.repeat(sums[ends] - sums[first], ends - first)
+        own = np.empty((len(codes), 8, 2), dtype=np.uint16)
+        for j, _, bit in decisions(codes):
+            same, other = levels(path[j + 1]), levels(path[j] - path[j + 1])
+            own[:, j, 0], own[:, j, 1] = np.where(bit == 0, same, other), np.where(bit == 1, same, other)
+        offsets = pa.py_buffer(np.arange(0, 32 * len(codes) + 1, 32, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n), pa.Array.from_buffers(pa.binary(), len(codes), [None, offsets, pa.py_buffer(own)])], ["code", "n", "own"])
+
+    codes, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        codes, n = np.concatenate([codes, batch.column(0).to_numpy().view(np.uint64)]), np.concatenate([n, batch.column(1).to_numpy()])
+        if len(codes):
+            whole = int(np.searchsorted(codes >> np.uint64(8), codes[-1] >> np.uint64(8)))  # the last context may go on: at most 256 rows
+            if whole:
+                yield done(codes[:whole], n[:whole])
+            codes, n = codes[whole:], n[whole:]
+    if len(codes):
+        yield done(codes, n)
+
+
+def nodes_of(grams: DataFrame) -> DataFrame:
+    """Strings (code, n) -> code, n, nodes: counts of the nodes of every order, from 0 on."""
+    orders = [grams]
+    for k in range(ORDERS - 2, -1, -1):
+        last = F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        orders.append(staged(orders[-1].groupBy(last.alias("code")).agg(F.sum("n").alias("n"))))
+    have = None
+    for k, rows in enumerate(reversed(orders)):
+        dealt = rows.select("code", "n").repartition(F.shiftright("code", 8)).sortWithinPartitions("code")
+        own = dealt.mapInArrow(_paths, "code bigint, n bigint, own binary")
+        if have is None:
+            have = own.withColumnRenamed("own", "nodes")
+        else:
+            shorter = have.select(F.col("code").alias("last"), "nodes")
+            own = own.withColumn("last", F.col("code").bitwiseAND(F.lit((1 << 8 * k) - 1)))
+            have = own.join(shorter, "last").select("code", "n", F.concat("nodes", "own").alias("nodes"))
+        if k < ORDERS - 1:
+            have = staged(have)
+    return have
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows (code, n, nodes), BATCH at a time: codes, counts, and nodes (rows x ORDERS x 8 x 2)."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, BATCH):
+            batch = whole.slice(at, BATCH)
+            nodes = batch.column(2)
+            start = np.frombuffer(nodes.buffers()[1], dtype=np.int32)[nodes.offset]
+            held = np.frombuffer(nodes.buffers()[2], dtype=np.uint16, count=len(nodes) * ORDERS * 16, offset=int(start))
+            yield batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64), held.reshape(-1, ORDERS, 8, 2)
+
+
+def _learnt(found: DataFrame, weights: np.ndarray) -> np.ndarray:
     """One round: every task starts from the weights and learns online; their results are averaged by what each gate has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, square, mass = weights.copy(), np.full(weights.shape, 1e-3), np.zeros(GATES)
-        zeros, ones = n0.value, n1.value
-        for codes, n in _pairs(batches):
-            for at in range(0, len(codes), BATCH):
-                some, times = codes[at : at + BATCH], n[at : at + BATCH]
-                for j, _, bit, slots in decisions(some):
-                    x, seen = inputs(slots, zeros, ones, bit)
-                    g = gate(j, seen)
-                    miss = times * (bit - squash(mix(x, g, w)))
-                    per = np.bincount(g, times, GATES)
-                    step = np.stack([np.bincount(g, miss * x[:, k], GATES) for k in range(x.shape[1])], axis=1) / np.maximum(per, 1)[:, None]
-                    square += step * step
-                    w += RATE * step / np.sqrt(square)
-                    mass += per
+        for some, times, nodes in _rows(batches):
+            for j, _, bit in decisions(some):
+                x, seen = inputs(nodes[:, :, j], bit)
+                g = gate(j, seen)
+                miss = times * (bit - squash(mix(x, g, w)))
+                per = np.bincount(g, times, GATES)
+                step = np.stack([np.bincount(g, miss * x[:, k], GATES) for k in range(x.shape[1])], axis=1) / np.maximum(per, 1)[:, None]
+                square += step * step
+                w += RATE * step / np.sqrt(square)
+                mass += per
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES, dtype=np.int32)), pa.array(mass), pa.array(list(w * mass[:, None]), pa.list_(pa.float64()))], ["gate", "mass", "w"])
 
     parts = found.mapInArrow(run, "gate int, mass double, w array<double>").groupBy("gate").agg(F.sum("mass").alias("mass"), *(F.sum(F.col("w")[k]).alias(f"w{k}") for k in range(ORDERS + 1)))
@@ -226,19 +314,18 @@ def _learnt(found: DataFrame, n0, n1, weights: np.ndarray) -> np.ndarray:
     return new
 
 
-def _refined(found: DataFrame, n0, n1, weights: np.ndarray) -> np.ndarray:
+def _refined(found: DataFrame, weights: np.ndarray) -> np.ndarray:
     """What came, by partial byte and what the mix said."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 256 * STEPS))
-        for codes, n in _pairs(batches):
-            for at in range(0, len(codes), BATCH):
-                for j, node, bit, slots in decisions(codes[at : at + BATCH]):
-                    x, seen = inputs(slots, n0.value, n1.value, bit)
-                    low, part = _at(mix(x, gate(j, seen), weights))
-                    for to, share in ((low, 1 - part), (low + 1, part)):
-                        for k in (0, 1):
-                            total[k] += np.bincount(node * STEPS + to, n[at : at + BATCH] * share * (bit == k), 256 * STEPS)
+        for codes, n, nodes in _rows(batches):
+            for j, node, bit in decisions(codes):
+                x, seen = inputs(nodes[:, :, j], bit)
+                low, part = _at(mix(x, gate(j, seen), weights))
+                for to, share in ((low, 1 - part), (low + 1, part)):
+                    for k in (0, 1):
+                        total[k] += np.bincount(node * STEPS + to, n * share * (bit == k), 256 * STEPS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256 * STEPS, dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], ["cell", "n0", "n1"])
 
     centre = np.tile(np.linspace(-12, 12, STEPS), 256)
@@ -249,32 +336,31 @@ def _refined(found: DataFrame, n0, n1, weights: np.ndarray) -> np.ndarray:
 
 
 def learn(found: DataFrame) -> Model:
-    """From counts (see `counts`, staged)."""
-    spark = found.sparkSession
+    """From counts (see `counts`, staged). Strings with a count of 0 are there to be scored."""
     grams = found.where("kind = 1").select("code", "n")
-    tasks = max(1, -(-grams.count() // TASK_STRINGS))
-    n0, n1 = slot_counts(grams, tasks)
-    weights = np.full((GATES, ORDERS + 1), 0.3)
-    b0, b1 = spark.sparkContext.broadcast(n0), spark.sparkContext.broadcast(n1)  # 2 ** SLOT_BITS floats each
-    rows = staged(grams.repartition(tasks, F.xxhash64("code")))
+    # dealt by a join already; in no order, as weights are learnt online
+    rows = staged(nodes_of(grams).sortWithinPartitions(F.xxhash64("code")))
+    weights, seen = np.full((GATES, ORDERS + 1), 0.3), rows.where("n > 0")
     for _ in range(ROUNDS):
-        weights = _learnt(rows, b0, b1, weights)
-    return Model(n0, n1, weights, _refined(rows, b0, b1, weights))
+        weights = _learnt(seen, weights)
+    return Model(grams, rows, weights, _refined(seen, weights))
 
 
 def scored(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Learns from the rows where held_out (a Boolean column of docs) is false. Tokens: words with A-Z in lower case, then one end. base_score sums
     log10((c + 1) / (N + V + 1)) over tokens: c is the token's count, N that of all, V of different ones in training. score is the model's log10 probability of the
-    text's bytes and its end. Equal words are told by 64-bit hashes.
+    text's bytes and its end, bits_per_byte the same in bits over the number of the bytes (null without bytes). Equal words are told by 64-bit hashes.
 
     Null texts are empty: just the end. Rows that repeat one another count as often in training, and each gets the same scores. No training rows: N and V are
     0, and every decision is even odds. An empty table gives no rows. Further columns are ignored.
     """
     ship(docs.sparkSession)
     base = docs.select(F.col(id).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = staged(counts(base.where("NOT held_out").select("text")))
+    base = base.select("id", "held_out", text_key("text").alias("tk"), "text")
+    parts = staged(_split(base))
+    found = staged(_summed(parts))
     total = found.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
     model = learn(found)
@@ -283,34 +369,40 @@ def scored(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text") ->
     order = np.argsort(codes)
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast((codes[order], np.log10(often.column("n").to_numpy()[order] + 1.0)))
-    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, (frequent, logs) = shared.value, known.value
-        for block in A.blocks(batches, "text", BLOCK):
-            rows = block.rows.num_rows
-            w = A.words(block)
-            h = np.concatenate([A.word_hashes(block, w), np.full(rows, END_TOKEN)])
-            row = np.concatenate([w.row, np.arange(rows)])
-            at = np.minimum(np.searchsorted(frequent, h), max(0, len(frequent) - 1))
-            hit = frequent[at] == h if len(frequent) else np.zeros(len(h), dtype=bool)
-            part = np.bincount(row[hit], logs[at[hit]], rows) if len(frequent) else np.zeros(rows)
-            order = np.argsort(row[~hit], kind="stable")
-            rare, rare_row = h[~hit][order], row[~hit][order]
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare_row, np.arange(rows + 1)).astype(np.int32)), pa.array(rare.view(np.int64)))
-            text_codes, bounds = strings(block)
-            unique, where = np.unique(text_codes, return_inverse=True)
-            cost = np.concatenate([[0.0], lm.log10(unique)[where]])
-            score = np.add.reduceat(cost[1:], bounds[:-1]) if rows else cost[:0]
-            column = lambda c: block.rows.column(block.rows.schema.get_field_index(c))
-            yield pa.RecordBatch.from_arrays(
-                [column("id"), column("held_out"), column("tk"), pa.array(w.count + 1), pa.array(np.bincount(row[hit], minlength=rows)), pa.array(part), pa.array(score), lists],
-                ["id", "held_out", "tk", "n_tokens", "known", "logs", "score", "rare"],
-            )
+    def one(block: A.Block, code: np.ndarray, cost: np.ndarray) -> pa.RecordBatch:
+        frequent, logs = known.value
+        rows = block.rows.num_rows
+        w = A.words(block)
+        h = np.concatenate([A.word_hashes(block, w), np.full(rows, END_TOKEN)])
+        row = np.concatenate([w.row, np.arange(rows)])
+        at = np.minimum(np.searchsorted(frequent, h), max(0, len(frequent) - 1))
+        hit = frequent[at] == h if len(frequent) else np.zeros(len(h), dtype=bool)
+        part = np.bincount(row[hit], logs[at[hit]], rows) if len(frequent) else np.zeros(rows)
+        order = np.argsort(row[~hit], kind="stable")
+        rare, rare_row = h[~hit][order], row[~hit][order]
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare_row, np.arange(rows + 1)).astype(np.int32)), pa.array(rare.view(np.int64)))
+        text_codes, bounds = strings(block)
+        unique, where = np.unique(text_codes, return_inverse=True)
+        score = np.add.reduceat(cost[np.searchsorted(code, unique)][where], bounds[:-1])
+        column = lambda c: block.rows.column(block.rows.schema.get_field_index(c))
+        return pa.RecordBatch.from_arrays(
+            [column("id"), column("held_out"), column("tk"), pa.array(np.diff(block.offsets)), pa.array(w.count + 1), pa.array(np.bincount(row[hit], minlength=rows)), pa.array(part), pa.array(score), lists],
+            ["id", "held_out", "tk", "n_bytes", "n_tokens", "known", "logs", "score", "rare"],
+        )
+
+    def run(texts: pa.Table, costs: pa.Table) -> pa.Table:
+        code, cost = costs.column("code").to_numpy().view(np.uint64), costs.column("cost").to_numpy().astype(np.float64)
+        order = np.argsort(code)
+        code, cost = code[order], cost[order]
+        return pa.Table.from_batches([one(block, code, cost) for block in A.blocks(iter(texts.to_batches()), "text", BLOCK)])
 
-    base = base.select("id", "held_out", text_key("text").alias("tk"), "text")
     kinds = {f.name: f.dataType.simpleString() for f in base.schema}
-    rows = staged(base.mapInArrow(run, f"id {kinds['id']}, held_out boolean, tk {kinds['tk']}, n_tokens bigint, known bigint, logs double, score double, rare array<bigint>"))
+    texts = parts.where("kind = 2").select("part", "id", "held_out", "tk", "text").groupBy("part")
+    # a text has its end at least, so each part has texts and strings
+    costs = parts.where("kind = 1").select(F.col("part").alias("of"), "code").join(model.costs(), "code").groupBy("of")
+    schema = f"id {kinds['id']}, held_out boolean, tk {kinds['tk']}, n_bytes bigint, n_tokens bigint, known bigint, logs double, score double, rare array<bigint>"
+    rows = staged(texts.cogroup(costs).applyInArrow(run, schema))
     # words that aren't frequent: their counts are joined; of texts that repeat, all copies' words are summed, then shared out
     words = rows.select("tk", F.explode("rare").alias("code")).groupBy("tk", "code").agg(F.count("*").alias("times"))
     rare = words.join(found.where("kind = 0").select("code", "n"), "code").groupBy("tk").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"), F.sum("times").alias("more_known"))
@@ -320,4 +412,5 @@ def scored(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text") ->
     return out.select(
         F.col("id").alias(id), "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score",
+        F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -354,3 +354,31 @@ def test_scores_without_training_rows(spark):
     row = context_mixing.scored(df, F.lit(True)).first()
     assert row.train_tokens == 0 and row.n_known == 0 and row.base_score == 0 and abs(row.score - 24 * math.log10(0.5)) < 2
     assert context_mixing.scored(cases.empty(spark), F.lit(False)).count() == 0
+
+
+def test_counts_of_nodes_are_exact_and_grow_with_the_corpus(spark):
+    r = random.Random(12)
+    rows = [(i, "".join(r.choice("abcdeé ") for _ in range(150)), "en", "s") for i in range(40)]
+    df = cases.documents(spark, rows).select("text")
+    model = context_mixing.learn(context_mixing.staged(context_mixing.counts(df)))
+    width = context_mixing.ORDERS
+    strings = collections.Counter(b[i - width : i] for t in (x[1] for x in rows) for b in [b"\0" * (width - 1) + t.encode() + b"\xff"] for i in range(width, len(b) + 1))
+    got = {x.code: (x.n, bytes(x.nodes)) for x in model.rows.collect()}
+    assert {k: n for k, (n, _) in got.items()} == {int.from_bytes(k, "big"): n for k, n in strings.items()}
+    for key in r.sample(sorted(strings), 200):
+        nodes = memoryview(got[int.from_bytes(key, "big")][1]).cast("H")
+        for k in range(width):
+            same = [(s[-1], n) for s, n in strings.items() if s[width - 1 - k : -1] == key[width - 1 - k : -1]]
+            for j in range(8):
+                at = [0, 0]
+                for last, n in same:
+                    if last >> (8 - j) == key[-1] >> (8 - j):
+                        at[last >> (7 - j) & 1] += n
+                assert list(nodes[16 * k + 2 * j : 16 * k + 2 * j + 2]) == at
+
+
+def test_bits_per_byte(spark):
+    rows = [(i, cases.prose(i % 30, 80), "en", "s") for i in range(60)] + [(100, "", "en", "s"), (101, None, "en", "s")]
+    for x in context_mixing.scored(cases.documents(spark, rows), F.col("doc_id") % 3 == 0).collect():
+        size = len((dict((i, t) for i, t, *_ in rows)[x.doc_id] or "").encode())
+        assert x.bits_per_byte is None if not size else abs(x.bits_per_byte + x.score / math.log10(2) / size) < 1e-9
