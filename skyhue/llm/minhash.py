@@ -2,8 +2,8 @@
 
 Each text gives its distinct word shingles, and each of many random orders of shingles their minimum. Only the low bits of the minima are kept,
 packed into a few longs; the minima themselves go, four at a time, into band hashes. Texts that share a band are candidates. Counting equal
-low bits estimates the similarity, corrected for low bits that agree by chance; candidates whose estimate is several standard errors under the
-threshold go, and the rest are confirmed on the full sets of shingles.
+low bits estimates the similarity, corrected for low bits that agree by chance; candidates whose estimate a pair at the threshold would hardly ever
+have (MISSED) go, and the rest are confirmed on the full sets of shingles.
 
 How the work stays linear where thousands of texts share a band:
 
@@ -31,8 +31,8 @@ from skyhue.llm.tables import ship, staged, text_key
 
 BANDS, ROWS, BITS = 32, 4, 2
 MINIMA = BANDS * ROWS
-#: Standard errors under the threshold at which an estimate rules a pair out.
-ERRORS = 5.0
+#: Chance, by the exact binomial tail, under which an estimate may rule out a pair that stands at the threshold.
+MISSED = 1e-10
 #: Members of a band or family that one block holds: of signatures, and of full sets.
 MEMBERS, WHOLE = 2048, 384
 #: How many likeliest partners each member of a band names before the exact step.
@@ -130,10 +130,13 @@ def estimate(equal: np.ndarray | float) -> np.ndarray | float:
 
 
 def least_equal(percent: int) -> int:
-    """Equal low-bit groups that a pair at the threshold falls short of only beyond ERRORS standard errors."""
+    """Equal low-bit groups that a pair at the threshold falls short of with a chance under MISSED."""
     chance = 1 / (1 << BITS)
     p = chance + (1 - chance) * percent / 100
-    return math.floor(MINIMA * p - ERRORS * math.sqrt(MINIMA * p * (1 - p)))
+    least, tail = 0, 0.0
+    while (tail := tail + math.comb(MINIMA, least) * p**least * (1 - p) ** (MINIMA - least)) < MISSED:
+        least += 1
+    return least
 
 
 def _equal(a, b):

@@ -126,6 +126,14 @@ def test_estimate_is_corrected_for_chance():
     assert minhash.estimate(1.0) == 1 and abs(minhash.estimate(0.25)) < 1e-12
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_estimates_hardly_ever_rule_out_a_pair_at_the_threshold(percent):
+    least = minhash.least_equal(percent)
+    p = 0.25 + 0.75 * percent / 100
+    below = sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(least))
+    assert 0 < below < 1e-10
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, 3), (3, 9), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
