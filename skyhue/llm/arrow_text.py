@@ -84,13 +84,14 @@ class Words:
     count: np.ndarray
 
 
-def words(block: Block) -> Words:
+def words(block: Block, outside: np.ndarray = WHITE) -> Words:
+    """outside: for each byte, whether it stands between words."""
     n, rows = len(block.data), len(block.offsets) - 1
     if not n:
         none = np.zeros(0, dtype=np.int64)
         return Words(none, none, none, np.zeros(rows, dtype=np.int64))
     inside = np.zeros(n + 1, dtype=bool)
-    inside[:n] = ~WHITE[block.data]
+    inside[:n] = ~outside[block.data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = block.offsets[:-1]

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyhue.llm import bpe, context_mixing, curves_ann, language, line_quality, minhash, mixing, repeats, toxicity, warc
+from skyhue.llm import bpe, context_mixing, curves_ann, divergence, importance, language, line_quality, minhash, mixing, repeats, reply_trees, toxicity, warc
 from skyhue.llm.sql import SQL
-from skyhue.llm.tables import table
+from skyhue.llm.tables import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -91,4 +91,33 @@ def op10_language_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(docs.select("doc_id", out.alias("held_out"), "text"), known)
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source of a language is from the language's others, and the terms that set it apart from the language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of every document towards the benchmark's texts, and the ranks of those drawn."""
+    found = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_reply_tree_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, formatted, written and read back as turns and as what is learnt from."""
+    control = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)
+    messages = staged(reply_trees.chains(rows))
+    chosen = reply_trees.paths(messages, branches=1, score=F.length("text"), name="conversation")
+    chats = staged(reply_trees.formatted(chosen)).select("name", "segments", reply_trees.whole_text(F.col("segments")).alias("chat"))
+    read = chats.select("name", "chat", reply_trees.turns(F.col("chat")).alias("turns"), F.array_join(reply_trees.learnt(F.col("segments")), "").alias("loss"))
+    all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("name").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(all_turns.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("chat").cast("long").alias("formatted_chars"),
+    )
+
+
 __all__ = ["QUERIES", "SQL"]
