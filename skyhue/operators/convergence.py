@@ -33,7 +33,8 @@ def subset_values(values: DataFrame, population: DataFrame, seeds: list[int], si
 
 
 def _tabulate(values: DataFrame, keys: list[str], percents, method: str) -> DataFrame:
-    return exact_quantiles(values, [*keys, "bin_index"], "color", list(percents), method, "N_available", "q")
+    percents = percents if isinstance(percents, DataFrame) else list(percents)
+    return exact_quantiles(values, [*keys, "bin_index"], "color", percents, method, "N_available", "q")
 
 
 def _runs(spark, seeds, sizes) -> DataFrame:
@@ -71,13 +72,23 @@ def profiles(
 
 def envelope_profiles(
     values: DataFrame, population: DataFrame, grid: TimeGrid, seeds: list[int], sizes: list[int], low: float = 1.0,
-    allow_degenerate: bool = False, method: str = "select",
+    allow_degenerate: bool = False, method: str = "select", bounds: DataFrame | None = None,
 ) -> DataFrame:
-    """One interval per bin that ends at its first invalid bin."""
-    got, runs = _with_full(values, population, seeds, sizes, (low, 50.0, 100.0 - low), method)
-    d = runs.crossJoin(F.broadcast(grid.frame(values.sparkSession))).join(got, RUN + ["bin_index"], "left")
+    """One interval per bin that ends at its first invalid bin.
+
+    bounds: a reference profile (bin_index, valid, low_percentile). Every subset's percentiles are then those of the reference at that bin, where it is
+    valid; ``low`` holds elsewhere.
+    """
+    bins = grid.frame(values.sparkSession).withColumn("low", F.lit(float(low)))
+    percents = (low, 50.0, 100.0 - low)
+    if bounds is not None:
+        given = bounds.where("valid").select("bin_index", F.col("low_percentile").cast("double").alias("__given"))
+        bins = bins.join(given, "bin_index", "left").withColumn("low", F.coalesce("__given", "low")).drop("__given")
+        percents = bins.select("bin_index", F.array(F.col("low"), F.lit(50.0), 100.0 - F.col("low")).alias("percents"))
+    got, runs = _with_full(values, population, seeds, sizes, percents, method)
+    d = runs.crossJoin(bins).join(got, RUN + ["bin_index"], "left")
     some = F.col("q").isNotNull()
-    usable = some if (low < 50 or allow_degenerate) else F.lit(False)
+    usable = some if allow_degenerate else some & (F.col("low") < 50)
     w = W.partitionBy(*RUN).orderBy("bin_index").rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*RUN).orderBy("bin_index").rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("__ok", usable).withColumns({
@@ -89,7 +100,7 @@ def envelope_profiles(
         F.when(~F.col("__open"), "after_first_invalid_bin").when(~some, "insufficient_events")
         .when(~usable, "degenerate_p50_p50_excluded").otherwise("valid").alias("status"),
         F.when(F.col("__open"), F.coalesce("N_available", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("N_available"),
-        F.when(v, F.lit(low)).alias("low_percentile"), F.when(v, F.lit(100.0 - low)).alias("high_percentile"),
+        F.when(v, F.col("low")).alias("low_percentile"), F.when(v, 100.0 - F.col("low")).alias("high_percentile"),
         *[F.when(v, F.col("q")[i]).alias(c) for i, c in enumerate(COMPONENTS)],
     )
 

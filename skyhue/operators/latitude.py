@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from skyhue.functions import columns as C
+from skyhue.functions import checks, columns as C
 
 COMPONENTS = ("m5_only", "additional_mw_given_m5", "combined")
 WILSON_Z = 1.959963984540054
@@ -229,8 +231,9 @@ def outcomes(events: DataFrame) -> DataFrame:
 
 
 def paired_bins(events: DataFrame, bin_column: str, lower: str) -> DataFrame:
-    """Counts, rates and ratios to the lowest bin."""
-    o = outcomes(events).groupBy(bin_column, lower).agg(
+    """Counts, rates and ratios to the lowest bin, of events with counts or of ``paired_outcomes``."""
+    d = events if {"baseline", "m5_loss", "mw_loss"} <= set(events.columns) else outcomes(events)
+    o = d.groupBy(bin_column, lower).agg(
         F.count_if("baseline").alias("n_baseline"), F.count_if("m5_loss").alias("n_m5_loss"), F.count_if("mw_loss").alias("n_mw_loss")
     ).withColumn("n_total_loss", F.col("n_m5_loss") + F.col("n_mw_loss"))
     w = _one().orderBy(lower).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -239,6 +242,51 @@ def paired_bins(events: DataFrame, bin_column: str, lower: str) -> DataFrame:
     return o.withColumns({f"ratio_{k}": F.try_divide(F.col(f"rate_{k}"), F.first(f"rate_{k}").over(w)) for k in ("m5_loss", "mw_loss", "total_loss")})
 
 
+PAIRED_COLUMNS = ("event_id", "abs_b_deg", "N_bins_baseline", "N_bins_m5_no_mw", "N_bins_m5_with_mw")
+EDGE = 1e-8
+
+
+def paired_outcomes(bins: list[tuple[float, float, DataFrame]], minimum_bins: int = 4) -> DataFrame:
+    """event_id, bin_index, lower_deg, upper_deg, baseline, m5_loss, mw_loss from one table for each latitude bin (lower, upper, table) of the same events.
+
+    Intervals lie in 0 to 90 degrees and join without a gap; each table has PAIRED_COLUMNS, finite numbers with N_with_mw <= N_no_mw <= N_baseline,
+    latitudes inside its interval (open above, but closed at 90), and every event once. What can be told from the arguments raises at the call, the rest stops the
+    query: all tables go through one aggregate by event, which counts the event's rows in each bin and keeps its outcomes.
+    """
+    if len(bins) < minimum_bins:
+        raise ValueError(f"need at least {minimum_bins} latitude bins")
+    bins = sorted(bins, key=lambda b: b[0])
+    for lower, upper, table in bins:
+        if not 0.0 <= lower < upper <= 90.0:
+            raise ValueError(f"no latitude interval: [{lower}, {upper})")
+        checks.require_columns(table, *PAIRED_COLUMNS)
+    for (_, upper, _), (lower, _, _) in zip(bins, bins[1:]):
+        if abs(upper - lower) > EDGE:
+            raise ValueError(f"latitude bins must join: one ends at {upper}, the next begins at {lower}")
+    parts = []
+    for k, (lower, upper, table) in enumerate(bins):
+        d = table.select(F.col("event_id"), *[C.to_double(c).alias(c) for c in PAIRED_COLUMNS[1:]])
+        b, n0, n1, n2 = (F.col(c) for c in PAIRED_COLUMNS[1:])
+        here = f"[{lower:g}, {upper:g}"
+        known = F.col("event_id").isNotNull()
+        for c in (b, n0, n1, n2):
+            known = known & c.isNotNull() & (F.abs(c) < float("inf"))
+        d = checks.guard_rows(d, known, f"empty event_id or number in the table of {here}")
+        d = checks.guard_rows(d, (n2 <= n1) & (n1 <= n0), f"expected N_bins_m5_with_mw <= N_bins_m5_no_mw <= N_bins_baseline in {here}")
+        above = b <= upper + EDGE if upper > 90.0 - EDGE else b < upper + EDGE
+        d = checks.guard_rows(d, (b >= lower - EDGE) & above, F.concat(F.lit(f"an object of {here} lies at "), b.cast("string")))
+        parts.append(outcomes(d).select("event_id", F.lit(k).alias("bin_index"), F.struct("baseline", "m5_loss", "mw_loss").alias("o")))
+    per = reduce(DataFrame.unionByName, parts).groupBy("event_id")
+    at = [F.col("bin_index") == k for k in range(len(bins))]
+    d = per.agg(*[F.count_if(a).alias(f"n{k}") for k, a in enumerate(at)], *[F.max(F.when(a, F.col("o"))).alias(f"o{k}") for k, a in enumerate(at)])
+    for k, (lower, upper, _) in enumerate(bins):
+        text = F.concat(F.lit("event "), F.col("event_id").cast("string"))
+        d = checks.guard_rows(d, F.col(f"n{k}") > 0, F.concat(text, F.lit(f" is missing from [{lower:g}, {upper:g}")))
+        d = checks.guard_rows(d, F.col(f"n{k}") == 1, F.concat(text, F.lit(f" is repeated in [{lower:g}, {upper:g}")))
+    rows = F.array(*[F.struct(F.lit(k).alias("bin_index"), F.lit(float(lo)).alias("lower_deg"), F.lit(float(up)).alias("upper_deg"), F.col(f"o{k}").alias("o")) for k, (lo, up, _) in enumerate(bins)])
+    return d.select("event_id", F.explode(rows).alias("r")).select("event_id", "r.bin_index", "r.lower_deg", "r.upper_deg", "r.o.*")
+
+
 def paired_table(bins: DataFrame, plateau: DataFrame, lower: str) -> DataFrame:
     """Percent table of paired bins: rate, ratio, reduction, plateau mark."""
     return bins.crossJoin(F.broadcast(plateau)).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skyhue.functions import columns as C
+from skyhue.functions import checks, columns as C
 from skyhue.operators.curves import trim_after_last
 
 
@@ -102,6 +102,18 @@ def sky_quality(rows: DataFrame, ra: str, dec: str, ebv: str | None = None) -> D
     return rows.agg(*aggs)
 
 
+def checked_sky(rows: DataFrame, ra: str, dec: str, ebv: str | None = None) -> DataFrame:
+    """The rows with right ascension, declination and extinction as numbers, the first folded into [0, 360). A position that isn't finite, a declination
+    outside +-90 or an extinction that is negative or not finite stops the query."""
+    finite = lambda c: C.to_double(c).isNotNull() & (F.abs(C.to_double(c)) < float("inf"))
+    d = checks.guard_rows(rows, finite(ra) & finite(dec), "sky positions must be finite")
+    d = checks.guard_rows(d, F.abs(C.to_double(dec)) <= 90, F.concat(F.lit("declination outside [-90, 90]: "), F.col(dec).cast("string")))
+    if ebv:
+        d = checks.guard_rows(d, finite(ebv) & (C.to_double(ebv) >= 0), F.concat(F.lit("E(B-V) must be finite and not negative: "), F.coalesce(F.col(ebv).cast("string"), F.lit("null"))))
+    out = {ra: F.pmod(C.to_double(ra), F.lit(360.0)), dec: C.to_double(dec)}
+    return d.withColumns(out | ({ebv: C.to_double(ebv)} if ebv else {}))
+
+
 def with_parameters(objects: DataFrame, required: list[str], optional: list[str] = (), key: str = "event_id", tie: list[str] = ()) -> DataFrame:
     """First row per key, objects lacking a required number dropped, absent optional numbers added as NULL."""
     have = objects.columns

@@ -8,7 +8,8 @@ from skyhue.operators import cells, curves, envelope as E, snia as SN
 from skyhue.plans import light_curves, roles as R, shared_sql as S
 from skyhue.plans.output import tidy
 from skyhue.plans.registry import query
-from skyhue.sources.staging import materialize
+from skyhue.sources import population as loading, readers
+from skyhue.sources.staging import folder, materialize
 
 G = R.GRID
 
@@ -35,6 +36,34 @@ def _(spark, sf):
     return tidy(colours(spark, sf))
 
 
+def _shard(moved: bool):
+    """Shard of a point: events by parity, and of some events a part of the rows in the other one."""
+    home = F.pmod("event_id", F.lit(2))
+    away = (F.pmod("event_id", F.lit(50)) == 7) & (F.pmod("row_id", F.lit(2)) == 1) if moved else F.lit(False)
+    return F.when(away, 1 - home).otherwise(home).alias("shard")
+
+
+def sharded(spark, sf, moved: bool):
+    """The points written to two shards and read back with the shard each came from."""
+    path = folder(spark)
+    R.lightcurves(spark, sf, ("g", "r")).select("*", _shard(moved)).drop("row_id").write.partitionBy("shard").parquet(path)
+    d = readers.lightcurves(spark, path, source=True)
+    return d.withColumn("source_file", F.regexp_extract("source_file", "(shard=\\d+)", 1))
+
+
+@query("population_load_report", "K1 A11 F10 F5", f"""WITH {S.LC}, {S.OBJ}, f AS (SELECT event_id, count(*) AS n, min(s) AS a, max(s) AS b FROM (SELECT event_id, 'shard=' || CASE WHEN event_id % 50 = 7 AND row_id % 2 = 1 THEN 1 - event_id % 2 ELSE event_id % 2 END AS s FROM lc WHERE band IN ('g', 'r')) GROUP BY event_id)
+ SELECT coalesce(f.event_id, obj.event_id) AS event_id, CASE WHEN f.event_id IS NULL THEN 'missing' WHEN a <> b THEN 'in_several_files' WHEN obj.event_id IS NULL THEN 'not_expected' ELSE 'loaded' END AS status, coalesce(n, 0) AS n_rows, a AS first_file, b AS last_file
+ FROM f FULL JOIN obj ON f.event_id = obj.event_id""")
+def _(spark, sf):
+    return loading.load_report(sharded(spark, sf, True), R.objects(spark, sf))
+
+
+@query("population_from_shards", "K1 A11", f"WITH {S.COL}, {S.OBJ} SELECT event_id, bin_index, {S.r6('mag1 mag2 color')} FROM col WHERE event_id IN (SELECT event_id FROM obj)")
+def _(spark, sf):
+    d = loading.load(sharded(spark, sf, False), R.objects(spark, sf))
+    return tidy(E.population_colours(d, G, "g", "r"), "event_id", "bin_index", "mag1", "mag2", "color")
+
+
 @query("population_colours_second_system", "K1 D3 K21", f"""WITH {S.DUAL}, {S.GRID}, {S.at_centres('dual')} SELECT event_id, bin_index, round(max(mag) FILTER (photometric_system = 'ps1' AND band = 'g'), 6) + 0.0 AS mag1,
  round(max(mag) FILTER (photometric_system = 'lsst' AND band = 'g'), 6) + 0.0 AS sel1, round(max(mag) FILTER (photometric_system = 'ps1' AND band = 'g') - max(mag) FILTER (photometric_system = 'ps1' AND band = 'r'), 6) + 0.0 AS color
  FROM atc WHERE band IN ('g', 'r') GROUP BY ALL""")

@@ -8,6 +8,7 @@ from skyhue.operators import envelope as E, latitude as L
 from skyhue.plans import roles as R, shared_sql as S
 from skyhue.plans.output import tidy
 from skyhue.plans.registry import query
+from skyhue.sources.staging import materialize
 
 CUTS = [float(c) for c in range(5, 71)]
 MOVING = [5.0, 10.0, 15.0, 20.0, 25.0, 30.0, 40.0, 50.0]
@@ -106,6 +107,23 @@ def _(spark, sf):
     return tidy(paired(spark, sf))
 
 
+def _tables_sql(name: str) -> str:
+    """The same objects at half their latitude and, without dust, at that much above 45 degrees."""
+    return f"""{name}0 AS (SELECT 0 AS lat_bin, 0e0 AS lower_deg, b > 0 AS base, b > 0 AND n = 0 AS l5, b > 0 AND n > 0 AND w = 0 AS lw FROM ev UNION ALL SELECT 1, 45e0, b > 0, b > 0 AND n = 0, false FROM ev),
+ {name} AS (SELECT lat_bin, lower_deg, count(*) FILTER (base) AS n_baseline, count(*) FILTER (l5) AS n_m5_loss, count(*) FILTER (lw) AS n_mw_loss, count(*) FILTER (l5 OR lw) AS n_total_loss FROM {name}0 GROUP BY ALL)"""
+
+
+@query("paired_latitude_tables", "N6 F14 H9", f"""WITH {COUNTS}, {_tables_sql('tb')}, rt AS (SELECT *, n_m5_loss::DOUBLE / nullif(n_baseline, 0) AS rate_m5_loss, n_mw_loss::DOUBLE / nullif(n_baseline, 0) AS rate_mw_loss, n_total_loss::DOUBLE / nullif(n_baseline, 0) AS rate_total_loss FROM tb)
+ SELECT lat_bin AS bin_index, lower_deg, n_baseline, n_m5_loss, n_mw_loss, n_total_loss, {S.r6('rate_m5_loss rate_mw_loss rate_total_loss')}, round(rate_m5_loss / nullif(first_value(rate_m5_loss) OVER w, 0), 6) + 0.0 AS ratio_m5_loss,
+ round(rate_mw_loss / nullif(first_value(rate_mw_loss) OVER w, 0), 6) + 0.0 AS ratio_mw_loss, round(rate_total_loss / nullif(first_value(rate_total_loss) OVER w, 0), 6) + 0.0 AS ratio_total_loss FROM rt WINDOW w AS (ORDER BY lower_deg ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def _(spark, sf):
+    c = materialize(counts(spark, sf))
+    half = F.col("abs_b_deg") / 2
+    low, high = c.withColumn("abs_b_deg", F.least(half, F.lit(44.999))), c.withColumns({"abs_b_deg": half + 45, "N_bins_m5_with_mw": F.col("N_bins_m5_no_mw")})
+    o = L.paired_outcomes([(45.0, 90.0, high), (0.0, 45.0, low)], minimum_bins=2)
+    return tidy(L.paired_bins(o, "bin_index", "lower_deg"))
+
+
 @query("relative_plateau", "N7 H8", f"WITH {PAIRED} SELECT {S.r6('plateau_deg level deviation')} FROM pl")
 def _(spark, sf):
     return tidy(L.plateau_relative(paired(spark, sf), "lat_bin", "lower_deg", "ratio_m5_loss", 0.5, 3))

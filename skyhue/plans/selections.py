@@ -110,6 +110,12 @@ def _(spark, sf):
     return selection.sky_quality(f, "ra0_deg", "dec0_deg", "ebv_mw")
 
 
+@query("checked_sky_positions", "D14", f"WITH {S.FIELDS} SELECT field_index, {S.r6('ra0_deg dec0_deg ebv_mw')} FROM fields")
+def _(spark, sf):
+    f = R.fields(spark, sf)
+    return tidy(selection.checked_sky(f.withColumn("ra0_deg", F.col("ra0_deg") - 720), "ra0_deg", "dec0_deg", "ebv_mw"), "field_index", "ra0_deg", "dec0_deg", "ebv_mw")
+
+
 @query("required_parameters", "D15 G11", """SELECT o_custkey AS event_id, round(min_by(o_totalprice, o_orderkey), 6) + 0.0 AS distance, CAST(NULL AS DOUBLE) AS beta FROM orders
  GROUP BY o_custkey HAVING min_by(o_orderstatus, o_orderkey) <> 'P'""")
 def _(spark, sf):
@@ -128,7 +134,7 @@ def _(spark, sf):
     return R.lightcurves(spark, sf).groupBy("band").agg(F.count_distinct("event_id").alias("n_objects"))
 
 
-@query("band_counts_as_columns", "G12", f"WITH {S.LC} SELECT event_id, {', '.join(f'''count(*) FILTER (band = '{b}') AS {b}''' for b in 'griz')} FROM lc GROUP BY event_id")
+@query("band_counts_as_columns", "G12", f"WITH {S.LC} SELECT event_id, {', '.join(f'''count(*) FILTER (band = '{b}') AS {b}''' for b in ALLOWED)} FROM lc GROUP BY event_id")
 def _(spark, sf):
     d = R.lightcurves(spark, sf).groupBy("event_id").pivot("band", list(ALLOWED)).count().na.fill(0)
     return d.select("event_id", *ALLOWED)
@@ -187,6 +193,19 @@ def _(spark, sf):
     return checks.unmatched_keys(R.objects(spark, sf), R.lightcurves(spark, sf), "event_id")
 
 
+@query("object_curve_one_to_one", "F3", f"WITH {S.LC}, {S.OBJ} SELECT event_id, population, n, round(mag_min, 6) + 0.0 AS mag_min FROM obj JOIN (SELECT event_id, count(*) AS n, min(mag) AS mag_min FROM lc GROUP BY event_id) USING (event_id)")
+def _(spark, sf):
+    per = R.lightcurves(spark, sf).groupBy("event_id").agg(F.count("*").alias("n"), F.min("mag").alias("mag_min"))
+    return tidy(checks.one_to_one(R.objects(spark, sf).select("event_id", "population"), per, "event_id"))
+
+
+@query("curves_of_known_objects", "F14 F5", f"WITH {S.LC}, {S.OBJ} SELECT event_id, count(*) AS n FROM lc WHERE event_id IN (SELECT event_id FROM obj) GROUP BY event_id")
+def _(spark, sf):
+    known = R.objects(spark, sf).select("event_id").join(R.lightcurves(spark, sf).select("event_id"), "event_id", "left_semi")
+    lc = R.lightcurves(spark, sf).select("event_id").join(R.objects(spark, sf).select("event_id"), "event_id", "left_semi")
+    return checks.guard_same_keys(lc, known, "event_id").groupBy("event_id").agg(F.count("*").alias("n"))
+
+
 @query("object_metadata_join", "F2", f"WITH {S.LC}, {S.OBJ} SELECT population, count(*) AS n, round(avg(mag * ebv_mw), 6) + 0.0 AS m FROM lc LEFT JOIN obj USING (event_id) GROUP BY population")
 def _(spark, sf):
     o = checks.require_unique(R.objects(spark, sf).select("event_id", "population", "ebv_mw"), "event_id")

@@ -57,7 +57,6 @@ ENVP = MEMBERS + """, eq AS (SELECT repetition, sample_size, bin_index, count(*)
 
 
 def envelope_profile(spark, sf):
-    # one bin is emptied, so that the interval ends before the grid does
     c = envelopes.settled_colours(spark, sf)
     return materialize(V.envelope_profiles(c, population(spark, sf), G, SEEDS, SIZES))
 
@@ -67,6 +66,21 @@ def _(spark, sf):
     return tidy(envelope_profile(spark, sf), "repetition", "sample_size", "bin_index", "valid", "status", "N_available", "color_min", "color_median", "color_max")
 
 
+_LOW = "(CASE WHEN bin_index % 7 = 6 THEN 1e0 ELSE [1e0, 5e0, 16e0][1 + bin_index % 3] END)"
+_BOUNDED = ENVP.replace("quantile_cont(color, [1e-2, 5e-1, 99e-2]) AS qs", "quantile_cont(color, [1e-2, 5e-2, 16e-2, 5e-1, 84e-2, 95e-2, 99e-2]) AS qs")
+for _i in (1, 3):  # the pair of each bin among the percentiles
+    _BOUNDED = _BOUNDED.replace(f"qs[{_i}]", f"qs[CASE {_LOW} WHEN 1 THEN {(1, 7)[_i > 1]} WHEN 5 THEN {(2, 6)[_i > 1]} ELSE {(3, 5)[_i > 1]} END]")
+_BOUNDED = _BOUNDED.replace("qs[2] END AS color_median", "qs[4] END AS color_median")
+
+
+@query("reference_percentile_profiles", "L2 G3", f"WITH {_BOUNDED} SELECT repetition, sample_size, bin_index, valid, status, N_available, CASE WHEN valid THEN {_LOW} END AS low_percentile, CASE WHEN valid THEN 100 - {_LOW} END AS high_percentile, {S.r6('color_min color_median color_max')} FROM envp")
+def _(spark, sf):
+    """Subsets at the percentiles of a reference that takes another pair in each bin, and isn't valid in some."""
+    bins = G.frame(spark).select("bin_index", (F.col("bin_index") % 7 != 6).alias("valid"), F.element_at(F.array(F.lit(1.0), F.lit(5.0), F.lit(16.0)), F.col("bin_index") % 3 + 1).alias("low_percentile"))
+    d = V.envelope_profiles(envelopes.settled_colours(spark, sf), population(spark, sf), G, SEEDS, SIZES, bounds=bins)
+    return tidy(d, "repetition", "sample_size", "bin_index", "valid", "status", "N_available", "low_percentile", "high_percentile", "color_min", "color_median", "color_max")
+
+
 EPS = "71e-16 * greatest(1e0, abs({v}), abs({r}))"
 
 

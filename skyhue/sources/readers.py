@@ -18,12 +18,14 @@ VISIT_ALIASES = {
 ID_ALIASES = ("event_id", "objectid", "i")
 
 
-def lightcurves(spark: SparkSession, path: str, bands=None, systems=None, event_ids: DataFrame | None = None) -> DataFrame:
+def lightcurves(spark: SparkSession, path: str, bands=None, systems=None, event_ids: DataFrame | None = None, source: bool = False) -> DataFrame:
     """Long light curves from Parquet. Band and system are stored normalised, so both filters are pushed to the scan.
 
-    A file set without a photometric system is lsst.
+    A file set without a photometric system is lsst. ``source`` adds the path of each row's file (see ``population``).
     """
     d = spark.read.parquet(path)
+    if source:
+        d = d.select("*", F.col("_metadata.file_path").alias("source_file"))
     require_columns(d, "event_id", "t_days", "band", "mag")
     if "photometric_system" not in d.columns:
         d = d.withColumn("photometric_system", F.lit("lsst"))
@@ -33,7 +35,7 @@ def lightcurves(spark: SparkSession, path: str, bands=None, systems=None, event_
         d = d.where(F.col("photometric_system").isin(list(systems)))
     if event_ids is not None:
         d = d.join(event_ids.select("event_id"), "event_id", "left_semi")
-    optional = [c for c in ("objectid", "candidate_id", "time_mjd") if c in d.columns]
+    optional = [c for c in ("objectid", "candidate_id", "time_mjd", "source_file") if c in d.columns]
     return d.select("event_id", "photometric_system", "band", C.to_double("t_days").alias("t_days"), C.to_double("mag").alias("mag"), *optional)
 
 
