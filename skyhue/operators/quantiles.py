@@ -70,7 +70,8 @@ def _brackets(src, keys, percents, accuracy) -> tuple[DataFrame, str, str]:
         fractions = "transform(percents, p -> p / 100.0D)"
         on = [k for k in keys if k in percents.columns]
         asked = percents.select(*on, F.expr(f"array_sort(array_distinct({fractions}))").alias("__p"), F.expr(fractions).alias("__q"))
-        low, high = f"cast(floor(p * {STEPS}) AS int) - 1", f"cast(ceil(p * {STEPS}) AS int) + 1"
+        margin = 1 + -(-2 * STEPS // accuracy)  # more steps than the sketch may be off by
+        low, high = f"cast(floor(p * {STEPS}) AS int) - {margin}", f"cast(ceil(p * {STEPS}) AS int) + {margin}"
         lows = f"transform(__p, p -> if(__n <= {accuracy} OR {low} < 0, {MINUS}, try_element_at(__e, {low} + 1)))"
         highs = f"transform(__p, p -> if(__n <= {accuracy} OR {high} > {STEPS}, {PLUS}, try_element_at(__e, {high} + 1)))"
         got = _on(sketch, asked, on).select(*keys, "__n", "__p", "__q", F.expr(lows).alias("__lo"), F.expr(highs).alias("__hi"))
