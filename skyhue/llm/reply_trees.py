@@ -44,8 +44,8 @@ def chains(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", r
 def paths(messages: DataFrame, branches: int | None = 1, id: str = "id", parent: str = "parent", role: str = "role", text: str = "text", score: Column | None = None, name: str | None = None) -> DataFrame:
     """The chosen root-to-leaf paths of reply trees, a row for each of their messages: tree, branch (from 1), leaf, place (from 0), message, name, role, text.
 
-    Each round of self-joins doubles how far a message sees towards its root, and adds up the scores on the way: after log2(depth) rounds each knows its root,
-    depth and the sum. A tree's leaves are ranked by mean score along their path (ties: deeper first, then the smaller message number), and the best
+    Each round of self-joins doubles how far a message that hasn't met its root sees towards it, and adds up the scores on the way: after log2(depth) rounds each
+    knows its root, depth and the sum. A tree's leaves are ranked by mean score along their path (ties: deeper first, then the smaller message number), and the best
     `branches` of them chosen, all if None (branch is null then). Chosen paths are unfolded by the same links, longest first, so that no more rows are made than paths have messages.
 
     score: of a message, 0 if not given or null. name: a column of messages to carry along, null if not given. `message` and `leaf` are numbers given to rows here; `tree` is the root's. A message without
@@ -58,33 +58,25 @@ def paths(messages: DataFrame, branches: int | None = 1, id: str = "id", parent:
     rows = staged(plain.withColumn("message", F.monotonically_increasing_id()))
     told = F.min(F.struct("role", "text", "score", "message"))["message"]
     first = rows.where("id IS NOT NULL").groupBy("id").agg(told.alias("up"))
-    links = rows.select("message", "parent", "score").join(first.withColumnRenamed("id", "parent"), "parent", "left")
-    seen = [staged(links.select("message", "up", F.lit(1).cast("long").alias("steps"), "score"))]
+    told_parent = rows.select("message", "parent", "score").where("parent IS NOT NULL").join(first.withColumnRenamed("id", "parent"), "parent", "left").drop("parent")
+    links = told_parent.unionByName(rows.where("parent IS NULL").select("message", F.lit(None).cast("long").alias("up"), "score"))
+    root = F.when(F.col("up").isNull(), F.col("message")).alias("tree")
+    seen = [staged(links.select("message", "up", F.lit(1).cast("long").alias("steps"), "score", root))]
     count, reach = rows.count(), 1
-    # seen[k]: the message 2^k steps up, null if the root is nearer; steps and score: of the messages from here to before that one
+    # seen[k]: the message 2^k steps up, or null and the tree where the root is nearer; steps and score: of the messages from here to before that one
     while reach <= count and not seen[-1].where("up IS NOT NULL").isEmpty():
-        now = seen[-1]
-        far = now.select(F.col("message").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more_steps"), F.col("score").alias("more"))
-        more = F.coalesce(F.col("more_steps"), F.lit(0))
-        seen.append(staged(now.join(far, "up", "left").select("message", F.col("next").alias("up"), (F.col("steps") + more).alias("steps"), (F.col("score") + F.coalesce(F.col("more"), F.lit(0.0))).alias("score"))))
+        far = seen[-1].select(F.col("message").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more_steps"), F.col("score").alias("more"), F.col("tree").alias("found"))
+        on = seen[-1].where("up IS NOT NULL").drop("tree").join(far, "up")
+        on = on.select("message", F.col("next").alias("up"), (F.col("steps") + F.col("more_steps")).alias("steps"), (F.col("score") + F.col("more")).alias("score"), F.col("found").alias("tree"))
+        seen.append(staged(seen[-1].where("up IS NULL").unionByName(on)))
         reach *= 2
-    chosen = _chosen(rows, links, seen, branches)
+    chosen = _chosen(links, seen[-1], branches)
     return _unfolded(chosen, seen).join(rows.select("message", "name", "role", "text"), "message").select("tree", "branch", "leaf", "place", "message", "name", "role", "text")
 
 
-def _roots(start: DataFrame, seen: list[DataFrame]) -> DataFrame:
-    """Adds tree to rows of messages: from each, the farthest link that doesn't pass the root is followed, then the next shorter one."""
-    at = start.withColumn("tree", F.col("message"))
-    for table in reversed(seen[:-1]):
-        up = table.where("up IS NOT NULL").select(F.col("message").alias("tree"), "up")
-        at = at.join(up, "tree", "left").withColumn("tree", F.coalesce(F.col("up"), F.col("tree"))).drop("up")
-    return at
-
-
-def _chosen(rows: DataFrame, links: DataFrame, seen: list[DataFrame], branches: int | None) -> DataFrame:
+def _chosen(links: DataFrame, whole: DataFrame, branches: int | None) -> DataFrame:
     answered = links.where("up IS NOT NULL").select(F.col("up").alias("message")).distinct()
-    whole = seen[-1].where("up IS NULL").select("message", "steps", (F.col("score") / F.col("steps")).alias("mean"))
-    leaves = _roots(whole.join(answered, "message", "left_anti"), seen)
+    leaves = whole.where("up IS NULL").select("tree", "message", "steps", (F.col("score") / F.col("steps")).alias("mean")).join(answered, "message", "left_anti")
     if branches is None:
         return staged(leaves.select("tree", F.lit(None).cast("int").alias("branch"), F.col("message").alias("leaf"), "steps"))
     order = (F.col("mean").desc(), F.col("steps").desc(), "message")
@@ -95,14 +87,16 @@ def _chosen(rows: DataFrame, links: DataFrame, seen: list[DataFrame], branches:
 
 
 def _unfolded(chosen: DataFrame, seen: list[DataFrame]) -> DataFrame:
-    """A row for each message of the chosen paths. A row stands for the messages from `message` up, fewer than 2^k; it is cut where the link of half that length leads."""
-    at = chosen.select("tree", "branch", "leaf", F.col("leaf").alias("message"), (F.col("steps") - 1).alias("place"))
+    """A row for each message of the chosen paths. A row stands for the `size` messages from `message` up; one of more than 2^k is cut where that link leads."""
+    at = chosen.select("tree", "branch", "leaf", F.col("leaf").alias("message"), (F.col("steps") - 1).alias("place"), F.col("steps").alias("size"))
     for k in range(len(seen) - 2, -1, -1):
-        up = seen[k].where("up IS NOT NULL").select("message", "up")
-        cut = at.join(up, "message", "left")
-        both = F.array(F.struct("message", "place"), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("message"), (F.col("place") - 2**k).alias("place"))))
-        at = cut.select("tree", "branch", "leaf", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select("tree", "branch", "leaf", "x.message", "x.place")
-    return at
+        far = 2**k
+        long = at.where(F.col("size") > far).join(seen[k].select("message", "up"), "message")
+        lower = F.struct("message", "place", F.lit(far).cast("long").alias("size"))
+        upper = F.struct(F.col("up").alias("message"), (F.col("place") - far).alias("place"), (F.col("size") - far).alias("size"))
+        cut = long.select("tree", "branch", "leaf", F.explode(F.array(lower, upper)).alias("x")).select("tree", "branch", "leaf", "x.*")
+        at = staged(at.where(F.col("size") <= far).unionByName(cut))
+    return at.drop("size")
 
 
 def turn(role: Column, text: Column) -> Column:
@@ -150,4 +144,4 @@ def turns(text: Column) -> Column:
             found = F.when(F.startswith(piece, F.lit(a + " ")), F.struct(F.lit(name).alias("role"), unescaped(inner(a, b)).alias("text"))).otherwise(found)
         return found
 
-    return F.transform(F.filter(F.split(text, f"(?<={quoted})"), lambda x: x != ""), one)
+    return F.transform(F.filter(F.split(text, rf"(?<=[>\]])(?<={quoted})"), lambda x: x != ""), one)
