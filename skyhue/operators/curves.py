@@ -9,8 +9,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from skyhue.functions import checks
 from skyhue.functions.columns import col
-from skyhue.operators import ranks, series
+from skyhue.operators import ranks, series, skew
 from skyhue.operators.grid import TimeGrid
 from skyhue.sources import staging
 
@@ -524,18 +525,22 @@ def observe(rows: DataFrame, threshold: float = 5.0) -> DataFrame:
     }).drop("__flux", "__sigma", "__seen")
 
 
-def validation_sample(peak_rows: DataFrame, bin_counts: DataFrame, size: int, seed: int) -> DataFrame:
-    """Random order of events with a usable peak and at least one bin. Both inputs have one row per event."""
-    eligible = peak_rows.where("peak_used").join(bin_counts.where("n_bins > 0"), "event_id")
-    ordered = ranks.hash_rank(eligible, "event_id", seed, "random_order")
-    return ordered.where(F.col("random_order") <= size)
+def validation_sample(peak_rows: DataFrame, bin_counts: DataFrame, size: int, seed: int, parameters: DataFrame | None = None) -> DataFrame:
+    """Random order of events with a usable peak and at least one bin, with the events' parameters if a table of them is given.
+
+    Each table has one row per event; a repeated event stops the query.
+    """
+    eligible = checks.one_to_one(peak_rows.where("peak_used"), bin_counts.where("n_bins > 0"), "event_id")
+    ordered = ranks.hash_rank(eligible, "event_id", seed, "random_order").where(F.col("random_order") <= size)
+    return ordered if parameters is None else checks.one_to_one(ordered, parameters, "event_id", how="left")
 
 
-def pairs_within(df: DataFrame, key: str, band1: str, band2: str, window: float, t: str = "t_days") -> DataFrame:
-    """All pairs of two bands within a window: an equi-join on time buckets of one window, then the exact test."""
+def pairs_within(df: DataFrame, key: str, band1: str, band2: str, window: float, t: str = "t_days", rows_per_part: int = skew.ROWS) -> DataFrame:
+    """All pairs of two bands within a window: an equi-join on time buckets of one window, then the exact test. A bucket of a crowded event is dealt
+    to several parts."""
     bucket = F.floor(F.col(t) / F.lit(window)).cast("bigint")
     a = df.where(F.col("band") == band1).select(key, F.col(t).alias("t1"), F.col("row_id").alias("row_band1"), F.col("mag").alias("mag_band1"),
         F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__b"))
     b = df.where(F.col("band") == band2).select(key, F.col(t).alias("t2"), F.col("row_id").alias("row_band2"), F.col("mag").alias("mag_band2"), bucket.alias("__b"))
-    d = a.join(b, [key, "__b"]).where(F.abs(F.col("t1") - F.col("t2")) <= window)
+    d = skew.split_join(a, b, [key, "__b"], rows_per_part).where(F.abs(F.col("t1") - F.col("t2")) <= window)
     return d.withColumn("t_color_available_days", F.greatest("t1", "t2")).drop("__b")

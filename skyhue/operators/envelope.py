@@ -74,9 +74,26 @@ def rules(
     values: DataFrame, keys: list[str], grid: TimeGrid, tails=(1.0,), method: str = "select", value: str = "color",
 ) -> DataFrame:
     """One row per key and non-empty bin: the percentile interval, its median, counts and expected tails."""
+    q, _ = choose_tail(tails)
+    return rules_of(percentile_table(values, keys, [q, 50.0, 100.0 - q], method, value), keys, grid, [q, 50.0, 100.0 - q], tails)
+
+
+def percentile_table(values: DataFrame, keys: list[str], percents: list[float], method: str = "select", value: str = "color") -> DataFrame:
+    """keys, bin_index, N_population_events, q (in the order of percents): what rules and diagnostics of several populations and stages are read from."""
+    return exact_quantiles(values, [*keys, "bin_index"], value, percents, method, "N_population_events", "q")
+
+
+def product_percents(tails=(1.0,), diagnostic_tails=DEFAULT_TAILS) -> list[float]:
+    """Percentiles that both the rules and the diagnostics need."""
+    lower = [choose_tail(tails)[0], *(float(q) for q in diagnostic_tails if 0 <= q <= 50)]
+    return sorted(set(lower + [100.0 - q for q in lower] + [50.0]))
+
+
+def rules_of(table: DataFrame, keys: list[str], grid: TimeGrid, percents: list[float], tails=(1.0,)) -> DataFrame:
+    """Rules read from a table of percentiles."""
     q, rank = choose_tail(tails)
-    got = exact_quantiles(values, [*keys, "bin_index"], value, [q, 50.0, 100.0 - q], method, "N_population_events", "q")
-    d = grid.with_times(got)
+    at = lambda p: F.col("q")[percents.index(p)]
+    d = grid.with_times(table)
     w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("bin_index")
     tail = F.col("N_population_events") * q / 100.0
     return d.select(
@@ -84,7 +101,7 @@ def rules(
         "N_population_events",
         (F.row_number().over(w) - 1 == F.col("bin_index")).alias("initial_consecutive_valid"),
         F.lit(q).alias("low_percentile"), F.lit(100.0 - q).alias("high_percentile"),
-        F.col("q")[0].alias("color_min"), F.col("q")[1].alias("color_median"), F.col("q")[2].alias("color_max"),
+        at(q).alias("color_min"), at(50.0).alias("color_median"), at(100.0 - q).alias("color_max"),
         tail.alias("expected_lower_tail_events"), tail.alias("expected_upper_tail_events"),
         F.lit(100.0 - 2 * q).alias("nominal_coverage_percent"),
         F.lit("median_only" if q == 50 else f"p{q:g}-p{100 - q:g}").alias("envelope_definition"),
@@ -102,10 +119,18 @@ def diagnostics(
     """Long table bin x percentile of both tails and the median."""
     lower = [float(q) for q in dict.fromkeys(tails) if 0 <= q <= 50]
     percents = sorted(set(lower + [100.0 - q for q in lower] + [50.0]))
-    got = exact_quantiles(values, [*keys, "bin_index"], value, percents, method, "N_population_events", "q")
+    return diagnostics_of(percentile_table(values, keys, percents, method, value), keys, grid, percents, tails)
+
+
+def diagnostics_of(table: DataFrame, keys: list[str], grid: TimeGrid, percents: list[float], tails=DEFAULT_TAILS) -> DataFrame:
+    """Diagnostics read from a table of percentiles."""
+    lower = [float(q) for q in tails if 0 <= q <= 50]
+    wanted = set(lower + [100.0 - q for q in lower] + [50.0])
     p = F.array(*[F.lit(x) for x in percents])
-    d = got.select(*keys, "bin_index", "N_population_events", F.posexplode("q").alias("pos", "value"))
+    d = table.select(*keys, "bin_index", "N_population_events", F.posexplode("q").alias("pos", "value"))
     d = d.withColumn("percentile", F.element_at(p, F.col("pos") + 1)).drop("pos")
+    if wanted != set(percents):
+        d = d.where(F.col("percentile").isin(sorted(wanted)))
     return grid.with_times(d).withColumn(
         "expected_nearest_tail_events",
         F.col("N_population_events") * F.least("percentile", F.lit(100.0) - F.col("percentile")) / 100.0,

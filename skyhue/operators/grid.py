@@ -85,20 +85,22 @@ class TimeGrid:
         })
 
 
-def spine(grid: DataFrame, members: DataFrame) -> DataFrame:
-    """Every bin for every member; both sides are bounded tables of parameters."""
-    return grid.crossJoin(F.broadcast(members))
-
-
-def match_interval(points: DataFrame, t: str, rules: DataFrame, rule: str = "left_open", how: str = "left") -> DataFrame:
-    """Point -> interval join against a rule table that has one row per bin.
-
-    Rules are few (one per bin and key), so the range condition runs as a broadcast join.
-    """
+def match_interval(points: DataFrame, t: str, rules: DataFrame, rule: str = "left_open", how: str = "left", cell: float = 1.0) -> DataFrame:
+    """Point -> interval join against a rule table of t_min_days and t_max_days. Intervals may overlap; a point then has a row for each."""
     p, lo, hi = F.col(t), F.col("t_min_days"), F.col("t_max_days")
     inside = {
         "left_open": (p > lo) & (p <= hi),
         "right_open": (p >= lo) & (p < hi),
         "closed": (p >= lo) & (p <= hi),
     }[rule]
-    return points.join(F.broadcast(rules), inside, how)
+    return interval_join(points, t, rules, "t_min_days", "t_max_days", inside, cell, how)
+
+
+def interval_join(points: DataFrame, x: str, rules: DataFrame, low: str, high: str, inside: Column, cell: float, how: str = "left") -> DataFrame:
+    """Points with the finite intervals that hold them, as an equi-join: an interval is copied to the cells that it reaches, a point lies in one.
+
+    No point is compared with intervals of other cells, and whether a side is broadcast is left to its size.
+    """
+    at = lambda c: F.floor(F.col(c) / F.lit(float(cell))).cast("bigint")
+    spread = rules.withColumn("__cell", F.explode(F.sequence(at(low), at(high))))
+    return points.withColumn("__at", at(x)).join(spread, (F.col("__at") == F.col("__cell")) & inside, how).drop("__at", "__cell")

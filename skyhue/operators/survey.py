@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skyhue.functions import checks, columns as C
-from skyhue.operators import curves, ranks
+from skyhue.operators import curves, ranks, skew
+from skyhue.operators.grid import interval_join
 from skyhue.operators.quantiles import exact_quantiles
 from skyhue.sources import readers
 
@@ -126,12 +127,12 @@ def sample_stratified(obs: DataFrame, n_fields: int, seed: int, weight: str = "n
     return sampled, report
 
 
-def cone_join(fields: DataFrame, visits: DataFrame, radius_deg: float) -> DataFrame:
+def cone_join(fields: DataFrame, visits: DataFrame, radius_deg: float, rows_per_part: int = skew.ROWS) -> DataFrame:
     """Every field with the visits whose centre lies within ``radius_deg``.
 
     Sky zones of one radius in declination, cut into cells in right ascension that are at least as wide as the
     radius at that declination. A field is copied to its 3 x 3 cells, a visit to one, and the join is an equi-join
-    on the cell followed by the exact separation.
+    on the cell followed by the exact separation. The visits of a crowded cell, a deep field's, are dealt to several parts (``skew.split_join``).
     fields: field_index, ra0_deg, dec0_deg; visits: fieldRA, fieldDec, ...
     """
     r = F.lit(float(radius_deg))
@@ -156,7 +157,7 @@ def cone_join(fields: DataFrame, visits: DataFrame, radius_deg: float) -> DataFr
     )))).drop("__c", "__n")
     v = visits.withColumn("__zone", zone_of("fieldDec")).withColumn("__cell", cell(F.col("fieldRA"), n_cells(F.col("__zone"))))
     return (
-        v.join(f, ["__zone", "__cell"])
+        skew.split_join(v, f, ["__zone", "__cell"], rows_per_part)
         .withColumn("separation_deg", C.separation_deg("ra0_deg", "dec0_deg", "fieldRA", "fieldDec"))
         .where(F.col("separation_deg") <= r).drop("__zone", "__cell")
     )
@@ -243,16 +244,21 @@ def field_index(fields: DataFrame, visits: DataFrame, bands=C.BANDS) -> DataFram
     )
 
 
+def _medians(df: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
+    """Medians of several columns for each key, from one pass that holds no group: keys, and the columns under their new names."""
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(new).alias("name"), F.col(c).cast("double").alias("value")) for c, new in names.items()])).alias("x")).select(*keys, "x.*")
+    m = exact_quantiles(long, [*keys, "name"], "value", [50.0])
+    return m.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == new, F.col("quantiles")[0])).alias(new) for new in names.values()])
+
+
 def survey_summary(index: DataFrame, medians: DataFrame, parent: DataFrame, bands=C.BANDS) -> DataFrame:
     """One row over fields, band medians and the parent selection; all three are small aggregates."""
     f = index.agg(
         F.count("*").alias("N_fields_exported"),
         F.min("field_mjd_min").alias("exported_mjd_min"), F.max("field_mjd_max").alias("exported_mjd_max"),
         F.avg("field_span_years").alias("mean_field_span_years"),
-        F.median("field_span_years").alias("median_field_span_years"),
-        F.min("ebv_mw").alias("exported_ebv_mw_min"), F.median("ebv_mw").alias("exported_ebv_mw_median"),
-        F.max("ebv_mw").alias("exported_ebv_mw_max"),
-    ).withColumn("exported_span_days", F.col("exported_mjd_max") - F.col("exported_mjd_min"))
+        F.min("ebv_mw").alias("exported_ebv_mw_min"), F.max("ebv_mw").alias("exported_ebv_mw_max"),
+    ).crossJoin(_medians(index, [], {"field_span_years": "median_field_span_years", "ebv_mw": "exported_ebv_mw_median"})).withColumn("exported_span_days", F.col("exported_mjd_max") - F.col("exported_mjd_min"))
     m = medians.agg(*[F.max(F.when(F.col("band") == b, F.col("m5_median"))).alias(f"m5_median_{b}") for b in bands])
     p = time_span(parent)
     p = p.select(*[F.col(c).alias(f"parent_{c}") for c in p.columns])
@@ -278,11 +284,11 @@ def gap_histogram(gaps: DataFrame, bins: int, logarithmic: bool = False, gap: st
 
 def field_summary(visits: DataFrame, keys=("field_index",)) -> DataFrame:
     """Median pointing and the first non-NULL target name (in time order) of each field."""
-    return visits.groupBy(*keys).agg(
-        F.median("fieldRA").alias("fieldRA"), F.median("fieldDec").alias("fieldDec"),
+    named = visits.groupBy(*keys).agg(
         F.min_by("target_name", F.when(F.col("target_name").isNotNull(), F.struct("observationStartMJD", "target_name"))).alias("target_name"),
         F.count("*").alias("n_visits"),
     )
+    return named.join(_medians(visits, list(keys), {"fieldRA": "fieldRA", "fieldDec": "fieldDec"}), list(keys), "left").select(*keys, "fieldRA", "fieldDec", "target_name", "n_visits")
 
 
 def sky_area(positions: DataFrame, radius_deg: float, n_ra: int = 720, n_z: int = 360) -> DataFrame:
@@ -363,12 +369,12 @@ def external_depths(spark, bands, manual: dict[str, float] | None = None, table:
     return spark.createDataFrame([(b, found[b]) for b in bands], "band string, m5 double")
 
 
-def distances(objects: DataFrame, table: DataFrame, redshift: str = "redshift") -> DataFrame:
-    """Luminosity distance by linear interpolation in a supplied redshift table (z, d), a broadcast range join on its segments."""
-    w = W.partitionBy(F.lit(0)).orderBy("z")
-    seg = table.select("z", "d", F.lead("z").over(w).alias("z1"), F.lead("d").over(w).alias("d1"))
+def distances(objects: DataFrame, table: DataFrame, redshift: str = "redshift", cell: float = 0.01) -> DataFrame:
+    """Luminosity distance by linear interpolation in a supplied redshift table (z, d); outside the table it is NULL."""
+    w = W.partitionBy(F.lit(0)).orderBy("z")  # over the table, never over objects
+    seg = table.select("z", "d", F.lead("z").over(w).alias("z1"), F.lead("d").over(w).alias("d1")).withColumn("__top", F.coalesce("z1", "z"))
     x = F.col(redshift)
     inside = (x >= F.col("z")) & ((x < F.col("z1")) | (F.col("z1").isNull() & (x == F.col("z"))))
     value = F.when(x == F.col("z"), F.col("d")).otherwise(
         F.col("d") + (F.col("d1") - F.col("d")) * (x - F.col("z")) / (F.col("z1") - F.col("z")))
-    return objects.join(F.broadcast(seg), inside, "left").withColumn("distance_mpc", value).drop("z", "d", "z1", "d1")
+    return interval_join(objects, redshift, seg, "z", "__top", inside, cell).withColumn("distance_mpc", value).drop("z", "d", "z1", "d1", "__top")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import re
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from skyhue.operators import cells, curves, envelope as E, snia as SN
 from skyhue.plans import light_curves, roles as R, shared_sql as S
@@ -212,14 +215,42 @@ def _(spark, sf):
     return tidy(E.overlap_summary(overlap(spark, sf), ["stage"]))
 
 
-@query("second_population_products", "K22", f"""WITH {POP}, {_overlap_sql('AND a.consecutive AND b.consecutive')} SELECT 'rules' AS product, stage, bin_index, n, round(mid, 6) + 0.0 AS value FROM pr WHERE pop = 'b'
- UNION ALL SELECT 'overlap_consecutive', stage, bin_index, N_b_inside_a, round(overlap_width_mag, 6) + 0.0 FROM ovf""")
+def _all_bins(sql: str) -> str:
+    """The same tables under names of their own, so that both sets of bins fit one query."""
+    for name in ("ovf", "ov0", "cnt", "ov"):
+        sql = re.sub(rf"\b{name}\b", f"{name}_all", sql)
+    return sql
+
+
+TAILS = (16.0, 50.0)
+
+
+@query("second_population_products", "K22 K3 K5 K6 K8", f"""WITH {POP}, {_overlap_sql('AND a.consecutive AND b.consecutive')}, {_all_bins(_overlap_sql(''))},
+ dg AS (SELECT stage, bin_index, count(*) AS n, unnest([16e0, 5e1, 84e0]) AS percentile, unnest(quantile_cont(color, [16e-2, 5e-1, 84e-2])) AS value FROM ps WHERE pop = 'b' GROUP BY stage, bin_index),
+ av AS (SELECT stage, bin_index, count(*) AS n FROM ps WHERE pop = 'b' GROUP BY ALL),
+ sp AS (SELECT stage, grid.bin_index FROM grid, (VALUES ('no_m5'), ('m5')) s(stage)), su AS (SELECT bin_index, count(*) AS k FROM ps WHERE pop = 'b' AND stage = 'no_m5' GROUP BY bin_index)
+ SELECT 'rules' AS product, stage, bin_index, NULL::DOUBLE AS percentile, n, round(mid, 6) + 0.0 AS value FROM pr WHERE pop = 'b'
+ UNION ALL SELECT 'diagnostics', stage, bin_index, percentile, n, round(value, 6) + 0.0 FROM dg
+ UNION ALL SELECT 'availability', sp.stage, sp.bin_index, NULL, coalesce(av.n, 0), coalesce(su.k, 0)::DOUBLE FROM sp LEFT JOIN av USING (stage, bin_index) LEFT JOIN su ON su.bin_index = sp.bin_index
+ UNION ALL SELECT 'overlap_consecutive', stage, bin_index, NULL, N_b_inside_a, round(overlap_width_mag, 6) + 0.0 FROM ovf
+ UNION ALL SELECT 'overlap_all', stage, bin_index, NULL, N_b_inside_a, round(overlap_width_mag, 6) + 0.0 FROM ovf_all""")
 def _(spark, sf):
+    """Five products from one load: a table of percentiles over population, stage and bin, written by population and stage."""
     v = two_populations(spark, sf)
-    r = materialize(E.rules(v, ["pop", "stage"], G))
-    a = r.where("pop = 'b'").select(F.lit("rules").alias("product"), "stage", "bin_index", F.col("N_population_events").alias("n"), F.col("color_median").alias("value"))
-    o = overlap_of(v, r, True).select(F.lit("overlap_consecutive").alias("product"), "stage", "bin_index", F.col("N_b_inside_a").alias("n"), F.col("overlap_width_mag").alias("value"))
-    return tidy(a.unionByName(o))
+    percents = E.product_percents((1.0,), TAILS)
+    t = materialize(E.percentile_table(v, ["pop", "stage"], percents), "pop", "stage")
+    r, second = E.rules_of(t, ["pop", "stage"], G, percents), v.where("pop = 'b'")
+    supported = second.where("stage = 'no_m5'")
+    av = E.availability(second, supported, supported.select("event_id").distinct(), G)
+    no = F.lit(None).cast("double")
+    parts = {
+        "rules": (r.where("pop = 'b'"), no, "N_population_events", "color_median"),
+        "diagnostics": (E.diagnostics_of(t.where("pop = 'b'"), ["stage"], G, percents, TAILS), F.col("percentile"), "N_population_events", "value"),
+        "availability": (av, no, "N_population_stage_available", "N_population_model_supported"),
+        "overlap_consecutive": (overlap_of(v, r, True), no, "N_b_inside_a", "overlap_width_mag"), "overlap_all": (overlap_of(v, r), no, "N_b_inside_a", "overlap_width_mag"),
+    }
+    rows = [d.select(F.lit(name).alias("product"), "stage", "bin_index", p.alias("percentile"), F.col(n).alias("n"), F.col(x).cast("double").alias("value")) for name, (d, p, n, x) in parts.items()]
+    return tidy(reduce(DataFrame.unionByName, rows))
 
 
 POINTS = "pts AS (SELECT a.row_id, a.t_days AS phase_days, a.mag - 50 AS color, (a.row_id % 50)::DOUBLE AS color_error FROM lc a WHERE band = 'i')"

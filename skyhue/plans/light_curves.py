@@ -138,11 +138,13 @@ def _(spark, sf):
 
 
 @query("peak_validation_sample", "K20 F3 I4", f"""WITH {PEAKS}, {S.GRID}, {S.at_centres('lc')}, nb AS (SELECT event_id, count(*) AS n_bins FROM (SELECT event_id, bin_index FROM atc WHERE band IN ('g', 'r') GROUP BY ALL HAVING count(*) = 2) GROUP BY event_id)
- SELECT event_id, status, n_bins, random_order FROM (SELECT event_id, status, n_bins, row_number() OVER (ORDER BY md5('5:' || event_id), event_id) AS random_order FROM pk JOIN nb USING (event_id) WHERE peak_used) WHERE random_order <= 20""")
+, {S.OBJ}
+ SELECT event_id, status, n_bins, random_order, round(redshift, 6) + 0.0 AS redshift, round(log10_mej_dyn, 6) + 0.0 AS log10_mej_dyn FROM (SELECT event_id, status, n_bins, row_number() OVER (ORDER BY md5('5:' || event_id), event_id) AS random_order FROM pk JOIN nb USING (event_id) WHERE peak_used) LEFT JOIN obj USING (event_id) WHERE random_order <= 20""")
 def _(spark, sf):
     bins = envelope.population_colours(R.lightcurves(spark, sf, ("g", "r")), R.GRID, "g", "r").where("color IS NOT NULL")
     n = bins.groupBy("event_id").agg(F.count("*").alias("n_bins"))
-    return curves.validation_sample(peak_table(spark, sf), n, 20, 5).select("event_id", "status", "n_bins", "random_order")
+    p = R.objects(spark, sf).select("event_id", "redshift", "log10_mej_dyn")
+    return tidy(curves.validation_sample(peak_table(spark, sf), n, 20, 5, p), "event_id", "status", "n_bins", "random_order", "redshift", "log10_mej_dyn")
 
 
 STEP = "3e1 / 86400"

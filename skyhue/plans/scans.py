@@ -9,7 +9,7 @@ from skyhue.operators import survey
 from skyhue.plans import roles as R, shared_sql as S
 from skyhue.plans.output import tidy
 from skyhue.plans.registry import query
-from skyhue.sources import readers, staging, writers
+from skyhue.sources import readers, staging, survey_db, writers
 
 
 @query("lightcurve_scan", "A1", f"WITH {S.LC} SELECT event_id, band, round(t_days, 6) + 0.0 AS t_days, round(mag, 6) + 0.0 AS mag FROM lc WHERE band IN ('g', 'r')")
@@ -49,6 +49,24 @@ def _(spark, sf):
     return survey.target_counts(R.observations(spark, sf), 30)
 
 
+@query("survey_database_targets", "A6 G1 G2", f"WITH {S.OBS} SELECT target_name, band, count(*) AS n, round(max(fiveSigmaDepth), 6) + 0.0 AS deepest FROM obs WHERE fieldDec >= -10 AND band IN ('g', 'r') GROUP BY ALL")
+def _(spark, sf):
+    """Visits put into a survey database, and read back by ranges of rows with the filters running there."""
+    path = staging.folder(spark)
+    survey_db.write(R.observations(spark, sf), path)
+    d = survey_db.read(spark, path, rows=100_000, columns=["band", "fiveSigmaDepth", "fieldDec", "target_name"]).where(F.col("band").isin("g", "r") & (F.col("fieldDec") >= -10))
+    return tidy(d.groupBy("target_name", "band").agg(F.count("*").alias("n"), F.max("fiveSigmaDepth").alias("deepest")))
+
+
+@query("shards_of_a_manifest", "A11", f"WITH {S.LC} SELECT event_id, band, count(*) AS n FROM lc WHERE event_id % 8 IN (1, 4, 6) GROUP BY ALL")
+def _(spark, sf):
+    """Only the shards that a manifest table names are listed and read."""
+    path = staging.folder(spark)
+    R.lightcurves(spark, sf).withColumn("shard", F.pmod("event_id", F.lit(8))).write.partitionBy("shard").parquet(path)
+    manifest = spark.range(8).where("id IN (1, 4, 6)").select(F.format_string("shard=%d", "id").alias("file"))
+    return readers.shards(spark, path, manifest).groupBy("event_id", "band").agg(F.count("*").alias("n"))
+
+
 LAT = S.VISITS + ", " + S.FIELDS + """, fl AS (SELECT field_index, CASE WHEN abs(b) >= 20 THEN 'high' ELSE 'low' END AS latitude_group, b FROM (SELECT field_index,
  degrees(asin(greatest(-1e0, least(1e0, -0.8676661490::DOUBLE * cos(radians(dec0_deg)) * cos(radians(ra0_deg)) - 0.1980763734::DOUBLE * cos(radians(dec0_deg)) * sin(radians(ra0_deg))
  + 0.4559837762::DOUBLE * sin(radians(dec0_deg)))))) AS b FROM fields))"""
@@ -140,9 +158,8 @@ def _(spark, sf):
 @query("per_object_csv_round_trip", "A2 B2", f"WITH {S.LC} SELECT CAST(event_id AS VARCHAR) AS event_id, count(*) AS n, round(sum(mag), 4) + 0.0 AS mag_sum FROM lc GROUP BY event_id")
 def _(spark, sf):
     path = staging.folder(spark)
-    d = R.photometry(spark, sf).select("event_id", "time_mjd", "t_days", "band", "mag")
-    writers.per_object(d, path, "event_id")
-    back = spark.read.schema("time_mjd double, t_days double, band string, mag double, event_id string").option("header", True).csv(path)
+    writers.per_object(R.photometry(spark, sf).select("event_id", "t_days", "band", "mag"), path, "event_id")
+    back = readers.lightcurve_csvs(spark, path)
     return back.groupBy("event_id").agg(F.count("*").alias("n"), (F.round(F.sum("mag"), 4) + 0.0).alias("mag_sum"))
 
 

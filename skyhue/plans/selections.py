@@ -171,6 +171,13 @@ def _(spark, sf):
     return ranks.evenly_spaced(ranked, ["rank"], 7).select("event_id", "rank")
 
 
+@query("curves_of_given_events", "I5 F5", f"WITH {S.LC}, {S.OBJ} SELECT event_id, count(*) AS n, round(min(mag), 6) + 0.0 AS mag_min FROM lc WHERE event_id IN (SELECT event_id FROM obj WHERE population = 'BUILDING' AND event_id IN (SELECT event_id FROM lc)) GROUP BY event_id")
+def _(spark, sf):
+    lc = R.lightcurves(spark, sf)
+    ids = R.objects(spark, sf).where("population = 'BUILDING'").join(lc.select("event_id"), "event_id", "left_semi")
+    return tidy(ranks.given(lc, ids, "event_id").groupBy("event_id").agg(F.count("*").alias("n"), F.min("mag").alias("mag_min")))
+
+
 @query("stable_sorted_rows", "I1", f"WITH {S.SNIA} SELECT sn_id, round(mjd, 6) + 0.0 AS mjd, band, row_id FROM sn WHERE magerr > 0 ORDER BY sn_id, mjd, band, row_id")
 def _(spark, sf):
     return tidy(R.snia(spark, sf).where("magerr > 0").orderBy("sn_id", "mjd", "band", "row_id"), "sn_id", "mjd", "band", "row_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skyhue.functions import checks
 from skyhue.operators import convergence as V, envelope as E, ranks
-from skyhue.operators.quantiles import infinity_quantile, nearest_sample
+from skyhue.operators.quantiles import exact_quantiles
 from skyhue.plans import envelopes, roles as R, shared_sql as S
 from skyhue.plans.output import tidy
 from skyhue.plans.registry import query
@@ -245,6 +245,9 @@ def _(spark, sf):
 @query("small_sample_quantiles", "G8 G9", f"""WITH {S.LC}, l AS (SELECT event_id, list_sort(list(mag)) AS s FROM lc WHERE band = 'g' GROUP BY event_id) SELECT event_id, round(s[round_even((len(s) - 1) * 16e-2, 0)::INT + 1], 6) + 0.0 AS nearest_p16,
  CASE WHEN len(s) = 1 OR (len(s) - 1) * 84e-2 <= len(s) - 2 THEN false ELSE true END AS is_infinite FROM l""")
 def _(spark, sf):
-    d = R.lightcurves(spark, sf, ("g",)).groupBy("event_id").agg(F.collect_list("mag").alias("m"), F.max("mag").alias("top"))
-    with_inf = F.when(F.size("m") > 1, F.transform("m", lambda x: F.when(x == F.col("top"), F.lit(float("inf"))).otherwise(x))).otherwise(F.col("m"))
-    return tidy(d.select("event_id", nearest_sample(F.col("m"), 0.16).alias("nearest_p16"), (infinity_quantile(with_inf, 0.84) == float("inf")).alias("is_infinite")))
+    d = R.lightcurves(spark, sf, ("g",)).select("event_id", "mag")
+    top = d.groupBy("event_id").agg(F.max("mag").alias("top"), F.count("mag").alias("n"))
+    with_inf = d.join(top, "event_id").select("event_id", F.when((F.col("n") > 1) & (F.col("mag") == F.col("top")), F.lit(float("inf"))).otherwise(F.col("mag")).alias("mag"))
+    low = exact_quantiles(d, ["event_id"], "mag", [16.0], rule="sample").select("event_id", F.col("quantiles")[0].alias("nearest_p16"))
+    high = exact_quantiles(with_inf, ["event_id"], "mag", [84.0]).select("event_id", (F.col("quantiles")[0] == float("inf")).alias("is_infinite"))
+    return tidy(low.join(high, "event_id"))

@@ -151,9 +151,17 @@ def realization_manifest(spark: SparkSession, manifest: list[tuple[int, str]]) -
     return reduce(DataFrame.unionByName, [spark.read.parquet(p).withColumn("realization", F.lit(int(n))) for n, p in manifest])
 
 
-def shards(spark: SparkSession, directory: str, files: list[str] | None = None) -> DataFrame:
-    """A run's Parquet parts; a shard manifest may limit them, otherwise Spark lists the directory."""
-    return spark.read.parquet(*[f"{directory}/{f}" for f in files]) if files else spark.read.parquet(directory)
+def shards(spark: SparkSession, directory: str, files: list[str] | DataFrame | None = None) -> DataFrame:
+    """A run's Parquet parts; a shard manifest (names, or a table of them in ``file``) limits them to those it names, otherwise Spark lists the directory.
+
+    Names of files pass through the driver, as those of a listing do. A manifest without names is an error.
+    """
+    if files is None:
+        return spark.read.parquet(directory)
+    names = [r["file"] for r in files.select("file").distinct().toLocalIterator()] if isinstance(files, DataFrame) else list(files)
+    if not names:
+        raise ValueError("the shard manifest names no file")
+    return spark.read.parquet(*[f"{directory}/{f}" for f in sorted(names)])
 
 
 def one_event(df: DataFrame, event_id) -> DataFrame:

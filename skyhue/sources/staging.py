@@ -27,8 +27,9 @@ def folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes the table and returns a scan of it."""
+def materialize(df: DataFrame, *parts: str) -> DataFrame:
+    """Writes the table, divided by the columns ``parts`` if there are any, and returns a scan of it."""
     path = folder(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    w = df.write.mode("overwrite")
+    (w.partitionBy(*parts) if parts else w).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from skyhue.sources import object_files
+
 
 def population(df: DataFrame, path: str, rows_per_file: int = 1_000_000, key: str = "event_id") -> None:
     """Parquet parts in id order, so that a lookup by id skips files and row groups. A hot id spans several parts."""
@@ -23,9 +25,9 @@ def population_manifest(written: DataFrame, key: str = "event_id") -> DataFrame:
     )
 
 
-def per_object(df: DataFrame, path: str, key: str) -> None:
-    """One directory per object; its rows are spread by key and time, so a hot object becomes several files."""
-    df.repartition(key, F.floor(F.col("time_mjd"))).sortWithinPartitions(key, "time_mjd").write.mode("overwrite").partitionBy(key).option("header", True).csv(path)
+def per_object(df: DataFrame, path: str, key: str, order: tuple[str, ...] = ("t_days", "band")) -> None:
+    """One CSV file per object, ``<key>.csv``, its rows in order; see ``object_files``."""
+    object_files.write(df, path, key, [c for c in order if c in df.columns])
 
 
 def table(df: DataFrame, path: str, compress: bool = False) -> None:
