@@ -46,15 +46,16 @@ def _line_hashes(text: Column) -> Column:
 
 
 def quality(
-    docs: DataFrame, text: str = "text", host: str = "source", min_words: int = 10, most_repeated: int = 20, min_docs: int = 10, min_share: float = 0.05, most_removed: float = 0.6
+    docs: DataFrame, text: str = "text", host: str = "source", min_words: int = 10, most_repeated: int = 20, min_docs: int = 10, min_share: float = 0.05, most_removed: float = 0.6, most_docs: int = 10_000
 ) -> DataFrame:
     """Adds to the columns of docs: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_lines, removed_words, clean_text, kept.
 
     Base: base_failed where a text has fewer than min_words words, or over most_repeated % of them in repeated five-word windows.
 
     Cross-document line frequency: lines are compared by a hash of their lower-cased words. A line goes where at least min_docs distinct texts and
-    a share of min_share of all distinct texts of the host hold it; copies of one text count once, so that a copied text isn't its own
-    boilerplate. clean_text has the other lines. A document is depleted, and rejected, if more than most_removed of its words stood in such lines.
+    a share of min_share of all distinct texts of the host (or most_docs, whatever the host's size) hold it; copies of one text count once, so that a
+    copied text isn't its own boilerplate. The host's first text that holds such a line, by a hash of the text, keeps it: of a family of near copies, whose lines are
+    each other's, one is left as it is. clean_text has the other lines. A document is depleted, and rejected, if more than most_removed of its words stood in such lines.
     kept = not base_failed and not depleted.
 
     A null text has no words and is rejected; clean_text is null then. Null hosts are one host. Rows that repeat one another each get the same
@@ -70,14 +71,16 @@ def quality(
     rows = docs.withColumns({
         "__q_host": key, "__q_key": text_key(text), "__q_m": measures, "__q_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
         "__q_dup": full.cast("long"), "__q_lines": _line_hashes(t),
+        "__q_place": F.conv(F.substring(F.md5(t.cast("binary")), 1, 15), 16, 10).cast("long"),
     })
     # distinct texts of a host that hold a line; each level of counting combines before it is dealt out, so a frequent line or host is no hot task
-    held = rows.select("__q_host", "__q_key", F.explode(F.array_distinct(F.transform("__q_lines", lambda x: x["line"]))).alias("line")).where("line IS NOT NULL")
-    held = held.select(F.col("__q_host").alias("host"), F.col("__q_key").alias("key"), "line").distinct()
+    held = rows.select("__q_host", "__q_key", "__q_place", F.explode(F.array_distinct(F.transform("__q_lines", lambda x: x["line"]))).alias("line")).where("line IS NOT NULL")
+    held = held.select(F.col("__q_host").alias("host"), F.col("__q_key").alias("key"), F.col("__q_place").alias("place"), "line").distinct()
     total = rows.select(F.col("__q_host").alias("host"), F.col("__q_key").alias("key")).distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    often = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).join(total, "host").where(F.col("n") >= min_share * F.col("texts"))
-    salted = often.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    drop = held.withColumn("salt", F.pmod("key.k1", F.lit(SALTS)).cast("int")).join(salted, ["host", "line", "salt"]).groupBy("host", "key").agg(F.collect_list("line").alias("__q_drop"))
+    often = held.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("place").alias("first")).where(F.col("n") >= min_docs)
+    often = often.join(total, "host").where((F.col("n") >= min_share * F.col("texts")) | (F.col("n") >= most_docs))
+    salted = often.select("host", "line", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    drop = held.withColumn("salt", F.pmod("key.k1", F.lit(SALTS)).cast("int")).join(salted, ["host", "line", "salt"]).where("place <> first").groupBy("host", "key").agg(F.collect_list("line").alias("__q_drop"))
     drop = drop.select(F.col("host").alias("__q_dhost"), F.col("key").alias("__q_dkey"), "__q_drop", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__q_dsalt"))
     out = rows.withColumn("__q_salt", F.pmod(F.xxhash64(F.struct(*own)) if own else F.lit(0), F.lit(SALTS)).cast("int"))
     out = out.join(drop, (F.col("__q_host") == F.col("__q_dhost")) & (F.col("__q_key") == F.col("__q_dkey")) & (F.col("__q_salt") == F.col("__q_dsalt")), "left")

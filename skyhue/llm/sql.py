@@ -10,17 +10,17 @@ _LINES = r"[trim(regexp_replace(l, '[\x20\x09\x0B-\x0D]+', ' ', 'g')) for l in s
 
 SQL["op1_line_quality"] = rf"""
 WITH d AS (
-  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, text, source, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, text, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS place, source, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
 ), win AS (SELECT r, unnest([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) AS g, unnest(range(1, len(w) - 3)) AS i FROM d),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
 rep AS (SELECT r, sum(least(5, coalesce(following - i, 5))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS following FROM twice) GROUP BY r),
-l AS (SELECT r, source, text, unnest({_LINES}) AS line FROM d),
+l AS (SELECT r, source, text, place, unnest({_LINES}) AS line FROM d),
 total AS (SELECT source, count(DISTINCT coalesce('t' || text, 'n')) AS texts FROM d GROUP BY source),
 often AS (
-  SELECT l.source, line FROM l JOIN total ON l.source IS NOT DISTINCT FROM total.source WHERE line <> ''
-  GROUP BY l.source, line, texts HAVING count(DISTINCT text) >= 10 AND count(DISTINCT text) >= 0.05 * texts
+  SELECT l.source, line, min(place) AS first FROM l JOIN total ON l.source IS NOT DISTINCT FROM total.source WHERE line <> ''
+  GROUP BY l.source, line, texts HAVING count(DISTINCT text) >= 10 AND (count(DISTINCT text) >= 0.05 * texts OR count(DISTINCT text) >= 10000)
 ), gone AS (
-  SELECT r, count(*) AS lines, sum(len(string_split(l.line, ' '))) AS words FROM l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.line = o.line GROUP BY r
+  SELECT r, count(*) AS lines, sum(len(string_split(l.line, ' '))) AS words FROM l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.line = o.line AND l.place <> o.first GROUP BY r
 ), m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -20,7 +20,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def test_all_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(SQL) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -52,7 +52,7 @@ def test_pipeline_against_brute_force(spark):
     assert len(kept[names[1]]) == len(groups) and {r.doc_id for r in kept[names[1]]} == {c for *_, c in brute_components(pairs, 5, 80)}
     # repeats
     before = [r.text for r in kept[names[1]]]
-    spans, want = brute_repeats([t.encode() for t in before], 400), []
+    spans, want = brute_repeats([t.encode() for t in before], corpus_pipeline.PASSAGE), []
     for t, runs in zip(before, spans):
         raw, at, left = t.encode(), 0, b""
         for s, e in runs:
