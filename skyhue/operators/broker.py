@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from skyhue.functions import columns as C
+from skyhue.functions import checks, columns as C
 from skyhue.operators import curves, selection, series
 
 
@@ -42,9 +42,8 @@ def export_snia(rows: DataFrame, depths: dict[str, float] = C.DEFAULT_DEPTH, sec
     elif "reference_mjd" in d.columns:
         d = d.withColumn("t_days", F.col("mjd") - C.to_double("reference_mjd") + shift)
     else:
-        d = series.key_totals(d, ["sn_id"], __first=F.min("mjd"))
-        d = d.withColumn("t_days", F.col("time_mjd") - F.col("__first"))
-    d = series.row_numbers(d, ["sn_id"], ["mjd", *order], series.chunk_by("mjd", chunk_days), "sequence")
+        d = d.withColumn("t_days", F.col("time_mjd") - F.col("scan.first"))
+    d = d.withColumn("sequence", F.col("scan.number"))
     d = selection.detect_or_limit(d.withColumn("mag_err", F.col("magerr")), depths)
     width = F.greatest(F.lit(4), F.length(F.col("__max_id").cast("string")))
     d = d.crossJoin(F.broadcast(ok.agg(F.max("sn_id").alias("__max_id"))))
@@ -89,8 +88,8 @@ def export_model(
     if seconds > 0:
         d = curves.stagger_fit(d, "event_id", "time_mjd", ["row_id"], seconds, chunk_days)
     else:
-        d = d.withColumn("t_shifted", F.col("time_mjd"))
-    d = series.row_numbers(d, ["event_id"], ["time_mjd", "row_id"], series.chunk_by("time_mjd", chunk_days), "sequence")
+        d = series.scan(d, ["event_id"], "time_mjd", ["row_id"], series.chunk_by("time_mjd", chunk_days)).withColumn("t_shifted", F.col("time_mjd"))
+    d = d.withColumn("sequence", F.col("scan.number"))
     return d.select(
         "event_id", F.when(F.col("sequence") == 1, F.col("event_id")).alias("objectid"), C.candidate_id("event_id", "sequence").alias("candidate_id"),
         F.col("t_shifted").alias("time_mjd"), (F.col("t_days") + F.col("t_shifted") - F.col("time_mjd")).alias("t_days"),
@@ -158,6 +157,13 @@ def require_matched(audit: DataFrame, accepted: DataFrame) -> DataFrame:
     return audit
 
 
+def guard_matched(audit: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The same as part of the query, which stops when it runs."""
+    lost = unmatched_passes(audit, accepted).agg(F.count("*").alias("n"), F.min("stats_object_id").alias("one"))
+    text = F.format_string("%s passed ids match no record, such as %s", "n", "one")
+    return checks.guard_with(audit, lost.select(F.when(F.col("n") > 0, text).alias("message")))
+
+
 def audit_summary(audit: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s)
     d = audit.agg(

@@ -5,15 +5,13 @@ Input rows: event_id, photometric_system, band, t_days, mag (finite values; NULL
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skyhue.functions import checks
 from skyhue.functions.columns import col
-from skyhue.operators import ranks, series, skew
+from skyhue.operators import pairing, prominence, ranks, series, skew
 from skyhue.operators.grid import TimeGrid
-from skyhue.sources import staging
+from skyhue.sources import workers
 
 SERIES = ["event_id", "photometric_system", "band"]
 EVENT = ["event_id", "photometric_system"]
@@ -206,19 +204,19 @@ def gaps(df: DataFrame, keys: list[str], t: str, chunk_width: float, tie: list[s
     return out.where("__p IS NOT NULL").withColumn("gap_days", F.col(t) - F.col(f"__p.{t}")).drop("__p")
 
 
+def _shifted(df: DataFrame, key: str, t: str, order: list[str], chunk_width: float) -> tuple[DataFrame, Column, Column, Column]:
+    """Rows in series, and of each: its place among simultaneous ones (from 0), how many those are, and the next epoch."""
+    d = series.scan(df, [key], t, order, series.chunk_by(t, chunk_width))
+    return d, F.col("scan.place"), F.col("scan.together"), F.col("scan.next")
+
+
 def stagger_fixed(
     df: DataFrame, key: str, t: str, order: list[str], seconds: float, chunk_width: float = 1.0,
 ) -> DataFrame:
-    """Simultaneous rows moved apart by a fixed step; ``shift_ok`` is false where a shift reaches the next epoch."""
-    step = seconds / 86400.0
-    epoch_counts = df.groupBy(key, t).agg(F.count("*").alias("__n"))
-    epochs = series.neighbours(epoch_counts, [key], [t], [t], series.chunk_by(t, chunk_width), None, "__f")
-    epochs = epochs.select(key, t, F.col(f"__f.{t}").alias("__next"))
-    ranked = df.withColumn("__i", F.row_number().over(W.partitionBy(key, t).orderBy(*order)) - 1)
-    shifted = ranked.join(epochs, [key, t])
-    new = F.col(t) + F.col("__i") * F.lit(step)
-    ok = F.col("__next").isNull() | (F.col("__i") == 0) | (new < F.col("__next"))
-    return shifted.withColumns({"t_shifted": new, "shift_ok": ok}).drop("__i", "__next")
+    """Simultaneous rows moved apart by a fixed step; ``shift_ok`` is false where a shift reaches the next epoch. Keeps ``scan`` (see ``series.scan``)."""
+    d, place, _, following = _shifted(df, key, t, order, chunk_width)
+    new = F.col(t) + place * F.lit(seconds / 86400.0)
+    return d.withColumns({"t_shifted": new, "shift_ok": following.isNull() | (place == 0) | (new < following)})
 
 
 def stagger_fit(
@@ -226,20 +224,14 @@ def stagger_fit(
 ) -> DataFrame:
     """As above, but the step shrinks to ``gap / count`` where the next epoch is near."""
     step = seconds / 86400.0
-    epoch_counts = df.groupBy(key, t).agg(F.count("*").alias("__n"))
-    epochs = series.neighbours(epoch_counts, [key], [t], [t], series.chunk_by(t, chunk_width), None, "__f")
-    fitted = F.least(F.lit(step), F.coalesce((F.col(f"__f.{t}") - F.col(t)) / F.col("__n"), F.lit(step)))
-    epochs = epochs.select(key, t, fitted.alias("__step"))
-    ranked = df.withColumn("__i", F.row_number().over(W.partitionBy(key, t).orderBy(*order)) - 1)
-    return (
-        ranked.join(epochs, [key, t]).withColumn("t_shifted", F.col(t) + F.col("__i") * F.col("__step"))
-        .drop("__i", "__step")
-    )
+    d, place, together, following = _shifted(df, key, t, order, chunk_width)
+    fitted = F.least(F.lit(step), F.coalesce((following - F.col(t)) / together, F.lit(step)))
+    return d.withColumn("t_shifted", F.col(t) + place * fitted)
 
 
 def peaks(
     df: DataFrame, keys: list[str], t: str, mag: str, minimum_prominence: float = 0.05,
-    first_point_fallback: bool = False, array_points: int = 10_000, chunk_width: float = 1.0,
+    first_point_fallback: bool = False, chunk_width: float = 1.0,
 ) -> DataFrame:
     """The most prominent interior brightness peak of each curve, one row per key.
 
@@ -248,144 +240,22 @@ def peaks(
     wins; a convex three-point parabola bracketed by its neighbours refines the time. Optionally the first point
     stands in when it is the brightest and no peak qualifies.
 
-    Curves of up to ``array_points`` times are scanned as one small array each. Longer ones are cut into chunks of
-    time of which only the outline reaches the curve's array (``_long_curve_peaks``); the result is the same.
+    Chunks of time are folded point by point to one summary each, and a curve's summaries in their order (``prominence``): linear in the points, and no
+    more of a long curve than its summaries meets in one task.
     """
-    points = staging.materialize(collapse(df, keys, t, mag).select(*keys, F.col(t).alias("x"), F.col(mag).alias("y")))
-    long_keys = points.groupBy(*keys).count().where(F.col("count") > array_points).select(*keys)
-    if long_keys.isEmpty():
-        found = _short_curve_peaks(points, keys, minimum_prominence)
-    else:
-        short = points.join(long_keys, keys, "left_anti")
-        found = _short_curve_peaks(short, keys, minimum_prominence).unionByName(
-            _long_curve_peaks(points.join(long_keys, keys, "left_semi"), keys, minimum_prominence, chunk_width)
-        )
+    workers.ship(df.sparkSession)
+    points = collapse(df, keys, t, mag)
+    groups = [F.col(k).alias(f"g{i}") for i, k in enumerate(keys)]
+    at = points.select(*groups, series.chunk_by(t, chunk_width).alias(f"g{len(keys)}"), F.col(t).cast("double").alias("x"), F.col(mag).cast("double").alias("y"))
+    kinds = ", ".join(f"g{i} {points.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
+    names, chunk = [f"g{i}" for i in range(len(keys))], f"g{len(keys)}"
+    parts = at.repartition(*names, chunk).sortWithinPartitions(*names, chunk, "x").mapInArrow(prominence.folded(len(keys) + 1, minimum_prominence, False), f"{kinds}, {chunk} bigint, part binary")
+    whole = parts.repartition(*names).sortWithinPartitions(*names, chunk).select(*names, "part").mapInArrow(prominence.folded(len(keys), minimum_prominence, True), f"{kinds}, {prominence.RESULT}")
+    peak = F.struct((-F.col("climb")).alias("order1"), F.col("y").alias("order2"), F.col("x").alias("order3"), F.col("climb").alias("prominence"), "xp", "yp", "xn", "yn")
+    found = whole.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "n_points", "n_interior", F.when(F.col("climb").isNotNull(), peak).alias("b"), "x_first", "y_first", "y_min")
     return _peak_table(found, keys, first_point_fallback)
 
 
-RUN_FIELDS = ("m_x", "m_xp", "m_yp", "m_xn", "m_yn")
-
-
-def _lowest_base(side: Column, height: Column) -> Column:
-    """Faintest magnitude met along ``side`` before something brighter than ``height``."""
-    start = F.struct(height.alias("m"), F.lit(False).alias("stop"))
-    done = F.aggregate(side, start, lambda acc, v: F.struct(
-        F.when(acc["stop"] | (v < height), acc["m"]).otherwise(F.greatest(acc["m"], v)).alias("m"),
-        (acc["stop"] | (v < height)).alias("stop"),
-    ))
-    return done["m"]
-
-
-def _candidate(p, climb: Column) -> Column:
-    """Sorts by prominence, brightness, time."""
-    return F.struct(
-        (-climb).alias("order1"), p["y"].alias("order2"), p["m_x"].alias("order3"), climb.alias("prominence"),
-        p["m_xp"].alias("xp"), p["m_yp"].alias("yp"), p["m_xn"].alias("xn"), p["m_yn"].alias("yn"),
-    )
-
-
-def _short_curve_peaks(points: DataFrame, keys: list[str], minimum_prominence: float) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy("x")
-    rows = points.withColumns({
-        "pos": F.row_number().over(w),
-        "xp": F.lag("x").over(w), "yp": F.lag("y").over(w), "xn": F.lead("x").over(w), "yn": F.lead("y").over(w),
-    }).withColumn("run", F.sum((F.col("yp").isNull() | (F.col("yp") != F.col("y"))).cast("int")).over(w))
-    by_run = W.partitionBy(*keys, "run")
-    middle = F.floor((F.min("pos").over(by_run) + F.max("pos").over(by_run)) / 2)
-    runs = rows.withColumn("mid", middle).groupBy(*keys, "run").agg(
-        F.first("y").alias("y"), F.count("*").alias("len"), F.min("x").alias("x0"),
-        *[F.max(F.when(F.col("pos") == F.col("mid"), F.col(c[2:]))).alias(c) for c in RUN_FIELDS],
-    )
-    curve = runs.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("run", "y", "x0", *RUN_FIELDS))).alias("r"),
-        F.sum("len").alias("n_points"), F.min("y").alias("y_min"),
-    )
-    y, n = F.col("r.y"), F.size("r")
-
-    def with_prominence(p):
-        left, right = F.reverse(F.slice(y, 1, p["run"] - 1)), F.slice(y, p["run"] + 1, n)
-        return _candidate(p, F.least(_lowest_base(left, p["y"]), _lowest_base(right, p["y"])) - p["y"])
-
-    interior = F.filter(F.col("r"), lambda p: (p["run"] > 1) & (p["run"] < n) & (
-        (F.element_at(y, F.greatest(p["run"].cast("int") - 1, F.lit(1))) > p["y"])
-        & (F.element_at(y, F.least(p["run"].cast("int") + 1, n)) > p["y"])
-    ))
-    curve = curve.withColumn("cand", F.transform(interior, with_prominence))
-    return curve.select(
-        *keys, "n_points", F.size("cand").cast("bigint").alias("n_interior"),
-        F.array_min(F.filter("cand", lambda p: p["prominence"] >= minimum_prominence)).alias("b"),
-        F.element_at("r", 1)["x0"].alias("x_first"), F.element_at("r", 1)["y"].alias("y_first"), "y_min",
-    )
-
-
-def _long_curve_peaks(points: DataFrame, keys: list[str], minimum_prominence: float, chunk_width: float) -> DataFrame:
-    """The same, with no array longer than a chunk or the outline of a curve.
-
-    Seen from outside a chunk, only its records matter: points that nothing in the chunk outshines to their left or
-    to their right, and the faintest magnitude between them. A peak that is no record has something brighter on
-    both sides within the chunk, so its prominence is settled there.
-    """
-    chunk = lambda c: series.chunk_by(c, chunk_width)
-    d = series.neighbours(points, keys, ["x"], ["x", "y"], chunk("x"), "p", "f")
-    d = d.withColumn("s", F.when(F.col("p").isNull() | (F.col("p.y") != F.col("y")), F.struct(F.col("x").alias("run"))))
-    d = series.bracket(d, keys, ["x"], "s", chunk("x"), "at", "unused").withColumn("run", F.col("at.run"))
-    d = series.row_numbers(d.drop("s", "at", "unused"), keys, ["x"], chunk("x"), "pos")
-    d = series.key_totals(d, [*keys, "run"], lo=F.min("pos"), hi=F.max("pos"))
-    runs = d.where(F.col("pos") == F.floor((F.col("lo") + F.col("hi")) / 2)).select(
-        *keys, "run", "y", (F.col("hi") - F.col("lo") + 1).alias("len"), F.col("x").alias("m_x"),
-        F.col("p.x").alias("m_xp"), F.col("p.y").alias("m_yp"), F.col("f.x").alias("m_xn"), F.col("f.y").alias("m_yn"),
-    )
-    runs = series.neighbours(runs, keys, ["run"], ["run", "y"], chunk("run"), "p", "f")
-    before, after, y = F.col("p.y"), F.col("f.y"), F.col("y")
-    runs = staging.materialize(runs.withColumn("is_peak", F.coalesce((before > y) & (after > y), F.lit(False))))
-    totals = runs.groupBy(*keys).agg(
-        F.sum("len").alias("n_points"), F.count_if("is_peak").alias("n_interior"),
-        F.min("run").alias("x_first"), F.min_by("y", "run").alias("y_first"), F.min("y").alias("y_min"),
-    )
-    extreme = before.isNull() | after.isNull() | F.col("is_peak") | ((before < y) & (after < y))
-    fields = ("run", "y", "is_peak", *RUN_FIELDS)
-
-    parts = runs.where(extreme).groupBy(*keys, chunk("run").alias("c")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("r"))
-    n = F.size("r")
-
-    def outlook(e, i):
-        left, right = F.slice(F.col("r.y"), F.lit(1), i), F.slice(F.col("r.y"), i + 2, n)
-        climb = F.least(_lowest_base(F.reverse(left), e["y"]), _lowest_base(right, e["y"])) - e["y"]
-        brighter = lambda side: F.exists(side, lambda v: v < e["y"])
-        return F.struct(*[e[f].alias(f) for f in fields], brighter(left).alias("hl"), brighter(right).alias("hr"), climb.alias("climb"))
-
-    e = parts.select(*keys, "c", F.explode(F.transform("r", outlook)).alias("e")).select(*keys, "c", "e.*")
-    settled = F.col("is_peak") & F.col("hl") & F.col("hr") & (F.col("climb") >= minimum_prominence)
-    here = {f: F.col(f) for f in fields}
-    local = e.where(settled).select(*keys, _candidate(here, F.col("climb")).alias("b"))
-
-    kept = ~(F.col("hl") & F.col("hr"))
-    e = e.withColumn("kept", kept).withColumn("k", F.sum(F.col("kept").cast("int")).over(W.partitionBy(*keys, "c").orderBy("run")))
-    outline = e.groupBy(*keys, "c", "k").agg(
-        F.max(F.when(F.col("kept"), F.struct(*fields))).alias("o"), F.max(F.when(~F.col("kept"), F.col("y"))).alias("gap")
-    )
-    curve = outline.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("o.*", "gap"))).alias("r"))
-
-    def climb_from(o, i):
-        def step(valley_first):
-            def f(acc, v):
-                m = F.greatest(acc["m"], v["gap"]) if valley_first else acc["m"]
-                stop = v["y"] < o["y"]
-                past = F.greatest(m, v["y"]) if valley_first else F.greatest(m, v["y"], v["gap"])
-                return F.struct(
-                    F.when(acc["stop"], acc["m"]).when(stop, m).otherwise(past).alias("m"), (acc["stop"] | stop).alias("stop"))
-            return f
-        start = lambda m: F.struct(m.alias("m"), F.lit(False).alias("stop"))
-        left = F.aggregate(F.reverse(F.slice("r", F.lit(1), i)), start(o["y"]), step(True))["m"]
-        right = F.aggregate(F.slice("r", i + 2, n), start(F.greatest(o["y"], o["gap"])), step(False))["m"]
-        return F.least(left, right) - o["y"]
-
-    ends = F.transform("r", lambda o, i: F.when(o["is_peak"], _candidate(o, climb_from(o, i))))
-    outer = curve.select(*keys, F.explode(ends).alias("b")).where(F.col("b").isNotNull() & (F.col("b.prominence") >= minimum_prominence))
-    best = local.unionByName(outer).groupBy(*keys).agg(F.min("b").alias("b"))
-    return totals.join(best, keys, "left").select(*keys, "n_points", "n_interior", "b", "x_first", "y_first", "y_min")
-
-
 def _peak_table(found_peaks: DataFrame, keys: list[str], first_point_fallback: bool) -> DataFrame:
     bright = F.abs(F.col("y_first") - F.col("y_min")) <= F.lit(1e-12) + F.lit(1e-5) * F.abs("y_min")
     curve = found_peaks.withColumn("first_point_is_brightest", bright)
@@ -419,100 +289,32 @@ def _peak_table(found_peaks: DataFrame, keys: list[str], first_point_fallback: b
 
 def pair_colours(
     df: DataFrame, key: str, band1: str, band2: str, window: float, t: str = "t_days", mag: str = "mag",
-    error: str = "mag_err", row: str = "row_id", tie: str = "later", chunk_width: float = 1.0, island_edges: int = 10_000,
+    error: str = "mag_err", row: str = "row_id", tie: str = "later", chunk_width: float = 1.0,
 ) -> DataFrame:
     """Greedy one-to-one pairing of two bands: smallest separation first, inside a window.
 
     ``tie`` orders equal separations: ``later`` by the later time of the pair, ``row`` by row order. A window of zero
-    pairs times equal to 1e-10.
-
-    Points further apart than the window cannot interact, so each event falls into islands of crowded points. An
-    island with few possible pairs is folded in one expression; a larger one is settled in distributed rounds that
-    never gather it (``_settle_in_rounds``), with the same result.
+    pairs times equal to 1e-10. Row ids are unique. See ``pairing`` for how long chains and crowded events are dealt out.
     """
+    workers.ship(df.sparkSession)
     zero = window <= 1e-12
     x = F.round(F.col(t), 10) if zero else F.col(t)
     points = df.where(F.col("band").isin(band1, band2) & F.col(mag).isNotNull() & F.col(t).isNotNull()).select(
-        key, "band", F.col(t).alias("t"), x.alias("x"), F.col(mag).alias("m"), F.col(error).alias("e"), F.col(row).alias("row")
+        F.col(key).alias("key"), (F.col("band") == band1).alias("first"), F.col(t).cast("double").alias("t"), x.cast("double").alias("x"),
+        F.col(mag).cast("double").alias("m"), F.col(error).cast("double").alias("e"), F.col(row).alias("row"),
     )
     reach = 0.0 if zero else window + (1e-12 if tie == "row" else 0.0)
-    near = series.neighbours(points, [key], ["x", "band", "row"], ["x"], series.chunk_by("x", chunk_width), "__p", None)
-    cut = near.withColumn("__cut", F.col("__p").isNull() | (F.col("x") - F.col("__p.x") > F.lit(reach)))
-    # an island starts at the latest cut at or before the row
-    starts = cut.withColumn("__start", F.when(F.col("__cut"), F.struct(F.col("x").alias("s"))))
-    islands = series.bracket(
-        starts.drop("__p", "__cut"), [key], ["x"], "__start", series.chunk_by("x", chunk_width), "__island", "__unused"
-    ).withColumn("island", F.col("__island.s")).drop("__island", "__unused", "__start")
-    # written once: the folded and the crowded islands are two scans of it
-    sized = staging.materialize(series.key_totals(
-        islands, [key, "island"], __a=F.count_if(F.col("band") == band1), __b=F.count_if(F.col("band") == band2)
-    ).where("__a > 0 AND __b > 0"))
-    fits = F.col("__a") * F.col("__b") <= island_edges
-
-    def edge(p, q):
-        separation = F.lit(0.0) if zero else F.abs(p["t"] - q["t"])
-        first = F.greatest(p["t"], q["t"]) if tie == "later" else F.lit(0.0)
-        return F.struct(
-            separation.alias("sep"), first.alias("first"), p["t"].alias("o1"), p["row"].alias("r1"), q["t"].alias("o2"),
-            q["row"].alias("r2"), p["m"].alias("m1"), q["m"].alias("m2"), p["e"].alias("e1"), q["e"].alias("e2"),
-            F.abs(p["x"] - q["x"]).alias("d"),
-        )
-
-    item = F.struct("t", "x", "m", "e", "row")
-    grouped = sized.where(fits).groupBy(key, "island").agg(
-        F.array_sort(F.collect_list(F.when(F.col("band") == band1, item))).alias("a"),
-        F.array_sort(F.collect_list(F.when(F.col("band") == band2, item))).alias("b"),
-    )
-    edges = F.array_sort(F.filter(
-        F.flatten(F.transform("a", lambda p: F.transform("b", lambda q: edge(p, q)))), lambda e: e["d"] <= F.lit(reach)
-    ))
-    grouped = grouped.withColumn("edges", edges).where(F.size("edges") > 0)
-    # the empty accumulator is a slice of the edges themselves, so the types agree
-    picked = F.aggregate(
-        "edges", F.slice(F.col("edges"), 1, 0),
-        lambda taken, e: F.when(
-            F.exists(taken, lambda o: (o["r1"] == e["r1"]) | (o["r2"] == e["r2"])), taken
-        ).otherwise(F.concat(taken, F.array(e))),
-    )
-    folded = grouped.select(key, F.explode(picked).alias("e"))
-
-    large = sized.where(~fits).select(key, "band", item.alias("p"))
-    cell = F.floor(F.col("p.x") / F.lit(max(reach, 1e-10))).cast("bigint")
-    left = large.where(F.col("band") == band1).select(key, "p", F.explode(F.array(cell - 1, cell, cell + 1)).alias("c"))
-    right = large.where(F.col("band") == band2).select(key, F.col("p").alias("q"), cell.alias("c"))
-    pairs = left.join(right, [key, "c"]).select(key, edge(F.col("p"), F.col("q")).alias("e")).where(F.col("e.d") <= F.lit(reach))
-    chosen = [folded, *_settle_in_rounds(pairs, key)]
-    return reduce(DataFrame.unionByName, chosen).select(
-        key, F.col("e.r1").alias("row_band1"), F.col("e.r2").alias("row_band2"),
-        F.col("e.o1").alias("t_band1_days"), F.col("e.o2").alias("t_band2_days"), F.col("e.sep").alias("time_separation_days"),
-        (F.lit(0.5) * (F.col("e.o1") + F.col("e.o2"))).alias("t_color_mean_days"),
-        F.greatest("e.o1", "e.o2").alias("t_color_available_days"),
-        F.col("e.m1").alias("mag_band1"), F.col("e.m2").alias("mag_band2"),
-        (F.col("e.m1") - F.col("e.m2")).alias("color"), F.hypot("e.e1", "e.e2").alias("color_error"),
+    p = pairing.greedy(points, reach, zero, tie == "later", chunk_width)
+    return p.select(
+        F.col("key").alias(key), F.col("row").alias("row_band1"), F.col("row2").alias("row_band2"),
+        F.col("t").alias("t_band1_days"), F.col("t2").alias("t_band2_days"), (F.lit(0.0) if zero else F.abs(F.col("t") - F.col("t2"))).alias("time_separation_days"),
+        (F.lit(0.5) * (F.col("t") + F.col("t2"))).alias("t_color_mean_days"),
+        F.greatest("t", "t2").alias("t_color_available_days"),
+        F.col("m").alias("mag_band1"), F.col("m2").alias("mag_band2"),
+        (F.col("m") - F.col("m2")).alias("color"), F.hypot("e", "e2").alias("color_error"),
     )
 
 
-def _settle_in_rounds(pairs: DataFrame, key: str) -> list[DataFrame]:
-    """Greedy matching of possible pairs (key, e) without gathering a group.
-
-    A pair that comes first among the pairs of both its points is one the greedy order would take, whatever else
-    happens. Each round takes all of those at once and drops the pairs that share a point with them; the rest is
-    written before the next round. Crowded points settle in a few rounds.
-    """
-    rest = staging.materialize(pairs)
-    taken = []
-    while not rest.isEmpty():
-        first = lambda c: rest.groupBy(key, F.col(f"e.{c}").alias(c)).agg(F.min("e").alias(f"min_{c}"))
-        d = rest.select(key, "e", F.col("e.r1").alias("r1"), F.col("e.r2").alias("r2"))
-        d = d.join(first("r1"), [key, "r1"]).join(first("r2"), [key, "r2"])
-        round_ = staging.materialize(d.where((F.col("e") == F.col("min_r1")) & (F.col("e") == F.col("min_r2"))).select(key, "e"))
-        taken.append(round_)
-        gone = lambda c: round_.select(key, F.col(f"e.{c}").alias(c))
-        left = d.select(key, "e", "r1", "r2").join(gone("r1"), [key, "r1"], "left_anti").join(gone("r2"), [key, "r2"], "left_anti")
-        rest = staging.materialize(left.select(key, "e"))
-    return taken
-
-
 def observe(rows: DataFrame, threshold: float = 5.0) -> DataFrame:
     """Simulated measurement of ``mag`` at depth ``m5`` with a supplied noise draw (in sigmas): SNR, detection, magnitude or limit."""
     snr = 5.0 * F.pow(F.lit(10.0), F.lit(-0.4) * (F.col("mag") - F.col("m5")))

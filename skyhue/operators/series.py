@@ -38,6 +38,35 @@ def row_numbers(df: DataFrame, keys: list[str], order: list, chunk: Column, name
     )
 
 
+def scan(df: DataFrame, keys: list[str], t: str, order: list, chunk: Column, name: str = "scan") -> DataFrame:
+    """Adds a struct: ``number`` (1-based, in the order of t and order), ``place`` (0-based) and ``together`` among rows of the same t, ``next`` (the next
+    different t of the series, NULL at its end) and ``first`` (the series' first t). ``chunk`` must be a function of t and not decrease with it.
+
+    One shuffle of the rows, by key and chunk; all windows and the counts of chunks use it, and only a row for each chunk goes further.
+    """
+    d = df.withColumn(CHUNK, chunk).repartition(*keys, CHUNK)
+    inside = W.partitionBy(*keys, CHUNK).orderBy(F.col(t).asc_nulls_first(), *_order(order))
+    epoch = W.partitionBy(*keys, CHUNK, t)
+    d = d.withColumns({"__number": F.row_number().over(inside), "__lead": F.lead(t).over(inside), "__place": F.row_number().over(epoch.orderBy(*_order(order))) - 1})
+    d = d.withColumns({"__together": F.count("*").over(epoch), "__following": F.max("__lead").over(epoch)}).drop("__lead")
+    ends = df.withColumn(CHUNK, chunk).repartition(*keys, CHUNK).groupBy(*keys, CHUNK).agg(F.count("*").alias("__n"), F.min(t).alias("__first"))
+    w = W.partitionBy(*keys).orderBy(F.col(CHUNK).asc_nulls_first())
+    ends = ends.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, CHUNK])], F.coalesce(F.sum("__n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.lead("__first").over(w).alias("__later"), F.min("__first").over(W.partitionBy(*keys)).alias("__start"),
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, CHUNK])]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    following = F.when(F.col("__following") > F.col(t), F.col("__following")).otherwise(F.col("__later"))
+    made = F.struct(
+        (F.col("__before") + F.col("__number")).cast("bigint").alias("number"), F.col("__place").alias("place"), F.col("__together").alias("together"),
+        following.alias("next"), F.col("__start").alias("first"),
+    )
+    return d.join(ends, on).withColumn(name, made).select(*df.columns, name)
+
+
 def neighbours(
     df: DataFrame, keys: list[str], order: list[str], values: list[str], chunk: Column,
     previous: str | None = "previous", following: str | None = "following",

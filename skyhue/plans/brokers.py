@@ -78,7 +78,7 @@ def audit(spark, sf):
         (F.col("n_chars") > 300).cast("int").alias("n_valid_points"))
     top = docs.agg(F.max("file_index")).first()[0]
     passes = accepted(spark, sf)
-    return B.require_matched(B.efficiency_audit(docs, passes, 0, top + 50), passes)
+    return B.guard_matched(B.efficiency_audit(docs, passes, 0, top + 50), passes)
 
 
 AUD = ACC + """, ix AS (SELECT unnest(range(0, (SELECT max(doc_id) + 51 FROM documents))) AS file_index), au AS (SELECT file_index, CAST(file_index AS VARCHAR) AS object_id, stats_object_id, CASE WHEN doc_id IS NULL THEN 0 ELSE 1 END::BIGINT AS n_rows, coalesce(n_chars > 300, false)::INT::BIGINT AS n_valid_points, coalesce(n_passed_filter, 0) AS n_passed_filter,

@@ -143,3 +143,5 @@ def test_passes_that_match_no_record_are_an_error(spark):
     assert broker.require_matched(broker.efficiency_audit(files, known, 0, 3), known).count() == 4
     with pytest.raises(ValueError, match="77"):
         broker.require_matched(broker.efficiency_audit(files, more, 0, 3), more)
+    with pytest.raises(PySparkException, match="77"):
+        broker.guard_matched(broker.efficiency_audit(files, more, 0, 3), more).count()

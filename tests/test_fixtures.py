@@ -1,12 +1,14 @@
 """Small worked examples with known answers."""
 
+import functools
+import itertools
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from skyhue.functions import checks, columns as C
-from skyhue.operators import broker, cells, convergence as V, curves, envelope as E, latitude as L, selection, survey
+from skyhue.operators import broker, cells, convergence as V, curves, envelope as E, latitude as L, prominence, selection, survey
 from skyhue.operators.grid import TimeGrid
 from skyhue.operators.quantiles import exact_quantiles, nearest_rank, nearest_sample
 
@@ -110,7 +112,7 @@ def test_peaks(spark, values, fallback, status, low, high):
         assert low - 1e-9 <= r["peak_time"] <= high + 1e-9
 
 
-def test_long_curves_equal_short_ones(spark):
+def test_peaks_against_brute_force_whatever_the_chunks(spark):
     import random
     rng = random.Random(9)
     data = []
@@ -121,14 +123,66 @@ def test_long_curves_equal_short_ones(spark):
         for i in range(rng.randint(1, 60)):
             data.append((e, round(i * 0.37, 3), float(rng.randint(0, levels)) + drift * i))
     d = spark.createDataFrame(data, "event_id int, t double, m double")
-    want = rows(curves.peaks(d, ["event_id"], "t", "m", 0.05, True), "event_id")
-    for limit, width in ((0, 3.0), (20, 1.0), (0, 0.4)):
-        got = rows(curves.peaks(d, ["event_id"], "t", "m", 0.05, True, array_points=limit, chunk_width=width), "event_id")
-        for a, b in zip(got, want, strict=True):
-            assert a == b, (limit, width, a, b)
-
-
-@pytest.mark.parametrize("limit", [0, 10_000])
+    want = [brute_peak([(t, m) for k, t, m in data if k == e]) for e in range(40)]
+    for width in (1000.0, 3.0, 0.4):
+        for r, w in zip(curves.peaks(d, ["event_id"], "t", "m", 0.05, True, chunk_width=width).orderBy("event_id").collect(), want, strict=True):
+            assert (r["discrete_peak_time"], r["peak_magnitude"], r["prominence_mag"]) == w[:3] if w[2] is not None else not r["prominence_mag"], (width, r, w)
+            assert r["status"].endswith(("below_minimum_prominence", "no_interior_peak", "insufficient_points")) == (w[2] is None)
+
+
+def brute_peak(points):
+    """Middle of the best run, its magnitude and prominence, by looking at every pair of points."""
+    points = sorted(points)
+    runs = [(y, list(g)) for y, g in itertools.groupby(points, key=lambda p: p[1])]
+    found = []
+    for i in range(1, len(runs) - 1):
+        y = runs[i][0]
+        if runs[i - 1][0] > y and runs[i + 1][0] > y:
+            sides = []
+            for side in (runs[:i][::-1], runs[i + 1 :]):
+                sides.append(max(v for v, _ in itertools.takewhile(lambda r: r[0] >= y, side)))
+            climb = min(sides) - y
+            if climb >= 0.05:
+                found.append((-climb, y, runs[i][1][(len(runs[i][1]) - 1) // 2][0]))
+    return (min(found)[2], min(found)[1], -min(found)[0]) if found else (None, None, None)
+
+
+def test_summaries_join_associatively():
+    import random
+    rng = random.Random(3)
+    for _ in range(300):
+        ys = [float(rng.randint(0, 6)) for _ in range(rng.randint(1, 25))]
+        points = [prominence.point(float(i), y) for i, y in enumerate(ys)]
+        join = lambda a, b: prominence.joined(a, b, 0.05)
+        straight = functools.reduce(join, points)
+        def tree(p):
+            k = rng.randint(1, len(p) - 1) if len(p) > 1 else 0
+            return join(tree(p[:k]), tree(p[k:])) if k else p[0]
+        assert prominence.result(straight, 0.05) == prominence.result(tree(points), 0.05)
+        w = brute_peak(list(enumerate(ys)))
+        got = prominence.result(straight, 0.05)
+        assert (got[7], got[6], got[5]) == w
+
+
+def test_summaries_of_long_rises_stay_short():
+    ys = [float(abs(k - 5000)) for k in range(10_000)]
+    part = functools.reduce(lambda a, b: prominence.joined(a, b, 0.05), (prominence.point(float(i), y) for i, y in enumerate(ys)))
+    assert len(part.rightward) < 5 and len(part.leftward) < 5 and len(part.peaks) <= 1
+    assert prominence.result(part, 0.05)[5:8] == (4999.0, 0.0, 5000.0)
+
+
+def test_a_chain_of_10000_points_settles_in_known_rounds(spark):
+    """Each pair waits for the next, closer one, so that the chain is settled from its end."""
+    times, t = [], 0.0
+    for k in range(10_000):
+        times.append(t)
+        t += 1.0 - k * 1e-5
+    d = spark.createDataFrame([(1, "gr"[k % 2], x, 20.0, 0.1, k) for k, x in enumerate(times)], "event_id int, band string, t_days double, mag double, mag_err double, row_id int")
+    got = {(r["row_band1"], r["row_band2"]) for r in curves.pair_colours(d, "event_id", "g", "r", 1.0).collect()}
+    assert got == {(k, k + 1) if k % 2 == 0 else (k + 1, k) for k in range(9998, -1, -2)}
+
+
+@pytest.mark.parametrize("limit", [0.5, 1.0, 50.0])
 def test_greedy_pairs(spark, limit):
     import random
     rng = random.Random(4)
@@ -150,7 +204,7 @@ def test_greedy_pairs(spark, limit):
                 if r1 not in used and r2 not in used:
                     used |= {r1, r2}
                     want.add((r1, r2))
-        got = curves.pair_colours(d, "event_id", "g", "r", window, tie=tie, island_edges=limit)
+        got = curves.pair_colours(d, "event_id", "g", "r", window, tie=tie, chunk_width=limit)
         assert {(r["row_band1"], r["row_band2"]) for r in got.collect()} == want
 
 
