@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyhue.llm.tables import staged
+from skyhue.llm import arrow_text as A
+from skyhue.llm.tables import ship, staged
 from skyhue.sources.staging import folder
 
 #: Documents of its language that hold a kept term at least, what is added to each count, parts of a whole, ranks of the term part.
 MIN_DOCS, ADDED, WHOLE, RANKS = 30, 5, 1_000_000_000, 50
-#: Fixed value: what stands between terms.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes that stand between terms (fixed values), and A-Z as a-z.
+BETWEEN = np.zeros(256, dtype=bool)
+BETWEEN[[*range(0, 65), *range(91, 97), *range(123, 128)]] = True
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 #: Kept terms that one vocabulary holds, about; a larger one is cut by a hash of the terms, as a vocabulary passes through the driver and is broadcast.
 SLICE = 1 << 20
 #: One in so many terms is counted beforehand, to see how many slices there are.
@@ -25,45 +32,89 @@ SALTS = 32
 VECTOR = T.StructType([T.StructField("type", T.ByteType()), T.StructField("size", T.IntegerType()), T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
 
 
-def terms(text: Column) -> Column:
-    """Terms of a text in order, only A-Z lower-cased; none for null."""
-    t = F.coalesce(text, F.lit(""))
-    low = F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
-    return F.array_remove(F.split(low, BETWEEN), "")
+def _named(rep: np.ndarray, w: A.Words, data: np.ndarray, names: list[bytes]) -> pa.StringArray:
+    """Words as strings, each behind the name of its row."""
+    row, size = w.row[rep], w.end[rep] - w.start[rep]
+    before = np.array([len(x) for x in names], dtype=np.int64)[row]
+    at, read = np.concatenate([[0], np.cumsum(before + size)]), np.cumsum(size) - size
+    out, place = np.empty(at[-1], dtype=np.uint8), np.arange(size.sum())
+    out[np.repeat(at[:-1] + before - read, size) + place] = data[np.repeat(w.start[rep] - read, size) + place]
+    for name in set(names):
+        begin = at[:-1][np.array([x == name for x in names])[row]]
+        for k, byte in enumerate(name):
+            out[begin + k] = byte
+    return pa.StringArray.from_buffers(len(rep), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(out))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, text) -> lang, source, times, terms: of each document a row for the different terms that occur equally often, or one without terms."""
+    for block in A.blocks(batches, "text"):
+        lang, source = (block.rows.column(block.rows.schema.get_field_index(c)) for c in ("lang", "source"))
+        w = A.words(block, BETWEEN)
+        h = A.word_hashes(block, w)
+        order = np.lexsort((h, w.row))
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = (h[order][1:] != h[order][:-1]) | (w.row[order][1:] != w.row[order][:-1])
+        first = np.flatnonzero(fresh)
+        rep, times = order[first], np.diff(np.append(first, len(order)))
+        by = np.lexsort((times, w.row[rep]))
+        rep, times = rep[by], times[by]
+        row = w.row[rep]
+        cut = np.ones(len(rep), dtype=bool)
+        cut[1:] = (row[1:] != row[:-1]) | (times[1:] != times[:-1])
+        begin, none = np.flatnonzero(cut), np.flatnonzero(w.count == 0)
+        strings = _named(rep, w, FOLD[block.data], [x.encode() + b"\x00" for x in lang.to_pylist()])
+        ends = np.concatenate([begin, np.full(len(none) + 1, len(rep))])
+        rows = pa.array(np.concatenate([row[begin], none]))
+        yield pa.RecordBatch.from_arrays(
+            [lang.take(rows), source.take(rows), pa.array(np.concatenate([times[begin], np.zeros(len(none), dtype=np.int64)])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), strings)], ["lang", "source", "times", "terms"]
+        )
+
+
+def bags(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
+    """Documents as bags of terms, written once: lang, source, times, terms (each with its language's name in front) and probe (one in PROBE of them).
+
+    A document's terms are dealt to rows by how often they occur in it, so a document is the sum of times * its rows, a term stands in one row of a document, and
+    a row holds each term once, however often it is repeated.
+    """
+    ship(docs.sparkSession)
+    plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))), F.col(text).alias("text"))
+    found = plain.mapInArrow(_counted, "lang string, source string, times long, terms array<string>")
+    return staged(found.withColumn("probe", F.filter("terms", lambda t: F.pmod(F.hash(t), F.lit(PROBE)) == 0)))
 
 
-def _slices(bags: DataFrame, min_docs: int, size: int) -> int:
+def _slices(found: DataFrame, min_docs: int, size: int) -> int:
     """Into how many parts the terms of all languages have to be cut for each to keep about size of them: by exact counts of one in PROBE terms."""
-    one = F.array_distinct(F.filter("terms", lambda t: F.pmod(F.hash(t), F.lit(PROBE)) == 0))
-    kept = bags.select("lang", F.explode(one).alias("term")).groupBy("lang", "term").count().where(F.col("count") >= min_docs).count()
+    kept = found.select(F.explode("probe").alias("term")).groupBy("term").count().where(F.col("count") >= min_docs).count()
     return max(1, -(-kept * PROBE // size))
 
 
-def group_counts(bags: DataFrame, min_docs: int = MIN_DOCS, size: int = SLICE) -> DataFrame:
-    """(lang, source, terms) of documents -> lang, term, source, n: occurrences of each kept term in each group that has it.
+def group_counts(found: DataFrame, min_docs: int = MIN_DOCS, size: int = SLICE) -> DataFrame:
+    """Documents as `bags` has them -> lang, term, source, n: occurrences of each kept term in each group that has it.
 
-    A language's terms are told apart from another's by its name in front, so that one CountVectorizer counts documents for each language. It keeps all terms in
-    at least min_docs documents. Documents become sparse vectors, written once; their entries are summed for each group. Vocabularies of over
+    A language's terms are told apart from another's by its name in front, so that one CountVectorizer counts documents for each language; a term stands in one row
+    of a document, so rows count documents. It keeps all terms in at least min_docs of them. Rows become sparse vectors, written once; times * their entries
+    are summed for each group. Vocabularies of over
     size terms are cut into slices, each of which is fitted, applied and summed by itself.
     """
-    spark, found = bags.sparkSession, None
-    slices = _slices(bags, min_docs, size)
+    spark, out = found.sparkSession, None
+    slices = _slices(found, min_docs, size)
     for k in range(slices):
         own = F.col("terms") if slices == 1 else F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(slices)) == k)
-        named = bags.select("lang", "source", F.transform(own, lambda t: F.concat("lang", F.lit("\x00"), t)).alias("terms"))
+        named = found.select("source", "times", own.alias("terms"))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1).fit(named)
         known = [(i, *name.rsplit("\x00", 1)) for i, name in enumerate(model.vocabulary)]
         if not known:
             continue
         path = folder(spark)
-        model.transform(named).select("lang", "source", "vector").write.parquet(path)
-        schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("vector", VECTOR)])
-        entries = spark.read.schema(schema).parquet(path).select("source", F.inline(F.arrays_zip("vector.indices", "vector.values"))).toDF("source", "at", "n")
-        sums = entries.groupBy("at", "source").agg(F.sum("n").cast("long").alias("n"))
+        model.transform(named.where(F.size("terms") > 0)).select("source", "times", "vector").write.parquet(path)
+        schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("times", T.LongType()), T.StructField("vector", VECTOR)])
+        entries = spark.read.schema(schema).parquet(path).select("source", "times", F.inline(F.arrays_zip("vector.indices", "vector.values"))).toDF("source", "times", "at", "n")
+        sums = entries.groupBy("at", "source").agg(F.sum(F.col("n").cast("long") * F.col("times")).alias("n"))
         words = staged(spark.createDataFrame(known, "at int, lang string, term string"))
         sums = staged(sums.join(words, "at").select("lang", "term", "source", "n"))
-        found = sums if found is None else found.unionByName(sums)
-    return spark.createDataFrame([], "lang string, term string, source string, n long") if found is None else found
+        out = sums if out is None else out.unionByName(sums)
+    return spark.createDataFrame([], "lang string, term string, source string, n long") if out is None else out
 
 
 def _part(n: Column, total: Column, kept: Column) -> Column:
@@ -83,12 +134,11 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     Null texts have no terms; null langs and sources count as ''. Repeated rows count as often as they stand. A lang without kept terms gives values of 0 and no
     term rows; a group without terms still is one. No rows give none. Texts are read whole; further columns aren't read, so their names can't clash.
     """
-    none = F.lit("")
-    bags = staged(docs.select(F.coalesce(F.col(lang).cast("string"), none).alias("lang"), F.coalesce(F.col(source).cast("string"), none).alias("source"), terms(F.col(text)).alias("terms")))
-    counts = group_counts(bags, min_docs, size)
+    found = bags(docs, text, lang, source)
+    counts = group_counts(found, min_docs, size)
     in_lang = staged(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")))
     per_lang = in_lang.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
-    groups = bags.select("lang", "source").distinct().join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(per_lang, "lang", "left")
+    groups = found.select("lang", "source").distinct().join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(per_lang, "lang", "left")
     groups = groups.select("lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "kept", "lang_total")))
     groups = staged(groups.withColumn("p0", _part(F.lit(0), F.col("total"), F.col("kept"))))
     rows = counts.join(groups, ["lang", "source"]).withColumn("p", _part(F.col("n"), F.col("total"), F.col("kept")))
