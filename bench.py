@@ -23,7 +23,7 @@ HEADLINE = (
 def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     wanted = os.environ.get("BENCH_QUERIES")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")

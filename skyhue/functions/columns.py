@@ -26,6 +26,7 @@ ERROR_GAMMA = {"u": 0.038, "g": 0.039, "r": 0.039, "i": 0.039, "z": 0.039, "y":
 DEFAULT_DEPTH = {"u": 23.7, "g": 24.8, "r": 24.4, "i": 23.9, "z": 23.3, "y": 22.3}
 SYSTEMATIC_ERROR_MAG = 0.005
 
+# Words that stand for true and for a missing value.
 TRUE_WORDS = ("1", "true", "yes", "y", "t")
 MISSING_WORDS = ("", "nan", "none", "null")
 
@@ -45,11 +46,6 @@ def to_double(c) -> Column:
     return finite(col(c).try_cast("double"))
 
 
-def nan_to_null(c) -> Column:
-    c = col(c).try_cast("double")
-    return F.when(~F.isnan(c), c)
-
-
 def norm_text(c) -> Column:
     return F.lower(F.trim(col(c).cast("string")))
 
@@ -232,10 +228,6 @@ def percentile_label(q) -> Column:
     return F.concat(F.lit("p"), F.replace(text, F.lit("."), F.lit("p")))
 
 
-def short_number(q: float) -> str:
-    return f"{q:g}"
-
-
 def candidate_id(object_id, sequence, width: int = 4) -> Column:
     """0007_3; the width grows with the largest id but never cuts one."""
     text = col(object_id).cast("string")

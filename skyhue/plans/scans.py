@@ -123,9 +123,9 @@ def _(spark, sf):
     return tidy(survey.resolve_depths(staging.materialize(depth_table(spark, sf)), R.visits(spark, sf), 40.0, ["g", "r"]))
 
 
-@query("depth_from_raw_visits", "A14 O5", f"WITH {S.VISITS} SELECT band, round(quantile_cont(m5, 4e-1), 6) + 0.0 AS m5 FROM visits WHERE band IN ('g', 'r') GROUP BY band")
+@query("depth_from_raw_visits", "A14 O5", f"WITH {S.VISITS} SELECT band, round(quantile_cont(m5, 9e-1), 6) + 0.0 AS m5 FROM visits WHERE band IN ('i', 'r') GROUP BY band")
 def _(spark, sf):
-    return tidy(survey.resolve_depths(None, R.visits(spark, sf), 40.0, ["g", "r"]))
+    return tidy(survey.resolve_depths(None, R.visits(spark, sf), 90.0, ["i", "r"]))
 
 
 @query("snia_scan_optional_columns", "A8", "SELECT event_type AS band, count(*) AS n, count(props) AS n_props FROM events GROUP BY event_type")
@@ -134,10 +134,15 @@ def _(spark, sf):
     return d.groupBy(F.col("event_type").alias("band")).agg(F.count("*").alias("n"), F.count("props").alias("n_props"))
 
 
-@query("realization_manifest_union", "A10 I8", """SELECT realization, count(*) AS n, count(DISTINCT user_id) AS n_events FROM (SELECT 0 AS realization, user_id FROM events
- UNION ALL SELECT 1, user_id FROM events) GROUP BY realization""")
+@query("realization_manifest_union", "A10 I8", """SELECT realization, count(*) AS n, count(DISTINCT user_id) AS n_events FROM (SELECT user_id % 3 AS realization, user_id FROM events)
+ GROUP BY realization""")
 def _(spark, sf):
-    d = readers.realization_manifest(spark, [(0, f"{sf}/events.parquet"), (1, f"{sf}/events.parquet")])
+    """Runs written apart, and read as one table by their manifest."""
+    path = staging.folder(spark)
+    runs = [(k, f"{path}-run{k}") for k in range(3)]
+    for k, where in runs:
+        R.table(spark, sf, "events").where(F.pmod("user_id", F.lit(3)) == k).write.parquet(where)
+    d = readers.realization_manifest(spark, runs).withColumn("realization", F.col("realization").cast("bigint"))
     return d.groupBy("realization").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_events"))
 
 
