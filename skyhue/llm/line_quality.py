@@ -83,7 +83,8 @@ def quality(
     drop = held.withColumn("salt", F.pmod("key.k1", F.lit(SALTS)).cast("int")).join(salted, ["host", "line", "salt"]).where("place <> first").groupBy("host", "key").agg(F.collect_list("line").alias("__q_drop"))
     drop = drop.select(F.col("host").alias("__q_dhost"), F.col("key").alias("__q_dkey"), "__q_drop", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__q_dsalt"))
     out = rows.withColumn("__q_salt", F.pmod(F.xxhash64(F.struct(*own)) if own else F.lit(0), F.lit(SALTS)).cast("int"))
-    out = out.join(drop, (F.col("__q_host") == F.col("__q_dhost")) & (F.col("__q_key") == F.col("__q_dkey")) & (F.col("__q_salt") == F.col("__q_dsalt")), "left")
+    # texts that lose lines grow with the corpus: never broadcast
+    out = out.join(drop.hint("merge"), (F.col("__q_host") == F.col("__q_dhost")) & (F.col("__q_key") == F.col("__q_dkey")) & (F.col("__q_salt") == F.col("__q_dsalt")), "left")
     gone = F.filter("__q_lines", lambda x: F.coalesce(F.array_contains("__q_drop", x["line"]), F.lit(False)))
     gone = F.when(F.col("__q_drop").isNotNull(), gone)
     out = out.withColumns({"__q_gone": F.coalesce(F.size(gone), F.lit(0)).cast("long"), "__q_words": F.coalesce(F.aggregate(gone, F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long")})
