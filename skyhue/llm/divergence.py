@@ -90,7 +90,7 @@ def _slices(found: DataFrame, min_docs: int, size: int) -> int:
 
 
 def group_counts(found: DataFrame, min_docs: int = MIN_DOCS, size: int = SLICE) -> DataFrame:
-    """Documents as `bags` has them -> lang, term, source, n: occurrences of each kept term in each group that has it.
+    """Documents as `bags` has them -> place, lang, term, source, n: occurrences of each kept term (place is its number) in each group that has it.
 
     A language's terms are told apart from another's by its name in front, so that one CountVectorizer counts documents for each language; a term stands in one row
     of a document, so rows count documents. It keeps all terms in at least min_docs of them. Rows become sparse vectors, written once; times * their entries
@@ -112,9 +112,9 @@ def group_counts(found: DataFrame, min_docs: int = MIN_DOCS, size: int = SLICE)
         entries = spark.read.schema(schema).parquet(path).select("source", "times", F.inline(F.arrays_zip("vector.indices", "vector.values"))).toDF("source", "times", "at", "n")
         sums = entries.groupBy("at", "source").agg(F.sum(F.col("n").cast("long") * F.col("times")).alias("n"))
         words = staged(spark.createDataFrame(known, "at int, lang string, term string"))
-        sums = staged(sums.join(words, "at").select("lang", "term", "source", "n"))
+        sums = staged(sums.join(words, "at").select((F.lit(k).cast("long") * (1 << 32) + F.col("at")).alias("place"), "lang", "term", "source", "n"))
         out = sums if out is None else out.unionByName(sums)
-    return spark.createDataFrame([], "lang string, term string, source string, n long") if out is None else out
+    return spark.createDataFrame([], "place long, lang string, term string, source string, n long") if out is None else out
 
 
 def _part(n: Column, total: Column, kept: Column) -> Column:
@@ -136,39 +136,40 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """
     found = bags(docs, text, lang, source)
     counts = group_counts(found, min_docs, size)
-    in_lang = staged(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")))
+    in_lang = staged(counts.groupBy("place").agg(F.first("lang").alias("lang"), F.sum("n").alias("lang_n")))
     per_lang = in_lang.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
+    in_lang = in_lang.join(per_lang, "lang").select("place", _part(F.col("lang_n"), F.col("lang_total"), F.col("kept")).alias("q"))
     groups = found.select("lang", "source").distinct().join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(per_lang, "lang", "left")
     groups = groups.select("lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "kept", "lang_total")))
-    groups = staged(groups.withColumn("p0", _part(F.lit(0), F.col("total"), F.col("kept"))))
+    groups = staged(groups.withColumns({"p0": _part(F.lit(0), F.col("total"), F.col("kept")), "grp": F.monotonically_increasing_id()}))
     rows = counts.join(groups, ["lang", "source"]).withColumn("p", _part(F.col("n"), F.col("total"), F.col("kept")))
-    rows = staged(rows.select("lang", "source", "term", "n", "p", "p0", "kept", "lang_total"))
-    return _pairs(rows, groups).unionByName(_terms(rows, in_lang, ranks))
+    rows = staged(rows.select("place", "grp", "term", "p", "p0"))
+    return _pairs(rows, groups).unionByName(_terms(rows, groups, in_lang, ranks))
 
 
 def _pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    # terms that both have: what |p - q| differs by from what each side's own terms add below
-    held = rows.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "p0")).alias("held"))  # at most an entry for each source
-    both = held.select("lang", "held", F.explode("held").alias("a")).select("lang", "a", F.explode(F.filter("held", lambda b: b["source"] > F.col("a.source"))).alias("b"))
-    p, q, p0, q0 = (F.col(c) for c in ("a.p", "b.p", "a.p0", "b.p0"))
-    both = both.groupBy("lang", F.col("a.source").alias("source"), F.col("b.source").alias("item")).agg(F.sum(F.abs(p - q) - F.abs(p - q0) - F.abs(p0 - q) + F.abs(p0 - q0)).alias("value"))
+    # terms that both have: what |p - q| differs by from what each side's own terms add below. A term has a row for each source at most
+    other = rows.select("place", F.col("grp").alias("other"), F.col("p").alias("q"), F.col("p0").alias("q0"))
+    p, q, p0, q0 = (F.col(c) for c in ("p", "q", "p0", "q0"))
+    both = rows.join(other, "place").where("grp < other").groupBy("grp", "other").agg(F.sum(F.abs(p - q) - F.abs(p - q0) - F.abs(p0 - q) + F.abs(p0 - q0)).alias("value"))
     # terms that one side has: equal counts are taken together
-    alike = rows.groupBy("lang", "source", "p", "p0").agg(F.count("*").alias("times"))
-    other = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
-    one = alike.join(other, "lang").where("source <> item")
-    one = one.groupBy("lang", "source", "item").agg(F.sum(F.col("times") * (F.abs(F.col("p") - F.col("q0")) - F.abs(F.col("p0") - F.col("q0")))).alias("value"))
+    own = groups.select("lang", "grp", "p0", "kept")
+    pairs = own.join(groups.select("lang", F.col("grp").alias("other"), F.col("p0").alias("q0")), "lang").where("grp <> other")
+    alike = rows.groupBy("grp", "p").agg(F.count("*").alias("times"))
+    one = alike.join(pairs.select("grp", "other", "p0", "q0"), "grp").groupBy("grp", "other").agg(F.sum(F.col("times") * (F.abs(p - q0) - F.abs(p0 - q0))).alias("value"))
     # what all kept terms add where neither side has any
-    base = groups.join(other, "lang").where("source <> item").select("lang", "source", "item", (F.col("kept") * F.abs(F.col("p0") - F.col("q0"))).alias("value"))
-    turned = [x.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value") for x in (both, one)]
-    total = base.unionByName(both).unionByName(one).unionByName(turned[0]).unionByName(turned[1]).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    base = pairs.select("grp", "other", (F.col("kept") * F.abs(p0 - q0)).alias("value"))
+    turned = [x.select(F.col("other").alias("grp"), F.col("grp").alias("other"), "value") for x in (both, one)]
+    total = base.unionByName(both).unionByName(one).unionByName(turned[0]).unionByName(turned[1]).groupBy("grp", "other").agg(F.sum("value").alias("value"))
+    named = total.join(groups.select("grp", "lang", "source"), "grp").join(groups.select(F.col("grp").alias("other"), F.col("source").alias("item")), "other")
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    return total.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
+    return named.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
 
 
-def _terms(rows: DataFrame, in_lang: DataFrame, ranks: int) -> DataFrame:
-    more = rows.join(in_lang, ["lang", "term"]).withColumn("value", F.col("p") - _part(F.col("lang_n"), F.col("lang_total"), F.col("kept"))).where("value > 0")
-    more = more.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", F.pmod(F.hash("term"), F.lit(SALTS)).alias("salt"))
+def _terms(rows: DataFrame, groups: DataFrame, in_lang: DataFrame, ranks: int) -> DataFrame:
+    more = rows.join(in_lang, "place").withColumn("value", F.col("p") - F.col("q")).where("value > 0").select("grp", F.col("term").alias("item"), "value", F.pmod("place", F.lit(SALTS)).alias("salt"))
     order = (F.col("value").desc(), "item")
-    first = F.row_number().over(Window.partitionBy("lang", "source", "salt").orderBy(*order))
+    first = F.row_number().over(Window.partitionBy("grp", "salt").orderBy(*order))
     best = more.withColumn("rank", first).where(F.col("rank") <= ranks)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))).where(F.col("rank") <= ranks).drop("salt")
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(*order))).where(F.col("rank") <= ranks)
+    return best.join(groups.select("grp", "lang", "source"), "grp").select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
