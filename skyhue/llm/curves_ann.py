@@ -25,6 +25,8 @@ from skyhue.llm.tables import ship, staged
 CURVES, DIRECTIONS, BITS = 10, 6, 10
 #: Slabs of a curve, and slabs on either side that a query's window takes in.
 SLABS, ASIDE = 16, 1
+#: Times the median length beyond which a vector is compared with every query.
+GIANT = 16
 #: Vectors in a slab and queries in a block, at most; a slab that would hold more is cut finer, and its window takes in as many more.
 SLAB_ROWS, BLOCK_QUERIES = 32768, 4096
 #: Merged candidates that are scored anew, beyond those asked for: rounding may order equal scores at random.
@@ -81,8 +83,9 @@ def _stacked(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _keys(rows: DataFrame, longest: float) -> DataFrame:
-    """(vec, v, query, candidate) -> curve, key, vec, query: a row for each curve, and another one for queries' own places."""
+def _keys(rows: DataFrame, scale: float) -> DataFrame:
+    """(vec, v, query, candidate) -> curve, key, vec, query: a row for each curve, and another one for queries' own places. Candidates up to scale in length get a
+    further component that makes all of them as long; longer ones, and queries, are scaled by their own length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,9 +93,12 @@ def _keys(rows: DataFrame, longest: float) -> DataFrame:
                 part = batch.slice(at, 2048)
                 ids, flags = part.column(0).to_numpy(), [part.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)]
                 v = _stacked(part.column(1))
-                length = np.sqrt((v * v).sum(axis=1))
-                rest = np.sqrt(np.maximum(0, longest * longest - length * length))
-                for query, flag, points in ((False, flags[1], np.column_stack([v, rest]) / longest), (True, flags[0], np.column_stack([v, np.zeros(len(v))]) / length[:, None])):
+                own = v / np.abs(v).max(axis=1)[:, None]
+                own = own / np.sqrt((own * own).sum(axis=1))[:, None]
+                short = np.abs(v).max(axis=1) <= scale
+                held = np.where(short[:, None], v / scale, own)
+                rest = np.sqrt(np.maximum(0, 1 - (held * held).sum(axis=1)))
+                for query, flag, points in ((False, flags[1], np.column_stack([held, rest])), (True, flags[0], np.column_stack([own, np.zeros(len(v))]))):
                     some = np.flatnonzero(flag)
                     if not len(some):
                         continue
@@ -123,7 +129,7 @@ def _best(most: int):
         def flush() -> Iterator[pa.RecordBatch]:
             if top_s is not None and len(ids):
                 q = np.repeat(np.concatenate(ids), top_s.shape[1])
-                keep = np.isfinite(top_s.ravel())
+                keep = top_v.ravel() != q
                 yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(top_v.ravel()[keep]), pa.array(top_s.ravel()[keep])], ["q", "vec", "s"])
 
         for batch in batches:
@@ -163,38 +169,46 @@ def _best(most: int):
 def nearest(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, slabs: int = SLABS, aside: int = ASIDE) -> DataFrame:
     """For each query (a row whose id is divisible by `every`), its k nearest found by inner product: query_id, rank (from 1), vec_id, score.
 
-    Scores are sums in double precision over the original components; ties go to the smaller vec_id. Fewer candidates than k: all of them. Rows take
+    Scores are sums in double precision over the original components, infinite where they overflow; ties go to the smaller vec_id. Fewer candidates than k: all of them. Rows take
     no part whose id or vector is null, or whose vector is empty, zero, holds null or values that aren't finite, or hasn't the commonest length. Of rows that
     repeat an id, one takes part. Equal vectors under different ids are all found: of any one vector the k + 1 smallest ids stand for all, since
-    no more can be among the k nearest of a query. Further columns are ignored; an empty table gives no rows.
+    no more can be among the k nearest of a query. Further columns are ignored; an empty table gives no rows. Vectors over
+    GIANT times as long as the median are likely near to any query, and are compared with every one.
     """
     ship(rows.sparkSession)
-    base = staged(_usable(rows, id, vector))
-    found = base.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).orderBy(F.col("n").desc(), F.col("dims").desc()).first()
-    dims, longest = (found["dims"], float(np.sqrt(found["square"]))) if found else (1, 1.0)
-    base = base.where(F.size("v") == dims).withColumn("same", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(7), "v").alias("b")))
+    most = F.array_max(F.transform("v", F.abs))
+    length = F.aggregate(F.transform("v", lambda x: x / F.col("most")), F.lit(0.0), lambda a, x: a + x * x)
+    base = staged(_usable(rows, id, vector).withColumn("most", most).withColumn("length", F.col("most") * F.sqrt(length)).drop("most"))
+    found = base.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.percentile_approx("length", 0.5).alias("median"), F.max("length").alias("longest")).orderBy(F.col("n").desc(), F.col("dims").desc()).first()
+    dims, scale = (found["dims"], min(found["longest"], GIANT * found["median"], 1e308)) if found else (1, 1.0)
+    base = base.where(F.size("v") == dims)
+    base = base.withColumn("same", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(7), "v").alias("b")))
     # equal vectors may be a third of all rows, so the smallest ids are found in two steps
     few = base.select("vec", "same").withColumn("salt", F.pmod(F.xxhash64("vec"), F.lit(32)))
     for by in (("same", "salt"), ("same",)):
         few = few.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("vec"))).where(F.col("r") <= k + 1)
     few = few.select("vec", F.lit(True).alias("candidate"))
-    base = staged(base.join(few, "vec", "left").select("vec", "v", F.coalesce("candidate", F.lit(False)).alias("candidate"), (F.col("vec") % every == 0).alias("query")))
+    candidate = F.coalesce("candidate", F.lit(False))
+    base = staged(base.join(few, "vec", "left").select("vec", "v", candidate.alias("candidate"), (candidate & (F.col("length") > scale)).alias("giant"), (F.col("vec") % every == 0).alias("query")))
     size = base.agg(F.count_if("candidate").alias("n"), F.count_if("query").alias("q")).first()
     finer = max(1, -(-size["n"] // (slabs * SLAB_ROWS)))
     total, reach = slabs * finer, aside * finer
     blocks = max(1, -(-size["q"] * (2 * aside + 1) // (slabs * BLOCK_QUERIES)))
-    at = _positions(_keys(base.where("candidate OR query"), longest))
+    at = _positions(_keys(base.where("candidate OR query"), scale))
     slab = F.least(F.floor(F.col("pos") * total / F.lit(max(1, size["n"]))), F.lit(total - 1)).cast("int")
     at = at.withColumn("slab", slab)
     low = F.least(F.greatest(F.col("slab") - reach, F.lit(0)), F.lit(max(0, total - 1 - 2 * reach)))  # as wide at the ends
     asked = at.where("query").select("curve", "vec", "query", F.explode(F.sequence(low, F.least(low + 2 * reach, F.lit(total - 1)))).alias("slab"), F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int").alias("block"))
-    held = at.where("NOT query").select("curve", "vec", "query", "slab", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    grouped = asked.unionByName(held).select(F.xxhash64("curve", "slab", "block").alias("grp"), "query", "vec").join(base.select("vec", "v"), "vec").select("grp", "query", "vec", "v")
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    held = at.where("NOT query").select("curve", "vec", "query", "slab", each)
+    giants = base.where("giant").select(F.lit(0).alias("curve"), "vec", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("slab")).select("*", each)
+    grouped = asked.unionByName(held).unionByName(giants).select(F.xxhash64("curve", "slab", "block").alias("grp"), "query", "vec").join(base.select("vec", "v"), "vec").select("grp", "query", "vec", "v")
     pairs = grouped.repartition("grp").sortWithinPartitions("grp", F.col("query").desc()).mapInArrow(_best(k + SPARE), "q bigint, vec bigint, s double")
     pairs = pairs.groupBy("q", "vec").agg(F.max("s").alias("s"))  # windows of several curves find the same
     pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc(), "vec"))).where(F.col("r") <= k + SPARE)
     both = pairs.select("q", "vec").join(base.select("vec", "v"), "vec").join(base.select(F.col("vec").alias("q"), F.col("v").alias("w")), "q")
     exact = F.aggregate(F.zip_with("w", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     both = both.select("q", "vec", exact.alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec"))
+    nearness = F.nanvl("score", F.lit(float("-inf")))  # a sum of both infinities is no nearness
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(nearness.desc(), "vec"))
     return both.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", F.col("vec").alias("vec_id"), "score")

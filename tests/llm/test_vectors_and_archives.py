@@ -45,6 +45,23 @@ def test_neighbours(spark):
     assert [v for v, _ in got[620] if v in same] == [v for v in want[620] if v in same] and len(same & set(want[620])) > 10
 
 
+def test_vectors_of_any_size(spark):
+    """Squares that overflow or vanish take no vector out, and no other one's neighbours."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4))
+    x[7] = [1e200, 0, 0, 0]
+    x[8] = [0, -1e300, 1e300, 0]
+    x[40] = 1e-200
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in curves_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = exact(list(range(60)), x)
+    assert set(got) == set(want) == {0, 20, 40} and all(len(v) == 20 for v in got.values())
+    hits = [len(set(got[q]) & set(want[q])) for q in (0, 20)]
+    assert [got[q][0] for q in (0, 20)] == [want[q][0] for q in (0, 20)] and sum(hits) >= 32, hits
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, -1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in curves_ann.nearest(df).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.0)]
