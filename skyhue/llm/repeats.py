@@ -76,11 +76,12 @@ def stretches(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tu
 
 
 def _anchored(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """docs (tk, text) -> a row for each stretch: anchor, ctx (hash of its bytes), tk, s1, s2 (window starts), p (anchor)."""
+    """docs (k1, k2: the text's key, text) -> a row for each stretch: anchor, ctx (hash of its bytes), k1, k2, s1 (first window's start), and in one number
+    (`shape`) how far the last window's start and the anchor are behind it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in A.blocks(batches, "text", min(A.BLOCK, PART)):
-            tk = block.rows.column(block.rows.schema.get_field_index("tk"))
+            keys = [block.rows.column(block.rows.schema.get_field_index(k)) for k in ("k1", "k2")]
             # a very long text is a block of its own; it is looked at in parts that overlap by a window
             for base in range(0, max(1, len(block.data)), PART):
                 data, offsets = block.data, block.offsets
@@ -94,11 +95,11 @@ def _anchored(docs: DataFrame, span: int, gram: int) -> DataFrame:
                 ctx = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), (last + span).tolist())), dtype=np.uint64, count=len(first))
                 start = block.offsets[row] if len(block.data) <= PART else -base
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(ctx.view(np.int64)), tk.take(pa.array(row)), *(pa.array((x - start).astype(np.int64)) for x in (first, last, at))],
-                    ["anchor", "ctx", "tk", "s1", "s2", "p"],
+                    [pa.array(anchor.view(np.int64)), pa.array(ctx.view(np.int64)), *(k.take(pa.array(row)) for k in keys), pa.array((first - start).astype(np.int64)), pa.array(((last - first) << 32 | (at - first)).astype(np.int64))],
+                    ["anchor", "ctx", "k1", "k2", "s1", "shape"],
                 )
 
-    return docs.mapInArrow(run, f"anchor bigint, ctx bigint, tk {docs.schema['tk'].dataType.simpleString()}, s1 bigint, s2 bigint, p bigint")
+    return docs.mapInArrow(run, "anchor bigint, ctx bigint, k1 bigint, k2 bigint, s1 bigint, shape bigint")
 
 
 def repeated_offsets(stretch: list[bytes], before: list[int], span: int, wanted: list[bool]) -> list[list[tuple[int, int]]]:
@@ -211,18 +212,20 @@ def repeated_spans(docs: DataFrame, text: str = "text", span: int = SPAN, gram:
     ship(docs.sparkSession)
     base = docs.select(text_key(text).alias("tk"), F.col(text).alias("text"))
     kind = base.schema["tk"].dataType.simpleString()
-    found = staged(_anchored(base, span, gram))
+    found = staged(_anchored(base.select("tk.k1", "tk.k2", "text"), span, gram))
     often = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2")).where("n > 1")
     # written first: a join whose sides are both read anew is split by adaptive execution where an anchor has very many rows
     often = staged(often.select("anchor", (F.col("c1") != F.col("c2")).alias("differ")))
     rows = staged(found.join(often, "anchor"))
-    times = rows.groupBy("anchor", "ctx").agg(F.count("*").alias("times"), F.max("differ").alias("differ"), F.min(F.struct("tk", "s1", "s2", "p")).alias("at"))
+    times = rows.groupBy("anchor", "ctx").agg(F.count("*").alias("times"), F.max("differ").alias("differ"), F.min(F.struct("k1", "k2", "s1", "shape")).alias("at"))
     times = staged(times)
-    whole = rows.join(times.where("times > 1").select("anchor", "ctx"), ["anchor", "ctx"]).select("tk", F.col("s1").alias("s"), (F.col("s2") + span).alias("e"))
+    tk, s2, p = F.struct("k1", "k2").alias("tk"), lambda s1, shape: F.col(s1) + F.shiftright(shape, 32), lambda s1, shape: F.col(s1) + F.col(shape).bitwiseAND(F.lit((1 << 32) - 1))
+    whole = rows.join(times.where("times > 1").select("anchor", "ctx"), ["anchor", "ctx"]).select(tk, F.col("s1").alias("s"), (s2("s1", "shape") + span).alias("e"))
     # anchors with some stretch that occurs once, and another one
     groups = times.where("differ").groupBy("anchor").agg(F.count("*").alias("k"), F.min("times").alias("least")).where("least = 1")
     groups = staged(groups.select("anchor", (F.col("k") > GROUP).alias("big")))
-    parts = times.where("differ").join(groups, "anchor").select("at.tk", F.struct("anchor", "big", (F.col("times") == 1).alias("single"), "at.s1", "at.s2", "at.p").alias("part"))
+    parts = times.where("differ").join(groups, "anchor").select("anchor", "big", (F.col("times") == 1).alias("single"), "at.*")
+    parts = parts.select(tk, F.struct("anchor", "big", "single", "s1", s2("s1", "shape").alias("s2"), p("s1", "shape").alias("p")).alias("part"))
     parts = parts.groupBy("tk").agg(F.collect_list("part").alias("parts"))  # as many as a text has stretches
     texts = base.join(parts.select("tk"), "tk", "left_semi").groupBy("tk").agg(F.first("text").alias("text"))
     cut = texts.join(parts, "tk").mapInArrow(_cut_out(span), f"anchor bigint, big boolean, single boolean, tk {kind}, s1 bigint, p bigint, bytes binary")
