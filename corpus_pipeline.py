@@ -16,7 +16,7 @@ from skyhue.llm import bpe, line_quality, minhash, mixing, repeats
 from skyhue.llm.tables import staged, table
 
 #: Bytes of a repeated passage, and of the strings that name its anchors. 51 words of the four languages' prose nearly always reach PASSAGE.
-PASSAGE, PASSAGE_GRAM = 200, 64
+PASSAGE, PASSAGE_GRAM = 200, 48
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
