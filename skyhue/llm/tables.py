@@ -56,3 +56,9 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = f"__{stem}_{uuid.uuid4().hex[:6]}"
     return name
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The table's columns but those named; Spark tells names apart without case, and so does this."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]

@@ -16,33 +16,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyhue.llm import arrow_text as A
-from skyhue.llm.tables import ship, staged, words
+from skyhue.llm.tables import others, ship, staged
 
 #: Labelled rows that the models are fitted on, at most; those first in a random order of ids.
 SAMPLE = 8000
-#: Features are bins of hashes of words and of their first bytes; the models read the most telling ones.
+#: Features are bins of hashes of words and of grams: runs of 3 to 5 bytes of a word and the blanks around it. The models read the most telling ones.
 BINS, FEATURES = 1 << 20, 1024
-PREFIXES = (4, 5, 6)
+GRAMS = (3, 4, 5)
 FOLDS = 5
-
-#: Word lists of the two narrower categories, English.
-INSULTS = ("clown", "idiot", "loser", "moron", "scum", "stupid")
-CONTEMPT = ("disgusting", "pathetic", "trash", "worthless")
-
-
-def features(block: A.Block) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and bins of a block, each pair once, in order: words (A-Z folded) and their first 4, 5 and 6 bytes."""
-    w = A.words(block)
-    if not len(w.start):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    n = len(block.data)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(A.FOLDED[block.data] * A.powers(A.BASE, n), out=prefix[1:])
-    back = A.powers(A.BASE_INVERSE, n)[w.start]
-    parts = [A.mixed((prefix[w.end] - prefix[w.start]) * back)]
-    parts += [A.mixed((prefix[np.minimum(w.start + k, w.end)] - prefix[w.start]) * back + np.uint64(k)) for k in PREFIXES]
-    bins = (np.concatenate(parts) >> np.uint64(44)).astype(np.int64)
-    both = np.unique(np.tile(w.row, len(parts)) * BINS + bins)
+#: Categories in the order of the chain, and where a row of labels is in one; null there is no label.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+
+
+def features(block: A.Block, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and bins of a block, each pair once, in order: words and their grams, A-Z folded. known: for each bin, whether it is wanted."""
+    sizes, w = np.diff(block.offsets) + 1, A.words(block)
+    data = np.insert(block.data, block.offsets, 32)  # a blank before each text and after the last one
+    symbols = np.where(A.WHITE, A.FOLDED[32], A.FOLDED)
+    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(symbols[data] * A.powers(A.BASE, len(data)), out=prefix[1:])
+    back, white = A.powers(A.BASE_INVERSE, len(data)), np.concatenate([[0], np.cumsum(A.WHITE[data])])
+    row_of = np.repeat(np.arange(len(sizes)), sizes)
+    found = []
+    for k in (0, *GRAMS):
+        if k == 0:
+            row, hashes = w.row, A.word_hashes(block, w)
+        else:
+            n = max(0, len(data) - k + 1)
+            at = np.flatnonzero(white[k - 1 : k - 1 + n] == white[1 : 1 + n])  # blanks at its ends only
+            row, hashes = row_of[at], A.mixed((prefix[at + k] - prefix[at]) * back[at] + np.uint64(k))
+        bins = (hashes >> np.uint64(44)).astype(np.int64)
+        wanted = slice(None) if known is None else known[bins]
+        found.append(row[wanted] * BINS + bins[wanted])
+    both = np.unique(np.concatenate(found))
     return both // BINS, both % BINS
 
 
@@ -81,17 +87,19 @@ class Chain:
 
 
 def fit_chain(x: np.ndarray, labels: dict[str, np.ndarray], folds: np.ndarray, bins: np.ndarray) -> Chain:
+    """labels: of each category 1, 0 or -1 (not labelled: such rows don't teach it, yet get its probability)."""
     weights = []
     for y in labels.values():
-        target = y.astype(np.float32)
+        given, target = y >= 0, (y > 0).astype(np.float32)
         out = np.zeros(len(x), dtype=np.float32)
         for k in range(FOLDS):
-            test = folds == k
-            if test.any() and not test.all():
-                out[test] = chance(x[test], fit(x[~test], target[~test]))
-        weights.append(fit(x, target))
+            test, rest = folds == k, (folds != k) & given
+            if test.any() and rest.any():
+                out[test] = chance(x[test], fit(x[rest], target[rest]))
+        weights.append(fit(x[given], target[given]) if given.any() else np.r_[np.zeros(x.shape[1]), -30.0])
         x = np.hstack([x, out[:, None]])
     # the threshold that parts the last category best, by F1, on out-of-fold probabilities
+    out, y = out[given], y[given]
     order = np.argsort(-out, kind="stable")
     hits = np.cumsum(y[order] > 0)
     f1 = 2 * hits / (np.arange(1, len(order) + 1) + max(1, int((y > 0).sum()))) if len(order) else np.zeros(1)
@@ -100,80 +108,84 @@ def fit_chain(x: np.ndarray, labels: dict[str, np.ndarray], folds: np.ndarray, b
     return Chain(tuple(labels), bins, weights, float((out[order[k]] + low) / 2) if len(order) and hits[-1] else 1.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Chain:
-    """Fits the chain insult -> contempt -> toxic. Labels with null id or label, or of rows without text, aren't used; of repeated ids each row is.
+def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", categories: dict[str, str] | None = None) -> Chain:
+    """Fits a chain of the categories in their order; each is a condition on a row of labels, which is null where the row has no such label.
 
-    toxic is the label; insult and contempt mark toxic texts that hold a word of INSULTS or CONTEMPT. No labelled row: no text is toxic.
+    By default low_quality, then toxic: junk tells the second model which of its marks are those of noise. Labels with null id, without any label, or of rows
+    without text aren't used; of repeated ids each row is. No labelled row of a category: no text is in it. Every target comes from labels; the telling features
+    are shared out evenly among categories, and no words are given beforehand.
     """
     ship(docs.sparkSession)
-    held = words(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    bare = F.transform(held, lambda w: F.regexp_replace(w, "[^a-z]", ""))
-    any_of = lambda names: F.arrays_overlap(bare, F.array(*(F.lit(n) for n in names)))
+    names = tuple(categories or CATEGORIES)
+    marks = [f"y{k}" for k in range(len(names))]
     place = F.md5(F.col("id").cast("string"))
-    # the sample is drawn from the labels, so texts of other documents never move; SAMPLE rows of three numbers bound what is broadcast
-    drawn = labels.select(F.col(id).cast("long").alias("id"), F.col(label).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
-    drawn = staged(drawn.orderBy(place, "id", "toxic").limit(SAMPLE))
+    # the sample is drawn from the labels, so texts of other documents never move; SAMPLE rows of a few numbers bound what is broadcast
+    drawn = labels.select(F.col(id).cast("long").alias("id"), *(F.coalesce(F.expr(c).cast("int"), F.lit(-1)).alias(m) for m, c in zip(marks, (categories or CATEGORIES).values())))
+    drawn = staged(drawn.where("id IS NOT NULL").where(F.greatest(F.lit(-1), *marks) >= 0).orderBy(place, "id", *marks).limit(SAMPLE))
     marked = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(drawn), "id")
-    sample = marked.orderBy(place, "id", "toxic", F.xxhash64("text")).limit(SAMPLE)
-    sample = sample.select((F.conv(F.substring(place, 1, 4), 16, 10).cast("int") % FOLDS).alias("fold"), "toxic", ((F.col("toxic") == 1) & any_of(INSULTS)).alias("insult"), ((F.col("toxic") == 1) & any_of(CONTEMPT)).alias("contempt"), "text")
-    sample = staged(sample.repartition(16))
+    sample = marked.orderBy(place, "id", *marks, F.xxhash64("text")).limit(SAMPLE)
+    sample = staged(sample.select((F.conv(F.substring(place, 1, 4), 16, 10).cast("int") % FOLDS).alias("fold"), *marks, "text").repartition(16))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, BINS), dtype=np.int64)
+        seen = np.zeros((len(marks), 2, BINS), dtype=np.int32)
         for block in A.blocks(batches, "text"):
             row, bin_ = features(block)
-            toxic = block.rows.column(block.rows.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False)
-            for k in (0, 1):
-                seen[k] += np.bincount(bin_[toxic[row] == k], minlength=BINS)
-        bins = np.flatnonzero(seen.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(seen[0, bins]), pa.array(seen[1, bins])], ["bin", "clean", "toxic"])
-
-    size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    a, b = float(size["toxic"]) + 1, float(size["n"] - size["toxic"]) + 1
-    telling = F.abs(F.log((F.col("toxic") + 0.5) / a) - F.log((F.col("clean") + 0.5) / b)) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    counts = sample.select("toxic", "text").mapInArrow(count, "bin bigint, clean bigint, toxic bigint").groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    bins = np.array(sorted(r["bin"] for r in counts.orderBy(telling.desc(), "bin").limit(FEATURES).collect()), dtype=np.int64)
+            for k, m in enumerate(marks):
+                y = block.rows.column(block.rows.schema.get_field_index(m)).to_numpy(zero_copy_only=False)[row]
+                for value in (0, 1):
+                    seen[k, value] += np.bincount(bin_[y == value], minlength=BINS).astype(np.int32)
+        for k in range(len(marks)):
+            bins = np.flatnonzero(seen[k].sum(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bins), k)), pa.array(bins), *(pa.array(seen[k, v, bins].astype(np.int64)) for v in (0, 1))], ["category", "bin", "without", "having"])
+
+    counts = sample.select(*marks, "text").mapInArrow(count, "category bigint, bin bigint, without bigint, having bigint").groupBy("category", "bin").agg(F.sum("without").alias("without"), F.sum("having").alias("having"))
+    counts = staged(counts)
+    sizes = sample.agg(*(F.count(F.when(F.col(m) == v, 1)).alias(f"{m}_{v}") for m in marks for v in (0, 1))).first()
+    chosen: set[int] = set()
+    for k, m in enumerate(marks):
+        a, b = float(sizes[f"{m}_1"]) + 1, float(sizes[f"{m}_0"]) + 1
+        telling = F.abs(F.log((F.col("having") + 0.5) / a) - F.log((F.col("without") + 0.5) / b)) / F.sqrt(1 / (F.col("having") + 0.5) + 1 / (F.col("without") + 0.5))
+        chosen |= {r["bin"] for r in counts.where(F.col("category") == k).orderBy(telling.desc(), "bin").limit(FEATURES // len(marks)).collect()}
+    bins = np.array(sorted(chosen), dtype=np.int64)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(BINS, dtype=bool)
+        known[bins] = True
         for block in A.blocks(batches, "text"):
-            row, bin_ = features(block)
-            keep = np.isin(bin_, bins)
-            row, bin_ = row[keep], np.searchsorted(bins, bin_[keep])
+            row, bin_ = features(block, known)
             at = np.searchsorted(row, np.arange(block.rows.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*(block.rows.column(block.rows.schema.get_field_index(c)) for c in ("fold", "toxic", "insult", "contempt")), pa.ListArray.from_arrays(pa.array(at), pa.array(bin_.astype(np.int32)))],
-                ["fold", "toxic", "insult", "contempt", "on"],
-            )
+            on = pa.ListArray.from_arrays(pa.array(at), pa.array(np.searchsorted(bins, bin_).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(block.rows.column(block.rows.schema.get_field_index(c)) for c in ("fold", *marks)), on], ["fold", *marks, "on"])
 
-    rows = sample.mapInArrow(select, "fold int, toxic int, insult boolean, contempt boolean, on array<int>").orderBy("fold", "toxic", "insult", "contempt", "on").collect()
+    schema = ", ".join(["fold int", *(f"{m} int" for m in marks), "on array<int>"])
+    rows = sample.mapInArrow(select, schema).orderBy("fold", *marks, "on").collect()
     x = np.zeros((len(rows), max(1, len(bins))), dtype=np.float32)
     for i, r in enumerate(rows):
         x[i, r["on"]] = 1
-    labels_ = {c: np.array([int(r[c]) for r in rows]) for c in ("insult", "contempt", "toxic")}
     if not len(rows):
-        return Chain(tuple(labels_), bins, [np.r_[np.zeros(max(1, len(bins)) + k), -30.0] for k in range(3)], 1.0)
-    return fit_chain(x, labels_, np.array([r["fold"] for r in rows]), bins)
+        return Chain(names, bins, [np.r_[np.zeros(max(1, len(bins)) + k), -30.0] for k in range(len(names))], 1.0)
+    return fit_chain(x, {c: np.array([r[m] for r in rows]) for c, m in zip(names, marks)}, np.array([r["fold"] for r in rows]), bins)
 
 
 def scored(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """Adds p_<category> of every category, and toxic (the last one's probability reaches the threshold), to the columns of docs, in place of the text.
 
+    Each category's model reads the text's features and the probabilities of the categories before it.
+
     Null texts and such without words: probabilities 0, not toxic. Texts are read whole; repeated rows get the same; columns of docs that bear the name of an
-    added one are replaced.
+    added one (case aside) are replaced. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     added = [*(f"p_{c}" for c in chain.names), "toxic"]
-    rest = [c for c in docs.columns if c not in (text, *added)]
+    rest = others(docs, text, *added)
     n = max(1, len(chain.bins))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(BINS, -1, dtype=np.int32)
-        place[chain.bins] = np.arange(len(chain.bins))
+        known = np.zeros(BINS, dtype=bool)
+        known[chain.bins] = True
         for block in A.blocks(batches, text):
-            row, bin_ = features(block)
-            some = np.bincount(row, minlength=block.rows.num_rows) > 0
-            at = place[bin_]
-            row, at = row[at >= 0], at[at >= 0]
+            row, bin_ = features(block, known)
+            some, at = A.words(block).count > 0, np.searchsorted(chain.bins, bin_)
             p = np.zeros((block.rows.num_rows, len(chain.names)))
             for k, w in enumerate(chain.weights):
                 z = np.bincount(row, w[at], block.rows.num_rows) + p[:, :k] @ w[n : n + k] + w[-1]
