@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from skyhue.llm.tables import ship
+from skyhue.llm.tables import others, ship
 
 #: Characters of a text and bytes of a piece that are encoded without halving, and tokens decoded at once.
 LEAF, SHORT, RUN = 1 << 14, 6, 1 << 16
@@ -207,7 +207,7 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, text: str = "text", add:
     ship(docs.sparkSession)
     with open(ranks, "rb") as f:
         raw = f.read()
-    rest = [c for c in docs.columns if c != text and c not in add]
+    rest = others(docs, text, *add)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(raw, pattern)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyhue.llm import arrow_text as A
-from skyhue.llm.tables import ship, staged
+from skyhue.llm.tables import others, ship, staged
 
 #: Letters in an n-gram at most, and n-grams in a profile.
 LONGEST, PROFILE = 3, 300
@@ -117,7 +117,7 @@ def predicted(docs: DataFrame, known: dict[str, np.ndarray], text: str = "text")
     ship(docs.sparkSession)
     names = sorted(known, key=lambda x: x.encode())
     by_code = [(np.sort(known[x]), np.argsort(known[x], kind="stable")) for x in names]
-    rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    rest = others(docs, text, "lang_pred", "score")
 
     def one(raw: bytes) -> tuple[str, float]:
         own = ranked(grams(raw))

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyhue.llm.tables import SPACE, text_key, words
+from skyhue.llm.tables import SPACE, others, text_key, words
 
 #: Fixed value: characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 SALTS = 16
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_lines", "removed_words", "clean_text", "kept")
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -59,15 +60,18 @@ def quality(
     kept = not base_failed and not depleted.
 
     A null text has no words and is rejected; clean_text is null then. Null hosts are one host. Rows that repeat one another each get the same
-    result. No ids are needed, and further columns stay, also those with names of the added ones, which come after them; an empty table gives no rows.
+    result. No ids are needed. Columns of docs that bear the name of an added one (case aside) are replaced, others stay; an empty table gives no rows.
     """
+    kept = others(docs, *ADDED)
+    given = [*kept, *(c for c in docs.columns if c not in kept and c.lower() in (text.lower(), host.lower()))]
+    at = {c.lower(): f"c{i}" for i, c in enumerate(given)}
+    docs = docs.select(*(F.col(f"`{c}`").alias(at[c.lower()]) for c in given))  # no clash with names used here
+    text, host = at[text.lower()], at[host.lower()]
     t, h = F.coalesce(F.col(text), F.lit("")), F.col(host)
     key = F.struct(h.isNull().alias("none"), F.coalesce(h, F.lit("")).alias("host"))
     measures = _let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words")))
     full = _let(F.filter(_lines(t), lambda x: F.rlike(x, F.lit(SPACE.replace("[", "[^")))), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     own = docs.columns
-    if any(c.startswith("__q_") for c in own):
-        raise ValueError("columns named __q_... are in use here")
     rows = docs.withColumns({
         "__q_host": key, "__q_key": text_key(text), "__q_m": measures, "__q_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
         "__q_dup": full.cast("long"), "__q_lines": _line_hashes(t),
@@ -91,7 +95,7 @@ def quality(
     failed = (F.col("__q_m.n_words") < min_words) | (100 * F.col("__q_m.n_repeat_words") > most_repeated * F.col("__q_m.n_words"))
     clean = F.when(F.col("__q_drop").isNull(), F.col(text)).otherwise(F.array_join(F.filter(_lines(t), lambda x, i: ~F.coalesce(F.array_contains("__q_drop", F.get("__q_lines", i)["line"]), F.lit(False))), "\n"))
     return out.select(
-        *(F.col(f"`{c}`") for c in own), "__q_m.n_words", "__q_m.word_chars", F.col("__q_symbols").alias("n_symbols"), F.col("__q_dup").alias("n_dup_lines"), "__q_m.n_repeat_words", failed.alias("base_failed"),
+        *(F.col(at[c.lower()]).alias(c) for c in kept), "__q_m.n_words", "__q_m.word_chars", F.col("__q_symbols").alias("n_symbols"), F.col("__q_dup").alias("n_dup_lines"), "__q_m.n_repeat_words", failed.alias("base_failed"),
         F.col("__q_gone").alias("removed_lines"), F.col("__q_words").alias("removed_words"), clean.alias("clean_text"),
         (~failed & ~(F.col("__q_words") > most_removed * F.col("__q_m.n_words"))).alias("kept"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyhue.llm.tables import staged, words
+from skyhue.llm.tables import others, staged, words
 
 SALTS = 16
 #: Hex digits of the random order that make a bucket: 4096 buckets for each source.
@@ -74,17 +74,21 @@ def mix(
     Null texts have size 0. No words at all: every target is 0. The order depends on nothing but seed and ids, so reruns agree. Of
     an empty table no rows come back. A column that bears the name of an added one is replaced.
     """
+    keep = others(docs, "size", "source_size", "target", "taken")
+    names = [c for c in docs.columns if c.lower() in (id.lower(), text.lower(), source.lower())]
+    at = {c.lower(): f"__m_c{i}" for i, c in enumerate([*keep, *(c for c in names if c not in keep)])}
+    docs = docs.select(*(F.col(f"`{c}`").alias(at[c.lower()]) for c in [*keep, *(c for c in names if c not in keep)]))  # no clash with names used here
+    id, text, source = at[id.lower()], at[text.lower()], at[source.lower()]
     place = random_order(F.col(id), seed)
     rows = staged(docs.select(F.col(source).cast("string").alias("source"), place.alias("place"), F.size(words(text)).cast("long").alias("size")))
     cuts = _cuts(rows, staged(targets(rows, weights, share, most)))
     cuts = cuts.select(*(F.col(c).alias(f"__m_{c}") for c in cuts.columns), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__m_salt"))
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    out = docs.select(*(F.col(f"`{c}`") for c in keep), F.size(words(text)).cast("long").alias("size"), place.alias("__m_place"), F.col(source).cast("string").alias("__m_name"))
+    out = docs.select(*(at[c.lower()] for c in keep), F.size(words(text)).cast("long").alias("size"), place.alias("__m_place"), F.col(source).cast("string").alias("__m_name"))
     out = out.withColumn("__m_deal", F.pmod(F.xxhash64("__m_place"), F.lit(SALTS)).cast("int"))
     out = out.join(cuts, F.col("__m_name").eqNullSafe(F.col("__m_source")) & (F.col("__m_deal") == F.col("__m_salt")), "left")
     here, cut = F.struct("__m_place", "size"), F.struct("__m_cut", "__m_cut_size")
     more = F.when(F.col("__m_cut").isNull(), F.lit(0)).when(here < cut, F.col("size")).when(here == cut, F.col("__m_cut_words")).otherwise(0)
-    return out.select(*(F.col(f"`{c}`") for c in keep), "size", F.col("__m_source_size").alias("source_size"), F.col("__m_target").alias("target"), (F.col("__m_whole") * F.col("size") + more).cast("long").alias("taken"))
+    return out.select(*(F.col(at[c.lower()]).alias(c) for c in keep), "size", F.col("__m_source_size").alias("source_size"), F.col("__m_target").alias("target"), (F.col("__m_whole") * F.col("size") + more).cast("long").alias("taken"))
 
 
 def repeated(docs: DataFrame, text: str = "text", **how) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from skyhue.llm import arrow_text as A
 from skyhue.llm.suffixes import deep_shallow
-from skyhue.llm.tables import ship, staged, text_key
+from skyhue.llm.tables import others, ship, staged, text_key
 
 SPAN, GRAM = 400, 128
 #: Different stretches of one anchor that a task sorts; and bytes of a text that are looked at together.
@@ -262,7 +262,7 @@ def without_repeats(docs: DataFrame, text: str = "text", add: tuple[str, ...] =
     strings, so all of their bytes go from span bytes on. No ids are needed; columns of docs that bear the name of an added one are replaced. Texts of any
     length are looked at whole.
     """
-    names = [c for c in docs.columns if c not in add and c != text]
+    names = others(docs, text, *add)
     spans = repeated_spans(docs, text, span, gram)
     rest = [f"c{i}" for i in range(len(names))]  # no clash with names used here
     rows = docs.select(*(F.col(f"`{c}`").alias(r) for c, r in zip(names, rest)), F.col(text).alias("__text"), text_key(text).alias("__tk"))

@@ -17,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from skyhue.llm import arrow_text as A
 from skyhue.llm import bpe, components, context_mixing, language, line_quality, minhash, mixing, repeats, suffixes, toxicity
 from tests.llm import cases
 
@@ -328,28 +329,88 @@ def test_held_out(spark):
 # toxicity
 
 
-def test_toxicity(spark, docs):
+def marked_texts():
+    """Texts and their labels; toxic ones hold invented stems with changing ends, junk repeats one sign."""
     r = random.Random(8)
-    bad = ["idiot", "moron", "trash", "worthless", "vequ" + "x", "vequy"]
+    stems = ["vequor", "zhalun", "grämpf", "odiwex"]
     rows, marks = [], []
     for i in range(400):
-        toxic = i % 5 == 0
+        toxic, junk = i % 5 == 0, i % 7 == 3
         w = cases.prose(i, 60).split()
         for _ in range(4 if toxic else 0):
-            w.insert(r.randrange(len(w)), r.choice(bad))
+            w.insert(r.randrange(len(w)), r.choice(stems) + r.choice(["", "s", "ed", "ish", "-", "!"]))
+        w += ["~~~", "$$=="] * (12 if junk else 0)
         rows.append((i, " ".join(w), "en", "s"))
-        marks.append((i, int(toxic)))
-    table, labels = cases.documents(spark, rows), spark.createDataFrame(marks[:300] + [(None, 1), (7, None)], "doc_id long, toxic int")
+        marks.append((i, None if i % 11 == 0 else int(not junk), int(toxic)))
+    return rows, marks
+
+
+def test_toxicity(spark, docs):
+    rows, marks = marked_texts()
+    table, labels = cases.documents(spark, rows), spark.createDataFrame(marks[:300] + [(None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
     chain = toxicity.learn(table, labels)
-    assert chain.names == ("insult", "contempt", "toxic")
+    assert chain.names == ("low_quality", "toxic") and [len(w) for w in chain.weights] == [len(chain.bins) + 1, len(chain.bins) + 2]
     got = {x.doc_id: x for x in toxicity.scored(table, chain).collect()}
-    wrong = [i for i in range(300, 400) if got[i].toxic != bool(marks[i][1])]
+    wrong = [i for i in range(300, 400) if got[i].toxic != bool(marks[i][2])]
     assert len(wrong) <= 2, wrong
+    assert sum((got[i].p_low_quality > 0.5) != (i % 7 == 3) for i in range(300, 400)) <= 2
     odd = {x.doc_id: x for x in toxicity.scored(docs, chain).collect()}
     assert odd[4].p_toxic == 0 and not odd[4].toxic and not odd[5].toxic and not odd[6].toxic
     nothing = toxicity.learn(table, labels.limit(0))
     assert toxicity.scored(table, nothing).where("toxic").count() == 0
     assert toxicity.scored(cases.empty(spark), chain).count() == 0
+    unknown = toxicity.learn(table, labels.withColumn("quality", F.lit(None).cast("int")))  # an earlier category without a label
+    assert sum(x.toxic != bool(marks[x.doc_id][2]) for x in toxicity.scored(table, unknown).collect()) <= 8
+    lone = toxicity.learn(table, labels, categories={"toxic": "toxic = 1"})
+    assert lone.names == ("toxic",) and toxicity.scored(table, lone).columns[-2:] == ["p_toxic", "toxic"]
+
+
+def test_toxicity_against_brute_force(spark):
+    """Probabilities from grams made word by word, and the chain written out."""
+    rows, marks = marked_texts()
+    rows += [(900, cases.LONG + " Vequors", "en", "s"), (901, " a  \tb\n\nVEQUOR x", "en", "s"), (902, "é", "fr", "s")]
+    table = cases.documents(spark, rows)
+    chain = toxicity.learn(table, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    place, mask = {int(b): i for i, b in enumerate(chain.bins)}, (1 << 64) - 1
+
+    def bin_of(raw: bytes, more: int) -> int:
+        h = sum(int(A.SYMBOLS[x]) * pow(int(A.BASE), i, 1 << 64) for i, x in enumerate(raw)) + more & mask
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * times & mask
+        return (h ^ h >> 31) >> 44
+
+    known: dict[bytes, set[int]] = {}
+    got = {x.doc_id: x for x in toxicity.scored(table, chain).collect()}
+    for i, text, *_ in rows[::9] + rows[-3:]:
+        on = set()
+        for w in text.encode().lower().split():
+            if w not in known:
+                padded = b" " + w + b" "
+                bins = {bin_of(w, 0)} | {bin_of(padded[j : j + k], k) for k in toxicity.GRAMS for j in range(len(padded) - k + 1)}
+                known[w] = {place[b] for b in bins if b in place}
+            on |= known[w]
+        before: list[float] = []
+        for w in chain.weights:
+            z = sum(float(w[k]) for k in on) + sum(p * float(q) for p, q in zip(before, w[len(place) :])) + float(w[-1])
+            before.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        assert [got[i].p_low_quality, got[i].p_toxic] == pytest.approx(before, abs=1e-4)
+        assert got[i].toxic == (got[i].p_toxic >= chain.threshold)
+
+
+def test_names_that_differ_in_case_only(spark, tmp_path):
+    """Extra columns named like an added one in other letters, or like names used inside, are replaced or kept, and the result can be written."""
+    base = cases.documents(spark).select("doc_id", "text", "lang", "source").withColumns({"__q_host": F.lit("q"), "__m_place": F.lit("m"), "__M_SALT": F.lit("m")})
+    rows, marks = marked_texts()
+    chain = toxicity.learn(cases.documents(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    made = {
+        "KEPT": line_quality.quality, "Size": mixing.mix, "Kept_Text": repeats.without_repeats, "Toxic": lambda d: toxicity.scored(d, chain),
+        "Score": lambda d: language.predicted(d, {}), "IDS": lambda d: bpe.encoded(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+    }
+    for name, run in made.items():
+        out = run(base.withColumn(name, F.lit("x")))
+        assert name not in out.columns and {"doc_id", "__q_host", "__m_place", "__M_SALT"} <= set(out.columns), name
+        out.write.parquet(str(tmp_path / name))
+        assert out.count() == len(cases.ROWS)
 
 
 # language model
