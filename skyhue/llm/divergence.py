@@ -24,7 +24,7 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 #: Kept terms that one vocabulary holds, about; a larger one is cut by a hash of the terms, as a vocabulary passes through the driver and is broadcast.
 SLICE = 1 << 20
-#: One in so many terms is counted beforehand, to see how many slices there are.
+#: One in so many terms (a power of two, by a hash) is counted beforehand, to see how many slices there are.
 PROBE = 256
 SALTS = 32
 
@@ -32,6 +32,11 @@ SALTS = 32
 VECTOR = T.StructType([T.StructField("type", T.ByteType()), T.StructField("size", T.IntegerType()), T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
 
 
+def _stable(values: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0 on; those that fit in two bytes are counted instead of compared."""
+    return np.argsort(values.astype(np.min_scalar_type(int(values.max(initial=0)))), kind="stable")
+
+
 def _named(rep: np.ndarray, w: A.Words, data: np.ndarray, names: list[bytes]) -> pa.StringArray:
     """Words as strings, each behind the name of its row."""
     row, size = w.row[rep], w.end[rep] - w.start[rep]
@@ -47,27 +52,30 @@ def _named(rep: np.ndarray, w: A.Words, data: np.ndarray, names: list[bytes]) ->
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, text) -> lang, source, times, terms: of each document a row for the different terms that occur equally often, or one without terms."""
+    """(lang, source, text) -> lang, source, times, terms, probe: of each document a row for the different terms that occur equally often, or one without terms."""
     for block in A.blocks(batches, "text"):
         lang, source = (block.rows.column(block.rows.schema.get_field_index(c)) for c in ("lang", "source"))
         w = A.words(block, BETWEEN)
         h = A.word_hashes(block, w)
-        order = np.lexsort((h, w.row))
+        order = np.argsort(h)
+        order = order[_stable(w.row[order])]
         fresh = np.ones(len(order), dtype=bool)
         fresh[1:] = (h[order][1:] != h[order][:-1]) | (w.row[order][1:] != w.row[order][:-1])
         first = np.flatnonzero(fresh)
         rep, times = order[first], np.diff(np.append(first, len(order)))
-        by = np.lexsort((times, w.row[rep]))
+        by = _stable(times)
+        by = by[_stable(w.row[rep[by]])]
         rep, times = rep[by], times[by]
-        row = w.row[rep]
+        row, probed = w.row[rep], (h[rep] & np.uint64(PROBE - 1)) == 0
         cut = np.ones(len(rep), dtype=bool)
         cut[1:] = (row[1:] != row[:-1]) | (times[1:] != times[:-1])
         begin, none = np.flatnonzero(cut), np.flatnonzero(w.count == 0)
         strings = _named(rep, w, FOLD[block.data], [x.encode() + b"\x00" for x in lang.to_pylist()])
         ends = np.concatenate([begin, np.full(len(none) + 1, len(rep))])
-        rows = pa.array(np.concatenate([row[begin], none]))
+        rows, seen = pa.array(np.concatenate([row[begin], none])), np.concatenate([[0], np.cumsum(probed)])
         yield pa.RecordBatch.from_arrays(
-            [lang.take(rows), source.take(rows), pa.array(np.concatenate([times[begin], np.zeros(len(none), dtype=np.int64)])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), strings)], ["lang", "source", "times", "terms"]
+            [lang.take(rows), source.take(rows), pa.array(np.concatenate([times[begin], np.zeros(len(none), dtype=np.int64)])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), strings), pa.ListArray.from_arrays(pa.array(seen[ends], pa.int32()), strings.filter(pa.array(probed)))],
+            ["lang", "source", "times", "terms", "probe"],
         )
 
 
@@ -79,8 +87,8 @@ def bags(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     """
     ship(docs.sparkSession)
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))), F.col(text).alias("text"))
-    found = plain.mapInArrow(_counted, "lang string, source string, times long, terms array<string>")
-    return staged(found.withColumn("probe", F.filter("terms", lambda t: F.pmod(F.hash(t), F.lit(PROBE)) == 0)))
+    found = plain.mapInArrow(_counted, "lang string, source string, times long, terms array<string>, probe array<string>")
+    return staged(found)
 
 
 def _slices(found: DataFrame, min_docs: int, size: int) -> int:
