@@ -37,7 +37,7 @@ def _(spark, sf):
 @query("visit_field_metadata", "A5 C5", f"""WITH {S.VISITS}, {S.FIELDS} SELECT field_index, count(*) AS n, round(max(ra0_deg), 6) + 0.0 AS fieldRA,
  round(max(coalesce(CASE WHEN ebv_mw < 1e-1 THEN NULL ELSE ebv_mw END, dec0_deg)), 6) + 0.0 AS ebv FROM visits LEFT JOIN fields USING (field_index) GROUP BY field_index""")
 def _(spark, sf):
-    named = R.visits(spark, sf).withColumn("file", F.concat(F.lit("visits_field"), F.lpad(F.col("field_index").cast("string"), 3, "0"), F.lit(".csv")))
+    named = R.visits(spark, sf).withColumn("file", F.format_string("visits_field%03d.csv", "field_index"))
     v = named.withColumn("field_index", F.regexp_extract("file", "field(\\d+)", 1).cast("bigint"))
     f = R.fields(spark, sf).withColumn("E_BV", F.when(F.col("ebv_mw") < 0.1, F.lit(float("nan"))).otherwise(F.col("ebv_mw")))
     d = readers.with_field_metadata(v, f, {"fieldRA": ("RA", "ra0_deg"), "ebv": ("E_BV", "dec0_deg")})
