@@ -8,7 +8,10 @@
   below each bracket and keeps the few values inside it. A second sketch, of the kept values, deals them to buckets; the counts of
   buckets tell which of them hold a wanted order statistic, and only those are put in order, each by itself.
   All passes combine map side, equal values fold into one counted row, and neither a group nor its kept values are ever held or
-  sorted whole. Groups may be of any number: how the brackets are joined is left to the optimizer.
+  sorted whole. Groups may be of any number: only groups of more rows than ``accuracy`` have brackets, so these are at most one for each
+  ``accuracy`` rows and are broadcast, and no row is dealt by its group.
+  A sketch depends on the order in which its parts are merged, so a second evaluation may differ: the values in their buckets are written once,
+  and counts and order are read from that one table.
 
 Percentiles may differ from group to group: give them as a table (some of the keys, ``percents``).
 """
@@ -17,6 +20,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from skyhue.sources.staging import materialize
+
 SKETCH_ACCURACY = 10_000
 UNROLLED = 7
 #: Even steps of the sketch that brackets percentiles known only as a column.
@@ -90,10 +95,12 @@ def _brackets(src, keys, percents, accuracy) -> tuple[DataFrame, str, str]:
 def _select(src, keys, percents, n_name, q_name, accuracy, rule):
     brackets, wanted, order = _brackets(src, keys, percents, accuracy)
     own = [c for c in ("__p", "__q") if c in brackets.columns]
-    joined = _on(src, brackets.drop(*own), keys)
-    few = not own and len(set(percents)) <= UNROLLED
+    # a group without a bracket is small and kept whole
+    large = F.broadcast(brackets.where(F.col("__n") > accuracy).select(*keys, "__lo", "__hi"))
+    joined = src.join(large, keys if keys else F.lit(True), "left")
+    m = 0 if own else len(set(percents))
+    few = not own and m <= UNROLLED
     if few:
-        m = len(set(percents))
         kept = " OR ".join(f"(__v >= __lo[{j}] AND __v <= __hi[{j}])" for j in range(m))
         region = " + ".join(f"cast(__v > __lo[{j}] AS int) + cast(__v > __hi[{j}] AS int)" for j in range(m))
     else:  # generated code for so many comparisons would outgrow a method
@@ -102,8 +109,8 @@ def _select(src, keys, percents, n_name, q_name, accuracy, rule):
         region = f"{below.format('__lo')} + {below.format('__hi')}"
     # rows outside every bracket fold to one counted row per region
     counted = joined.select(
-        *keys, "__n", F.expr(region).alias("__r"), F.expr(f"CASE WHEN {kept} THEN __v END").alias("__x")
-    ).groupBy(*keys, "__n", "__r", "__x").agg(F.count("*").alias("__c"))
+        *keys, F.expr(f"CASE WHEN __lo IS NULL THEN 0 ELSE {region} END").alias("__r"), F.expr(f"CASE WHEN __lo IS NULL OR {kept} THEN __v END").alias("__x")
+    ).groupBy(*keys, "__r", "__x").agg(F.count("*").alias("__c"))
 
     # position of a quantile among the sorted values, and the first and last order statistic it needs
     position = {
@@ -136,15 +143,19 @@ def _needed_values(counted: DataFrame, keys: list[str], needed: str, own: DataFr
     Regions follow each other in value, and so do a region's buckets: of a group no more than a row for each bucket meets in one task.
     """
     cuts = ", ".join(_number(i / BUCKETS) for i in range(1, BUCKETS))
-    sketch = counted.where("__x IS NOT NULL").groupBy(*keys).agg(F.expr(f"percentile_approx(__x, array({cuts}), {20 * BUCKETS})").alias("__cuts"))
+    counted = counted.drop("__n")
+    sketch = counted.where("__x IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("__k"), F.expr(f"percentile_approx(__x, array({cuts}), {20 * BUCKETS})").alias("__cuts"))
+    sketch = F.broadcast(sketch.where(F.col("__k") > SKETCH_ACCURACY).drop("__k"))
     halves = ", ".join(str(BUCKETS >> k) for k in range(1, BUCKETS.bit_length()))
     search = f"aggregate(array({halves}), 0, (a, s) -> if(try_element_at(__cuts, a + s) < __x, a + s, a))"
-    placed = (counted.join(sketch, keys, "left") if keys else counted.crossJoin(sketch)).withColumn("__b", F.expr(f"CASE WHEN __x IS NULL THEN -1 ELSE {search} END"))
-    placed = placed.drop("__cuts")
-    upto = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("__r", "__b").rowsBetween(W.unboundedPreceding, 0)
-    sums = placed.groupBy(*keys, "__n", "__r", "__b").agg(F.sum("__c").alias("__m")).withColumn("__end", F.sum("__m").over(upto)).withColumn("__start", F.expr("__end - __m"))
+    placed = counted.join(sketch, keys if keys else F.lit(True), "left").withColumn("__b", F.expr(f"CASE WHEN __x IS NULL THEN -1 ELSE {search} END"))
+    placed = materialize(placed.drop("__cuts"))
+    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    upto = group.orderBy("__r", "__b").rowsBetween(W.unboundedPreceding, 0)
+    sums = placed.groupBy(*keys, "__r", "__b").agg(F.sum("__c").alias("__m")).withColumns({"__n": F.sum("__m").over(group), "__end": F.sum("__m").over(upto)})
+    sums = sums.withColumn("__start", F.expr("__end - __m"))
     with_own = (lambda d: _on(d, own, keys)) if own is not None else (lambda d: d)
-    sums = with_own(sums.where("__b >= 0")).where(needed).select(*keys, "__r", "__b", F.col("__start").alias("__from"))
+    sums = with_own(sums.where("__b >= 0")).where(needed).select(*keys, "__n", "__r", "__b", F.col("__start").alias("__from"))
     inside = W.partitionBy(*keys, "__r", "__b").orderBy("__x").rowsBetween(W.unboundedPreceding, 0)
     ranked = placed.where("__x IS NOT NULL").join(sums, [*keys, "__r", "__b"])
     ranked = ranked.withColumn("__end", F.col("__from") + F.sum("__c").over(inside)).withColumn("__start", F.expr("__end - __c"))

@@ -1,8 +1,13 @@
-"""Faults that show on larger tables only: long keys."""
+"""Faults that show on larger tables only: sketches that are evaluated again, rows dealt by their group, long keys, values that tie."""
+
+import random
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from skyhue.operators import quantiles
 from skyhue.plans import catalog
 from tests.oracle import compare
 
@@ -17,6 +22,44 @@ def against_sql(spark, path, name, **tables):
     return compare(catalog.QUERIES[name](spark, str(path)), con, catalog.SQL[name])
 
 
+def shuffled(spark, n=40_000):
+    return spark.range(n).select((F.col("id") % 2).alias("k"), F.randn(7).alias("v"))
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_brackets_may_differ_when_they_are_evaluated_again(spark, monkeypatch, keys):
+    """As on several machines, where parts of a sketch meet in any order and no exchange is sure to be used again."""
+    real = quantiles._brackets
+    shift = F.udf(lambda: random.random() * 0.05, "double").asNondeterministic()
+
+    def shaky(*args):
+        got, wanted, order = real(*args)
+        got = got.withColumn("__j", shift())
+        return got.withColumns({"__lo": F.transform("__lo", lambda e: e - F.col("__j")), "__hi": F.transform("__hi", lambda e: e + F.col("__j"))}).drop("__j"), wanted, order
+
+    monkeypatch.setattr(quantiles, "_brackets", shaky)
+    values = shuffled(spark).toPandas()
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = quantiles.exact_quantiles(shuffled(spark), keys, "v", [1.0, 50.0, 99.0], accuracy=500).collect()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+    assert len(got) == (2 if keys else 1)
+    for r in got:
+        own = values[values.k == r.k].v if keys else values.v
+        assert r.n == len(own) and np.allclose(r.quantiles, np.percentile(own, [1, 50, 99]), rtol=0, atol=1e-12)
+
+
+def test_rows_are_not_dealt_by_their_group(spark, monkeypatch):
+    """Few groups of many rows: no group's rows meet in one task before equal ones are folded."""
+    plans = []
+    real = quantiles.materialize
+    monkeypatch.setattr(quantiles, "materialize", lambda d: (plans.append(d._jdf.queryExecution().executedPlan().toString()), real(d))[1])
+    quantiles.exact_quantiles(shuffled(spark), ["k"], "v", [50.0], accuracy=500).collect()
+    assert len(plans) == 1 and "SortMergeJoin" not in plans[0] and "BroadcastHashJoin" in plans[0]
+
+
 def test_field_numbers_of_four_digits(spark, tmp_path):
     far = lambda table, key: spark.read.parquet(f"{SF}/{table}.parquet").withColumn(key, F.col(key) + 1234)
     nation = spark.read.parquet(f"{SF}/nation.parquet")
