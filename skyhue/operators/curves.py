@@ -72,8 +72,11 @@ def interpolate(
     last = F.least(F.coalesce(F.col("__next_cell") - 1, F.col("__cell")), F.lit(grid.n - 1))
     c = grid.centre(F.col("bin_index"))
     exact = (F.col("__t1") == c) | (lone & (F.abs(F.col("__t1") - c) <= LONE_KNOT))
+    # multiplied before it is divided: another order gives other last digits, which a limit or a rounding may show
+    at = (lambda x: F.log10(x)) if how == "log" else (lambda x: x)
+    t0, t1 = at(F.col("__t1")), at(F.col("__nt"))
     value = F.when(exact, F.col("__m1")).otherwise(
-        F.col("__m0_left") + (F.col("__nm") - F.col("__m0_left")) * _weight(c, F.col("__t1"), F.col("__nt"), how)
+        F.col("__m0_left") + (F.col("__nm") - F.col("__m0_left")) * (at(c) - t0) / (t1 - t0)
     )
     return (
         cells.where((F.col("__cell") < grid.n) & (F.col("__cell") <= last))

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyhue.operators import quantiles
+from skyhue.operators import curves, quantiles
+from skyhue.operators.grid import TimeGrid
 from skyhue.plans import catalog
 from tests.oracle import compare
 
@@ -71,3 +72,16 @@ def test_one_of_the_largest_values_becomes_infinite(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     tied = events.where("event_type = 'view'").withColumn("value", F.least("value", F.lit(20.0)))
     assert not against_sql(spark, tmp_path, "small_sample_quantiles", events=tied)
+
+
+def test_interpolation_multiplies_before_it_divides(spark):
+    """To the last digit the values of the SQL, so that a limit doesn't tell them apart."""
+    grid, r = TimeGrid(0.4, 26.0, 0.4), np.random.default_rng(2)
+    rows = {i: (r.integers(0, 5) / 3, r.integers(2000, 4000) / 100, r.integers(60, 75) / 3, r.integers(2000, 4000) / 100) for i in range(50)}
+    points = [(i, "lsst", "g", float(t), float(m)) for i, (t0, m0, t1, m1) in rows.items() for t, m in ((t0, m0), (t1, m1))]
+    d = spark.createDataFrame(points, "event_id int, photometric_system string, band string, t_days double, mag double")
+    got = curves.interpolate(d, grid, "linear").withColumn("c", grid.centre(F.col("bin_index"))).collect()
+    assert len(got) > 2000
+    for x in got:
+        t0, m0, t1, m1 = map(float, rows[x.event_id])
+        assert x.mag == (m1 if x.c == t1 else m0 + (m1 - m0) * (x.c - t0) / (t1 - t0))
