@@ -255,11 +255,15 @@ def with_threshold(summary: DataFrame, keys: list[str], passes: str = "point_pas
 
 
 def _quantile_columns(columns, rule, skip_missing=True) -> list[Column]:
-    """p16, median, p84 over the repetitions; their number is a parameter, so the array is small."""
+    """p16, median, p84 over the repetitions; their number is a parameter, so the array is small.
+
+    Missing values are left out, or else counted by the rule.
+    """
     out = []
     for c in columns:
+        missing = [] if skip_missing else [F.count("*") - F.count(c)]
         for label, q in (("p16", 0.16), ("median", 0.5), ("p84", 0.84)):
-            out.append(rule(F.collect_list(c), q).alias(f"{c}_{label}"))
+            out.append(rule(F.collect_list(c), q, *missing).alias(f"{c}_{label}"))
     return out
 
 
@@ -283,10 +287,12 @@ def aggregate_shape(records: DataFrame, required: float = 0.9) -> DataFrame:
     return with_threshold(s, ["group_id"])
 
 
-def aggregate_extent(records: DataFrame, required: float = 0.9) -> DataFrame:
+def aggregate_extent(records: DataFrame, required: float = 0.9, skip_missing: bool = True) -> DataFrame:
+    """Last valid times per family and size. A repetition without a valid bin has none: its time is left out, or else comes after every other."""
     s = records.groupBy("group_id", "sample_size").agg(
         F.count("*").alias("repetitions"), F.avg(F.col("extent_within_tolerance").cast("double")).alias("fraction_pass"),
-        *_quantile_columns(["last_valid_time_days", "reference_last_valid_time_days", "absolute_extent_error_days"], nearest_sample),
+        *_quantile_columns(["last_valid_time_days", "reference_last_valid_time_days"], nearest_sample, skip_missing),
+        *_quantile_columns(["absolute_extent_error_days"], nearest_sample),
     ).withColumn("point_passes_stability", F.col("fraction_pass") + 1e-12 >= required)
     return with_threshold(s, ["group_id"])
 

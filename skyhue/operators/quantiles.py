@@ -170,11 +170,15 @@ def nearest_rank(
     return exact_quantiles(df, keys, value, percents, "select", n_name, q_name, accuracy, "inverse")
 
 
-def nearest_sample(values: Column, fraction: float) -> Column:
-    """Sample at ``rint((n-1) q)`` (half to even) of a small array, NULLs dropped."""
+def nearest_sample(values: Column, fraction: float, missing: Column | None = None) -> Column:
+    """Sample at ``rint((n-1) q)`` (half to even) of a small array, NULLs dropped.
+
+    missing: number of samples without a value that count and come after all others; the answer is NULL where one of them is met.
+    """
     s = F.array_sort(F.filter(values, lambda x: x.isNotNull()))
-    k = F.rint((F.size(s) - 1) * F.lit(fraction)).cast("int") + 1
-    return F.when(F.size(s) > 0, F.element_at(s, F.greatest(k, F.lit(1))))
+    n = F.size(s) if missing is None else F.size(s) + missing
+    k = F.rint((n - 1) * F.lit(fraction)).cast("int") + 1
+    return F.when((F.size(s) > 0) & (k <= F.size(s)), F.element_at(s, F.greatest(k, F.lit(1))))
 
 
 def infinity_quantile(values: Column, fraction: float) -> Column:

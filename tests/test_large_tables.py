@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyhue.operators import curves, quantiles
+from skyhue.operators import convergence as V, curves, quantiles
 from skyhue.operators.grid import TimeGrid
 from skyhue.plans import catalog
 from tests.oracle import compare
@@ -85,3 +85,26 @@ def test_interpolation_multiplies_before_it_divides(spark):
     for x in got:
         t0, m0, t1, m1 = map(float, rows[x.event_id])
         assert x.mag == (m1 if x.c == t1 else m0 + (m1 - m0) * (x.c - t0) / (t1 - t0))
+
+
+def test_a_repetition_without_extent_comes_last(spark):
+    rows = [("a", 20, r, t, 26.0, None if t is None else abs(t - 26.0), t == 26.0) for r, t in enumerate((8.0, None, 26.0))] + [("b", 20, r, None, 26.0, None, False) for r in range(3)]
+    d = spark.createDataFrame(rows, "group_id string, sample_size int, repetition int, last_valid_time_days double, reference_last_valid_time_days double, absolute_extent_error_days double, extent_within_tolerance boolean")
+    times = [f"last_valid_time_days_{x}" for x in ("p16", "median", "p84")]
+    counted = {r.group_id: r for r in V.aggregate_extent(d, 0.6, skip_missing=False).collect()}
+    assert [counted["a"][c] for c in times] == [8.0, 26.0, None] and [counted["b"][c] for c in times] == [None] * 3
+    assert counted["a"].absolute_extent_error_days_p84 == 18.0 and counted["a"].repetitions == 3
+    left_out = {r.group_id: r for r in V.aggregate_extent(d, 0.6).collect()}
+    assert [left_out["a"][c] for c in times] == [8.0, 8.0, 26.0] and [left_out["b"][c] for c in times] == [None] * 3
+
+
+def test_some_repetitions_without_extent(spark, tmp_path):
+    """60 events of which two have an early point, so that some subsets of 20 lack the first bin."""
+    copies = spark.range(4).withColumnRenamed("id", "k")
+    events = spark.read.parquet(f"{SF}/events.parquet").crossJoin(copies)
+    own = F.col("user_id") + F.col("k") * 15
+    events = events.withColumns({"event_id": F.col("event_id") + F.col("k") * 1000, "user_id": own}).drop("k")
+    events = events.where("ts > TIMESTAMP_NTZ '2024-01-02 12:00:00' OR user_id % 30 = 6").withColumn("ts", F.expr("ts - INTERVAL 8 HOURS"))
+    assert not against_sql(spark, tmp_path, "extent_stability", events=events, customer=spark.read.parquet(f"{SF}/customer.parquet"))
+    got = catalog.QUERIES["extent_stability"](spark, str(tmp_path)).collect()
+    assert {r.sample_size for r in got if r.last_valid_time_days_median is None} == {20} and all(r.last_valid_time_days_p16 == 26.0 for r in got)
