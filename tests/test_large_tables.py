@@ -1,5 +1,6 @@
 """Faults that show on larger tables only: sketches that are evaluated again, rows dealt by their group, long keys, values that tie."""
 
+import datetime
 import random
 
 import duckdb
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from skyhue.operators import convergence as V, curves, quantiles
 from skyhue.operators.grid import TimeGrid
 from skyhue.plans import catalog
+from skyhue.plans.output import tidy
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -108,3 +110,26 @@ def test_some_repetitions_without_extent(spark, tmp_path):
     assert not against_sql(spark, tmp_path, "extent_stability", events=events, customer=spark.read.parquet(f"{SF}/customer.parquet"))
     got = catalog.QUERIES["extent_stability"](spark, str(tmp_path)).collect()
     assert {r.sample_size for r in got if r.last_valid_time_days_median is None} == {20} and all(r.last_valid_time_days_p16 == 26.0 for r in got)
+
+
+def test_rounding_as_in_the_sql(spark, tmp_path):
+    """Halves of the sixth place and their neighbours, which a last binary digit tells apart."""
+    r = np.random.default_rng(4)
+    halves = (r.integers(0, 60_000_000, 20_000) * 2 + 1) / 2e6
+    x = np.concatenate([halves, np.nextafter(halves, 0), np.nextafter(halves, 100), -halves, r.normal(0, 1e3, 5000), r.normal(0, 1e12, 500)])
+    x = np.concatenate([x, [0.0, -0.0, -1e-9, 4.9999999999999994e-7, 5e-7, -5e-7, 1e300, 1e305, -1e305, np.inf, -np.inf, np.nan]])
+    d = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double").unionByName(spark.createDataFrame([(len(x), None)], "i int, v double"))
+    d.write.parquet(f"{tmp_path}/v.parquet")
+    con = duckdb.connect()
+    want = con.execute(f"SELECT round(v, 6) + 0.0 FROM '{tmp_path}/v.parquet/*.parquet' ORDER BY i").fetchall()
+    got = [q.v for q in tidy(d).orderBy("i").collect()]
+    assert [repr(a) for a in got] == [repr(b) for (b,) in want]
+
+
+def test_linear_colours_at_a_half_of_the_last_place(spark, tmp_path):
+    """Knots 32 steps of eight hours apart give values that end in a half of the sixth place."""
+    start = datetime.datetime(2024, 1, 1, 1)
+    knots = [("view", 0, 22.11), ("view", 32, 20.15), ("click", 0, 5.66), ("click", 32, 3.71)]
+    rows = [(k, start + datetime.timedelta(hours=8 * step), 1, kind, mag) for k, (kind, step, mag) in enumerate(knots)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    assert not against_sql(spark, tmp_path, "second_population_adaptation", events=events, customer=spark.read.parquet(f"{SF}/customer.parquet"))
