@@ -13,7 +13,8 @@ An online learner predicts before it counts; so here every string is predicted f
 batch of strings after the other, and the tasks' weights are averaged, over a few rounds. Weights and the refining table are parameters of the mix, of fixed size.
 
 Once learnt, a decision depends on ORDERS bytes alone. Texts are dealt to parts; the different strings of each part are joined to their log probabilities and
-meet the part's texts again.
+meet the part's texts again. Texts go as compressed blocks, written tables are compressed hard, and the nodes are deleted when the log probabilities are known: what lies on
+disk at once is several times the input otherwise.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from skyhue.llm import arrow_text as A
 from skyhue.llm.tables import ship, staged, text_key
+from skyhue.sources.staging import discard
 
 #: Bytes that a decision depends on, the predicted one included (at most 7, so that codes are positive longs); rounds of learning.
 ORDERS, ROUNDS = 6, 3
@@ -40,6 +42,8 @@ END = 0xFF  # no byte of UTF-8
 FREQUENT = 1 << 22
 END_TOKEN = np.uint64(0x2545F4914F6CDD1D)
 BLOCK = 1 << 20
+#: Of written tables and blocks of texts.
+CODEC = "zstd"
 #: Bytes of text of a part, about; a longer text is a part of its own.
 PART = 3 << 24
 #: Counts are kept in 16 bits: as they are up to EXACT, then in steps of 1 / STEPS_E of their logarithm (to 1e13).
@@ -163,9 +167,28 @@ class Model:
         return got.column("cost").to_numpy().astype(np.float64)[order][np.searchsorted(at[order], codes)]
 
 
+def _packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=CODEC)) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _nullable(t: pa.DataType) -> pa.DataType:
+    """The type as a written table has it: parts may be null."""
+    if pa.types.is_struct(t):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in t])
+    return pa.list_(_nullable(t.value_type)) if pa.types.is_list(t) else t
+
+
+def _unpacked(packed: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    for rows in packed:
+        yield from pa.ipc.open_stream(rows.as_buffer())
+
+
 def _split(docs: DataFrame) -> DataFrame:
-    """docs (id, held_out, tk, text) -> kind, part, code, n, and the columns of docs. Kind 0: words of training texts, and their end as a token; 1: strings of bytes of a
-    part, n being how often they stand in its training texts; 2: the part's texts. Each task combines what it has read."""
+    """docs (id, held_out, tk, text) -> kind, part, code, n, texts. Kind 0: words of training texts, and their end as a token; 1: strings of bytes of a
+    part, n being how often they stand in its training texts; 2: a block of the part's texts, rows of docs. Each task combines what it has read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
@@ -186,19 +209,16 @@ def _split(docs: DataFrame) -> DataFrame:
                 for at in range(0, len(codes), 1 << 16):
                     some = codes[at : at + (1 << 16)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(some), kind, dtype=np.int8)), pa.array(np.full(len(some), task + made)), pa.array(some.view(np.int64)), pa.array(n[at : at + (1 << 16)].astype(np.int64)),
-                         *(pa.nulls(len(some), t) for t in types)],
-                        [*names],
+                        [pa.array(np.full(len(some), kind, dtype=np.int8)), pa.array(np.full(len(some), task + made)), pa.array(some.view(np.int64)), pa.array(n[at : at + (1 << 16)].astype(np.int64)), pa.nulls(len(some), pa.binary())],
+                        names,
                     )
 
         for block in A.blocks(batches, "text", BLOCK):
-            columns = [block.rows.column(block.rows.schema.get_field_index(c)) for c in docs_names]
-            types, count = [c.type for c in columns], block.rows.num_rows
             if size and size + len(block.data) > PART:
                 yield from flush(1)
                 made, size = made + 1, 0
             size += len(block.data)
-            train = ~columns[docs_names.index("held_out")].to_numpy(zero_copy_only=False).astype(bool)
+            train = ~block.rows.column(block.rows.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
             rows += int(train.sum())
             w = A.words(block)
             codes, bounds = strings(block)
@@ -208,15 +228,14 @@ def _split(docs: DataFrame) -> DataFrame:
                     held[kind].append((unique, times if counted is None else np.bincount(where, counted, len(unique)).astype(np.int64)))
                 if len(held[kind]) >= 8:
                     held[kind] = [combine(held[kind])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(count, 2, dtype=np.int8)), pa.array(np.full(count, task + made)), pa.nulls(count, pa.int64()), pa.nulls(count, pa.int64()), *columns], [*names])
+            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int8()), pa.array([task + made]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([_packed(block.rows)], pa.binary())], names)
         if rows:
             held[0].append((np.array([END_TOKEN]), np.array([rows])))
         for kind in (0, 1):
             yield from flush(kind)
 
-    docs_names = docs.columns
-    names = ["kind", "part", "code", "n", *docs_names]
-    return docs.mapInArrow(run, ", ".join(["kind tinyint, part bigint, code bigint, n bigint", *(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)]))
+    names = ["kind", "part", "code", "n", "texts"]
+    return docs.mapInArrow(run, "kind tinyint, part bigint, code bigint, n bigint, texts binary")
 
 
 def _summed(parts: DataFrame) -> DataFrame:
@@ -262,7 +281,7 @@ def nodes_of(grams: DataFrame) -> DataFrame:
     orders = [grams]
     for k in range(ORDERS - 2, -1, -1):
         last = F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        orders.append(staged(orders[-1].groupBy(last.alias("code")).agg(F.sum("n").alias("n"))))
+        orders.append(staged(orders[-1].groupBy(last.alias("code")).agg(F.sum("n").alias("n")), CODEC))
     have = None
     for k, rows in enumerate(reversed(orders)):
         dealt = rows.select("code", "n").repartition(F.shiftright("code", 8)).sortWithinPartitions("code")
@@ -274,7 +293,7 @@ def nodes_of(grams: DataFrame) -> DataFrame:
             own = own.withColumn("last", F.col("code").bitwiseAND(F.lit((1 << 8 * k) - 1)))
             have = own.join(shorter, "last").select("code", "n", F.concat("nodes", "own").alias("nodes"))
         if k < ORDERS - 1:
-            have = staged(have)
+            have = staged(have, CODEC)
     return have
 
 
@@ -339,7 +358,7 @@ def learn(found: DataFrame) -> Model:
     """From counts (see `counts`, staged). Strings with a count of 0 are there to be scored."""
     grams = found.where("kind = 1").select("code", "n")
     # dealt by a join already; in no order, as weights are learnt online
-    rows = staged(nodes_of(grams).sortWithinPartitions(F.xxhash64("code")))
+    rows = staged(nodes_of(grams).sortWithinPartitions(F.xxhash64("code")), CODEC)
     weights, seen = np.full((GATES, ORDERS + 1), 0.3), rows.where("n > 0")
     for _ in range(ROUNDS):
         weights = _learnt(seen, weights)
@@ -359,11 +378,13 @@ def scored(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text") ->
     ship(docs.sparkSession)
     base = docs.select(F.col(id).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = base.select("id", "held_out", text_key("text").alias("tk"), "text")
-    parts = staged(_split(base))
-    found = staged(_summed(parts))
+    parts = staged(_split(base), CODEC)
+    found = staged(_summed(parts), CODEC)
     total = found.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
     model = learn(found)
+    known_costs = staged(model.costs(), CODEC)
+    discard(model.rows)
     often = found.where((F.col("kind") == 0) & (F.col("n") * FREQUENT >= n)).select("code", "n").toArrow()  # FREQUENT rows at most
     codes = often.column("code").to_numpy().view(np.uint64)
     order = np.argsort(codes)
@@ -385,7 +406,11 @@ def scored(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text") ->
         text_codes, bounds = strings(block)
         unique, where = np.unique(text_codes, return_inverse=True)
         score = np.add.reduceat(cost[np.searchsorted(code, unique)][where], bounds[:-1])
-        column = lambda c: block.rows.column(block.rows.schema.get_field_index(c))
+
+        def column(name: str) -> pa.Array:
+            c = block.rows.column(block.rows.schema.get_field_index(name))
+            return c.cast(_nullable(c.type))
+
         return pa.RecordBatch.from_arrays(
             [column("id"), column("held_out"), column("tk"), pa.array(np.diff(block.offsets)), pa.array(w.count + 1), pa.array(np.bincount(row[hit], minlength=rows)), pa.array(part), pa.array(score), lists],
             ["id", "held_out", "tk", "n_bytes", "n_tokens", "known", "logs", "score", "rare"],
@@ -395,12 +420,12 @@ def scored(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text") ->
         code, cost = costs.column("code").to_numpy().view(np.uint64), costs.column("cost").to_numpy().astype(np.float64)
         order = np.argsort(code)
         code, cost = code[order], cost[order]
-        return pa.Table.from_batches([one(block, code, cost) for block in A.blocks(iter(texts.to_batches()), "text", BLOCK)])
+        return pa.Table.from_batches([one(block, code, cost) for block in A.blocks(_unpacked(texts.column("texts")), "text", BLOCK)])
 
     kinds = {f.name: f.dataType.simpleString() for f in base.schema}
-    texts = parts.where("kind = 2").select("part", "id", "held_out", "tk", "text").groupBy("part")
+    texts = parts.where("kind = 2").select("part", "texts").groupBy("part")
     # a text has its end at least, so each part has texts and strings
-    costs = parts.where("kind = 1").select(F.col("part").alias("of"), "code").join(model.costs(), "code").groupBy("of")
+    costs = parts.where("kind = 1").select(F.col("part").alias("of"), "code").join(known_costs, "code").groupBy("of")
     schema = f"id {kinds['id']}, held_out boolean, tk {kinds['tk']}, n_bytes bigint, n_tokens bigint, known bigint, logs double, score double, rare array<bigint>"
     rows = staged(texts.cogroup(costs).applyInArrow(run, schema))
     # words that aren't frequent: their counts are joined; of texts that repeat, all copies' words are summed, then shared out
